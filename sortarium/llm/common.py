@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word of the feature extractors: a run of letters and digits of any script.
-WORD = re.compile(r"[^\W_]+")
-
 #: Rows up to which a table of ids or of tree leaves may be broadcast (about 16 MB of longs).
 BROADCAST_ROWS = 2_000_000
 
@@ -52,23 +48,6 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-class WordHashes(dict):
-    """word -> 63-bit hash, kept for repeated words; emptied when full, so its memory is bounded."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
-        return h
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)).view(np.uint64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: uint64 to uint64, every input bit reaching every output bit."""
     x = x + np.uint64(0x9E3779B97F4A7C15)
@@ -77,6 +56,75 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes by kind: 1 in words (ASCII letters and digits, and every byte beyond ASCII), 2 symbols, 0 the rest.
+_KIND = np.array([1 if c >= 128 or chr(c).isalnum() else 2 if 32 < c < 127 else 0 for c in range(256)], np.uint8)
+_WORDS_ONLY = np.where(_KIND == 2, 0, _KIND).astype(np.uint8)
+_BYTE = mix(np.arange(256, dtype=np.uint64))
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes hashed at once, small enough for the arrays to stay in a core's cache.
+_BLOCK = 1 << 17
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base & ((1 << 64) - 1), np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_powers_of = {n: (_powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)) for n in (_BLOCK + 1,)}
+
+
+def _blocks(texts: list[bytes]) -> Iterator[bytes]:
+    """The texts, each ended by a line feed, in blocks that begin and end between words."""
+    held, size = [], 0
+    for t in texts:
+        if size + len(t) >= _BLOCK and held:
+            yield b"".join(held)
+            held, size = [], 0
+        while len(t) >= _BLOCK:
+            at = max(t.rfind(b" ", 0, _BLOCK), t.rfind(b"\n", 0, _BLOCK)) + 1
+            at = at or min((x for x in (t.find(b" "), t.find(b"\n")) if x >= 0), default=len(t) - 1) + 1
+            yield t[:at]
+            t = t[at:]
+        held += [t, b"\n"]
+        size += len(t) + 1
+    yield b"".join(held)
+
+
+def word_hashes(texts: list[str | None], symbols: bool = False, lower: bool = True, stems: tuple[int, ...] = ()):
+    """(hash of each word, its text's place, [hash of its first k bytes or 0 if it has no more, for k in stems]).
+
+    Words are runs of ASCII letters, digits and characters beyond ASCII; with symbols, runs of other
+    visible ASCII characters count too. A polynomial hash of every run comes from prefix sums over the
+    bytes, without a loop over words.
+    """
+    raw = [(t.lower() if lower else t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    kind, hashes, starts, others, base = _KIND if symbols else _WORDS_ONLY, [], [], [[] for _ in stems], 0
+    for block in _blocks(raw):
+        b = np.frombuffer(block, np.uint8)
+        n = len(b)
+        k = kind[b]
+        edge = np.flatnonzero(k[1:] != k[:-1]) + 1
+        st, en = np.append(0, edge) if n else edge, np.append(edge, n) if n else edge
+        inside = k[st] != 0 if n else np.zeros(0, bool)
+        st, en = st[inside], en[inside]
+        if n + 1 not in _powers_of and n > _BLOCK:
+            power, inverse = _powers(_BASE, n + 1), _powers(pow(_BASE, -1, 1 << 64), n + 1)
+        else:
+            power, inverse = _powers_of[_BLOCK + 1]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[b] * power[:n], out=sums[1:])
+        hashes.append((sums[en] - sums[st]) * inverse[st])
+        starts.append(st + base)
+        for out, length in zip(others, stems):
+            longer = en - st > length
+            out.append(np.where(longer, mix((sums[np.minimum(st + length, n)] - sums[st]) * inverse[st]), np.uint64(0)))
+        base += n
+    ends = np.cumsum([len(t) + 1 for t in raw])
+    at = np.concatenate(starts)
+    return np.concatenate(hashes), np.searchsorted(ends, at, "right"), [np.concatenate(x) for x in others]
+
+
 def kth_largest(df: DataFrame, key: str, k: int, bins: int = 4096) -> tuple[int, int] | None:
     """(value, rows above it) of the k-th largest value of a long column, exactly, for 1 <= k <= rows; else None.
 

@@ -13,15 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortarium.llm.common import WORD, WordHashes, mix
+from sortarium.llm.common import mix, word_hashes
 
 
 @dataclass(frozen=True)
@@ -39,39 +37,15 @@ class Settings:
     seed: int = 17
 
 
-class _Stems(WordHashes):
-    """word -> hash of its first few characters; 0 for words that are no longer than those."""
-
-    def __init__(self, length: int):
-        super().__init__()
-        self.length = length
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(f"{word[: self.length]}~".encode("utf-8", "surrogatepass")) >> 1 if len(word) > self.length else 0
-        return h
-
-
-_hashes, _stems = WordHashes(), (_Stems(4), _Stems(5))
-
-
 def buckets(texts: list[str | None], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(document's place, bucket) of every unigram, stem, bigram and skip-gram of the texts, repeats included.
 
-    A stem is the first 4 or 5 characters of a longer word, for languages that inflect or compound.
+    A stem is the first 4 or 5 bytes of a longer word, for languages that inflect or compound.
     A skip-gram is an ordered pair of words with 1 to max_skip words between them.
     """
-    words = [WORD.findall(t.lower()) if t else [] for t in texts]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    if not n.sum():
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    flat = list(chain.from_iterable(words))
-    h = _hashes.of(flat)
-    doc = np.repeat(np.arange(len(texts)), n)
+    h, doc, stems = word_hashes(texts, stems=(4, 5))
     docs, found = [doc], [mix(h)]
-    for stems in _stems:
-        stem = stems.of(flat)
+    for stem in stems:
         docs.append(doc[stem != 0])
         found.append(mix(stem[stem != 0]))
     for gap in range(1, s.max_skip + 2):
