@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortarium.llm import neardup, quality, toxicity
+from sortarium.llm import mixing, neardup, quality, toxicity
 from sortarium.llm.common import table
 
 
@@ -24,10 +24,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, domain, lang, source, mix_epoch, mix_tokens of every document taken, once for each epoch that takes it."""
+    out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), mixing.MIX)
+    return out.select("doc_id", F.coalesce(mixing.domain_of_source(), F.lit("unknown")).alias("domain"), "lang", "source", "mix_epoch", "mix_tokens")
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id of every document with an id: near duplicates share the least id among them."""
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op10_neardup": op10_neardup}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op8_mixing": op8_mixing, "op10_neardup": op10_neardup}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.oracle_sql()}
