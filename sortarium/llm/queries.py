@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortarium.llm import mixing, neardup, quality, toxicity
+from sortarium.llm import bpe, mixing, neardup, quality, toxicity
 from sortarium.llm.common import table
 
 
@@ -24,6 +25,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, encoded and decoded again."""
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, domain, lang, source, mix_epoch, mix_tokens of every document taken, once for each epoch that takes it."""
     out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), mixing.MIX)
@@ -35,5 +41,5 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op8_mixing": op8_mixing, "op10_neardup": op10_neardup}
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op10_neardup": op10_neardup}
 ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.oracle_sql()}
