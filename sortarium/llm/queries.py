@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortarium.llm import bpe, mixing, neardup, quality, toxicity
+from sortarium.llm import bpe, mixing, neardup, quality, tiff, toxicity
 from sortarium.llm.common import table
 
 
@@ -36,10 +36,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(mixing.domain_of_source(), F.lit("unknown")).alias("domain"), "lang", "source", "mix_epoch", "mix_tokens")
 
 
+def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a TIFF file and read back: sizes, checksums and a feature string."""
+    return tiff.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id of every document with an id: near duplicates share the least id among them."""
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op10_neardup": op10_neardup}
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_tiff": op9_tiff, "op10_neardup": op10_neardup}
 ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.oracle_sql()}
