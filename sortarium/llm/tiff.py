@@ -290,7 +290,7 @@ def write_pages(pages: list[np.ndarray], schemes: list[tuple[int, int, bool]], o
 
 
 #: How the pages of a text are stored; a page's own checksum chooses, so equal texts give equal files.
-SCHEMES = ((DEFLATE, 2, False), (DEFLATE, 1, True), (PACKBITS, 1, False), (LZW, 1, False))
+SCHEMES = tuple((c, p, tiled) for c in (DEFLATE, PACKBITS) for p in (1, 2) for tiled in (False, True))[:7] + ((LZW, 1, False),)
 WIDTH, PAGE_ROWS = 192, 128
 
 
