@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
         kept = np.flatnonzero(w)
         yield pd.DataFrame({"bucket": np.append(kept, -1), "weight": np.append(w[kept], bias)})
 
-    model = sample.coalesce(1).mapInPandas(learn, "bucket long, weight double").toPandas()
+    model = sample.repartition(1).mapInPandas(learn, "bucket long, weight double").toPandas()
     inner = model[model.bucket >= 0]
     return inner.bucket.to_numpy(np.int64), inner.weight.to_numpy(float), float(model[model.bucket < 0].weight.sum())
 
