@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortarium.llm import bpe, mixing, neardup, quality, tiff, toxicity
+from sortarium.llm import bpe, licenses, mixing, neardup, quality, tiff, topk, toxicity
 from sortarium.llm.common import table
 
 
@@ -25,6 +25,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the five best of every vector whose id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, base phrases and license labels of every document."""
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, encoded and decoded again."""
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -46,5 +57,5 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_tiff": op9_tiff, "op10_neardup": op10_neardup}
-ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.oracle_sql()}
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op4_topk": op4_topk, "op6_licenses": op6_licenses, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_tiff": op9_tiff, "op10_neardup": op10_neardup}
+ORACLE_SQL: dict[str, str] = {"op4_topk": topk.ORACLE_SQL, "op8_mixing": mixing.oracle_sql()}
