@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortarium.llm import bpe, licenses, mixing, neardup, quality, tiff, topk, toxicity
+from sortarium.llm import bpe, licenses, mixing, neardup, quality, tiff, toolcalls, topk, toxicity, urlfilter
 from sortarium.llm.common import table
 
 
@@ -25,11 +25,25 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a tool call of every conversation: link, level, validation and the digest of its canonical JSON."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    out = toolcalls.linked(toolcalls.as_tool_messages(turns), toolcalls.tools_table(spark))
+    return out.withColumn("canonical_sha256", F.sha2("canonical", 256)).drop("canonical")
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: the five best of every vector whose id is divisible by 50."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, fetched, lists, blocked of every page; the day of fetching follows from the id, for pages hold none."""
+    day = F.expr("date_add(DATE'2024-01-01', CAST(pmod(page_id * 7919, 366) AS INT))").cast("string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url").withColumn("fetched", day)
+    return urlfilter.filtered(pages, urlfilter.log_table(spark)).drop("url")
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, base phrases and license labels of every document."""
     out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -57,5 +71,5 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op4_topk": op4_topk, "op6_licenses": op6_licenses, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_tiff": op9_tiff, "op10_neardup": op10_neardup}
-ORACLE_SQL: dict[str, str] = {"op4_topk": topk.ORACLE_SQL, "op8_mixing": mixing.oracle_sql()}
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_toolcalls": op3_toolcalls, "op4_topk": op4_topk, "op5_urlfilter": op5_urlfilter, "op6_licenses": op6_licenses, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_tiff": op9_tiff, "op10_neardup": op10_neardup}
+ORACLE_SQL: dict[str, str] = {"op4_topk": topk.ORACLE_SQL, "op5_urlfilter": urlfilter.ORACLE_SQL, "op8_mixing": mixing.oracle_sql()}
