@@ -1,0 +1,154 @@
+"""The review queue: what to look at next, and a random lane beside it that keeps the estimates honest."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from sortarium.operators import vectors
+
+
+@dataclass(frozen=True)
+class Weights:
+    uncertainty: float = 1.0
+    margin: float = 0.8
+    confusion_pair: float = 0.6
+    disagreement: float = 1.2
+    redundancy_penalty: float = 1.5
+
+
+RANDOM_REASON, DIVERSITY_REASON, NO_PREDICTION = "عينة عشوائية", "مختار لتنويع الدفعة", "بلا تنبؤ"
+
+
+def pool(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    return docs.join(decided.select("doc_id"), "doc_id", "left_anti")
+
+
+def priority(rows: DataFrame, pairs: DataFrame, w: Weights = Weights()) -> DataFrame:
+    """rows (doc_id, institution_id, confidence, alternatives, baseline_label) with score and reasons.
+
+    A null institution_id means that there is no prediction.
+    """
+    first = F.get("alternatives", F.lit(0))
+    rows = rows.withColumns({"_lo": F.least("institution_id", first["institution_id"]), "_hi": F.greatest("institution_id", first["institution_id"])})
+    rows = rows.join(F.broadcast(pairs.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.lit(True).alias("_pair")).distinct()), ["_lo", "_hi"], "left")
+    margin = F.col("confidence") - first["confidence"]
+    has, pair = first.isNotNull(), F.coalesce("_pair", F.lit(False)) & first.isNotNull() & (F.col("institution_id") != first["institution_id"])
+    other = F.col("baseline_label").isNotNull() & (F.col("baseline_label") != F.col("institution_id"))
+    part = lambda c, v: F.when(c, v).otherwise(F.lit(0.0))
+    score = w.uncertainty * (1 - F.col("confidence")) + part(has, w.margin * F.greatest(F.lit(0.0), 1 - margin)) + part(pair, F.lit(w.confusion_pair)) + part(other, F.lit(w.disagreement))
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.col("confidence") < 0.6, F.concat(F.lit("ثقة منخفضة ("), F.format_string("%.2f", "confidence"), F.lit(")"))),
+            F.when(has & (margin < 0.15), F.concat(F.lit("فارق ضئيل عن البديل ("), F.format_string("%.2f", margin), F.lit(")"))),
+            F.when(pair, F.lit("زوج خلط معروف")),
+            F.when(other, F.lit("اختلاف بين النموذجين")),
+        )
+    )
+    none = F.col("institution_id").isNull()
+    return rows.withColumns({"score": F.when(none, F.lit(1.0)).otherwise(score), "reasons": F.when(none, F.array(F.lit(NO_PREDICTION))).otherwise(reasons)}).drop("_lo", "_hi", "_pair")
+
+
+def lane_size(size: int, share: float, available: int) -> int:
+    """Half to even, as the random lane is counted."""
+    return min(available, round(size * share))
+
+
+def random_lane(rows: DataFrame, n: int, order: Column | None = None, seed: int = 7) -> DataFrame:
+    """n rows drawn without replacement, by the hash of their ids: the same rows for the same seed."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), "doc_id") if order is None else order, "doc_id").limit(n)
+
+
+def greedy(candidates: pd.DataFrame, similar: np.ndarray | None, size: int, cap: int | None, penalty: float) -> list[int]:
+    """Places chosen one by one: highest score less the penalised similarity to what is chosen; ties to the earlier.
+
+    A class (column label) that has had `cap` picks takes no more; its further picks are passed over.
+    """
+    score = candidates["score"].to_numpy(float)
+    open_, near, taken, used = np.ones(len(score), bool), np.zeros(len(score)), [], {}
+    labels = candidates["label"].tolist()
+    while open_.any() and len(taken) < size:
+        value = np.where(open_, score - (penalty * near if taken and similar is not None else 0), -np.inf)
+        i = int(value.argmax())
+        open_[i] = False
+        if cap is not None and used.get(labels[i], 0) >= cap:
+            continue
+        used[labels[i]] = used.get(labels[i], 0) + 1
+        near = np.maximum(near, similar[i]) if taken and similar is not None else similar[i].astype(float) if similar is not None else near
+        taken.append(i)
+    return taken
+
+
+def prefix(rows: DataFrame, size: int, cap: int | None, penalty: float, least: float = 0.0) -> DataFrame:
+    """Rows that the greedy choice can reach at all: scores within the penalty's reach of the size-th best (per class under a cap).
+
+    least is the smallest similarity possible: 0 for non-negative vectors, -1 in general.
+    """
+    reach = penalty * (1 - least)
+    k = size if cap is None else min(size, cap)
+    by = [] if cap is None else ["label"]
+    best = rows.select(*by, "score").withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score")))) if by else None
+    if best is None:
+        kth = rows.select("score").orderBy(F.desc("score")).limit(k).agg(F.min("score").alias("_floor"))
+        return rows.crossJoin(F.broadcast(kth)).where(F.col("score") >= F.col("_floor") - reach).drop("_floor")
+    kth = best.where(F.col("_k") <= k).groupBy(*by).agg(F.min("score").alias("_floor"))
+    return rows.join(F.broadcast(kth), by).where(F.col("score") >= F.col("_floor") - reach).drop("_floor")
+
+
+def diverse(rows: DataFrame, size: int, cap: int | None = None, penalty: float = 1.5, text: str | None = "text", vector: str | None = None) -> DataFrame:
+    """(doc_id, pick) of the greedy choice over rows (doc_id, score, label and a text or a vector column).
+
+    Inverse document frequencies of the grams come from all rows; only rows that can be chosen meet in
+    one task, which is where the choice is made.
+    """
+    if vector is None:
+        rows = vectors.gram_vectors(rows, text)
+        reach = prefix(rows, size, cap, penalty)
+    else:
+        rows = rows.withColumn("_vector", F.col(vector))
+        reach = prefix(rows, size, cap, penalty, least=-1.0)
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = list(batches)
+        if frames:
+            pdf = pd.concat(frames, ignore_index=True).sort_values(["score", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+            similar = vectors.cosines(pdf["_vector"].tolist())
+            taken = greedy(pdf, similar, size, cap, penalty)
+            yield pd.DataFrame({"doc_id": pdf.doc_id.iloc[taken].to_numpy(), "pick": np.arange(1, len(taken) + 1, dtype=np.int32)})
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return reach.select("doc_id", "score", "label", "_vector").repartition(1).mapInPandas(choose, f"doc_id {kind}, pick int")
+
+
+def build_queue(docs: DataFrame, predictions: DataFrame, baseline: DataFrame | None, decided: DataFrame, pairs: DataFrame, size: int = 50, random_ratio: float = 0.2, cap: int | None = None, w: Weights = Weights(), seed: int = 7) -> DataFrame:
+    """The batch in its shuffled order (column position): the random lane and the priority lane of documents not yet decided."""
+    base = (baseline if baseline is not None else predictions.limit(0)).select("doc_id", F.col("institution_id").alias("baseline_label"))
+    free = pool(docs, decided)
+    known = predictions.select("doc_id", "institution_id", "confidence", "rationale_ar", "alternatives", "backend")
+    rows = free.join(known, "doc_id", "left").join(base, "doc_id", "left")
+    lucky = random_lane(free.select("doc_id"), lane_size(size, random_ratio, free.count()), seed=seed)
+    lucky = lucky.withColumn("lane", F.lit("random"))
+    n = lucky.count()
+    rest = priority(rows.join(lucky.select("doc_id"), "doc_id", "left_anti"), pairs, w).withColumn("label", F.coalesce("institution_id", F.lit("?")))
+    picks = diverse(rest, size - n, cap, w.redundancy_penalty) if size > n else rest.select("doc_id").limit(0).withColumn("pick", F.lit(0))
+    first = rest.join(picks, "doc_id").withColumn("reasons", F.when((F.size("reasons") == 0) & (F.col("pick") > 1), F.array(F.lit(DIVERSITY_REASON))).otherwise(F.col("reasons"))).withColumn("lane", F.lit("priority"))
+    drawn = rows.join(lucky, "doc_id").withColumns({"score": F.lit(0.0), "reasons": F.array(F.lit(RANDOM_REASON))})
+    both = drawn.unionByName(first.drop("label", "pick"), allowMissingColumns=True)
+    items = both.select(
+        "doc_id", "text", "lane", F.bround("score", 4).alias("score"), "reasons", F.col("institution_id").alias("model_label"), F.col("confidence").alias("model_confidence"), F.col("backend").alias("model_backend"),
+        F.coalesce("rationale_ar", F.lit("")).alias("model_rationale_ar"), F.coalesce(F.transform("alternatives", lambda a: a["institution_id"]), F.array().cast("array<string>")).alias("alternatives"), "baseline_label", "path", "source",
+    )
+    return items.withColumn("position", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")))
+
+
+#: What a reviewer of the random lane must not see, and what is shown instead.
+def blind(items: DataFrame) -> DataFrame:
+    hidden = F.col("lane") == "random"
+    gone = {c: F.when(~hidden, F.col(c)) for c in ("model_label", "model_confidence", "model_backend", "baseline_label")}
+    gone |= {"model_rationale_ar": F.when(hidden, "").otherwise(F.col("model_rationale_ar")), "alternatives": F.when(hidden, F.array().cast("array<string>")).otherwise(F.col("alternatives")), "score": F.when(hidden, 0.0).otherwise(F.col("score")), "reasons": F.when(hidden, F.array(F.lit(RANDOM_REASON))).otherwise(F.col("reasons"))}
+    return items.withColumns(gone)

@@ -2,5 +2,415 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sortarium.functions import text as T
+from sortarium.operators import classify, evaluate, fewshot, labels, queue, threshold, tiebreak
+from sortarium.plans import inputs
+from sortarium.plans.inputs import SQL, TAXONOMY, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def with_tables(sql: str) -> str:
+    return f"WITH {SQL} {sql}" if sql.startswith("SELECT") else f"WITH {SQL}, {sql}"
+
+
+# --- text ---------------------------------------------------------------------------------------
+
+#: The masking patterns where words are ASCII, as in the driver's tables.
+PLAIN = (
+    ("email", r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", "[بريد]"),
+    ("iban", r"(?i)\bSA\d{22}\b", "[آيبان]"),
+    ("tax_number", r"\b3\d{14}\b", "[رقم ضريبي]"),
+    ("phone", r"(?:\+?966|00966|0)5\d{8}\b", "[جوال]"),
+    ("national_id", r"\b[12]\d{9}\b", "[رقم هوية]"),
+    ("long_number", r"\b\d{9,}\b", "[رقم]"),
+)
+
+
+def plain_masked(column: str, rules=PLAIN) -> str:
+    for _, pattern, placeholder in rules:
+        column = f"regexp_replace({column}, '{pattern}', '{placeholder}', 'g')"
+    return column
+
+
+_COUNTS = ", ".join(f"CAST(sum(len(regexp_extract_all({plain_masked('text', PLAIN[:k])}, '{p}'))) AS BIGINT) AS {n}" for k, (n, p, _) in enumerate(PLAIN))
+
+
+@query(f"SELECT lang, count(*) AS documents, {_COUNTS} FROM documents GROUP BY lang")
+def redact_counts_by_lang(spark, sf_dir):
+    """Identifiers of each kind that masking would replace, per language."""
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return docs.select("lang", *[n.alias(name) for name, n in T.mask_counts(F.col("text")).items()]).groupBy("lang").agg(F.count("*").alias("documents"), *[F.sum(name).alias(name) for name, *_ in PLAIN])
+
+
+@query(f"SELECT doc_id, md5({plain_masked('text')}) AS masked FROM documents")
+def redact_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.masked(F.col("text")).cast("binary")).alias("masked"))
+
+
+@query(f"SELECT conv_id, turn, md5({plain_masked('text')}) AS masked FROM conversations")
+def redact_conversations(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.masked(F.col("text")).cast("binary")).alias("masked"))
+
+
+@query()
+def redact_summary(spark, sf_dir):
+    """Documents with identifiers, and what was found in each, as one line."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", T.summarize(T.scan(F.col("text"))).alias("found")).where("found <> 'no identifiers found'")
+
+
+_STRIPPED = r"regexp_replace(text, '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')"
+_READY = f"""CASE WHEN length(m) > 24000 THEN substr(m, 1, 16000) || chr(10) || chr(10) || '[... حُذف ' || (length(m) - 20000) || ' حرفاً من وسط الوثيقة ...]' || chr(10) || chr(10) || right(m, 4000) ELSE m END"""
+
+
+@query(
+    f"""SELECT doc_id, md5('مصدر النص: نص مستخرج ضوئياً (قد يحتوي أخطاء)' || chr(10) || 'عدد الصفحات: 1' || chr(10) || '--- بداية الوثيقة ---' || chr(10) ||
+    CASE WHEN m = '' THEN '{T.EMPTY}' ELSE {_READY} END || chr(10) || '--- نهاية الوثيقة ---') AS envelope, length(m) > 24000 AS cut
+    FROM (SELECT doc_id, {plain_masked(_STRIPPED)} AS m FROM documents)"""
+)
+def truncate_envelope(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    whole = T.envelope(F.col("text"), F.lit("plain"), F.lit(1))
+    return docs.select("doc_id", F.md5(whole.cast("binary")).alias("envelope"), (F.length(T.masked(T.strip(F.col("text")))) > T.MAX_CHARS).alias("cut"))
+
+
+@query("SELECT doc_id, false AS arabic FROM documents")
+def arabic_share(spark, sf_dir):
+    """None of the driver's texts is Arabic; the tests hold the rule against others."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.looks_arabic(F.col("text")).alias("arabic"))
+
+
+@query()
+def nfkc_light(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.light(F.col("text")).cast("binary")).alias("light"))
+
+
+@query()
+def aggressive_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.aggressive(F.col("text")).cast("binary")).alias("aggressive"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.-]', '_', 'g') AS file_name FROM pages")
+def file_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.file_name(F.col("url")).alias("file_name"))
+
+
+# --- evaluation -----------------------------------------------------------------------------------
+
+
+@query(
+    with_tables(
+        """SELECT count(*) AS total, CAST(sum(hit) AS BIGINT) AS correct, sum(hit) / count(*) AS accuracy, count(*) FILTER (NOT needs_review) AS auto_routed,
+        coalesce(sum(hit) FILTER (NOT needs_review) / count(*) FILTER (NOT needs_review), 0) AS auto_accuracy, count(*) FILTER (needs_review) AS held,
+        CAST(coalesce(sum(hit) FILTER (needs_review), 0) AS BIGINT) AS held_correct, coalesce(sum(pm) FILTER (hit = 1) / 1000 / count(*) FILTER (hit = 1), 0) AS mean_confidence_correct,
+        coalesce(sum(pm) FILTER (hit = 0) / 1000 / count(*) FILTER (hit = 0), 0) AS mean_confidence_wrong FROM scored"""
+    )
+)
+def eval_summary(spark, sf_dir):
+    rows = inputs.scored(spark, sf_dir)
+    hit = F.col("hit") == 1
+    out = evaluate.summary(rows)
+    exact = rows.agg(*[(F.coalesce(F.sum(F.when(c, F.col("pm"))) / 1000 / F.count_if(c), F.lit(0.0))).alias(n) for n, c in (("mean_confidence_correct", hit), ("mean_confidence_wrong", ~hit))])
+    return out.drop("mean_confidence_correct", "mean_confidence_wrong").crossJoin(exact)
+
+
+_CLASS = """x AS (SELECT institution_id, ord, (SELECT count(*) FROM scored WHERE gold = institution_id AND hit = 1) AS tp, (SELECT count(*) FROM scored WHERE pred = institution_id AND hit = 0) AS fp,
+  (SELECT count(*) FROM scored WHERE gold = institution_id AND hit = 0) AS fn, (SELECT count(*) FROM scored WHERE gold = institution_id) AS support FROM tax),
+y AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM x)"""
+
+
+@query(with_tables(_CLASS + " SELECT institution_id, ord, tp, fp, fn, support, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM y"))
+def eval_per_class(spark, sf_dir):
+    return evaluate.per_class(inputs.scored(spark, sf_dir), TAXONOMY.dimension(spark))
+
+
+@query(with_tables(_CLASS + " SELECT round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END), 9) AS macro_f1 FROM y WHERE support > 0"))
+def eval_macro_f1(spark, sf_dir):
+    return evaluate.macro_f1(evaluate.per_class(inputs.scored(spark, sf_dir), TAXONOMY.dimension(spark))).select(F.round("macro_f1", 9).alias("macro_f1"))
+
+
+_CELLS = "x AS (SELECT gold, predicted, CAST(sum(n) AS BIGINT) AS n FROM (SELECT gold, pred AS predicted, count(*) AS n FROM scored GROUP BY ALL UNION ALL SELECT a, b, 0 FROM pairs UNION ALL SELECT b, a, 0 FROM pairs) GROUP BY ALL)"
+
+
+@query(with_tables(_CELLS + " SELECT * FROM x"))
+def eval_confusion(spark, sf_dir):
+    return evaluate.confusion(inputs.scored(spark, sf_dir), TAXONOMY.pairs(spark))
+
+
+@query(with_tables(_CELLS + " SELECT a || ' <-> ' || b AS pair, CAST(sum(n) AS BIGINT) AS errors FROM pairs JOIN x ON (gold = a AND predicted = b) OR (gold = b AND predicted = a) GROUP BY ALL"))
+def eval_pair_errors(spark, sf_dir):
+    pairs = TAXONOMY.pairs(spark)
+    return evaluate.pair_errors(evaluate.confusion(inputs.scored(spark, sf_dir), pairs), pairs)
+
+
+@query(with_tables("SELECT gold, pred AS predicted, count(*) AS n FROM scored WHERE hit = 0 GROUP BY ALL"))
+def eval_misroutes(spark, sf_dir):
+    return evaluate.misroutes(inputs.scored(spark, sf_dir))
+
+
+@query(with_tables("SELECT (SELECT count(*) FROM labels) AS labelled, (SELECT count(*) FROM scored) AS predicted, (SELECT count(*) FROM scored JOIN labels USING (doc_id)) AS scored"))
+def eval_mismatch(spark, sf_dir):
+    truth = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("gold"))
+    return evaluate.mismatch(truth, inputs.predictions(spark, sf_dir))
+
+
+@query(with_tables("SELECT gold, count(*) AS n, count(*) FILTER (pm % 2 = 0) AS n_hard, sum(hit) / count(*) AS accuracy, sum(hit) FILTER (pm % 2 = 0) / count(*) FILTER (pm % 2 = 0) AS hard_accuracy, CAST(0 AS BIGINT) AS errors FROM scored GROUP BY gold").replace("SELECT gold, count", "SELECT gold AS tag, count"))
+def compare_runs(spark, sf_dir):
+    rows = inputs.scored(spark, sf_dir).select(F.col("gold").alias("tag"), "gold", F.col("institution_id").alias("pred"), (F.col("pm") % 2 == 0).alias("hard"), F.lit(None).cast("string").alias("error"))
+    return evaluate.compare_runs(rows)
+
+
+# --- thresholds -----------------------------------------------------------------------------------
+
+_SWEEP = """x AS (SELECT threshold, count(*) FILTER (confidence >= threshold) AS auto_routed, CAST(coalesce(sum(hit) FILTER (confidence >= threshold), 0) AS BIGINT) AS auto_correct, count(*) AS total, CAST(sum(hit) AS BIGINT) AS right_total FROM grid CROSS JOIN {rows} GROUP BY threshold),
+y AS (SELECT threshold, auto_routed, auto_routed / total AS coverage, auto_correct, CASE WHEN auto_routed > 0 THEN auto_correct / auto_routed ELSE 0.0 END AS auto_accuracy, auto_routed - auto_correct AS misrouted, total - auto_routed AS held, right_total - auto_correct AS held_correct,
+  CAST((auto_routed - auto_correct) * 20 + (total - auto_routed) AS DOUBLE) AS expected_cost, (auto_correct + total - auto_routed) / total AS resolved_accuracy FROM x)"""
+_POINTS = _SWEEP.format(rows="scored")
+
+
+@query(with_tables(_POINTS + " SELECT * FROM y"))
+def threshold_sweep(spark, sf_dir):
+    return threshold.sweep(inputs.scored(spark, sf_dir))
+
+
+@query(with_tables(_POINTS + " SELECT * FROM y WHERE auto_routed > 0 AND auto_accuracy >= CAST(0.95 AS DOUBLE) ORDER BY coverage DESC, threshold LIMIT 1"))
+def recommend_target(spark, sf_dir):
+    return threshold.recommend_for_target(threshold.sweep(inputs.scored(spark, sf_dir)), 0.95)
+
+
+@query(with_tables(_POINTS + " SELECT * FROM y WHERE auto_routed > 0 AND auto_accuracy >= 1.5 LIMIT 1"))
+def recommend_unreachable(spark, sf_dir):
+    return threshold.recommend_for_target(threshold.sweep(inputs.scored(spark, sf_dir)), 1.5)
+
+
+@query(with_tables(_POINTS + " SELECT * FROM y ORDER BY expected_cost, threshold LIMIT 1"))
+def recommend_cost(spark, sf_dir):
+    return threshold.recommend_min_cost(threshold.sweep(inputs.scored(spark, sf_dir)))
+
+
+_BINS = """x AS (SELECT CAST(least(floor(confidence * 10), 9) AS INTEGER) AS bin, count(*) AS n, sum(pm) AS pms, sum(hit) AS hits FROM scored GROUP BY 1),
+y AS (SELECT bin, bin / 10 AS low, (bin + 1) / 10 AS high, n, round(pms / 1000 / n, 9) AS mean_confidence, hits / n AS accuracy, round(pms / 1000 / n - hits / n, 9) AS gap FROM x)"""
+
+
+@query(with_tables(_BINS + " SELECT * FROM y"))
+def calibration_bins(spark, sf_dir):
+    out = threshold.calibration_bins(inputs.scored(spark, sf_dir))
+    return out.withColumns({"mean_confidence": F.round("mean_confidence", 9), "gap": F.round("gap", 9)})
+
+
+@query(
+    with_tables(
+        _BINS
+        + """ SELECT round(e, 6) AS ece, round(m, 6) AS mean_confidence, round(a, 6) AS accuracy, CASE WHEN e < 0.05 THEN 'well calibrated' WHEN m - a > 0.05 THEN 'overconfident' WHEN m - a < -0.05 THEN 'underconfident' ELSE 'poorly calibrated (non-monotonic)' END AS verdict
+        FROM (SELECT sum(n * abs(pms / 1000 / n - hits / n)) / sum(n) AS e, sum(pms) / 1000 / sum(n) AS m, sum(hits) / sum(n) AS a FROM x)"""
+    )
+)
+def calibration_summary(spark, sf_dir):
+    out = threshold.calibration(inputs.scored(spark, sf_dir))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("ece", "mean_confidence", "accuracy")], "verdict")
+
+
+@query(
+    with_tables(
+        """x AS (SELECT institution_id, threshold, count(pred) AS support, count(*) FILTER (confidence >= threshold) AS auto, coalesce(sum(hit) FILTER (confidence >= threshold), 0) AS good FROM tax CROSS JOIN grid LEFT JOIN scored ON pred = institution_id GROUP BY ALL),
+        y AS (SELECT *, auto / support AS coverage, good / auto AS accuracy FROM x WHERE auto > 0 AND good / auto >= CAST(0.95 AS DOUBLE) QUALIFY row_number() OVER (PARTITION BY institution_id ORDER BY auto / support DESC, threshold) = 1),
+        s AS (SELECT institution_id, ord, count(pred) AS support FROM tax LEFT JOIN scored ON pred = institution_id GROUP BY ALL)
+        SELECT s.institution_id, ord, threshold, coalesce(coverage, 0) AS coverage, coalesce(accuracy, 0) AS auto_accuracy, s.support, s.support < 10 AS thin FROM s LEFT JOIN y USING (institution_id)"""
+    )
+)
+def per_class_thresholds(spark, sf_dir):
+    return threshold.per_class_thresholds(inputs.scored(spark, sf_dir), TAXONOMY.dimension(spark))
+
+
+_ORDER = "doc_id * 104729 % 1000003"
+
+
+@query(
+    with_tables(
+        f"""ranked AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}, doc_id) AS k, count(*) OVER () AS n FROM scored),
+        train AS (SELECT * FROM ranked WHERE k <= CAST(trunc(n * (1 - CAST(0.4 AS DOUBLE))) AS BIGINT)), test AS (SELECT * FROM ranked WHERE k > CAST(trunc(n * (1 - CAST(0.4 AS DOUBLE))) AS BIGINT)),
+        {_SWEEP.format(rows="train")},
+        c AS (SELECT * FROM y WHERE auto_routed > 0 AND auto_accuracy >= CAST(0.95 AS DOUBLE) ORDER BY coverage DESC, threshold LIMIT 1),
+        z AS (SELECT threshold, auto_accuracy AS train_accuracy, coverage AS train_coverage, count(*) AS n_test, count(*) FILTER (confidence >= threshold) AS auto, coalesce(sum(hit) FILTER (confidence >= threshold), 0) AS good FROM c CROSS JOIN test GROUP BY ALL)
+        SELECT threshold, train_accuracy, train_coverage, CASE WHEN auto > 0 THEN good / auto ELSE 0.0 END AS test_accuracy, auto / n_test AS test_coverage, n_test, train_accuracy - CASE WHEN auto > 0 THEN good / auto ELSE 0.0 END AS optimism FROM z"""
+    )
+)
+def split_validation(spark, sf_dir):
+    rows = inputs.scored(spark, sf_dir)
+    parts = threshold.split(rows.select("doc_id"), order=F.expr(_ORDER))
+    return threshold.split_validate(rows, parts)
+
+
+# --- label store ----------------------------------------------------------------------------------
+
+
+@query(with_tables("SELECT doc_id, label, status, lane, model_label, seconds_spent, reviewer FROM now"))
+def label_current(spark, sf_dir):
+    return labels.current(inputs.label_log(spark, sf_dir)).drop("seq")
+
+
+@query(with_tables("SELECT (SELECT count(*) FROM log) AS total_records, count(*) AS documents, count(*) FILTER (status = 'labeled') AS labeled, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'unclear') AS unclear FROM now"))
+def label_stats(spark, sf_dir):
+    return labels.stats(inputs.label_log(spark, sf_dir))
+
+
+@query(
+    with_tables(
+        """x AS (SELECT lane, count(*) AS n, count(*) FILTER (label = model_label) AS agreed FROM now WHERE status = 'labeled' AND label <> '' AND model_label IS NOT NULL GROUP BY lane),
+        y AS (SELECT *, agreed / n AS p, 1.96::DOUBLE * 1.96::DOUBLE AS zz FROM x)
+        SELECT lane, n, agreed, p AS agreement, round(greatest(0, (p + zz / (2 * n) - 1.96::DOUBLE * sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)), 9) AS low, round(least(1, (p + zz / (2 * n) + 1.96::DOUBLE * sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)), 9) AS high FROM y"""
+    )
+)
+def wilson_by_lane(spark, sf_dir):
+    return labels.lanes(labels.current(inputs.label_log(spark, sf_dir))).withColumns({"low": F.round("low", 9), "high": F.round("high", 9)})
+
+
+@query(with_tables("SELECT list_sort(list(seconds_spent))[count(*) // 2 + 1] AS upper_median FROM now WHERE seconds_spent IS NOT NULL AND seconds_spent <> 0"))
+def upper_median(spark, sf_dir):
+    return labels.upper_median(labels.current(inputs.label_log(spark, sf_dir)), "seconds_spent")
+
+
+@query(with_tables("SELECT institution_id, ord, count(label) AS have, greatest(0, 25 - count(label)) AS need FROM tax LEFT JOIN (SELECT label FROM now WHERE status = 'labeled' AND label <> '') ON label = institution_id GROUP BY ALL"))
+def label_coverage(spark, sf_dir):
+    return labels.coverage(labels.current(inputs.label_log(spark, sf_dir)), TAXONOMY.dimension(spark))
+
+
+@query(with_tables("SELECT reviewer, count(*) AS n FROM now GROUP BY reviewer"))
+def label_reviewers(spark, sf_dir):
+    return labels.reviewers(labels.current(inputs.label_log(spark, sf_dir)))
+
+
+@query(with_tables("SELECT d.doc_id, label AS true_label, source FROM documents d JOIN now n ON n.doc_id = d.doc_id AND status = 'labeled' AND label <> ''"))
+def gold_export(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.lit("").alias("true_label"))
+    return labels.exported(docs, labels.current(inputs.label_log(spark, sf_dir)))
+
+
+@query(with_tables("SELECT doc_id FROM now WHERE status = 'labeled' AND label <> '' AND doc_id NOT IN (SELECT doc_id FROM labels)"))
+def missing_gold(spark, sf_dir):
+    return labels.missing(table(spark, sf_dir, "labels"), labels.current(inputs.label_log(spark, sf_dir)))
+
+
+# --- queue and examples ---------------------------------------------------------------------------
+
+
+@query(
+    with_tables(
+        """SELECT doc_id, round(1 - confidence + CAST(0.8 AS DOUBLE) * greatest(0, 1 - (confidence - alt_confidence)) + CASE WHEN EXISTS (SELECT 1 FROM pairs WHERE (a = pred AND b = alt) OR (a = alt AND b = pred)) THEN CAST(0.6 AS DOUBLE) ELSE 0 END
+          + CASE WHEN pm % 3 = 0 AND hit = 0 THEN CAST(1.2 AS DOUBLE) ELSE 0 END, 6) AS score FROM scored"""
+    )
+)
+def priority_scores(spark, sf_dir):
+    """A second opinion that is right wherever pm is divisible by 3, and agrees elsewhere."""
+    truth = inputs.truth(spark, sf_dir)
+    rows = inputs.predictions(spark, sf_dir).join(truth, "doc_id").withColumn("baseline_label", F.when(F.col("pm") % 3 == 0, F.col("gold")).otherwise(F.col("institution_id")))
+    return queue.priority(rows, TAXONOMY.pairs(spark)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY doc_id * 7919 % 1000003, doc_id LIMIT 10")
+def random_lane(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return queue.random_lane(docs, queue.lane_size(50, 0.2, docs.count()), order=F.expr("doc_id * 7919 % 1000003"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT user_id FROM events)")
+def queue_anti(spark, sf_dir):
+    return queue.pool(table(spark, sf_dir, "documents").select("doc_id"), labels.decided(labels.current(inputs.label_log(spark, sf_dir))))
+
+
+@query()
+def mmr_queue(spark, sf_dir):
+    """The 20 vectors of a batch by score less similarity to those chosen; the score follows from the id."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.col("label").cast("string").alias("label"), ((F.col("vec_id") * 7919 + 17) % 1001 / 1000.0 * 3).alias("score"))
+    return queue.diverse(rows, 20, cap=6, vector="embedding", text=None)
+
+
+@query()
+def build_queue(spark, sf_dir):
+    """The batch of 50 documents to review, both lanes, in its order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast("string").alias("path"), F.lit("plain").alias("source"))
+    return queue.build_queue(docs, inputs.predictions(spark, sf_dir), None, labels.decided(labels.current(inputs.label_log(spark, sf_dir))), TAXONOMY.pairs(spark), cap=15).drop("text")
+
+
+@query(
+    with_tables(
+        """x AS (SELECT n.doc_id, n.label, coalesce(model_label, n.label) = n.label AS agrees, model_label, text, row_number() OVER (PARTITION BY n.label ORDER BY coalesce(model_label, n.label) = n.label, n.doc_id) AS place FROM now n JOIN documents d USING (doc_id) WHERE status = 'labeled' AND n.label <> ''),
+        f AS (SELECT *, 0 AS pass FROM x WHERE place <= 2), l AS (SELECT *, 1 AS pass FROM x WHERE place > 2 ORDER BY agrees, label, doc_id LIMIT 12 - (SELECT count(*) FROM f))
+        SELECT doc_id, label, CASE WHEN model_label <> label THEN model_label END AS corrected_from FROM (SELECT * FROM f UNION ALL SELECT * FROM l)"""
+    )
+)
+def fewshot_selection(spark, sf_dir):
+    now = labels.current(inputs.label_log(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = fewshot.select_examples(docs, labels.gold(now), now.select("doc_id", "model_label"), TAXONOMY.dimension(spark), per_class=2, max_examples=12)
+    return out.select("doc_id", "label", "corrected_from")
+
+
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def leakage(spark, sf_dir):
+    return fewshot.leakage(table(spark, sf_dir, "labels").where("toxic = 1"), table(spark, sf_dir, "documents"))
+
+
+# --- classification -------------------------------------------------------------------------------
+
+
+@query(
+    with_tables(
+        """SELECT doc_id, CASE WHEN confidence <= CAST(0.9 AS DOUBLE) AND EXISTS (SELECT 1 FROM pairs WHERE (a = pred AND b = alt) OR (a = alt AND b = pred)) THEN alt END AS partner FROM scored"""
+    )
+)
+def pair_partner(spark, sf_dir):
+    """The institution that a tiebreak would set against the first choice, where it would take place."""
+    return tiebreak.gated(inputs.predictions(spark, sf_dir), TAXONOMY).select("doc_id", F.when(F.col("adjudicate"), F.col("partner")).alias("partner"))
+
+
+_HITS = ", ".join(f"len(list_filter(regexp_extract_all(lower(text), '{classify.WORD}'), lambda w: w IN {words})) AS {lang}" for lang, words in classify.STOP_WORDS.items())
+_TOTAL = " + ".join(classify.STOP_WORDS)
+
+
+@query(
+    f"""WITH h AS (SELECT doc_id, lang, {_HITS} FROM documents), t AS (SELECT *, {_TOTAL} AS total FROM h),
+    l AS (SELECT doc_id, lang, unnest([{", ".join(f"{{'id': '{k}', 'n': {k}}}" for k in classify.STOP_WORDS)}], recursive := true), total FROM t),
+    b AS (SELECT *, (n + 1) / (total + 4) AS confidence FROM l QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, id) = 1)
+    SELECT doc_id, id AS institution_id, confidence, confidence < CAST(0.55 AS DOUBLE) AS needs_review, id = lang AS hit FROM b"""
+)
+def classify_by_words(spark, sf_dir):
+    """Every document's language by its frequent words, gated by confidence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = classify.by_words(docs, classify.STOP_WORDS)
+    return out.select("doc_id", "institution_id", "confidence", "needs_review", (F.col("institution_id") == F.col("lang")).alias("hit"))
+
+
+@query()
+def tfidf_baseline(spark, sf_dir):
+    """Languages of documents with odd ids as a TF-IDF model trained on those with even ones sees them (a train/test split, not a cap)."""
+    from sortarium.operators.baseline import Baseline
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("true_label"))
+    model = Baseline().fit(docs.where("doc_id % 2 = 0"))
+    return model.predict(docs.where("doc_id % 2 = 1")).select("doc_id", "institution_id", F.round("confidence", 6).alias("confidence"), "needs_review")
+
+
+@query("SELECT count(*) AS documents, count(DISTINCT source) AS sources, count(*) FILTER (lang <> 'en') AS hard, CAST(floor(sum(length(text)) / count(*)) AS BIGINT) AS mean_length FROM documents")
+def corpus_stats(spark, sf_dir):
+    from sortarium import reporting
+
+    docs = table(spark, sf_dir, "documents")
+    return reporting.corpus_stats(docs.select("text", F.col("source").alias("label"), (F.col("lang") != "en").alias("hard"))).select("documents", F.col("labels").alias("sources"), "hard", "mean_length")
