@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters that the Python text model strips as white space.
 SPACES = r"\t\n\x0b\x0c\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -24,7 +25,7 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, rf"\A[{SPACES}]+", ""), rf"[{SPACES}]+\z", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode normalisation has no built-in function; plain ASCII passes untouched."""
     for batch in batches:
@@ -74,7 +75,7 @@ class Rule:
 _DIGITS = rf"{D}{{9}}"
 #: The identifiers and their placeholders, most specific first.
 RULES = (
-    Rule("email", rf"{EDGE}(?:{W}|[.+-])+@(?:{W}|-)+\.(?:{W}|\.)+{EDGE}", "[بريد]", "@"),
+    Rule("email", rf"{EDGE}[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.]+{EDGE}", "[بريد]", "@"),
     Rule("iban", rf"(?iu)(?<!{W})SA{D}{{22}}(?!{W})", "[آيبان]", _DIGITS),
     Rule("tax_number", rf"(?<!{W})3{D}{{14}}(?!{W})", "[رقم ضريبي]", _DIGITS),
     Rule("phone", rf"(?:\+?966|00966|0)5{D}{{8}}(?!{W})", "[جوال]", _DIGITS),
@@ -84,12 +85,18 @@ RULES = (
 
 
 def masked(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Identifiers replaced by their placeholders, rule by rule; texts that no gate lets in stay as they are."""
+    """Identifiers replaced by their placeholders, rule by rule; rules whose gate doesn't open are not tried.
+
+    Rules of one gate stand together in their order. Patterns repeat classes, not groups, for Java
+    matches a repeated group by recursion, and a long run would overflow the stack.
+    """
     out = text
-    for rule in rules:
-        out = F.regexp_replace(out, rule.pattern, rule.placeholder)
-    gate = "|".join(dict.fromkeys(r.gate for r in rules))
-    return F.when(text.rlike(gate), out).otherwise(text) if rules else text
+    for gate in dict.fromkeys(r.gate for r in rules):
+        before = out
+        for rule in (r for r in rules if r.gate == gate):
+            out = F.regexp_replace(out, rule.pattern, rule.placeholder)
+        out = F.when(before.rlike(gate), out).otherwise(before)
+    return out
 
 
 def mask_counts(text: Column, rules: tuple[Rule, ...] = RULES) -> dict[str, Column]:
@@ -187,4 +194,5 @@ def json_column(reply: Column, schema: str) -> Column:
     """json_of_reply as a Column: null where there is no such object."""
     text = strip(reply)
     inner = F.regexp_replace(F.regexp_replace(text, r"\A```(?:json)?\s*", ""), r"\s*```\z", "")
-    return F.coalesce(F.from_json(inner, schema), F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), schema))
+    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, schema))
+    return F.coalesce(valid(inner), valid(F.regexp_extract(text, r"(?s)(\{.*\})", 1)))
