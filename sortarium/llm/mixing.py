@@ -123,7 +123,8 @@ def mixed(docs: DataFrame, s: Settings, tokens: Column | None = None) -> DataFra
 #: The tree of the registered query: sources by their number, in four domains.
 def domain_of_source() -> Column:
     number = F.regexp_extract(F.col("source"), "([0-9]+)$", 1)
-    return F.when(number == "", F.lit("other")).otherwise(F.element_at(F.array(*map(F.lit, ("web", "books", "forums", "reference"))), (number.cast("long") % 4 + 1).cast("int")))
+    # Asked first, for element_at() with a null place gives the last element.
+    return F.when(F.col("source").isNull(), F.lit(None)).when(number == "", F.lit("other")).otherwise(F.element_at(F.array(*map(F.lit, ("web", "books", "forums", "reference"))), (number.cast("long") % 4 + 1).cast("int")))
 
 
 LEVELS = (("domain", domain_of_source), ("lang", lambda: F.col("lang")), ("source", lambda: F.col("source")))
@@ -138,7 +139,7 @@ def oracle_sql(s: Settings = MIX) -> str:
     names = [n for n, _ in s.levels]
     given = ", ".join("(" + ", ".join(f"'{x}'" for x in (*p, *[""] * (3 - len(p)))) + f", {len(p)}, {w})" for p, w in s.weights.items())
     parts = [
-        """d AS (SELECT *, coalesce(CASE WHEN regexp_extract(source, '([0-9]+)$', 1) = '' THEN 'other'
+        """d AS (SELECT *, coalesce(CASE WHEN source IS NULL THEN 'unknown' WHEN regexp_extract(source, '([0-9]+)$', 1) = '' THEN 'other'
           ELSE ['web', 'books', 'forums', 'reference'][CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 4 + 1] END, 'unknown') AS domain_,
           coalesce(lang, 'unknown') AS lang_, coalesce(source, 'unknown') AS source_,
           coalesce((strlen(text) + 3) // 4, 0) AS tokens FROM documents)""",
