@@ -245,7 +245,7 @@ def test_baseline_learns_and_survives_saving(spark, tmp_path):
     small = taxonomy.Taxonomy(TAX.institutions[:3], TAX.confusion_pairs[:2])
     made = generate.templates(spark, small, 16, noise_ratio=0.0, hard_ratio=0.0)
     train, test = made.where("pmod(xxhash64(doc_id), 4) > 0"), made.where("pmod(xxhash64(doc_id), 4) = 0")
-    model = Baseline(char_features=4000, word_features=2000).fit(train)
+    model = Baseline(char_features=2000, word_features=1000, folds=2).fit(train)
     out = model.predict(test)
     hits = out.join(test.select("doc_id", "true_label"), "doc_id").select((F.col("institution_id") == F.col("true_label")).cast("int").alias("h")).agg(F.avg("h")).first()[0]
     assert hits >= 0.85
