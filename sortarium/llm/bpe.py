@@ -28,13 +28,16 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as the tokenizer's file means it.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACES = regex.compile(f"[{_SPACE}]+")
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 _WORDS = regex.compile(rf"{_SHORT}|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -105,7 +108,7 @@ class Merges:
         key = (a, b)
         found = self._fits.get(key)
         if found is None:
-            if len(self._fits) >= 500_000:
+            if len(self._fits) >= 100_000:
                 self._fits.clear()
             found = self._fits[key] = self._apart(a, b)
         return found
@@ -214,7 +217,7 @@ class _Words(dict):
 
     SHORT = 40
 
-    def __init__(self, merges: Merges, most: int = 1_000_000):
+    def __init__(self, merges: Merges, most: int = 200_000):
         super().__init__()
         self.transducer, self.most = Transducer(merges), most
 
@@ -324,15 +327,20 @@ def codec(path: str) -> Codec:
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs and a column ids, the tokens of the text."""
+    """docs and a column ids, the tokens of the text; a few hundred rows are in hand at a time."""
+    schema = T.StructType([f for f in docs.schema.fields if f.name != "ids"]).add("ids", T.ArrayType(T.IntegerType(), False))
+    docs = docs.select(*[f.name for f in schema.fields[:-1]])
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            yield pd.Series([c.encode(t) for t in batch], dtype=object)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                found = [np.array(c.encode(t), np.int32) for t in part.column(text).to_pylist()]
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in found])), pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
 
-    return docs.withColumn("ids", ids(F.col(text)))
+    return docs.mapInArrow(run, schema)
 
 
 def decoded(rows: DataFrame, path: str, joined: bool = False) -> DataFrame:
