@@ -17,6 +17,7 @@ null class. Extra columns pass through `deduplicated`; `classes` returns its own
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,11 @@ class Settings:
     """bands * rows places; at 0.8 a pair shares a band with probability 1 - (1 - 0.8 ** rows) ** bands = 0.9999.
 
     The first `early` bands are joined and checked first; most copies meet there, and the later bands
-    only look at pairs that are still in different classes.
+    only look at pairs that are still in different classes. In both, each text of a band's bucket is
+    checked against the bucket's most central one. What that leaves apart is compared by signature,
+    `block` texts with `block` others at a time; pairs that agree in `least_places` places or more
+    (three standard deviations below what the similarity gives, so that 0.9987 of the pairs just at it are
+    among them) are checked too.
     """
 
     words: int = 5
@@ -43,8 +48,14 @@ class Settings:
     bands: int = 32
     rows: int = 6
     early: int = 4
+    block: int = 512
     seed: int = 41
 
+    @property
+    def least_places(self) -> int:
+        places = self.bands * self.rows
+        return math.ceil(places * self.similarity - 3 * math.sqrt(places * self.similarity * (1 - self.similarity)))
+
 
 def shingles(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, multiplicity, text's place) of every distinct run of words, sorted by place and hash."""
@@ -123,7 +134,10 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, print_a, print_b, n, bands) of every row: equal prints mean equal multisets (128 bits)."""
+    """(doc_id, print_a, print_b, n, bands, places) of every row: equal prints mean equal multisets (128 bits).
+
+    places holds 16 bits of each place of the signature.
+    """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -140,14 +154,15 @@ def signed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                     prints[0][i], prints[1][i] = h >> 64, h & ((1 << 64) - 1)
                 least = bag_minhash(run, times, place, len(texts), s.bands * s.rows, s.seed)
                 bands = band_hashes(least, s.bands, s.rows).view(np.int64)
-                yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "print_a": prints[0].view(np.int64), "print_b": prints[1].view(np.int64), "n": n, "bands": list(bands)})
+                places = (mix(least.view(np.uint64)) >> np.uint64(48)).astype("<u2")
+                yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "print_a": prints[0].view(np.int64), "print_b": prints[1].view(np.int64), "n": n, "bands": list(bands), "places": [x.tobytes() for x in places]})
 
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInPandas(sign, "doc_id long, print_a long, print_b long, n long, bands array<long>")
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInPandas(sign, "doc_id long, print_a long, print_b long, n long, bands array<long>, places binary")
 
 
 def overlaps(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """Those of pairs (a, b) whose texts reach the similarity, by their whole multisets."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct())
     texts = stored(docs.select(F.col("doc_id").cast("long"), "text").join(small_side(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -167,35 +182,125 @@ def overlaps(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     return both.mapInPandas(compare, "a long, b long")
 
 
+def bags(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
+    """(rep, bag) of the documents in ids (rep): the multiset as a sorted array of hashes, one for each occurrence."""
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.iloc[k : k + 256]
+                run, times, place = shingles(part.text.tolist(), s.words)
+                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                each, owner = mix(np.repeat(run, times) + nth.astype(np.uint64) * np.uint64(0x9E6C63D0876A9A47)), np.repeat(place, times)
+                order = np.lexsort((each, owner))
+                cuts = np.searchsorted(owner[order], np.arange(1, len(part)))
+                yield pd.DataFrame({"rep": part.doc_id.to_numpy(), "bag": [x.astype("<u8").tobytes() for x in np.split(each[order], cuts)]})
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(ids.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text")).mapInPandas(expand, "rep long, bag binary")
+
+
+def resembling(banded: DataFrame, s: Settings) -> DataFrame:
+    """(a, b) of the near duplicates in different classes that share a band.
+
+    banded: (rep, n, class, places, bag, band, key). A bucket is cut into blocks by the hash of its texts;
+    a task sees two blocks at a time, and a pair comes from the first band that it shares. Pairs that
+    agree in enough places are checked by their multisets there and then.
+    """
+    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("size"))
+    cells = banded.join(sizes, ["band", "key"]).withColumn("blocks", F.ceil(F.col("size") / s.block).cast("int"))
+    cells = cells.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "n", "class", "places", "bag")
+    cell = ["band", "key", "low", "high"]
+
+    def pairs_of(g: pd.DataFrame) -> list[pd.DataFrame]:
+        places = np.frombuffer(b"".join(g.places), "<u2").reshape(len(g), -1)
+        rep, n, named, own = (g[c].to_numpy() for c in ("rep", "n", "class", "own"))
+        bag = [np.frombuffer(b, "<u8") for b in g.bag]
+
+        def overlap(i: int, j: int) -> bool:
+            a, b = bag[i], bag[j]
+            at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+            common = int((a[at] == b).sum())
+            return common >= s.similarity * (len(a) + len(b) - common) - 1e-9
+
+        band, low, high = g.band.iloc[0], g.low.iloc[0], g.high.iloc[0]
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        out = []
+        for k in range(0, len(left), 32):
+            part = left[k : k + 32]
+            a, b = np.nonzero((named[part][:, None] != named[right]) & (np.minimum(n[part][:, None], n[right]) >= s.similarity * np.maximum(n[part][:, None], n[right]) - 1e-9))
+            a, b = part[a], right[b]
+            if low == high:
+                a, b = a[rep[a] < rep[b]], b[rep[a] < rep[b]]
+            for i in range(0, len(a), 4096):
+                x, y = a[i : i + 4096], b[i : i + 4096]
+                same = places[x] == places[y]
+                near = same.sum(axis=1) >= s.least_places
+                near[near] = same[near].reshape(-1, s.bands, s.rows).all(axis=2).argmax(axis=1) == band
+                real = [(rep[i], rep[j]) for i, j in zip(x[near], y[near]) if overlap(i, j)]
+                if real:
+                    out.append(pd.DataFrame(real, columns=["a", "b"]))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            keys = batch[cell].to_numpy()
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            begin = 0
+            for end in edges:
+                yield from pairs_of(batch.iloc[begin:end])
+                begin = end
+            held = batch.iloc[begin:]
+        if held is not None and len(held):
+            yield from pairs_of(held)
+
+    found = cells.repartition(*cell).sortWithinPartitions(*cell).mapInPandas(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, class_id) of every row of docs (doc_id, text); class_id is the least doc_id of the class."""
     rows = stored(signed(docs, s))
-    reps = stored(rows.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    ids = cut(rows.select("doc_id", "print_a", "print_b").join(reps.drop("n", "bands"), ["print_a", "print_b"]).select("doc_id", "rep"))
+    reps = stored(rows.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("places").alias("places")))
+    ids = cut(rows.select("doc_id", "print_a", "print_b").join(reps.select("print_a", "print_b", "rep"), ["print_a", "print_b"]).select("doc_id", "rep"))
     # A document that repeats with another text has several prints, which it links.
     twice = cut(ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b"))
     found = ids.sparkSession.createDataFrame([], "a long, b long") if twice.isEmpty() else twice
-    labels = None
-    for begin, end, whole in ((0, s.early, False), (s.early, s.bands, False), (0, s.bands, True)):
-        named = reps.select("rep", "n", "bands") if labels is None else reps.select("rep", "n", "bands").join(labels, F.col("rep") == F.col("node"), "left").select("rep", "n", "bands", F.coalesce("class", "rep").alias("class"))
+    labels = None if twice.isEmpty() else components(found)
+
+    def banded(begin: int, end: int, *more: str) -> DataFrame:
+        light = reps.where("n > 0").select("rep", "n", *more, F.slice("bands", begin + 1, end - begin).alias("keys"))
         if labels is None:
-            named = named.withColumn("class", F.col("rep"))
-        banded = named.where("n > 0").select("rep", "n", "class", F.posexplode(F.slice("bands", begin + 1, end - begin)).alias("band", "key"))
-        if whole:
-            # What is left after the leaders: pairs of one band in different classes, each checked once.
-            mixed = banded.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "key")
-            banded = cut(banded.join(mixed, ["band", "key"], "left_semi"))
-            x, y = (banded.select("band", "key", F.col("rep").alias(i), F.col("n").alias(f"n_{i}"), F.col("class").alias(f"class_{i}")) for i in "ab")
-            pairs = x.join(y, ["band", "key"]).where("a < b")
+            light = light.withColumn("class", F.col("rep"))
         else:
-            leader = banded.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("rep", "band").alias("order"), F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("class").alias("class_a"))).alias("leader"), F.count("*").alias("size")).where("size > 1").select("band", "key", "leader.*")
-            pairs = banded.select("band", "key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("class").alias("class_b")).join(leader, ["band", "key"]).where("a <> b")
-        near = pairs.where((F.col("class_a") != F.col("class_b")) & (F.least("n_a", "n_b") >= s.similarity * F.greatest("n_a", "n_b") - 1e-9))
-        pairs = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            light = light.join(labels, F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("class", "rep")).drop("node")
+        return light.select("rep", "n", "class", *more, F.posexplode("keys").alias("band", "key")).withColumn("band", F.col("band") + begin)
+
+    # Texts that share large buckets in many bands are close to many others: these lead their buckets.
+    few = banded(0, min(8, s.bands)).select("rep", "band", "key")
+    shared = few.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 2")
+    central = cut(few.join(shared, ["band", "key"]).groupBy("rep").agg(F.round(F.sum(F.log("size")), 6).alias("weight")))
+    for begin, end in ((0, s.early), (s.early, s.bands)):
+        rows = banded(begin, end).join(central, "rep", "left").withColumn("order", F.struct(-F.coalesce("weight", F.lit(0.0)), F.xxhash64("rep")))
+        leader = rows.groupBy("band", "key").agg(F.min(F.struct("order", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("class").alias("class_a"))).alias("leader"), F.count("*").alias("size"))
+        leader = leader.where("size > 1").select("band", "key", "leader.*")
+        pairs = rows.select("band", "key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("class").alias("class_b")).join(leader, ["band", "key"]).where("a <> b AND class_a <> class_b")
+        pairs = pairs.where(F.least("n_a", "n_b") >= s.similarity * F.greatest("n_a", "n_b") - 1e-9)
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not pairs.isEmpty():
-            found = found.unionByName(overlaps(pairs, docs, s))
-            found = cut(found)
+            found = cut(found.unionByName(overlaps(pairs, docs, s)))
             labels = components(found)
+    # What is left after the leaders: buckets that still hold several classes.
+    rows = banded(0, s.bands)
+    mixed = rows.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "key")
+    rest = rows.join(mixed, ["band", "key"], "left_semi").join(reps.select("rep", "places"), "rep")
+    rest = stored(rest)
+    more = cut(resembling(rest.join(bags(docs, cut(rest.select("rep").distinct()), s), "rep"), s))
+    if not more.isEmpty():
+        labels = components(found.unionByName(more))
     everyone = ids.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     if labels is None:
         named = everyone.withColumn("class", F.col("rep"))
