@@ -91,7 +91,7 @@ WAYS = (
 )
 
 #: Words without one of which no rule can match: the names' longer keywords, and what every way needs.
-GATE = "(?:licen[cs]|lizenz|spdx|under|subject|notice|terms|accept|see|read|dual)"
+GATE = ("licen", "lizenz", " spdx ", " under ", " subject ", " notice ", " terms ", " accept ", " see ", " read ", " dual ")
 NEEDS = "(?:^| )(?:licensed|licen[cs]e|licencia|licenza|lizenz|spdx|gpl|gnu|mit|bsd|apache|mozilla|mpl|cc|cc0|creative|lgpl|agpl|gfdl|eclipse|epl|cddl|isc|x11|0bsd|asl|pddl|odbl|unlicense|zlib|bsl|busl|boost|business|artistic|psf|python|wtfpl|ofl|sil|eupl|ms|microsoft|sspl|upl|universal|european|open|ncsa|university|common|server|elastic|php|ruby|openssl|postgresql|do|zero|new|revised|modified|three|two|four|simplified|freebsd|original)(?: |$)"
 
 
@@ -111,7 +111,7 @@ def words(text: str = "text") -> Column:
     lower() also lower-cases letters beyond ASCII; both forms are in words, no phrase or rule holds such
     a letter, and the two that lower to ASCII letters (U+0130, U+212A) are kept from it.
     """
-    kept = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "İ", "ı"), "K", "ĸ")
+    kept = F.replace(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\u0130"), F.lit("\u0131")), F.lit("\u212a"), F.lit("\u0138"))
     inner = F.trim(F.regexp_replace(F.lower(kept), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "  "))
     return F.when(inner == "", F.lit("")).otherwise(F.concat(F.lit(" "), inner, F.lit(" ")))
 
@@ -141,11 +141,12 @@ def detections(docs: DataFrame, words: str) -> DataFrame:
 
     start and stop are places in the words with one blank between them.
     """
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("rule", "label", "keyword", "own", "pattern", "priority", "confidence"), r)]) for r in rules()])
+    parts = lambda n, v: F.array(*map(F.lit, v.split("|"))) if n in ("keyword", "own") else F.lit(v)
+    table = F.array(*[F.struct(*[parts(n, v).alias(n) for n, v in zip(("rule", "label", "keyword", "own", "pattern", "priority", "confidence"), r)]) for r in rules()])
     text = F.replace(F.trim(F.col(words)), F.lit("  "), F.lit(" "))
-    df = docs.withColumn("plain", F.when(F.col(words).rlike(NEEDS) & F.col(words).rlike(GATE), text).otherwise(F.lit("")))
+    df = docs.withColumn("plain", F.when(reduce(Column.__or__, [F.contains(words, F.lit(g)) for g in GATE]) & F.col(words).rlike(NEEDS), text).otherwise(F.lit("")))
     matched = """
-      flatten(transform(filter(rules, r -> plain RLIKE r.own AND plain RLIKE r.keyword AND plain RLIKE r.pattern), r ->
+      flatten(transform(filter(rules, r -> exists(r.own, k -> contains(plain, k)) AND exists(r.keyword, k -> contains(plain, k)) AND plain RLIKE r.pattern), r ->
         transform(
           aggregate(
             zip_with(regexp_extract_all(plain, r.pattern, 0), slice(split(plain, r.pattern, -1), 1, size(regexp_extract_all(plain, r.pattern, 0))), (h, g) -> named_struct('hit', h, 'gap', g)),
