@@ -120,7 +120,7 @@ def as_tool_messages(turns: DataFrame) -> DataFrame:
     """Conversations without tools, read as if they had some: the registered query's input, made by rule from every turn.
 
     Each user turn becomes an assistant's call of the tool that its number picks, with arguments from its
-    words (every seventh turn leaves out or adds one); each assistant turn becomes the result of the
+    whole text (every seventh turn leaves out or adds one); each assistant turn becomes the result of the
     call before it. Calls from turn 4 on, but not at turns divisible by 8, use the result of the one two turns before.
     """
     name = F.expr("element_at(array('search', 'translate', 'count'), CAST(pmod(turn div 2, 3) + 1 AS INT))")
@@ -128,11 +128,10 @@ def as_tool_messages(turns: DataFrame) -> DataFrame:
     after = F.when((F.col("turn") >= 4) & (F.col("turn") % 8 != 0), F.concat(F.lit("$c"), (F.col("turn") - 2).cast("string")))
     odd = F.col("turn") % 7 == 6
     text = F.coalesce(F.col("text"), F.lit(""))
-    head = F.substring(text, 1, 40)
     arguments = (
-        F.when(name == "search", F.to_json(F.struct(F.when(~odd, head).alias("query"), F.length(text).cast("long").alias("limit"), after.alias("after"))))
-        .when(name == "translate", F.to_json(F.struct(F.lit("en").alias("target"), head.alias("text"), F.when(odd, F.lit(1)).alias("extra"))))
-        .otherwise(F.to_json(F.struct(F.split(head, " ").alias("words"), F.when(odd, F.lit(1)).otherwise(F.lit(None)).alias("exact"), after.alias("after"))))
+        F.when(name == "search", F.to_json(F.struct(F.when(~odd, text).alias("query"), F.length(text).cast("long").alias("limit"), after.alias("after"))))
+        .when(name == "translate", F.to_json(F.struct(F.lit("en").alias("target"), text.alias("text"), F.when(odd, F.lit(1)).alias("extra"))))
+        .otherwise(F.to_json(F.struct(F.split(text, " ").alias("words"), F.when(odd, F.lit(1)).otherwise(F.lit(None)).alias("exact"), after.alias("after"))))
     )
     call = F.concat(F.lit('{"tool_calls":[{"id":"'), own, F.lit('","name":"'), name, F.lit('","arguments":'), arguments, F.lit("}]}"))
     reply = F.to_json(F.struct(F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("tool_call_id"), F.md5(text.cast("binary")).alias("content")))

@@ -235,6 +235,19 @@ def test_tool_calls(spark):
     assert toolcalls.linked(df.limit(0), toolcalls.tools_table(spark)).count() == 0
 
 
+def test_tool_messages_hold_the_whole_text(spark):
+    import json
+
+    long = ("a word and more " * 20).strip()
+    turns = [(c, t, "user", long + end) for c, end in ((1, " x"), (2, " y")) for t in (0, 2, 4)]
+    made = toolcalls.as_tool_messages(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    arguments = {(r.conv_id, r.turn): json.loads(r.arguments) for r in toolcalls.calls(made).collect()}
+    for c, end in ((1, " x"), (2, " y")):
+        assert arguments[c, 0]["query"] == long + end and arguments[c, 2]["text"] == long + end and arguments[c, 4]["words"] == (long + end).split(" ")
+    out = toolcalls.linked(made, toolcalls.tools_table(spark)).collect()
+    assert len({r.canonical for r in out}) == len(out) == 6 and all(r.valid for r in out)
+
+
 def test_url_lists_in_time(spark):
     log = spark.createDataFrame([("s", "domain", "Bad.org", "add", "2024-02-01", 1), ("s", "domain", "bad.org", "remove", "2024-03-01", 2), ("s", "prefix", "ok.org/x/y", "add", "2024-01-01", 3), ("allow", "host", "in.bad.org", "add", "2024-02-15", 4), (None, "host", "q", "add", "2024-01-01", 5)], urlfilter.LOG_SCHEMA)
     cases = [
