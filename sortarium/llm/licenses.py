@@ -57,7 +57,7 @@ NAMES = (
     ("cc-by-nc-nd", "cc by|creative", "cc by nc nd [1234] [05]", "creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1234] [05])?(?: international)?(?: license)?|cc by nc nd(?: [1234] [05])?"),
     ("cc0", "cc0", "cc0 1 0", "cc0(?: 1 0)?(?: universal)?"),
     ("pddl", "pddl", "pddl 1 0", "pddl(?: 1 0)?"),
-    ("odbl", "odbl|database", "odbl 1 0", "open(?: data commons)? (?:data)?base license|odbl(?: 1 0)?"),
+    ("odbl", "odbl|base license", "odbl 1 0", "open(?: data commons)? (?:data)?base license|odbl(?: 1 0)?"),
     ("unlicense", "unlicense", "unlicense", "unlicense"),
     ("zlib", "zlib", "zlib", "zlib(?: libpng)? license|zlib"),
     ("boost", "boost|bsl", "bsl 1 0", "boost software license(?: version 1 0)?|bsl 1 0"),
@@ -92,7 +92,7 @@ WAYS = (
 
 #: Words without one of which no rule can match: the names' longer keywords, and what every way needs.
 GATE = ("licen", "lizenz", " spdx ", " under ", " subject ", " notice ", " terms ", " accept ", " see ", " read ", " dual ")
-NEEDS = "(?:^| )(?:licensed|licen[cs]e|licencia|licenza|lizenz|spdx|gpl|gnu|mit|bsd|apache|mozilla|mpl|cc|cc0|creative|lgpl|agpl|gfdl|eclipse|epl|cddl|isc|x11|0bsd|asl|pddl|odbl|unlicense|zlib|bsl|busl|boost|business|artistic|psf|python|wtfpl|ofl|sil|eupl|ms|microsoft|sspl|upl|universal|european|open|ncsa|university|common|server|elastic|php|ruby|openssl|postgresql|do|zero|new|revised|modified|three|two|four|simplified|freebsd|original)(?: |$)"
+NEEDS = "(?:^| )(?:licensed|licen[cs]e|licencia|licenza|lizenz|spdx|[al]?gpl(?:v?[23]|v|version)?|gnu|mit|bsd|apache|mozilla|mpl|cc|cc0|creative|gfdl|eclipse|epl|cddl|isc|x11|0bsd|asl|pddl|odbl|unlicense|zlib|bsl|busl|boost|business|artistic|psf|python|wtfpl|ofl|sil|eupl|ms|microsoft|sspl|upl|universal|european|open|ncsa|university|common|server|elastic|php|ruby|openssl|postgresql|do|zero|new|revised|modified|three|two|four|simplified|freebsd|original)(?: |$)"
 
 
 def rules() -> list[tuple[str, str, str, str, str, int, float]]:

@@ -278,6 +278,52 @@ def test_licenses(spark):
     assert d.rule == "grant:mit" and (d.start, d.stop) == (0, len("released under the mit license")) and len(licenses.rules()) >= 300
 
 
+def strings_of(pattern):
+    """All strings of a rule's pattern, which has only letters, sets, groups, alternatives and '?'."""
+    from re import _constants as c
+    from re import _parser
+
+    def each(items):
+        out = [""]
+        for kind, value in items:
+            if kind == c.LITERAL:
+                more = [chr(value)]
+            elif kind == c.IN:
+                more = [chr(v) for _, v in value]
+            elif kind == c.BRANCH:
+                more = [x for part in value[1] for x in each(part)]
+            elif kind == c.SUBPATTERN:
+                more = each(value[3])
+            else:
+                assert kind == c.MAX_REPEAT and value[:2] == (0, 1)
+                more = ["", *each(value[2])]
+            out = [a + b for a in out for b in more]
+        return out
+
+    return each(_parser.parse(pattern))
+
+
+def test_license_gates_let_every_rule_pass():
+    """Every name within every way: the gate, the needed words and the rule's own keywords are all there."""
+    needs = re.compile(licenses.NEEDS)
+    for kind, around, _, _, form, own in licenses.WAYS:
+        ways = strings_of(around.replace("(?:{})", "@").replace("{}", "@"))
+        for label, keyword, short, name in licenses.NAMES:
+            names = strings_of(short if form == "id" else name)
+            # Words beyond a way's shortest form only add to what is there.
+            pairs = [(w, n) for w in ways for n in names[:1]] + [(w, n) for w in sorted(ways, key=len)[:4] for n in names]
+            for w, n in pairs:
+                t = w.replace("@", n)
+                assert needs.search(t) and any(g in f" {t} " for g in licenses.GATE), (kind, label, t)
+                assert any(k in t for k in keyword.split("|")) and any(k in t for k in own.split("|")), (kind, label, t)
+
+
+def test_licenses_with_glued_versions(spark):
+    texts = ["Released under GPLv3.", "Distributed under the terms of the GPLv3", "This file is available under GPL3 terms", "Published under LGPLv3", "provided under the AGPL3", "see the gplv2"]
+    out = sorted(licenses.scan(frame(spark, texts)).collect(), key=lambda r: r.doc_id)
+    assert [r.labels for r in out] == ["gpl-3", "gpl-3", "gpl-3", "lgpl-3", "agpl-3", "gpl-2"] and all(r.score > 0 for r in out)
+
+
 # --- 7 and 9
 
 
