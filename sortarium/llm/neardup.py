@@ -11,7 +11,7 @@ agree at a place with probability equal to the weighted Jaccard similarity. Stra
 element's weight are never opened and points beyond the largest place are never drawn.
 
 Null texts count as empty. Texts without words are duplicates only of the same text. Rows that repeat
-a doc_id are one document, whose classes are joined. Rows with a null doc_id take no part and get a
+a doc_id are one document, whose classes are joined; each of its texts is compared with others. Rows with a null doc_id take no part and get a
 null class. Extra columns pass through `deduplicated`; `classes` returns its own columns only.
 """
 
@@ -146,25 +146,62 @@ def signed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 texts = part.text.tolist()
                 run, times, place = shingles(texts, s.words)
                 n = np.bincount(place, times, len(texts)).astype(np.int64)
-                prints = [np.zeros(len(texts), np.uint64) for _ in range(2)]
-                for x, out in enumerate(prints):
-                    np.add.at(out, place, mix(run + np.uint64(x + 1)) * mix(times.astype(np.uint64)))
-                for i in np.flatnonzero(n == 0):
-                    h = xxhash.xxh128_intdigest((texts[i] or "").encode("utf-8", "surrogatepass"))
-                    prints[0][i], prints[1][i] = h >> 64, h & ((1 << 64) - 1)
+                a, b = prints_of((run, times, place), texts)
                 least = bag_minhash(run, times, place, len(texts), s.bands * s.rows, s.seed)
                 bands = band_hashes(least, s.bands, s.rows).view(np.int64)
                 places = (mix(least.view(np.uint64)) >> np.uint64(48)).astype("<u2")
-                yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "print_a": prints[0].view(np.int64), "print_b": prints[1].view(np.int64), "n": n, "bands": list(bands), "places": [x.tobytes() for x in places]})
+                yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "print_a": a, "print_b": b, "n": n, "bands": list(bands), "places": [x.tobytes() for x in places]})
 
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInPandas(sign, "doc_id long, print_a long, print_b long, n long, bands array<long>, places binary")
 
 
-def overlaps(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+def prints_of(runs: tuple[np.ndarray, np.ndarray, np.ndarray], texts: list[str | None]) -> list[np.ndarray]:
+    """The two halves of each text's print, as signed longs, from its shingles(); a text without words is hashed itself."""
+    run, times, place = runs
+    prints = [np.zeros(len(texts), np.uint64) for _ in range(2)]
+    for x, out in enumerate(prints):
+        np.add.at(out, place, mix(run + np.uint64(x + 1)) * mix(times.astype(np.uint64)))
+    for i in np.flatnonzero(np.bincount(place, minlength=len(texts)) == 0):
+        h = xxhash.xxh128_intdigest((texts[i] or "").encode("utf-8", "surrogatepass"))
+        prints[0][i], prints[1][i] = h >> 64, h & ((1 << 64) - 1)
+    return [x.view(np.int64) for x in prints]
+
+
+def texts_by_rep(docs: DataFrame, reps: DataFrame, several: DataFrame | None, s: Settings) -> tuple[DataFrame, DataFrame | None]:
+    """Where texts_of finds the text of each of reps (rep, doc_id, print_a, print_b).
+
+    several: the doc_ids that hold texts of different prints, or None. Their rows are found by print, others by doc_id.
+    """
+
+    def printed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.iloc[k : k + 256]
+                texts = part.text.tolist()
+                a, b = prints_of(shingles(texts, s.words), texts)
+                yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "text": texts, "print_a": a, "print_b": b})
+
+    if several is None:
+        return reps.select("rep", "doc_id"), None
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(several), "doc_id", "left_semi")
+    rows = rows.mapInPandas(printed, "doc_id long, text string, print_a long, print_b long")
+    odd = rows.join(reps, ["doc_id", "print_a", "print_b"]).groupBy("rep").agg(F.min("text").alias("text"))
+    return reps.join(small_side(several), "doc_id", "left_anti").select("rep", "doc_id"), stored(odd)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, places: tuple[DataFrame, DataFrame | None]) -> DataFrame:
+    """(rep, text) of each of ids (rep), by what texts_by_rep gave: of rows with equal prints the least text."""
+    by_id, odd = places
+    wanted = ids.select("rep", F.col("rep").alias("doc_id")) if odd is None else cut(by_id.join(small_side(ids), "rep", "left_semi"))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(wanted), "doc_id").groupBy("rep").agg(F.min("text").alias("text"))
+    return texts if odd is None else texts.unionByName(odd.join(small_side(ids), "rep", "left_semi"))
+
+
+def overlaps(pairs: DataFrame, docs: DataFrame, places: tuple[DataFrame, DataFrame | None], s: Settings) -> DataFrame:
     """Those of pairs (a, b) whose texts reach the similarity, by their whole multisets."""
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct())
-    texts = stored(docs.select(F.col("doc_id").cast("long"), "text").join(small_side(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    ids = cut(pairs.select(F.col("a").alias("rep")).distinct().union(pairs.select("b").distinct()).distinct())
+    texts = stored(texts_of(docs, ids, places))
+    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -182,8 +219,8 @@ def overlaps(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     return both.mapInPandas(compare, "a long, b long")
 
 
-def bags(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
-    """(rep, bag) of the documents in ids (rep): the multiset as a sorted array of hashes, one for each occurrence."""
+def bags(docs: DataFrame, ids: DataFrame, places: tuple[DataFrame, DataFrame | None], s: Settings) -> DataFrame:
+    """(rep, bag) of each of ids (rep): the multiset as a sorted array of hashes, one for each occurrence."""
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -194,10 +231,9 @@ def bags(docs: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
                 each, owner = mix(np.repeat(run, times) + nth.astype(np.uint64) * np.uint64(0x9E6C63D0876A9A47)), np.repeat(place, times)
                 order = np.lexsort((each, owner))
                 cuts = np.searchsorted(owner[order], np.arange(1, len(part)))
-                yield pd.DataFrame({"rep": part.doc_id.to_numpy(), "bag": [x.astype("<u8").tobytes() for x in np.split(each[order], cuts)]})
+                yield pd.DataFrame({"rep": part.rep.to_numpy(), "bag": [x.astype("<u8").tobytes() for x in np.split(each[order], cuts)]})
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(ids.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
-    return texts.groupBy("doc_id").agg(F.min("text").alias("text")).mapInPandas(expand, "rep long, bag binary")
+    return texts_of(docs, ids, places).mapInPandas(expand, "rep long, bag binary")
 
 
 def resembling(banded: DataFrame, s: Settings) -> DataFrame:
@@ -264,12 +300,20 @@ def resembling(banded: DataFrame, s: Settings) -> DataFrame:
 def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, class_id) of every row of docs (doc_id, text); class_id is the least doc_id of the class."""
     rows = stored(signed(docs, s))
-    reps = stored(rows.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("places").alias("places")))
-    ids = cut(rows.select("doc_id", "print_a", "print_b").join(reps.select("print_a", "print_b", "rep"), ["print_a", "print_b"]).select("doc_id", "rep"))
-    # A document that repeats with another text has several prints, which it links.
-    twice = cut(ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b"))
-    found = ids.sparkSession.createDataFrame([], "a long, b long") if twice.isEmpty() else twice
-    labels = None if twice.isEmpty() else components(found)
+    several = cut(rows.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("print_a", "print_b") for f in (F.min, F.max)]).where("min_print_a <> max_print_a OR min_print_b <> max_print_b").select("doc_id"))
+    several = None if several.isEmpty() else several
+    # A print goes by its least doc_id, unless a document can hold several prints: then by a number of its own.
+    reps = rows.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("places").alias("places"))
+    reps = stored(reps.withColumn("rep", F.col("doc_id") if several is None else F.monotonically_increasing_id()))
+    places = texts_by_rep(docs, reps.select("rep", "doc_id", "print_a", "print_b"), several, s)
+    ids = cut(rows.select("doc_id", "print_a", "print_b").join(reps.select("print_a", "print_b", "rep", F.col("doc_id").alias("least")), ["print_a", "print_b"]).select("doc_id", "rep", "least"))
+    if several is None:
+        found, labels = ids.sparkSession.createDataFrame([], "a long, b long"), None
+    else:
+        # A document links all its prints.
+        own = ids.join(small_side(several), "doc_id", "left_semi")
+        found = cut(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
+        labels = components(found)
 
     def banded(begin: int, end: int, *more: str) -> DataFrame:
         light = reps.where("n > 0").select("rep", "n", *more, F.slice("bands", begin + 1, end - begin).alias("keys"))
@@ -291,22 +335,24 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         pairs = pairs.where(F.least("n_a", "n_b") >= s.similarity * F.greatest("n_a", "n_b") - 1e-9)
         pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not pairs.isEmpty():
-            found = cut(found.unionByName(overlaps(pairs, docs, s)))
+            found = cut(found.unionByName(overlaps(pairs, docs, places, s)))
             labels = components(found)
     # What is left after the leaders: buckets that still hold several classes.
     rows = banded(0, s.bands)
     mixed = rows.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "key")
     rest = rows.join(mixed, ["band", "key"], "left_semi").join(reps.select("rep", "places"), "rep")
     rest = stored(rest)
-    more = cut(resembling(rest.join(bags(docs, cut(rest.select("rep").distinct()), s), "rep"), s))
+    more = cut(resembling(rest.join(bags(docs, cut(rest.select("rep").distinct()), places, s), "rep"), s))
     if not more.isEmpty():
         labels = components(found.unionByName(more))
-    everyone = ids.groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    everyone = ids.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("least").alias("least"))
     if labels is None:
-        named = everyone.withColumn("class", F.col("rep"))
-    else:
-        named = everyone.join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("class", "rep").alias("class"))
-    return named.select("doc_id", F.col("class").alias("class_id"))
+        return everyone.select("doc_id", F.col("least").alias("class_id"))
+    if several is not None:
+        # Numbers of prints to the least doc_id of their class.
+        lowest = labels.join(reps.select(F.col("rep").alias("node"), F.col("doc_id").alias("least")), "node")
+        labels = labels.join(lowest.groupBy("class").agg(F.min("least").alias("lowest")), "class").select("node", F.col("lowest").alias("class"))
+    return everyone.join(labels, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("class", "least").alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -169,6 +169,29 @@ def test_near_duplicates_on_odd_rows(spark):
     assert neardup.classes(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_where_ids_repeat_with_other_texts(spark):
+    """Every text of a repeated id is compared and links its class, against brute force over the texts."""
+    base = lambda c: [f"{c}{k}" for k in range(120)]
+    near = lambda c: " ".join([*base(c)[:60], "changed", *base(c)[61:]])
+    a, b, c, d = (" ".join(base(x)) for x in "abcd")
+    rows = [(5, a), (5, b), (7, b), (12, near("b")), (20, a), (21, near("c")), (30, b), (30, c), (30, d), (31, near("d")), (40, "alone " * 9), (41, "words " * 9), (41, "~~"), (42, "~~"), (2**63 - 1, near("a")), (-3, "far " * 8), (-3, None), (50, "")]
+    rows += [(100 + k % 7, t) for k, t in enumerate(near_texts(seed=12))]
+    texts = plain_classes([t for _, t in rows])
+    up = {i: i for i, _ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for k, (i, _) in enumerate(rows):
+            for j, _ in (rows[m] for m in texts if texts[m] == texts[k]):
+                low = min(up[i], up[j])
+                changed |= up[i] != low or up[j] != low
+                up[i] = up[j] = low
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.classes(docs).collect()} == up
+    assert up[12] == up[7] == up[5] == up[31] == up[21] and up[42] == 41 and up[40] == 40
+    assert sorted(r.doc_id for r in neardup.deduplicated(docs).collect()) == sorted(set(up.values()))
+
+
 def test_signatures_are_unbiased():
     a = {k: 1 + k % 4 for k in range(40)}
     b = {k: v + (k % 3 == 0) for k, v in a.items() if k % 5} | {99: 9}
