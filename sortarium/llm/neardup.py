@@ -17,7 +17,6 @@ null class. Extra columns pass through `deduplicated`; `classes` returns its own
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,10 +36,8 @@ class Settings:
 
     The first `early` bands are joined and checked first; most copies meet there, and the later bands
     only look at pairs that are still in different classes. In both, each text of a band's bucket is
-    checked against the bucket's most central one. What that leaves apart is compared by signature,
-    `block` texts with `block` others at a time; pairs that agree in `least_places` places or more
-    (three standard deviations below what the similarity gives, so that 0.9987 of the pairs just at it are
-    among them) are checked too.
+    checked against the bucket's most central one. What that leaves apart is compared by multisets,
+    `block` texts with `block` others at a time.
     """
 
     words: int = 5
@@ -51,11 +48,6 @@ class Settings:
     block: int = 512
     seed: int = 41
 
-    @property
-    def least_places(self) -> int:
-        places = self.bands * self.rows
-        return math.ceil(places * self.similarity - 3 * math.sqrt(places * self.similarity * (1 - self.similarity)))
-
 
 def shingles(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, multiplicity, text's place) of every distinct run of words, sorted by place and hash."""
@@ -134,10 +126,7 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, print_a, print_b, n, bands, places) of every row: equal prints mean equal multisets (128 bits).
-
-    places holds 16 bits of each place of the signature.
-    """
+    """(doc_id, print_a, print_b, n, bands) of every row: equal prints mean equal multisets (128 bits)."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -149,10 +138,9 @@ def signed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 a, b = prints_of((run, times, place), texts)
                 least = bag_minhash(run, times, place, len(texts), s.bands * s.rows, s.seed)
                 bands = band_hashes(least, s.bands, s.rows).view(np.int64)
-                places = (mix(least.view(np.uint64)) >> np.uint64(48)).astype("<u2")
-                yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "print_a": a, "print_b": b, "n": n, "bands": list(bands), "places": [x.tobytes() for x in places]})
+                yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "print_a": a, "print_b": b, "n": n, "bands": list(bands)})
 
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInPandas(sign, "doc_id long, print_a long, print_b long, n long, bands array<long>, places binary")
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInPandas(sign, "doc_id long, print_a long, print_b long, n long, bands array<long>")
 
 
 def prints_of(runs: tuple[np.ndarray, np.ndarray, np.ndarray], texts: list[str | None]) -> list[np.ndarray]:
@@ -239,20 +227,22 @@ def bags(docs: DataFrame, ids: DataFrame, places: tuple[DataFrame, DataFrame | N
 def resembling(banded: DataFrame, s: Settings) -> DataFrame:
     """(a, b) of the near duplicates in different classes that share a band.
 
-    banded: (rep, n, class, places, bag, band, key). A bucket is cut into blocks by the hash of its texts;
-    a task sees two blocks at a time, and a pair comes from the first band that it shares. Pairs that
-    agree in enough places are checked by their multisets there and then.
+    banded: (rep, n, class, bands, bag, band, key). A bucket is cut into blocks by the hash of its texts;
+    a task sees two blocks at a time, and a pair comes from the first band whose key it shares. Its
+    multisets are compared there and then, unless their counts in ranges of hashes show that they can't
+    have enough in common.
     """
     sizes = banded.groupBy("band", "key").agg(F.count("*").alias("size"))
     cells = banded.join(sizes, ["band", "key"]).withColumn("blocks", F.ceil(F.col("size") / s.block).cast("int"))
     cells = cells.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "n", "class", "places", "bag")
+    cells = cells.select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "n", "class", "bands", "bag")
     cell = ["band", "key", "low", "high"]
 
     def pairs_of(g: pd.DataFrame) -> list[pd.DataFrame]:
-        places = np.frombuffer(b"".join(g.places), "<u2").reshape(len(g), -1)
+        bands = np.stack(g.bands.to_numpy())
         rep, n, named, own = (g[c].to_numpy() for c in ("rep", "n", "class", "own"))
         bag = [np.frombuffer(b, "<u8") for b in g.bag]
+        ranges = np.stack([np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256) for x in bag]).astype(np.int32)
 
         def overlap(i: int, j: int) -> bool:
             a, b = bag[i], bag[j]
@@ -271,10 +261,11 @@ def resembling(banded: DataFrame, s: Settings) -> DataFrame:
                 a, b = a[rep[a] < rep[b]], b[rep[a] < rep[b]]
             for i in range(0, len(a), 4096):
                 x, y = a[i : i + 4096], b[i : i + 4096]
-                same = places[x] == places[y]
-                near = same.sum(axis=1) >= s.least_places
-                near[near] = same[near].reshape(-1, s.bands, s.rows).all(axis=2).argmax(axis=1) == band
-                real = [(rep[i], rep[j]) for i, j in zip(x[near], y[near]) if overlap(i, j)]
+                first = (bands[x] == bands[y]).argmax(axis=1) == band
+                x, y = x[first], y[first]
+                most = np.minimum(ranges[x], ranges[y]).sum(axis=1)
+                can = most >= s.similarity * (n[x] + n[y] - most) - 1e-9
+                real = [(rep[i], rep[j]) for i, j in zip(x[can], y[can]) if overlap(i, j)]
                 if real:
                     out.append(pd.DataFrame(real, columns=["a", "b"]))
         return out
@@ -303,7 +294,7 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     several = cut(rows.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("print_a", "print_b") for f in (F.min, F.max)]).where("min_print_a <> max_print_a OR min_print_b <> max_print_b").select("doc_id"))
     several = None if several.isEmpty() else several
     # A print goes by its least doc_id, unless a document can hold several prints: then by a number of its own.
-    reps = rows.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("places").alias("places"))
+    reps = rows.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     reps = stored(reps.withColumn("rep", F.col("doc_id") if several is None else F.monotonically_increasing_id()))
     places = texts_by_rep(docs, reps.select("rep", "doc_id", "print_a", "print_b"), several, s)
     ids = cut(rows.select("doc_id", "print_a", "print_b").join(reps.select("print_a", "print_b", "rep", F.col("doc_id").alias("least")), ["print_a", "print_b"]).select("doc_id", "rep", "least"))
@@ -340,7 +331,7 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     # What is left after the leaders: buckets that still hold several classes.
     rows = banded(0, s.bands)
     mixed = rows.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "key")
-    rest = rows.join(mixed, ["band", "key"], "left_semi").join(reps.select("rep", "places"), "rep")
+    rest = rows.join(mixed, ["band", "key"], "left_semi").join(reps.select("rep", "bands"), "rep")
     rest = stored(rest)
     more = cut(resembling(rest.join(bags(docs, cut(rest.select("rep").distinct()), places, s), "rep"), s))
     if not more.isEmpty():

@@ -213,6 +213,19 @@ def test_blocks_find_what_leaders_miss(spark):
     assert got == plain_classes(texts)
 
 
+def test_every_pair_of_a_bucket_is_compared(spark):
+    """Near pairs are found in the first band that they share, however few places of their signatures agree."""
+    s, n = neardup.Settings(), 8
+    bag = lambda k: np.sort(neardup.mix(np.arange(k, k + 90, dtype=np.uint64))).astype("<u8").tobytes()
+    # Texts k and k + 1 overlap by 89 of 91 and those 10 apart by 80 of 100; 11 apart is too little. All share the keys of bands 3 and 5 only.
+    at = [0, 1, 11, 12, 30, 40, 51, 62]
+    rows = [(k, 90, k, [7 if b in (3, 5) else 100 * k + b for b in range(s.bands)], np.full(s.bands * s.rows, k, "<u2").tobytes(), bag(at[k]), b, 7) for k in range(n) for b in (3, 5)]
+    banded = spark.createDataFrame(rows, "rep long, n long, class long, bands array<long>, places binary, bag binary, band int, key long")
+    for block in (512, 3):
+        got = sorted(map(tuple, neardup.resembling(banded, neardup.Settings(block=block)).collect()))
+        assert got == [(a, b) for a in range(n) for b in range(a + 1, n) if 90 - (at[b] - at[a]) >= 0.8 * (90 + at[b] - at[a])]
+
+
 # --- 4
 
 
