@@ -255,6 +255,19 @@ def test_baseline_learns_and_survives_saving(spark, tmp_path):
         Baseline().fit(train.withColumn("true_label", F.lit("")))
 
 
+def test_tfidf_query_covers_every_document(spark, tmp_path):
+    from sortarium.plans import registry
+
+    # One language has even ids only, one odd ids only; a document has no language and one no id.
+    words = {"en": "the river and the stone", "de": "der Fluss und der Stein"}
+    rows = [(2 * k + (lang == "de"), f"{words[lang]} {k % 3}", lang) for lang in words for k in range(12)] + [(100, words["en"], None), (None, words["de"], "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = registry.QUERIES["tfidf_baseline"](spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(r[0]) for r in rows)
+    want = {i: lang or "en" for i, _, lang in rows}
+    assert all(r.institution_id == want[r.doc_id] for r in out)
+
+
 # --- sources and sinks
 
 
