@@ -80,21 +80,14 @@ def validation(found: DataFrame, tools: DataFrame) -> DataFrame:
         transform(filter(map_entries(spec), e -> e.value.required AND NOT array_contains(given, e.key)), e -> concat('missing ', e.key)),
         transform(filter(given, k -> NOT map_contains_key(spec, k)), k -> concat('unknown ', k)))
     """
-    # A path into a variant has to be a literal, so types are compared parameter by parameter.
-    names = [r[0] for r in tools.select("parameter").distinct().orderBy("parameter").limit(10_000).collect()]
-    types = [F.when(F.expr("map_contains_key(spec, %s)" % _quoted(n)) & F.array_contains("given", n) & (F.expr(f"schema_of_variant(variant_get(v, {_quoted(_path(n))}, 'variant'))") != F.col("spec")[n]["type"]), F.lit(f"type {n}")) for n in names]
-    errors = F.when(F.col("spec").isNull(), F.array(F.lit("no such tool"))).when(F.col("v").isNull() | ~F.coalesce(F.expr("schema_of_variant(v)"), F.lit("")).startswith("OBJECT"), F.array(F.lit("no object"))).otherwise(F.concat(F.expr(wrong), F.array_compact(F.array(*types)) if types else F.array().cast("array<string>")))
+    types = """
+      transform(filter(map_entries(from_json(arguments, 'map<string, variant>')), e -> map_contains_key(spec, e.key) AND coalesce(schema_of_variant(e.value), 'VOID') <> spec[e.key].type),
+        e -> concat('type ', e.key))
+    """
+    errors = F.when(F.col("spec").isNull(), F.array(F.lit("no such tool"))).when(F.col("v").isNull() | ~F.coalesce(F.expr("schema_of_variant(v)"), F.lit("")).startswith("OBJECT"), F.array(F.lit("no object"))).otherwise(F.concat(F.expr(wrong), F.expr(types)))
     return df.withColumn("errors", F.array_join(F.array_sort(errors), "; ")).drop("spec", "given")
 
 
-def _path(name: str) -> str:
-    return f"$['{name}']"
-
-
-def _quoted(text: str) -> str:
-    return '"' + text.replace("\\", "\\\\").replace('"', '\\"') + '"'
-
-
 def linked(messages: DataFrame, tools: DataFrame) -> DataFrame:
     """One row a call: conv_id, turn, place, call_id, tool, result_turn, status, level, valid, errors, canonical.
 

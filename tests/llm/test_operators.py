@@ -271,6 +271,16 @@ def test_tool_calls(spark):
     assert toolcalls.linked(df.limit(0), toolcalls.tools_table(spark)).count() == 0
 
 
+def test_types_of_all_parameters_are_held(spark):
+    import json
+
+    names = [f"p{k:05}" for k in range(10_002)] + ["it's", "z"]
+    tools = spark.createDataFrame([("t", n, "BIGINT", False) for n in names], toolcalls.TOOLS_SCHEMA)
+    given = [{"p00001": "x", "p10001": "x", "z": None, "it's": [1]}, {"p10001": 1, "z": 2, "it's": 3}]
+    found = spark.createDataFrame([(k, "t", json.dumps(g)) for k, g in enumerate(given)], "k long, tool string, arguments string")
+    assert [r.errors for r in toolcalls.validation(found, tools).orderBy("k").collect()] == ["type it's; type p00001; type p10001; type z", ""]
+
+
 def test_tool_messages_hold_the_whole_text(spark):
     import json
 
