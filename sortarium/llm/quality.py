@@ -31,13 +31,14 @@ _AGAIN = np.uint64(0xA6A1)
 class Settings:
     """target_rows bounds the labelled rows that the target model is fitted to; the raw model counts all rows.
 
-    smoothing pulls the target model towards the raw one, by so many counts for each bucket on average.
+    smoothing pulls the target model towards the raw one, by so many counts for each count of the target, so that
+    weights and odds mean the same however many texts are labelled.
     keep is the share of rows to sample. None samples as many rows as the models can't rule out: those
     that the raw model doesn't hold to be over `odds` times likelier than the target model does.
     """
 
     bits: int = 12
-    smoothing: float = 400.0
+    smoothing: float = 0.15
     target_rows: int = 12_000
     keep: float | None = None
     odds: float = 100.0
@@ -82,8 +83,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndar
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(s.seed)), "doc_id").limit(s.target_rows)
     target = counts(docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left_semi"), s.bits)
     raw = counts(docs, s.bits)
+    if not target.any():
+        return np.zeros(len(raw))
     base = (raw + 1) / (raw.sum() + len(raw))
-    mass = s.smoothing * len(raw)
+    mass = s.smoothing * target.sum()
     return np.log((target + mass * base) / ((target.sum() + mass) * base))
 
 

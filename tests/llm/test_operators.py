@@ -78,6 +78,14 @@ def test_quality_keeps_good_texts_and_drops_others(spark):
     assert half.count() == 60 and half.where("text LIKE 'BUY%'").count() == 0
 
 
+def test_quality_weights_do_not_depend_on_the_size(spark):
+    rows = corpus()
+    made = lambda times: (frame(spark, [t for _, t, *_ in rows] * times), spark.createDataFrame([(k + m * len(rows), q) for m in range(times) for k, _, q, _ in rows], "doc_id long, quality int"))
+    small, large = (quality.fit(*made(times)) for times in (1, 20))
+    used = quality.counts(made(1)[0], quality.Settings().bits) > 0
+    assert np.abs(small[used] - large[used]).max() < 0.2 and small[used].min() < -1.5
+
+
 def test_gumbel_draws_follow_the_weights(spark):
     """Two weights, one draw of many: the shares are those of the weights."""
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, math.log(3.0)).otherwise(0.0).alias("log_weight"))
