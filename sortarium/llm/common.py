@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share: the session's checkpoint folder.
+
+    Where none is set, a session on this machine alone gets a temporary one, and a cluster a folder in its warehouse.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jsc.isDefined():
             return jsc.get()
-        root = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
+        alone = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        root = f"{tempfile.gettempdir() if alone else spark.conf.get('spark.sql.warehouse.dir')}/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(root)
     return root
 
@@ -43,6 +49,57 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Parquet tables in the shared folder that go when the work that needs them is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The same rows, from a table of their own."""
+        path = f"{self.root}/{self.made}"
+        self.made += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        """Deletes the tables; nothing that reads them may run afterwards."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def portions(texts: list[str | None], rows: int, chars: int = 400_000) -> Iterator[slice]:
+    """Slices of at most `rows` texts and about `chars` characters, a longer text having one of its own."""
+    begin = size = 0
+    for k, t in enumerate(texts):
+        n = len(t) if t else 0
+        if k > begin and (k - begin >= rows or size + n > chars):
+            yield slice(begin, k)
+            begin, size = k, 0
+        size += n
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
+def tidied(run):
+    """run, a function from batches to batches, that gives freed memory back to the system once its batches end.
+
+    Python workers live on for later stages; without this, each would hold the peak of every stage before.
+    """
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # no such call outside glibc
+                pass
+
+    return tidy
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has been counted to at most `rows` rows; else df, for a shuffled join."""
     return F.broadcast(df) if df.count() <= rows else df

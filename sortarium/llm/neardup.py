@@ -11,8 +11,10 @@ agree at a place with probability equal to the weighted Jaccard similarity. Stra
 element's weight are never opened and points beyond the largest place are never drawn.
 
 Null texts count as empty. Texts without words are duplicates only of the same text. Rows that repeat
-a doc_id are one document, whose classes are joined; each of its texts is compared with others. Rows with a null doc_id take no part and get a
-null class. Extra columns pass through `deduplicated`; `classes` returns its own columns only.
+a doc_id are one document, whose classes are joined; each of its texts is compared with others. Rows
+with a null doc_id take no part and have no class. An empty table has no classes. Long texts count
+whole. Extra columns, whatever their names, pass through `deduplicated`; `classes` returns its own
+columns only.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortarium.llm.common import cut, mix, small_side, stored, word_hashes
+from sortarium.llm.common import Scratch, cut, mix, portions, small_side, stored, tidied, word_hashes
 from sortarium.llm.graph import components
 
 
@@ -34,20 +36,31 @@ from sortarium.llm.graph import components
 class Settings:
     """bands * rows places; at 0.8 a pair shares a band with probability 1 - (1 - 0.8 ** rows) ** bands = 0.9999.
 
-    The first `early` bands are joined and checked first; most copies meet there, and the later bands
-    only look at pairs that are still in different classes. In both, each text of a band's bucket is
-    checked against the bucket's most central one. What that leaves apart is compared by multisets,
-    `block` texts with `block` others at a time.
+    Each bucket's most central text is held against the others, by whole multisets, and led buckets elect
+    again among what is still in other classes for as long as at least a share `worth` of the checked pairs
+    are links. After that, every pair of a bucket that is still in different classes is compared by the
+    signatures (a byte a place) and, unless these agree in fewer places than six standard deviations below
+    `similarity`, by whole multisets. `block` bounds the runs of words that one side of a comparison holds.
     """
 
     words: int = 5
     similarity: float = 0.8
     bands: int = 32
     rows: int = 6
-    early: int = 4
-    block: int = 512
+    worth: float = 0.125
+    block: int = 100_000
     seed: int = 41
 
+    @property
+    def agreeing(self) -> int:
+        """The places in which two near duplicates agree at least."""
+        n = self.bands * self.rows
+        return max(0, int(n * self.similarity - 6 * (n * self.similarity * (1 - self.similarity)) ** 0.5))
+
+
+#: The fewest runs that a text counts as when blocks are made, so that a block has a bounded number of texts too.
+_LEAST_RUNS = 200
+
 
 def shingles(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, multiplicity, text's place) of every distinct run of words, sorted by place and hash."""
@@ -126,21 +139,26 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, print_a, print_b, n, bands) of every row: equal prints mean equal multisets (128 bits)."""
+    """(doc_id, print_a, print_b, n, bands, sketch) of every row: equal prints mean equal multisets (128 bits).
+
+    bands are the keys of its buckets, sketch a byte of each place of the signature.
+    """
 
+    @tidied
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.iloc[k : k + 256]
-                texts = part.text.tolist()
+            whole = batch.text.tolist()
+            for part in portions(whole, 256):
+                texts = whole[part]
                 run, times, place = shingles(texts, s.words)
                 n = np.bincount(place, times, len(texts)).astype(np.int64)
                 a, b = prints_of((run, times, place), texts)
                 least = bag_minhash(run, times, place, len(texts), s.bands * s.rows, s.seed)
                 bands = band_hashes(least, s.bands, s.rows).view(np.int64)
-                yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "print_a": a, "print_b": b, "n": n, "bands": list(bands)})
+                sketch = (mix(least.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+                yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part].to_numpy(), "print_a": a, "print_b": b, "n": n, "bands": list(bands), "sketch": [x.tobytes() for x in sketch]})
 
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInPandas(sign, "doc_id long, print_a long, print_b long, n long, bands array<long>")
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInPandas(sign, "doc_id long, print_a long, print_b long, n long, bands array<long>, sketch binary")
 
 
 def prints_of(runs: tuple[np.ndarray, np.ndarray, np.ndarray], texts: list[str | None]) -> list[np.ndarray]:
@@ -155,104 +173,177 @@ def prints_of(runs: tuple[np.ndarray, np.ndarray, np.ndarray], texts: list[str |
     return [x.view(np.int64) for x in prints]
 
 
-def texts_by_rep(docs: DataFrame, reps: DataFrame, several: DataFrame | None, s: Settings) -> tuple[DataFrame, DataFrame | None]:
-    """Where texts_of finds the text of each of reps (rep, doc_id, print_a, print_b).
+@dataclass
+class Texts:
+    """Where the text of a rep is: by_id has (rep, doc_id), or is None where a rep is its doc_id.
+
+    odd has the texts (rep, text) of ids that hold texts of different prints. repeats: whether rows repeat a doc_id.
+    """
+
+    docs: DataFrame
+    by_id: DataFrame | None = None
+    odd: DataFrame | None = None
+    repeats: bool = False
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """wanted (rep, ...) and text; of rows with equal prints the least text."""
+        docs = self.docs.select(F.col("doc_id").cast("long"), "text")
+        if self.by_id is None:
+            ids = wanted.withColumn("doc_id", F.col("rep"))
+        else:
+            ids = wanted.join(self.by_id, "rep")
+        if self.repeats:
+            docs = docs.join(small_side(ids.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+        found = docs.join(ids, "doc_id").select(*wanted.columns, "text")
+        return found if self.odd is None else found.unionByName(wanted.join(self.odd, "rep").select(*wanted.columns, "text"))
+
+
+def texts_by_rep(docs: DataFrame, reps: DataFrame, several: DataFrame | None, repeats: bool, s: Settings, scratch: Scratch) -> Texts:
+    """Where the text of each of reps (rep, doc_id, print_a, print_b) is.
 
     several: the doc_ids that hold texts of different prints, or None. Their rows are found by print, others by doc_id.
     """
 
+    @tidied
     def printed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.iloc[k : k + 256]
-                texts = part.text.tolist()
-                a, b = prints_of(shingles(texts, s.words), texts)
-                yield pd.DataFrame({"doc_id": part.doc_id.to_numpy(), "text": texts, "print_a": a, "print_b": b})
+            whole = batch.text.tolist()
+            for part in portions(whole, 256):
+                a, b = prints_of(shingles(whole[part], s.words), whole[part])
+                yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part].to_numpy(), "text": whole[part], "print_a": a, "print_b": b})
 
     if several is None:
-        return reps.select("rep", "doc_id"), None
+        return Texts(docs, repeats=repeats)
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(several), "doc_id", "left_semi")
     rows = rows.mapInPandas(printed, "doc_id long, text string, print_a long, print_b long")
-    odd = rows.join(reps, ["doc_id", "print_a", "print_b"]).groupBy("rep").agg(F.min("text").alias("text"))
-    return reps.join(small_side(several), "doc_id", "left_anti").select("rep", "doc_id"), stored(odd)
-
-
-def texts_of(docs: DataFrame, ids: DataFrame, places: tuple[DataFrame, DataFrame | None]) -> DataFrame:
-    """(rep, text) of each of ids (rep), by what texts_by_rep gave: of rows with equal prints the least text."""
-    by_id, odd = places
-    wanted = ids.select("rep", F.col("rep").alias("doc_id")) if odd is None else cut(by_id.join(small_side(ids), "rep", "left_semi"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(wanted), "doc_id").groupBy("rep").agg(F.min("text").alias("text"))
-    return texts if odd is None else texts.unionByName(odd.join(small_side(ids), "rep", "left_semi"))
-
+    odd = scratch.keep(rows.join(reps, ["doc_id", "print_a", "print_b"]).groupBy("rep").agg(F.min("text").alias("text")))
+    return Texts(docs, scratch.keep(reps.join(small_side(several), "doc_id", "left_anti").select("rep", "doc_id")), odd, repeats)
 
-def overlaps(pairs: DataFrame, docs: DataFrame, places: tuple[DataFrame, DataFrame | None], s: Settings) -> DataFrame:
-    """Those of pairs (a, b) whose texts reach the similarity, by their whole multisets."""
-    ids = cut(pairs.select(F.col("a").alias("rep")).distinct().union(pairs.select("b").distinct()).distinct())
-    texts = stored(texts_of(docs, ids, places))
-    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 128):
-                part = batch.iloc[k : k + 128]
-                sides = [shingles(part[c].tolist(), s.words) for c in ("text_a", "text_b")]
-                run, times, place, side = (np.concatenate(x) for x in zip(*((*v, np.full(len(v[0]), i)) for i, v in enumerate(sides))))
-                order = np.lexsort((side, run, place))
-                run, times, place = run[order], times[order], place[order]
-                twin = np.flatnonzero((run[1:] == run[:-1]) & (place[1:] == place[:-1]))
-                common = np.bincount(place[twin], np.minimum(times[twin], times[twin + 1]), len(part))
-                total = np.bincount(place, times, len(part)) - common
-                yield part.loc[common >= s.similarity * total - 1e-9, ["a", "b"]]
-
-    return both.mapInPandas(compare, "a long, b long")
+CELL = ["tag", "low", "high"]
 
 
-def bags(docs: DataFrame, ids: DataFrame, places: tuple[DataFrame, DataFrame | None], s: Settings) -> DataFrame:
-    """(rep, bag) of each of ids (rep): the multiset as a sorted array of hashes, one for each occurrence."""
+def by_cell(rows: DataFrame, then: list[str], work, out: str) -> DataFrame:
+    """work(cell, rows) for the rows of every cell, in order of `then`; a task holds one cell at a time."""
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @tidied
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.iloc[k : k + 256]
-                run, times, place = shingles(part.text.tolist(), s.words)
-                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                each, owner = mix(np.repeat(run, times) + nth.astype(np.uint64) * np.uint64(0x9E6C63D0876A9A47)), np.repeat(place, times)
-                order = np.lexsort((each, owner))
-                cuts = np.searchsorted(owner[order], np.arange(1, len(part)))
-                yield pd.DataFrame({"rep": part.rep.to_numpy(), "bag": [x.astype("<u8").tobytes() for x in np.split(each[order], cuts)]})
-
-    return texts_of(docs, ids, places).mapInPandas(expand, "rep long, bag binary")
-
-
-def resembling(banded: DataFrame, s: Settings) -> DataFrame:
-    """(a, b) of the near duplicates in different classes that share a band.
-
-    banded: (rep, n, class, bands, bag, band, key). A bucket is cut into blocks by the hash of its texts;
-    a task sees two blocks at a time, and a pair comes from the first band whose key it shares. Its
-    multisets are compared there and then, unless their counts in ranges of hashes show that they can't
-    have enough in common.
+            keys = batch[CELL].to_numpy()
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            if held and len(keys) and (keys[0] != held[0][CELL].iloc[0].to_numpy()).any():
+                yield from work(pd.concat(held, ignore_index=True))
+                held = []
+            begin = 0
+            for end in edges:
+                yield from work(pd.concat([*held, batch.iloc[begin:end]], ignore_index=True))
+                held, begin = [], end
+            if begin < len(batch):
+                held.append(batch.iloc[begin:])
+        if held:
+            yield from work(pd.concat(held, ignore_index=True))
+
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL, *then).mapInPandas(run, out)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The places of those links of (a, b) that join what no earlier one does."""
+    up: dict[int, int] = {}
+    out = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        while up.get(y, y) != y:
+            up[y] = y = up.get(up[y], up[y])
+        if x != y:
+            up[x] = y
+            out.append(k)
+    return np.array(out, np.int64)
+
+
+def overlaps(pairs: DataFrame, texts: Texts, s: Settings) -> DataFrame:
+    """(a, b): links with the same components as all those of pairs (a, b, tag, low, high) whose whole multisets reach the similarity.
+
+    A text goes once to each cell that has a pair of it.
     """
-    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("size"))
-    cells = banded.join(sizes, ["band", "key"]).withColumn("blocks", F.ceil(F.col("size") / s.block).cast("int"))
-    cells = cells.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("band", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "n", "class", "bands", "bag")
-    cell = ["band", "key", "low", "high"]
-
-    def pairs_of(g: pd.DataFrame) -> list[pd.DataFrame]:
-        bands = np.stack(g.bands.to_numpy())
-        rep, n, named, own = (g[c].to_numpy() for c in ("rep", "n", "class", "own"))
-        bag = [np.frombuffer(b, "<u8") for b in g.bag]
-        ranges = np.stack([np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256) for x in bag]).astype(np.int32)
-
-        def overlap(i: int, j: int) -> bool:
-            a, b = bag[i], bag[j]
-            at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-            common = int((a[at] == b).sum())
-            return common >= s.similarity * (len(a) + len(b) - common) - 1e-9
-
-        band, low, high = g.band.iloc[0], g.low.iloc[0], g.high.iloc[0]
+    members = pairs.select(*CELL, F.col("a").alias("rep")).unionByName(pairs.select(*CELL, F.col("b").alias("rep"))).distinct()
+    rows = texts.of(members).select(*CELL, F.lit(0).alias("kind"), F.col("rep").alias("a"), F.lit(0).cast("long").alias("b"), "text")
+    rows = rows.unionByName(pairs.select(*CELL, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
+
+    def compare(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        n_texts = int((g.kind == 0).sum())
+        whole, rep = g.text.iloc[:n_texts].tolist(), g.a.to_numpy(np.int64)[:n_texts]
+        parts = [(shingles(whole[p], s.words), p.start) for p in portions(whole, 256)]
+        run, times, place = (np.concatenate(x) for x in zip(*((r, t, at + first) for (r, t, at), first in parts)))
+        words, index = np.unique(run, return_inverse=True)
+        first, size = np.searchsorted(place, np.arange(n_texts + 1)), np.bincount(place, times, n_texts).astype(np.int64)
+        order = np.argsort(rep, kind="stable")
+        a, b = (order[np.searchsorted(rep[order], g[c].to_numpy(np.int64)[n_texts:])] for c in "ab")
+        by_a = np.argsort(a, kind="stable")
+        a, b = a[by_a], b[by_a]
+        dense, real = np.zeros(len(words), np.int64), []
+        cuts = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            own = slice(first[a[lo]], first[a[lo] + 1])
+            dense[index[own]] = times[own]
+            for k in range(lo, hi, 256):
+                other = b[k : min(hi, k + 256)]
+                length = first[other + 1] - first[other]
+                at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length - first[other], length)
+                common = np.bincount(np.repeat(np.arange(len(other)), length), np.minimum(dense[index[at]], times[at]), len(other))
+                real.append(k + np.flatnonzero(common >= s.similarity * (size[a[lo]] + size[other] - common) - 1e-9))
+            dense[index[own]] = 0
+        real = np.concatenate(real)
+        real = real[forest(a[real], b[real])]
+        yield pd.DataFrame({"a": rep[a[real]], "b": rep[b[real]]})
+
+    return by_cell(rows, ["kind"], compare, "a long, b long")
+
+
+def led(rows: DataFrame, was: DataFrame | None, s: Settings, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(pairs to check, leaders so far (key, a)) of one election in each bucket that holds several classes.
+
+    rows: (key, rep, n, class, weight). The leader is the text of most weight that hasn't led; it is paired with the
+    bucket's texts of other classes. A leader with many partners has its pairs in several cells.
+    """
+    free = rows if was is None else rows.join(was.withColumnRenamed("a", "rep"), ["key", "rep"], "left_anti")
+    several = rows.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
+    order = F.struct("weight", F.xxhash64("rep").alias("h"), F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("class").alias("class_a"))
+    leader = free.join(several, "key", "left_semi").groupBy("key").agg(F.max(order).alias("l")).select("key", "l.a", "l.n_a", "l.class_a")
+    leader = scratch.keep(leader)
+    near = (F.col("class") != F.col("class_a")) & (F.least("n", "n_a") >= s.similarity * F.greatest("n", "n_a") - 1e-9)
+    pairs = scratch.keep(rows.join(leader, "key").where(near).select("a", F.col("rep").alias("b"), "n").distinct())
+    runs = pairs.groupBy("a").agg(F.ceil(F.sum(F.greatest("n", F.lit(_LEAST_RUNS))) / s.block).cast("int").alias("cells"))
+    cell = pairs.join(runs, "a").select("a", "b", F.col("a").alias("tag"), F.lit(0).alias("low"), F.pmod(F.xxhash64("b"), F.col("cells")).cast("int").alias("high"))
+    leaders = leader.select("key", "a")
+    return scratch.keep(cell), leaders if was is None else was.unionByName(leaders)
+
+
+def resembling(rows: DataFrame, s: Settings) -> DataFrame:
+    """(a, b, tag, low, high): every pair of a bucket, in different classes, that size and signature let be near; each pair once.
+
+    rows: (key, rep, n, class, sketch). The texts of a bucket's largest class meet those of other classes only,
+    which also meet one another: both sides are dealt to blocks, and a cell holds two blocks.
+    """
+    weight = F.greatest("n", F.lit(_LEAST_RUNS))
+    by_class = rows.groupBy("key", "class").agg(F.sum(weight).alias("runs"))
+    most = by_class.groupBy("key").agg(F.max(F.struct("runs", "class")).alias("top"), F.sum("runs").alias("all"), F.count("*").alias("classes")).where("classes > 1")
+    blocks = most.select("key", F.col("top.class").alias("largest"), F.ceil((F.col("all") - F.col("top.runs")) / s.block).cast("int").alias("others"), F.ceil(F.col("top.runs") / s.block).cast("int").alias("own_blocks"))
+    cells = rows.join(blocks, "key").withColumn("in_largest", F.col("class") == F.col("largest"))
+    hashed = F.xxhash64("rep", F.lit(1))
+    cells = cells.withColumn("own", F.when(F.col("in_largest"), F.col("others") + F.pmod(hashed, F.col("own_blocks"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("in_largest"), F.col("others") - 1).otherwise(F.col("others") + F.col("own_blocks") - 1))))
+    cells = cells.select(F.col("key").alias("tag"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "n", "class", "sketch")
+
+    def candidates(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rep, n, named, own = (g[c].to_numpy(np.int64) for c in ("rep", "n", "class", "own"))
+        low, high = int(g.low.iloc[0]), int(g.high.iloc[0])
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        out = []
+        if not len(left) or not len(right):
+            return
+        sketch = np.frombuffer(b"".join(g.sketch), np.uint8).reshape(len(g), -1)
+        found = []
         for k in range(0, len(left), 32):
             part = left[k : k + 32]
             a, b = np.nonzero((named[part][:, None] != named[right]) & (np.minimum(n[part][:, None], n[right]) >= s.similarity * np.maximum(n[part][:, None], n[right]) - 1e-9))
@@ -261,81 +352,73 @@ def resembling(banded: DataFrame, s: Settings) -> DataFrame:
                 a, b = a[rep[a] < rep[b]], b[rep[a] < rep[b]]
             for i in range(0, len(a), 4096):
                 x, y = a[i : i + 4096], b[i : i + 4096]
-                first = (bands[x] == bands[y]).argmax(axis=1) == band
-                x, y = x[first], y[first]
-                most = np.minimum(ranges[x], ranges[y]).sum(axis=1)
-                can = most >= s.similarity * (n[x] + n[y] - most) - 1e-9
-                real = [(rep[i], rep[j]) for i, j in zip(x[can], y[can]) if overlap(i, j)]
-                if real:
-                    out.append(pd.DataFrame(real, columns=["a", "b"]))
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            keys = batch[cell].to_numpy()
-            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            begin = 0
-            for end in edges:
-                yield from pairs_of(batch.iloc[begin:end])
-                begin = end
-            held = batch.iloc[begin:]
-        if held is not None and len(held):
-            yield from pairs_of(held)
+                near = (sketch[x] == sketch[y]).sum(axis=1) >= s.agreeing
+                found.append((rep[x[near]], rep[y[near]]))
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found))
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "tag": g.tag.iloc[0], "low": low, "high": high})
 
-    found = cells.repartition(*cell).sortWithinPartitions(*cell).mapInPandas(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = by_cell(cells, [], candidates, "a long, b long, tag long, low int, high int")
+    return found.groupBy("a", "b").agg(F.min(F.struct(*CELL)).alias("cell")).select("a", "b", "cell.*")
 
 
 def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, class_id) of every row of docs (doc_id, text); class_id is the least doc_id of the class."""
-    rows = stored(signed(docs, s))
-    several = cut(rows.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("print_a", "print_b") for f in (F.min, F.max)]).where("min_print_a <> max_print_a OR min_print_b <> max_print_b").select("doc_id"))
+    scratch = Scratch(docs.sparkSession)
+    try:
+        return stored(_classes(docs, s, scratch))
+    finally:
+        scratch.close()
+
+
+def _classes(docs: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
+    rows = scratch.keep(signed(docs, s))
+    again = rows.groupBy("doc_id").agg(F.count("*").alias("times"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("print_a", "print_b") for f in (F.min, F.max)]).where("times > 1")
+    again = scratch.keep(again.select("doc_id", F.expr("min_print_a <> max_print_a OR min_print_b <> max_print_b").alias("differ")))
+    repeats, several = not again.isEmpty(), again.where("differ").select("doc_id")
     several = None if several.isEmpty() else several
     # A print goes by its least doc_id, unless a document can hold several prints: then by a number of its own.
-    reps = rows.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    reps = stored(reps.withColumn("rep", F.col("doc_id") if several is None else F.monotonically_increasing_id()))
-    places = texts_by_rep(docs, reps.select("rep", "doc_id", "print_a", "print_b"), several, s)
-    ids = cut(rows.select("doc_id", "print_a", "print_b").join(reps.select("print_a", "print_b", "rep", F.col("doc_id").alias("least")), ["print_a", "print_b"]).select("doc_id", "rep", "least"))
-    if several is None:
-        found, labels = ids.sparkSession.createDataFrame([], "a long, b long"), None
-    else:
+    reps = rows.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = scratch.keep(reps.withColumn("rep", F.col("doc_id") if several is None else F.monotonically_increasing_id()))
+    texts = texts_by_rep(docs, reps.select("rep", "doc_id", "print_a", "print_b"), several, repeats, s, scratch)
+    ids = scratch.keep(rows.select("doc_id", "print_a", "print_b").join(reps.select("print_a", "print_b", "rep", F.col("doc_id").alias("least")), ["print_a", "print_b"]).select("doc_id", "rep", "least"))
+    found, labels = None, None
+    if several is not None:
         # A document links all its prints.
         own = ids.join(small_side(several), "doc_id", "left_semi")
-        found = cut(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
-        labels = components(found)
-
-    def banded(begin: int, end: int, *more: str) -> DataFrame:
-        light = reps.where("n > 0").select("rep", "n", *more, F.slice("bands", begin + 1, end - begin).alias("keys"))
-        if labels is None:
-            light = light.withColumn("class", F.col("rep"))
-        else:
-            light = light.join(labels, F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("class", "rep")).drop("node")
-        return light.select("rep", "n", "class", *more, F.posexplode("keys").alias("band", "key")).withColumn("band", F.col("band") + begin)
+        found = scratch.keep(own.join(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
+        labels = components(found, scratch)
 
+    # A band's key holds its number, so the key alone names a bucket.
+    each = reps.where("n > 0").select("rep", "n", F.explode("bands").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = scratch.keep(each.join(shared, "key"))
     # Texts that share large buckets in many bands are close to many others: these lead their buckets.
-    few = banded(0, min(8, s.bands)).select("rep", "band", "key")
-    shared = few.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 2")
-    central = cut(few.join(shared, ["band", "key"]).groupBy("rep").agg(F.round(F.sum(F.log("size")), 6).alias("weight")))
-    for begin, end in ((0, s.early), (s.early, s.bands)):
-        rows = banded(begin, end).join(central, "rep", "left").withColumn("order", F.struct(-F.coalesce("weight", F.lit(0.0)), F.xxhash64("rep")))
-        leader = rows.groupBy("band", "key").agg(F.min(F.struct("order", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("class").alias("class_a"))).alias("leader"), F.count("*").alias("size"))
-        leader = leader.where("size > 1").select("band", "key", "leader.*")
-        pairs = rows.select("band", "key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("class").alias("class_b")).join(leader, ["band", "key"]).where("a <> b AND class_a <> class_b")
-        pairs = pairs.where(F.least("n_a", "n_b") >= s.similarity * F.greatest("n_a", "n_b") - 1e-9)
-        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if not pairs.isEmpty():
-            found = cut(found.unionByName(overlaps(pairs, docs, places, s)))
-            labels = components(found)
-    # What is left after the leaders: buckets that still hold several classes.
-    rows = banded(0, s.bands)
-    mixed = rows.groupBy("band", "key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "key")
-    rest = rows.join(mixed, ["band", "key"], "left_semi").join(reps.select("rep", "bands"), "rep")
-    rest = stored(rest)
-    more = cut(resembling(rest.join(bags(docs, cut(rest.select("rep").distinct()), places, s), "rep"), s))
-    if not more.isEmpty():
-        labels = components(found.unionByName(more))
+    central = members.groupBy("rep").agg(F.round(F.sum(F.log("size")), 6).alias("weight"))
+    members = scratch.keep(members.join(central, "rep").select("key", "rep", "n", "weight"))
+
+    def labelled() -> DataFrame:
+        if labels is None:
+            return members.withColumn("class", F.col("rep"))
+        return members.join(labels, F.col("rep") == F.col("node"), "left").withColumn("class", F.coalesce("class", "rep")).drop("node")
+
+    leaders, more = None, True
+    while more:
+        pairs, leaders = led(labelled(), leaders, s, scratch)
+        checked = pairs.count()
+        new = scratch.keep(overlaps(pairs, texts, s))
+        linked = new.count()
+        if linked:
+            found = new if found is None else found.unionByName(new)
+            labels = components(found, scratch)
+        more = linked > 0 and linked >= s.worth * checked
+    rest = labelled()
+    mixed = rest.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
+    rest = rest.join(mixed, "key", "left_semi").join(reps.select("rep", "sketch"), "rep")
+    pairs = scratch.keep(resembling(rest, s))
+    new = scratch.keep(overlaps(pairs, texts, s))
+    if not new.isEmpty():
+        labels = components(new if found is None else found.unionByName(new), scratch)
     everyone = ids.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("least").alias("least"))
     if labels is None:
         return everyone.select("doc_id", F.col("least").alias("class_id"))
@@ -348,10 +431,10 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of docs whose doc_id is the least of its class, one row for each; rows without doc_id stay."""
-    drop = cut(classes(docs.select("doc_id", "text"), s).where("doc_id <> class_id").select("doc_id"))
-    kept = docs.join(small_side(drop), docs.doc_id.cast("long") == drop.doc_id, "left_anti")
+    drop = classes(docs.select("doc_id", "text"), s).where("doc_id <> class_id").select(F.col("doc_id").alias("dropped"))
+    kept = docs.join(small_side(drop), docs.doc_id.cast("long") == F.col("dropped"), "left_anti")
     repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept
     once = kept.join(F.broadcast(repeated) if repeated.count() <= 100_000 else repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once.select(*docs.columns))

@@ -1,6 +1,7 @@
 """Every operator against a plain version of its definition, and on odd inputs."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sortarium.llm import bpe, licenses, mixing, neardup, quality, tiff, toolcalls, topk, toxicity, urlfilter
-from sortarium.llm.common import kth_largest, word_hashes
+from sortarium.llm.common import Scratch, kth_largest, portions, shared_dir, word_hashes
 from sortarium.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, key string"
@@ -50,8 +51,20 @@ def test_kth_largest(spark):
 
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (4, 4), *[(20 + k, 21 + k) for k in range(12)]]
-    got = {r.node: r["class"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    scratch = Scratch(spark)
+    odd = [*links, *links[:3], (None, 1), (4, None)]
+    got = {r.node: r["class"] for r in components(spark.createDataFrame(odd, "a long, b long").withColumn("class", F.lit(0)), scratch).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 4: 4} | {20 + k: 20 for k in range(13)}
+    assert components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
+    assert os.path.isdir(scratch.root)
+    scratch.close()
+    assert not os.path.exists(scratch.root) and os.path.isdir(shared_dir(spark).removeprefix("file:"))
+
+
+def test_portions():
+    texts = ["a" * n for n in (5, 5, 90, 1, 0, 1)] + [None, "b"]
+    got = [(p.start, p.stop) for p in portions(texts, 3, 20)]
+    assert got == [(0, 2), (2, 3), (3, 6), (6, 8)] and list(portions([], 3)) == []
 
 
 # --- 1 and 2: learnt scores
@@ -217,21 +230,51 @@ def test_blocks_find_what_leaders_miss(spark):
         texts.append(" ".join(words))
         at = rng.randrange(180)
         words[at : at + 3] = [f"n{k}a", f"n{k}b", f"n{k}c"]
-    got = {r.doc_id: r.class_id for r in neardup.classes(frame(spark, texts), neardup.Settings(block=3)).collect()}
-    assert got == plain_classes(texts)
+    for s in (neardup.Settings(block=300), neardup.Settings(worth=2.0)):
+        got = {r.doc_id: r.class_id for r in neardup.classes(frame(spark, texts), s).collect()}
+        assert got == plain_classes(texts)
 
 
 def test_every_pair_of_a_bucket_is_compared(spark):
-    """Near pairs are found in the first band that they share, however few places of their signatures agree."""
-    s, n = neardup.Settings(), 8
-    bag = lambda k: np.sort(neardup.mix(np.arange(k, k + 90, dtype=np.uint64))).astype("<u8").tobytes()
-    # Texts k and k + 1 overlap by 89 of 91 and those 10 apart by 80 of 100; 11 apart is too little. All share the keys of bands 3 and 5 only.
-    at = [0, 1, 11, 12, 30, 40, 51, 62]
-    rows = [(k, 90, k, [7 if b in (3, 5) else 100 * k + b for b in range(s.bands)], np.full(s.bands * s.rows, k, "<u2").tobytes(), bag(at[k]), b, 7) for k in range(n) for b in (3, 5)]
-    banded = spark.createDataFrame(rows, "rep long, n long, class long, bands array<long>, places binary, bag binary, band int, key long")
-    for block in (512, 3):
-        got = sorted(map(tuple, neardup.resembling(banded, neardup.Settings(block=block)).collect()))
-        assert got == [(a, b) for a in range(n) for b in range(a + 1, n) if 90 - (at[b] - at[a]) >= 0.8 * (90 + at[b] - at[a])]
+    """Cells hold every pair of different classes that sizes and signatures allow, once, however the blocks fall."""
+    rng = np.random.default_rng(4)
+    s, n = neardup.Settings(), 60
+    base = rng.integers(0, 256, 192).astype(np.uint8)
+    sketches, rows = [], []
+    for k in range(n):
+        x = base.copy()
+        x[rng.permutation(192)[: rng.integers(0, 60)]] = 0
+        sketches.append(x)
+    sizes, named = rng.integers(80, 120, n), np.where(rng.random(n) < 0.6, 0, np.arange(n))
+    for k in range(n):
+        rows += [(key, k, int(sizes[k]), int(named[k]), sketches[k].tobytes()) for key in (7, 9, 100 + k // 2)]
+    df = spark.createDataFrame(rows, "key long, rep long, n long, class long, sketch binary")
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if named[a] != named[b] and min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]) and (sketches[a] == sketches[b]).sum() >= s.agreeing}
+    for block in (10**6, 3000, 700):
+        got = [(r.a, r.b) for r in neardup.resembling(df, neardup.Settings(block=block)).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_recall_of_pairs_just_near_enough(spark):
+    """Thousands of texts, each with one variant at a similarity from 0.80 to 0.85, against brute force over the variants."""
+    from collections import Counter
+
+    rng, texts = random.Random(21), []
+    bag = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    while len(texts) < 4000:
+        words = [f"{rng.randrange(10**6):x}" for _ in range(rng.randint(60, 140))]
+        other = list(words)
+        while True:
+            other[rng.randrange(len(other))] = f"{rng.randrange(10**6):x}"
+            a, b = bag(words), bag(other)
+            like = sum((a & b).values()) / sum((a | b).values())
+            if like < 0.85:
+                break
+        if like >= 0.8:
+            texts += [" ".join(words), " ".join(other)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame(spark, texts)).collect()}
+    found = sum(got[k] == got[k + 1] == k for k in range(0, len(texts), 2))
+    assert found >= 0.999 * len(texts) / 2 and len(set(got.values())) >= len(texts) / 2
 
 
 # --- 4
