@@ -173,35 +173,15 @@ def prints_of(runs: tuple[np.ndarray, np.ndarray, np.ndarray], texts: list[str |
     return [x.view(np.int64) for x in prints]
 
 
-@dataclass
-class Texts:
-    """Where the text of a rep is: by_id has (rep, doc_id), or is None where a rep is its doc_id.
-
-    odd has the texts (rep, text) of ids that hold texts of different prints. repeats: whether rows repeat a doc_id.
-    """
-
-    docs: DataFrame
-    by_id: DataFrame | None = None
-    odd: DataFrame | None = None
-    repeats: bool = False
-
-    def of(self, wanted: DataFrame) -> DataFrame:
-        """wanted (rep, ...) and text; of rows with equal prints the least text."""
-        docs = self.docs.select(F.col("doc_id").cast("long"), "text")
-        if self.by_id is None:
-            ids = wanted.withColumn("doc_id", F.col("rep"))
-        else:
-            ids = wanted.join(self.by_id, "rep")
-        if self.repeats:
-            docs = docs.join(small_side(ids.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-        found = docs.join(ids, "doc_id").select(*wanted.columns, "text")
-        return found if self.odd is None else found.unionByName(wanted.join(self.odd, "rep").select(*wanted.columns, "text"))
+#: Rows up to which the (cell, rep) rows of a round are broadcast to the texts (about 16 MB).
+_BROADCAST_MEMBERS = 400_000
 
 
-def texts_by_rep(docs: DataFrame, reps: DataFrame, several: DataFrame | None, repeats: bool, s: Settings, scratch: Scratch) -> Texts:
-    """Where the text of each of reps (rep, doc_id, print_a, print_b) is.
+def texts_of(docs: DataFrame, reps: DataFrame, several: DataFrame | None, repeats: bool, s: Settings) -> DataFrame:
+    """(rep, text) of each of reps (rep, doc_id, print_a, print_b): of rows with equal prints the least text.
 
-    several: the doc_ids that hold texts of different prints, or None. Their rows are found by print, others by doc_id.
+    several: the doc_ids that hold texts of different prints, or None; their rows are found by print, others by
+    doc_id. repeats: whether rows repeat a doc_id.
     """
 
     @tidied
@@ -212,37 +192,49 @@ def texts_by_rep(docs: DataFrame, reps: DataFrame, several: DataFrame | None, re
                 a, b = prints_of(shingles(whole[part], s.words), whole[part])
                 yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part].to_numpy(), "text": whole[part], "print_a": a, "print_b": b})
 
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     if several is None:
-        return Texts(docs, repeats=repeats)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(small_side(several), "doc_id", "left_semi")
+        found = docs.join(small_side(reps.select("doc_id", "rep")), "doc_id").select("rep", "text")
+        return found.groupBy("rep").agg(F.min("text").alias("text")) if repeats else found
+    rows = docs.join(small_side(reps.select("doc_id").distinct()), "doc_id", "left_semi")
     rows = rows.mapInPandas(printed, "doc_id long, text string, print_a long, print_b long")
-    odd = scratch.keep(rows.join(reps, ["doc_id", "print_a", "print_b"]).groupBy("rep").agg(F.min("text").alias("text")))
-    return Texts(docs, scratch.keep(reps.join(small_side(several), "doc_id", "left_anti").select("rep", "doc_id")), odd, repeats)
+    return rows.join(reps, ["doc_id", "print_a", "print_b"]).groupBy("rep").agg(F.min("text").alias("text"))
 
 
 CELL = ["tag", "low", "high"]
 
 
 def by_cell(rows: DataFrame, then: list[str], work, out: str) -> DataFrame:
-    """work(cell, rows) for the rows of every cell, in order of `then`; a task holds one cell at a time."""
+    """work(rows) -> columns for the rows (arrays by name) of every cell, in order of `then`; a task holds a cell at a time."""
+    names = rows.columns
 
     @tidied
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = []
+        held: list[dict[str, np.ndarray]] = []
+
+        def done(part: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+            whole = [*held, part]
+            held.clear()
+            return work(part if len(whole) == 1 else {c: np.concatenate([w[c] for w in whole]) for c in names})
+
         for batch in batches:
-            keys = batch[CELL].to_numpy()
-            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            if held and len(keys) and (keys[0] != held[0][CELL].iloc[0].to_numpy()).any():
-                yield from work(pd.concat(held, ignore_index=True))
-                held = []
+            if not len(batch):
+                continue
+            cols = {c: batch[c].to_numpy() for c in names}
+            keys = np.stack([cols[c].astype(np.int64) for c in CELL], axis=1)
+            found = []
+            if held and any(held[0][c][0] != cols[c][0] for c in CELL):
+                found.append(done({c: v[:0] for c, v in cols.items()}))
             begin = 0
-            for end in edges:
-                yield from work(pd.concat([*held, batch.iloc[begin:end]], ignore_index=True))
-                held, begin = [], end
-            if begin < len(batch):
-                held.append(batch.iloc[begin:])
+            for end in (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist():
+                found.append(done({c: v[begin:end] for c, v in cols.items()}))
+                begin = end
+            held.append({c: v[begin:].copy() for c, v in cols.items()})
+            if found := [f for f in found if len(f["a"])]:
+                yield pd.DataFrame({c: np.concatenate([f[c] for f in found]) for c in found[0]})
         if held:
-            yield from work(pd.concat(held, ignore_index=True))
+            last = held.pop()
+            yield pd.DataFrame(done(last))
 
     return rows.repartition(*CELL).sortWithinPartitions(*CELL, *then).mapInPandas(run, out)
 
@@ -262,41 +254,49 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def overlaps(pairs: DataFrame, texts: Texts, s: Settings) -> DataFrame:
+def near(texts: list[str], a: np.ndarray, b: np.ndarray, s: Settings) -> np.ndarray:
+    """The places of those pairs (a, b), which are places in texts, whose whole multisets reach the similarity.
+
+    Of links that close a circle only some are given, so there are fewer than texts.
+    """
+    parts = [(shingles(texts[p], s.words), p.start) for p in portions(texts, 256)]
+    run, times, place = (np.concatenate(x) for x in zip(*((r, t, at + first) for (r, t, at), first in parts)))
+    words, index = np.unique(run, return_inverse=True)
+    first, size = np.searchsorted(place, np.arange(len(texts) + 1)), np.bincount(place, times, len(texts)).astype(np.int64)
+    by_a = np.argsort(a, kind="stable")
+    dense, real = np.zeros(len(words), np.int64), []
+    cuts = np.append(np.flatnonzero(np.append(True, a[by_a][1:] != a[by_a][:-1])), len(a))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        one = a[by_a[lo]]
+        own = slice(first[one], first[one + 1])
+        dense[index[own]] = times[own]
+        for k in range(lo, hi, 256):
+            other = b[by_a[k : min(hi, k + 256)]]
+            length = first[other + 1] - first[other]
+            at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length - first[other], length)
+            common = np.bincount(np.repeat(np.arange(len(other)), length), np.minimum(dense[index[at]], times[at]), len(other))
+            real.append(by_a[k + np.flatnonzero(common >= s.similarity * (size[one] + size[other] - common) - 1e-9)])
+        dense[index[own]] = 0
+    real = np.concatenate(real)
+    return real[forest(a[real], b[real])]
+
+
+def overlaps(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """(a, b): links with the same components as all those of pairs (a, b, tag, low, high) whose whole multisets reach the similarity.
 
-    A text goes once to each cell that has a pair of it.
+    A text of texts (rep, text) goes once to each cell that has a pair of it.
     """
     members = pairs.select(*CELL, F.col("a").alias("rep")).unionByName(pairs.select(*CELL, F.col("b").alias("rep"))).distinct()
-    rows = texts.of(members).select(*CELL, F.lit(0).alias("kind"), F.col("rep").alias("a"), F.lit(0).cast("long").alias("b"), "text")
+    rows = texts.join(small_side(members, _BROADCAST_MEMBERS), "rep").select(*CELL, F.lit(0).alias("kind"), F.col("rep").alias("a"), F.lit(0).cast("long").alias("b"), "text")
     rows = rows.unionByName(pairs.select(*CELL, F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
 
-    def compare(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        n_texts = int((g.kind == 0).sum())
-        whole, rep = g.text.iloc[:n_texts].tolist(), g.a.to_numpy(np.int64)[:n_texts]
-        parts = [(shingles(whole[p], s.words), p.start) for p in portions(whole, 256)]
-        run, times, place = (np.concatenate(x) for x in zip(*((r, t, at + first) for (r, t, at), first in parts)))
-        words, index = np.unique(run, return_inverse=True)
-        first, size = np.searchsorted(place, np.arange(n_texts + 1)), np.bincount(place, times, n_texts).astype(np.int64)
+    def compare(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        n = int((g["kind"] == 0).sum())
+        rep = g["a"][:n]
         order = np.argsort(rep, kind="stable")
-        a, b = (order[np.searchsorted(rep[order], g[c].to_numpy(np.int64)[n_texts:])] for c in "ab")
-        by_a = np.argsort(a, kind="stable")
-        a, b = a[by_a], b[by_a]
-        dense, real = np.zeros(len(words), np.int64), []
-        cuts = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a))
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            own = slice(first[a[lo]], first[a[lo] + 1])
-            dense[index[own]] = times[own]
-            for k in range(lo, hi, 256):
-                other = b[k : min(hi, k + 256)]
-                length = first[other + 1] - first[other]
-                at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length - first[other], length)
-                common = np.bincount(np.repeat(np.arange(len(other)), length), np.minimum(dense[index[at]], times[at]), len(other))
-                real.append(k + np.flatnonzero(common >= s.similarity * (size[a[lo]] + size[other] - common) - 1e-9))
-            dense[index[own]] = 0
-        real = np.concatenate(real)
-        real = real[forest(a[real], b[real])]
-        yield pd.DataFrame({"a": rep[a[real]], "b": rep[b[real]]})
+        a, b = (order[np.searchsorted(rep[order], g[c][n:])] for c in "ab")
+        real = near(g["text"][:n].tolist(), a, b, s)
+        return {"a": rep[a[real]], "b": rep[b[real]]}
 
     return by_cell(rows, ["kind"], compare, "a long, b long")
 
@@ -321,10 +321,11 @@ def led(rows: DataFrame, was: DataFrame | None, s: Settings, scratch: Scratch) -
 
 
 def resembling(rows: DataFrame, s: Settings) -> DataFrame:
-    """(a, b, tag, low, high): every pair of a bucket, in different classes, that size and signature let be near; each pair once.
+    """(a, b): links with the same components as all pairs of near duplicates of a bucket that are in different classes.
 
-    rows: (key, rep, n, class, sketch). The texts of a bucket's largest class meet those of other classes only,
-    which also meet one another: both sides are dealt to blocks, and a cell holds two blocks.
+    rows: (key, rep, n, class, bands, sketch, text). The texts of a bucket's largest class meet those of other classes
+    only, which also meet one another: both sides are dealt to blocks, and a cell holds two blocks. There a pair
+    that size and signature let be near, in the first band that it shares, is compared by its multisets.
     """
     weight = F.greatest("n", F.lit(_LEAST_RUNS))
     by_class = rows.groupBy("key", "class").agg(F.sum(weight).alias("runs"))
@@ -334,32 +335,37 @@ def resembling(rows: DataFrame, s: Settings) -> DataFrame:
     hashed = F.xxhash64("rep", F.lit(1))
     cells = cells.withColumn("own", F.when(F.col("in_largest"), F.col("others") + F.pmod(hashed, F.col("own_blocks"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("in_largest"), F.col("others") - 1).otherwise(F.col("others") + F.col("own_blocks") - 1))))
-    cells = cells.select(F.col("key").alias("tag"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "n", "class", "sketch")
+    cells = cells.select(F.col("key").alias("tag"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "n", "class", "bands", "sketch", "text")
 
-    def candidates(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        rep, n, named, own = (g[c].to_numpy(np.int64) for c in ("rep", "n", "class", "own"))
-        low, high = int(g.low.iloc[0]), int(g.high.iloc[0])
+    def compare(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        rep, n, named, own = (g[c] for c in ("rep", "n", "class", "own"))
+        low, high = g["low"][0], g["high"][0]
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        if not len(left) or not len(right):
-            return
-        sketch = np.frombuffer(b"".join(g.sketch), np.uint8).reshape(len(g), -1)
         found = []
-        for k in range(0, len(left), 32):
-            part = left[k : k + 32]
-            a, b = np.nonzero((named[part][:, None] != named[right]) & (np.minimum(n[part][:, None], n[right]) >= s.similarity * np.maximum(n[part][:, None], n[right]) - 1e-9))
-            a, b = part[a], right[b]
-            if low == high:
-                a, b = a[rep[a] < rep[b]], b[rep[a] < rep[b]]
-            for i in range(0, len(a), 4096):
-                x, y = a[i : i + 4096], b[i : i + 4096]
-                near = (sketch[x] == sketch[y]).sum(axis=1) >= s.agreeing
-                found.append((rep[x[near]], rep[y[near]]))
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found))
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "tag": g.tag.iloc[0], "low": low, "high": high})
-
-    found = by_cell(cells, [], candidates, "a long, b long, tag long, low int, high int")
-    return found.groupBy("a", "b").agg(F.min(F.struct(*CELL)).alias("cell")).select("a", "b", "cell.*")
+        if len(left) and len(right):
+            sketch, bands = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(n), -1), np.stack(g["bands"])
+            for k in range(0, len(left), 32):
+                part = left[k : k + 32]
+                a, b = np.nonzero((named[part][:, None] != named[right]) & (np.minimum(n[part][:, None], n[right]) >= s.similarity * np.maximum(n[part][:, None], n[right]) - 1e-9))
+                a, b = part[a], right[b]
+                if low == high:
+                    a, b = a[rep[a] < rep[b]], b[rep[a] < rep[b]]
+                for i in range(0, len(a), 4096):
+                    x, y = a[i : i + 4096], b[i : i + 4096]
+                    can = (sketch[x] == sketch[y]).sum(axis=1) >= s.agreeing
+                    x, y = x[can], y[can]
+                    same = bands[x] == bands[y]
+                    first = bands[x, same.argmax(axis=1)] == g["tag"][0]
+                    found.append((x[first], y[first]))
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        if not len(a):
+            return {"a": rep[:0], "b": rep[:0]}
+        used, at = np.unique(np.append(a, b), return_inverse=True)
+        a, b = at[: len(a)], at[len(a) :]
+        real = near([g["text"][k] for k in used], a, b, s)
+        return {"a": rep[used[a[real]]], "b": rep[used[b[real]]]}
+
+    return by_cell(cells, [], compare, "a long, b long")
 
 
 def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -380,7 +386,6 @@ def _classes(docs: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
     # A print goes by its least doc_id, unless a document can hold several prints: then by a number of its own.
     reps = rows.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps = scratch.keep(reps.withColumn("rep", F.col("doc_id") if several is None else F.monotonically_increasing_id()))
-    texts = texts_by_rep(docs, reps.select("rep", "doc_id", "print_a", "print_b"), several, repeats, s, scratch)
     ids = scratch.keep(rows.select("doc_id", "print_a", "print_b").join(reps.select("print_a", "print_b", "rep", F.col("doc_id").alias("least")), ["print_a", "print_b"]).select("doc_id", "rep", "least"))
     found, labels = None, None
     if several is not None:
@@ -396,6 +401,8 @@ def _classes(docs: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
     # Texts that share large buckets in many bands are close to many others: these lead their buckets.
     central = members.groupBy("rep").agg(F.round(F.sum(F.log("size")), 6).alias("weight"))
     members = scratch.keep(members.join(central, "rep").select("key", "rep", "n", "weight"))
+    wanted = scratch.keep(members.select("rep").distinct().join(reps.select("rep", "doc_id", "print_a", "print_b"), "rep"))
+    texts = scratch.keep(texts_of(docs, wanted, several, repeats, s))
 
     def labelled() -> DataFrame:
         if labels is None:
@@ -414,9 +421,9 @@ def _classes(docs: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
         more = linked > 0 and linked >= s.worth * checked
     rest = labelled()
     mixed = rest.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-    rest = rest.join(mixed, "key", "left_semi").join(reps.select("rep", "sketch"), "rep")
-    pairs = scratch.keep(resembling(rest, s))
-    new = scratch.keep(overlaps(pairs, texts, s))
+    rest = scratch.keep(rest.join(mixed, "key", "left_semi").select("key", "rep", "n", "class"))
+    whole = texts.join(small_side(rest.select("rep").distinct()), "rep", "left_semi").join(reps.select("rep", "bands", "sketch"), "rep")
+    new = scratch.keep(resembling(rest.join(whole, "rep"), s))
     if not new.isEmpty():
         labels = components(new if found is None else found.unionByName(new), scratch)
     everyone = ids.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("least").alias("least"))

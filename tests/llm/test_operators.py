@@ -236,23 +236,36 @@ def test_blocks_find_what_leaders_miss(spark):
 
 
 def test_every_pair_of_a_bucket_is_compared(spark):
-    """Cells hold every pair of different classes that sizes and signatures allow, once, however the blocks fall."""
-    rng = np.random.default_rng(4)
-    s, n = neardup.Settings(), 60
-    base = rng.integers(0, 256, 192).astype(np.uint8)
-    sketches, rows = [], []
-    for k in range(n):
-        x = base.copy()
-        x[rng.permutation(192)[: rng.integers(0, 60)]] = 0
-        sketches.append(x)
-    sizes, named = rng.integers(80, 120, n), np.where(rng.random(n) < 0.6, 0, np.arange(n))
-    for k in range(n):
-        rows += [(key, k, int(sizes[k]), int(named[k]), sketches[k].tobytes()) for key in (7, 9, 100 + k // 2)]
-    df = spark.createDataFrame(rows, "key long, rep long, n long, class long, sketch binary")
-    want = {(a, b) for a in range(n) for b in range(a + 1, n) if named[a] != named[b] and min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]) and (sketches[a] == sketches[b]).sum() >= s.agreeing}
+    """Cells link all near duplicates of different classes that share a bucket, however the blocks fall."""
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 4, 9])):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    s = neardup.Settings()
+    run, times, place = neardup.shingles(texts, 5)
+    signature = neardup.bag_minhash(run, times, place, 60, 192, s.seed)
+    sketch = (neardup.mix(signature.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+    named = [0 if rng.random() < 0.5 else k for k in range(60)]
+    # All share the keys 7 and 9; the second band has buckets of its own.
+    rows = [(key, k, 116, named[k], [100 + k, 7, 200 + k, 9], sketch[k].tobytes(), texts[k]) for k in range(60) for key in (7, 9)]
+    df = spark.createDataFrame(rows, "key long, rep long, n long, class long, bands array<long>, sketch binary, text string")
+    bags = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in texts]
+
+    def joined(links):
+        up = {k: k for k in range(60)}
+        for _ in range(60):
+            for a, b in links:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    want = joined([(a, b) for a in range(60) for b in range(a) if named[a] != named[b] and len(bags[a] & bags[b]) >= 0.8 * len(bags[a] | bags[b])])
     for block in (10**6, 3000, 700):
         got = [(r.a, r.b) for r in neardup.resembling(df, neardup.Settings(block=block)).collect()]
-        assert len(got) == len(set(got)) and set(got) == want and want
+        assert joined(got) == want and len(set(want.values())) < 60 and all(named[a] != named[b] for a, b in got)
 
 
 def test_recall_of_pairs_just_near_enough(spark):
