@@ -462,20 +462,93 @@ def test_bpe_equals_the_library(spark, word_bpe):
     assert len(rows) == len(ODD) and rows[3].decoded == "same words in every one of these "
 
 
+def test_bpe_equals_the_library_on_every_character(word_bpe):
+    _, codec, library = word_bpe
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(every), 2048):
+        text = " ".join(f"a{c}b!{c}! {c}" for c in every[k : k + 2048])
+        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(k)
+    rng = random.Random(16)
+    kinds = [(0x300, 0x36F), (0x898, 0x8E2), (0x1AB0, 0x1ACE), (0xAC00, 0xD7A3), (0x1100, 0x11FF), (0x10F46, 0x10F50), (0x11930, 0x11943), (0x1E00, 0x1FFF), (97, 122)]
+    for _ in range(1500):
+        text = "".join(chr(rng.randint(*rng.choice(kinds))) for _ in range(rng.randint(1, 20)))
+        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids, text.encode("unicode_escape")
+
+
+def plain_merge(word, merges, end):
+    """The definition: the first merge of the list that applies anywhere, at all its places from the left, again and again."""
+    parts = [*word[:-1], word[-1] + end]
+    while True:
+        ranks = [merges.index(p) if p in merges else len(merges) for p in zip(parts, parts[1:])]
+        if not ranks or min(ranks) == len(merges):
+            return parts
+        pair, out, k = merges[min(ranks)], [], 0
+        while k < len(parts):
+            joined = tuple(parts[k : k + 2]) == pair
+            out.append("".join(pair) if joined else parts[k])
+            k += 1 + joined
+        parts = out
+
+
+@pytest.mark.parametrize("end", ["", "$"])
+def test_lookahead_is_sufficient_for_any_merge_list(end):
+    """Random merge lists over few letters: equal to the definition, and tokens `lookahead` before a prefix's end stay."""
+    rng = random.Random(17)
+    for _ in range(60):
+        letters = ["a", "b", "c"][: rng.choice([2, 3])]
+        tokens, merges = [*letters, *([c + end for c in letters] if end else [])], []
+        for _ in range(rng.randint(1, 14)):
+            a, b = rng.choice([t for t in tokens if not end or not t.endswith(end)]), rng.choice(tokens)
+            if (a, b) not in merges and a + b not in tokens:
+                merges.append((a, b))
+                tokens.append(a + b)
+        m = bpe.Merges({t: k for k, t in enumerate(tokens)}, merges, end)
+        t = bpe.Transducer(m)
+        for _ in range(60):
+            word = "".join(rng.choice(letters) for _ in range(rng.randint(1, 24)))
+            whole = plain_merge(word, merges, end)
+            assert [tokens[i] for i in t.whole(word)] == whole
+            t.EVERY, out = 0, []
+            for c in word:
+                out += t.feed(c)
+                assert len(t.last) <= m.lookahead + max(map(len, tokens)) + 3
+            assert [tokens[i] for i in out + t.close()] == whole
+            t.EVERY = 256
+            # By the definition alone: what a prefix gives, up to the lookahead before its end, is in the whole.
+            for n in range(1, len(word)):
+                at = stable = 0
+                for x in plain_merge(word[:n], merges, ""):
+                    at += len(x)
+                    stable += at <= n - m.lookahead
+                assert plain_merge(word[:n], merges, "")[:stable] == whole[:stable]
+
+
 def test_transducer_emits_early_and_forgets(word_bpe):
     _, codec, library = word_bpe
     rng = random.Random(7)
-    word = "".join(rng.choice("aeinrst") for _ in range(6000))
-    t, out, most = bpe.Transducer(codec.words.transducer.m), [], 0
-    for k in range(0, len(word), 50):
-        out += t.feed(word[k : k + 50])
-        most = max(most, len(t.text))
-    early = len(out)
-    out += t.close()
-    assert out == library.encode(word, add_special_tokens=False).ids and early > 0.8 * len(out) and most < 1500 < t.m.lookahead
+    t = bpe.Transducer(codec.words.transducer.m)
+    for letters in ("aeinrst", "ea", "l"):
+        word, out, most = "".join(rng.choice(letters) for _ in range(6000)), [], 0
+        for k in range(0, len(word), 50):
+            out += t.feed(word[k : k + 50])
+            most = max(most, len(t.last))
+        early = len(out)
+        out += t.close()
+        assert out == library.encode(word, add_special_tokens=False).ids and early > 0.8 * len(out) and most < t.m.lookahead + t.EVERY + 100 < 600
     assert list(codec.pieces(iter(["ab c", "d  ", "", "ef"]), size=4)) and [i for p in codec.pieces(iter(["ab c", "d  ", "", "ef"]), size=4) for i in p] == codec.encode("ab cd  ef")
 
 
+def test_bpe_on_empty_tables_and_clashing_names(spark, word_bpe):
+    path, codec, _ = word_bpe
+    docs = frame(spark, ODD).withColumn("ids", F.lit("theirs")).withColumn("decoded", F.lit(1))
+    out = bpe.encoded(docs, path)
+    assert out.columns.count("ids") == 1 and [list(r.ids) for r in out.orderBy("doc_id").collect()] == [codec.encode(t) for t in ODD]
+    assert {type(r.decoded) for r in bpe.decoded(out, path).collect()} == {str}
+    assert bpe.encoded(docs.limit(0), path).count() == 0 and bpe.digests(docs.limit(0), path).count() == 0
+    twice = bpe.digests(docs.unionByName(docs), path).groupBy("doc_id").agg(F.count_distinct("ids_sha256").alias("n"), F.count("*").alias("m")).collect()
+    assert all((r.n, r.m) == (1, 2) for r in twice)
+
+
 def test_bytes_decode_across_tokens(word_bpe):
     _, codec, _ = word_bpe
     ids, d = codec.encode("漢字 é"), bpe.Decoder(codec)
