@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,6 +106,15 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def series_udf(run, kind: str):
+    """The pandas UDF of run, a function from series of one column to series; memory is given back at the end."""
+
+    def column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidied(run)(batches)
+
+    return F.pandas_udf(column, kind)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: uint64 to uint64, every input bit reaching every output bit."""
     x = x + np.uint64(0x9E3779B97F4A7C15)

@@ -5,9 +5,15 @@ A bag-of-hashed-n-grams model is fitted to texts labelled good (the target) and
 the two; the k documents with the largest weight plus Gumbel noise are a sample without replacement
 in proportion to the weights.
 
-Null and empty texts have no n-grams and a log weight of 0. A repeated row has the same key as its
-twin, so both are kept or both go; k is exceeded only where rows agree in key and doc_id. A null
-doc_id draws its noise like any other value. Extra columns pass through.
+A log weight is a sum, so its scale grows with the length of the text, as the method has it: the noise,
+whose deviation is 1.28, decides among texts of a few n-grams and among those near the k-th key, and
+hardly ever about a long text that the models clearly tell apart.
+
+Null and empty texts have no n-grams and a log weight of 0; long texts count whole. A repeated row has
+the same key as its twin, so both are kept or both go; k is exceeded only where rows agree in key and
+doc_id. A null doc_id draws its noise like any other value. Rows of labels that repeat count once, those
+with null ids or marks not at all. Empty tables give no rows. Extra columns pass through; log_weight,
+gumbel_key and selected replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortarium.llm.common import cut, kth_largest, mix, word_hashes
+from sortarium.llm.common import cut, kth_largest, mix, portions, series_udf, tidied, word_hashes
 
 #: What a token that repeats its predecessor is counted as, whatever the token is.
 _AGAIN = np.uint64(0xA6A1)
@@ -33,11 +39,11 @@ class Settings:
 
     smoothing pulls the target model towards the raw one, by so many counts for each count of the target, so that
     weights and odds mean the same however many texts are labelled.
-    keep is the share of rows to sample. None samples as many rows as the models can't rule out: those
-    that the raw model doesn't hold to be over `odds` times likelier than the target model does.
+    The budget is keep, a share of the rows. Where none is given it is the number of rows that the models can't rule out: those that the raw model doesn't hold to be
+    over `odds` times likelier than the target model does.
     """
 
-    bits: int = 12
+    bits: int = 14
     smoothing: float = 0.15
     target_rows: int = 12_000
     keep: float | None = None
@@ -61,11 +67,13 @@ def ngrams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
 def counts(docs: DataFrame, bits: int) -> np.ndarray:
     """How often each bucket occurs in all texts: an array for each task, summed by bucket."""
 
+    @tidied
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            for k in range(0, len(batch), 128):
-                total += np.bincount(ngrams(batch.text.iloc[k : k + 128].tolist(), bits)[1], minlength=1 << bits)
+            whole = batch.text.tolist()
+            for part in portions(whole, 128):
+                total += np.bincount(ngrams(whole[part], bits)[1], minlength=1 << bits)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at, "n": total[at]})
 
@@ -85,26 +93,27 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndar
     raw = counts(docs, s.bits)
     if not target.any():
         return np.zeros(len(raw))
-    base = (raw + 1) / (raw.sum() + len(raw))
+    seen = np.maximum(raw, target)
+    base = seen / seen.sum()
     mass = s.smoothing * target.sum()
-    return np.log((target + mass * base) / ((target.sum() + mass) * base))
+    # A bucket that no text has tells nothing.
+    return np.where(seen > 0, np.log((target + mass * base) / ((target.sum() + mass) * np.where(seen > 0, base, 1.0)), where=seen > 0, out=np.zeros(len(raw))), 0.0)
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, s: Settings = Settings(), text: str = "text") -> DataFrame:
     """docs and a column log_weight, the log importance weight of each row."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)
 
-    @F.pandas_udf("double")
-    def log_weight(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def log_weight(batches):
         for batch in batches:
-            out = []
-            for k in range(0, len(batch), 128):
-                texts = batch.iloc[k : k + 128].tolist()
+            out, whole = [], batch.tolist()
+            for part in portions(whole, 128):
+                texts = whole[part]
                 doc, b = ngrams(texts, s.bits)
                 out.append(np.bincount(doc, held.value[b], len(texts)))
             yield pd.Series(np.concatenate(out) if out else [], dtype=float)
 
-    return docs.withColumn("log_weight", log_weight(F.col(text)))
+    return docs.withColumn("log_weight", series_udf(log_weight, "double")(F.col(text)))
 
 
 def gumbel_keys(weighed: DataFrame, seed: int) -> DataFrame:

@@ -3,10 +3,11 @@
 Every coordinate has its own learning rate, and an L1 term keeps most weights at exactly zero, so a
 fitted model is a short list of (bucket, weight) pairs that every executor can hold.
 
-Null and empty texts have no features and score the model's prior. Rows of `labels` that repeat a
-document count once, toxic if any of them says so; rows with a null label don't count. Repeated
-documents are scored row by row. Extra columns pass through; the added columns replace any of the
-same name.
+Null and empty texts have no features and score the model's prior; long texts count whole. Rows of
+`labels` that repeat a document count once, toxic if any of them says so; rows with a null label or id
+don't count. Repeated documents are scored row by row, and each of their rows teaches; rows with a
+null doc_id are scored and never teach. Empty tables give empty results or a model without weights.
+Extra columns pass through; the added column replaces any of the same name.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortarium.llm.common import mix, word_hashes
+from sortarium.llm.common import mix, portions, series_udf, tidied, word_hashes
 
 
 @dataclass(frozen=True)
 class Settings:
-    """max_rows bounds the labelled rows that the fit reads, taken by the hash of their ids; the scores cover all rows."""
+    """max_rows and max_features bound the labelled rows that the fit learns from, taken in the order of the hash of
+    their ids; a feature is 4 bytes. The scores cover all rows.
+    """
 
     bits: int = 20
     max_skip: int = 1
@@ -34,6 +37,7 @@ class Settings:
     l2: float = 1.0
     epochs: int = 3
     max_rows: int = 12_000
+    max_features: int = 40_000_000
     seed: int = 17
 
 
@@ -95,9 +99,9 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, s: Settings) -> tuple[np.nd
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, np.ndarray, float]:
     """(buckets, weights, bias) from at most s.max_rows labelled documents (doc_id, text) and (doc_id, toxic).
 
-    FTRL is sequential, so one task learns from the bounded sample; only weights other than zero,
-    2 ** s.bits at most, come to the driver. No labelled rows give a model without weights and a
-    bias of zero.
+    Texts become features where they are read. FTRL is sequential, so one task learns, from as many of the
+    sample's rows as have s.max_features features at most; only weights other than zero, 2 ** s.bits at most,
+    come to the driver. No labelled rows give a model without weights and a bias of zero.
     """
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -106,21 +110,31 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
         .orderBy(F.xxhash64("doc_id", F.lit(s.seed)), "doc_id")
         .limit(s.max_rows)
     )
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "toxic", "text")
+
+    @tidied
+    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            whole = batch.text.tolist()
+            for part in portions(whole, 64):
+                found = [x.astype("<i4").tobytes() for x in features(whole[part], s)]
+                yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part].to_numpy(), "toxic": batch.toxic.iloc[part].to_numpy(), "features": found})
 
+    @tidied
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, ids, marks = [], [], []
+        rows, marks, free = [], [], s.max_features
         for batch in batches:
-            for k in range(0, len(batch), 64):
-                rows += [x.astype(np.int32) for x in features(batch.text.iloc[k : k + 64].tolist(), s)]
-            ids += batch.doc_id.tolist()
-            marks += batch.toxic.tolist()
-        order = sorted(range(len(rows)), key=lambda i: (ids[i], len(rows[i])))
-        w, bias = ftrl([rows[i] for i in order], np.array(marks, dtype=float)[order], s)
+            for x, y in zip(batch.features, batch.toxic):
+                free -= len(x) // 4
+                if free >= 0:
+                    rows.append(np.frombuffer(x, "<i4").copy())
+                    marks.append(float(y))
+        w, bias = ftrl(rows, np.array(marks), s)
         kept = np.flatnonzero(w)
         yield pd.DataFrame({"bucket": np.append(kept, -1), "weight": np.append(w[kept], bias)})
 
-    model = sample.repartition(1).mapInPandas(learn, "bucket long, weight double").toPandas()
+    rows = sample.mapInPandas(featured, "doc_id long, toxic int, features binary").repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(s.seed)), "doc_id", "features")
+    model = rows.mapInPandas(learn, "bucket long, weight double").toPandas()
     inner = model[model.bucket >= 0]
     return inner.bucket.to_numpy(np.int64), inner.weight.to_numpy(float), float(model[model.bucket < 0].weight.sum())
 
@@ -129,24 +143,23 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], s: Setti
     """docs and a column score, the probability that a text is toxic."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def toxic(batches):
         at, weight, bias = held.value
         dense = np.zeros(1 << s.bits, np.float32)
         dense[at] = weight
         for batch in batches:
-            out = []
-            for k in range(0, len(batch), 128):
-                texts = batch.iloc[k : k + 128].tolist()
+            out, whole = [], batch.tolist()
+            for part in portions(whole, 128):
+                texts = whole[part]
                 doc, b = buckets(texts, s)
                 hit = dense[b] != 0
                 keys = np.unique((doc[hit] << s.bits) | b[hit])
                 out.append(np.bincount(keys >> s.bits, dense[keys & ((1 << s.bits) - 1)], len(texts)))
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate(out) + bias, -35, 35))) if out else [], dtype=float)
 
-    return docs.withColumn("score", toxic(F.col(text)))
+    return docs.withColumn("score", series_udf(toxic, "double")(F.col(text)))
 
 
 def held_out(doc_id: str = "doc_id"):
-    """True for the rows that never teach: crc32 of the id as text leaves no remainder by 5."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """True for the rows that never teach: crc32 of the id as text leaves no remainder by 5. False for a null id, which no label has."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
