@@ -609,19 +609,32 @@ def test_budgets_go_to_siblings_first(spark):
     assert got == {"x": 10, "y": 200, "z": 90}
 
 
+def test_budgets_pass_by_what_has_no_weight(spark):
+    s = mixing.Settings((("d", lambda: F.col("lang")), ("s", lambda: F.col("source"))), {("a", "y"): 0, ("c",): 0}, 1, budget_share=0.5, max_epochs=1)
+    leaves = spark.createDataFrame([("a", "x", 10), ("a", "y", 500), ("b", "z", 490), ("c", "w", 100)], "d string, s string, tokens long")
+    got = {r.s: r.grant for r in mixing.budgets(leaves, s).collect()}
+    # 550 tokens: of a only x can give, so z takes the rest as far as it has any.
+    assert got == {"x": 10, "y": 0, "z": 490, "w": 0}
+
+
 def test_mixing_equals_its_sql(spark):
     import duckdb
 
     rng = random.Random(9)
     rows = [(k, "t" * rng.randint(0, 400), rng.choice(["en", "de", None]), rng.choice(["src0", "src1", "src6", "odd", None]), 0, "x", "y") for k in range(400)] + [(401, None, "en", "src0", 0, "x", "y")]
     docs = spark.createDataFrame(rows, DOCS)
-    for s in (mixing.MIX, mixing.Settings(mixing.LEVELS, mixing.WEIGHTS, 10, 1.7, 3)):
+    odd = {("books",): 0, ("web", "en"): 0, ("other",): -3, ("forums", "de", "src6"): 0}
+    narrow = mixing.Settings(mixing.LEVELS, mixing.WEIGHTS, 10, 0.4, 2, bucket_digits=1, ordered_places=3)
+    for s in (mixing.MIX, mixing.Settings(mixing.LEVELS, mixing.WEIGHTS, 10, 1.7, 3), mixing.Settings(mixing.LEVELS, mixing.WEIGHTS | odd, 1, 0.6, 2), narrow):
         got = sorted((r.doc_id, r.mix_epoch, r.mix_tokens) for r in mixing.mixed(docs, s).collect())
         c = duckdb.connect()
         documents = docs.toPandas()  # noqa: F841
         want = sorted((int(a), int(b), int(d)) for a, b, d in c.sql(f"SELECT doc_id, mix_epoch, mix_tokens FROM ({mixing.oracle_sql(s)})").fetchall())
         assert got == want and got
     assert mixing.mixed(docs.limit(0), mixing.MIX).count() == 0
+    clash = docs.withColumns({c: F.lit(c) for c in ("mix__id", "mix__lang", "mix__:rest", "mix_epoch", "prefix", "tokens", "place", "before")})
+    out = mixing.mixed(clash.unionByName(clash.limit(5)), mixing.MIX)
+    assert out.columns.count("mix_epoch") == 1 and {(r["mix__id"], r["mix__:rest"], r["place"]) for r in out.collect()} == {("mix__id", "mix__:rest", "place")}
 
 
 # --- the pipeline
