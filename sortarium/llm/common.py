@@ -43,10 +43,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark has it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+#: Folders of stored() that nobody has deleted, for a caller that knows when their readers are done.
+STORED: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder, for wide tables that are read again."""
+    """The same rows from a Parquet table in the shared folder, for tables that a result still reads."""
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -65,8 +76,7 @@ class Scratch:
 
     def close(self) -> None:
         """Deletes the tables; nothing that reads them may run afterwards."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed(self.spark, self.root)
 
 
 def portions(texts: list[str | None], rows: int, chars: int = 400_000) -> Iterator[slice]:

@@ -439,7 +439,8 @@ def _classes(docs: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
 def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of docs whose doc_id is the least of its class, one row for each; rows without doc_id stay."""
     drop = classes(docs.select("doc_id", "text"), s).where("doc_id <> class_id").select(F.col("doc_id").alias("dropped"))
-    kept = docs.join(small_side(drop), docs.doc_id.cast("long") == F.col("dropped"), "left_anti")
+    drop = small_side(drop)
+    kept = docs.join(drop, docs["doc_id"].cast("long") == drop["dropped"], "left_anti")
     repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept
