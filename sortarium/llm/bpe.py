@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sortarium.llm.common import portions, tidied
+from sortarium.llm.common import slices, tidied
 
 #: White space as the tokenizer's file means it.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -397,10 +397,9 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            whole = batch.column(text).to_pylist()
-            for rows in portions(whole, 256):
-                part = batch.slice(rows.start, rows.stop - rows.start)
-                found = [np.array(c.encode(t), np.int32) for t in whole[rows]]
+            for rows, texts in slices(batch.column(text), 256):
+                part = batch.slice(rows.start, len(texts))
+                found = [np.array(c.encode(t), np.int32) for t in texts]
                 ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in found])), pa.int32()), pa.array(np.concatenate(found), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
 
@@ -427,20 +426,20 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, text by text through encoder and decoder."""
 
     @tidied
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
             rows = []
-            for text in batch.text:
-                d, n, ids_hash, text_hash = Decoder(c, joined=True), 0, hashlib.sha256(), hashlib.sha256()
-                for ids in c.pieces(iter([text or ""])):
-                    ids_hash.update(((" " if n and ids else "") + " ".join(map(str, ids))).encode())
-                    text_hash.update(d.feed(ids).encode("utf-8", "surrogatepass"))
-                    n += len(ids)
-                text_hash.update(d.close().encode())
-                rows.append((n, ids_hash.hexdigest(), text_hash.hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch.doc_id.to_numpy())
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for _, texts in slices(batch.column("text"), 256):
+                for text in texts:
+                    d, n, ids_hash, text_hash = Decoder(c, joined=True), 0, hashlib.sha256(), hashlib.sha256()
+                    for ids in c.pieces(iter([text or ""])):
+                        ids_hash.update(((" " if n and ids else "") + " ".join(map(str, ids))).encode())
+                        text_hash.update(d.feed(ids).encode("utf-8", "surrogatepass"))
+                        n += len(ids)
+                    text_hash.update(d.close().encode())
+                    rows.append((n, ids_hash.hexdigest(), text_hash.hexdigest()))
+            n, ids, texts = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,8 +8,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,17 +79,26 @@ class Scratch:
         removed(self.spark, self.root)
 
 
-def portions(texts: list[str | None], rows: int, chars: int = 400_000) -> Iterator[slice]:
-    """Slices of at most `rows` texts and about `chars` characters, a longer text having one of its own."""
+def _cuts(sizes: list[int], rows: int, chars: int) -> Iterator[slice]:
     begin = size = 0
-    for k, t in enumerate(texts):
-        n = len(t) if t else 0
+    for k, n in enumerate(sizes):
         if k > begin and (k - begin >= rows or size + n > chars):
             yield slice(begin, k)
             begin, size = k, 0
         size += n
-    if begin < len(texts):
-        yield slice(begin, len(texts))
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
+def portions(texts: list[str | None], rows: int, chars: int = 400_000) -> Iterator[slice]:
+    """Slices of at most `rows` texts and about `chars` characters, a longer text having one of its own."""
+    return _cuts([len(t) if t else 0 for t in texts], rows, chars)
+
+
+def slices(texts: pa.Array, rows: int, chars: int = 400_000) -> Iterator[tuple[slice, list[str | None]]]:
+    """The same of an Arrow column, by bytes; only one slice at a time is turned into Python's strings."""
+    for part in _cuts(pc.binary_length(texts).fill_null(0).to_pylist(), rows, chars):
+        yield part, texts.slice(part.start, part.stop - part.start).to_pylist()
 
 
 def tidied(run):
@@ -116,13 +125,19 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def series_udf(run, kind: str):
-    """The pandas UDF of run, a function from series of one column to series; memory is given back at the end."""
+def text_udf(run, kind: str, rows: int = 128):
+    """The Arrow UDF of run, a function from a list of texts to an array of as many values; a slice of texts is in hand at a time."""
+
+    @tidied
+    def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = [run(texts) for _, texts in slices(batch, rows)]
+            yield pa.array(np.concatenate(out) if out else [], kind)
 
-    def column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from tidied(run)(batches)
+    def arrays(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from column(batches)
 
-    return F.pandas_udf(column, kind)
+    return F.arrow_udf(arrays, {"float64": "double"}[kind])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

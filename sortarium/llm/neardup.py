@@ -24,11 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortarium.llm.common import Scratch, cut, mix, portions, small_side, stored, tidied, word_hashes
+from sortarium.llm.common import Scratch, cut, mix, portions, slices, small_side, stored, tidied, word_hashes
 from sortarium.llm.graph import components
 
 
@@ -145,20 +146,21 @@ def signed(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """
 
     @tidied
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = batch.text.tolist()
-            for part in portions(whole, 256):
-                texts = whole[part]
+            for part, texts in slices(batch.column("text"), 256):
                 run, times, place = shingles(texts, s.words)
                 n = np.bincount(place, times, len(texts)).astype(np.int64)
                 a, b = prints_of((run, times, place), texts)
                 least = bag_minhash(run, times, place, len(texts), s.bands * s.rows, s.seed)
                 bands = band_hashes(least, s.bands, s.rows).view(np.int64)
                 sketch = (mix(least.view(np.uint64)) >> np.uint64(56)).astype(np.uint8)
-                yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part].to_numpy(), "print_a": a, "print_b": b, "n": n, "bands": list(bands), "sketch": [x.tobytes() for x in sketch]})
+                columns = [batch.column("doc_id").slice(part.start, len(texts)), pa.array(a), pa.array(b), pa.array(n)]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * s.bands, pa.int32()), pa.array(bands.reshape(-1))))
+                columns.append(pa.array([x.tobytes() for x in sketch], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print_a", "print_b", "n", "bands", "sketch"])
 
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInPandas(sign, "doc_id long, print_a long, print_b long, n long, bands array<long>, sketch binary")
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, print_a long, print_b long, n long, bands array<long>, sketch binary")
 
 
 def prints_of(runs: tuple[np.ndarray, np.ndarray, np.ndarray], texts: list[str | None]) -> list[np.ndarray]:

@@ -23,11 +23,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortarium.llm.common import cut, kth_largest, mix, portions, series_udf, tidied, word_hashes
+from sortarium.llm.common import cut, kth_largest, mix, slices, text_udf, tidied, word_hashes
 
 #: What a token that repeats its predecessor is counted as, whatever the token is.
 _AGAIN = np.uint64(0xA6A1)
@@ -68,16 +68,15 @@ def counts(docs: DataFrame, bits: int) -> np.ndarray:
     """How often each bucket occurs in all texts: an array for each task, summed by bucket."""
 
     @tidied
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            whole = batch.text.tolist()
-            for part in portions(whole, 128):
-                total += np.bincount(ngrams(whole[part], bits)[1], minlength=1 << bits)
+            for _, texts in slices(batch.column("text"), 128):
+                total += np.bincount(ngrams(texts, bits)[1], minlength=1 << bits)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bucket", "n"])
 
-    found = docs.select("text").mapInPandas(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select("text").mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << bits, np.int64)
     out[found.bucket.to_numpy(np.int64)] = found.n
     return out
@@ -104,16 +103,11 @@ def weigh(docs: DataFrame, ratio: np.ndarray, s: Settings = Settings(), text: st
     """docs and a column log_weight, the log importance weight of each row."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)
 
-    def log_weight(batches):
-        for batch in batches:
-            out, whole = [], batch.tolist()
-            for part in portions(whole, 128):
-                texts = whole[part]
-                doc, b = ngrams(texts, s.bits)
-                out.append(np.bincount(doc, held.value[b], len(texts)))
-            yield pd.Series(np.concatenate(out) if out else [], dtype=float)
-
-    return docs.withColumn("log_weight", series_udf(log_weight, "double")(F.col(text)))
+    def log_weight(texts: list[str | None]) -> np.ndarray:
+        doc, b = ngrams(texts, s.bits)
+        return np.bincount(doc, held.value[b], len(texts))
+
+    return docs.withColumn("log_weight", text_udf(log_weight, "float64")(F.col(text)))
 
 
 def gumbel_keys(weighed: DataFrame, seed: int) -> DataFrame:

@@ -16,11 +16,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sortarium.llm.common import mix, portions, series_udf, tidied, word_hashes
+from sortarium.llm.common import mix, slices, text_udf, tidied, word_hashes
 
 
 @dataclass(frozen=True)
@@ -113,28 +113,28 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "toxic", "text")
 
     @tidied
-    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = batch.text.tolist()
-            for part in portions(whole, 64):
-                found = [x.astype("<i4").tobytes() for x in features(whole[part], s)]
-                yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part].to_numpy(), "toxic": batch.toxic.iloc[part].to_numpy(), "features": found})
+            for part, texts in slices(batch.column("text"), 64):
+                found = pa.array([x.astype("<i4").tobytes() for x in features(texts, s)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "toxic"]).slice(part.start, len(texts)).columns, found], ["doc_id", "toxic", "features"])
 
     @tidied
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, marks, free = [], [], s.max_features
         for batch in batches:
-            for x, y in zip(batch.features, batch.toxic):
-                free -= len(x) // 4
+            for x, y in zip(batch.column("features"), batch.column("toxic").to_pylist()):
+                found = np.frombuffer(x.as_buffer(), "<i4")
+                free -= len(found)
                 if free >= 0:
-                    rows.append(np.frombuffer(x, "<i4").copy())
+                    rows.append(found)
                     marks.append(float(y))
         w, bias = ftrl(rows, np.array(marks), s)
         kept = np.flatnonzero(w)
-        yield pd.DataFrame({"bucket": np.append(kept, -1), "weight": np.append(w[kept], bias)})
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1), pa.int64()), pa.array(np.append(w[kept], bias), pa.float64())], ["bucket", "weight"])
 
-    rows = sample.mapInPandas(featured, "doc_id long, toxic int, features binary").repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(s.seed)), "doc_id", "features")
-    model = rows.mapInPandas(learn, "bucket long, weight double").toPandas()
+    rows = sample.mapInArrow(featured, "doc_id long, toxic int, features binary").repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(s.seed)), "doc_id", "features")
+    model = rows.mapInArrow(learn, "bucket long, weight double").toPandas()
     inner = model[model.bucket >= 0]
     return inner.bucket.to_numpy(np.int64), inner.weight.to_numpy(float), float(model[model.bucket < 0].weight.sum())
 
@@ -143,21 +143,20 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], s: Setti
     """docs and a column score, the probability that a text is toxic."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def toxic(batches):
+    dense: list[np.ndarray] = []
+
+    def toxic(texts: list[str | None]) -> np.ndarray:
         at, weight, bias = held.value
-        dense = np.zeros(1 << s.bits, np.float32)
-        dense[at] = weight
-        for batch in batches:
-            out, whole = [], batch.tolist()
-            for part in portions(whole, 128):
-                texts = whole[part]
-                doc, b = buckets(texts, s)
-                hit = dense[b] != 0
-                keys = np.unique((doc[hit] << s.bits) | b[hit])
-                out.append(np.bincount(keys >> s.bits, dense[keys & ((1 << s.bits) - 1)], len(texts)))
-            yield pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate(out) + bias, -35, 35))) if out else [], dtype=float)
-
-    return docs.withColumn("score", series_udf(toxic, "double")(F.col(text)))
+        if not dense:
+            dense.append(np.zeros(1 << s.bits, np.float32))
+            dense[0][at] = weight
+        doc, b = buckets(texts, s)
+        hit = dense[0][b] != 0
+        keys = np.unique((doc[hit] << s.bits) | b[hit])
+        total = np.bincount(keys >> s.bits, dense[0][keys & ((1 << s.bits) - 1)], len(texts))
+        return 1 / (1 + np.exp(-np.clip(total + bias, -35, 35)))
+
+    return docs.withColumn("score", text_udf(toxic, "float64")(F.col(text)))
 
 
 def held_out(doc_id: str = "doc_id"):
