@@ -300,7 +300,7 @@ def test_top_k_equals_brute_force(spark):
     rows = [(k, v) for k, v in enumerate(vectors)] + [(200, None), (201, [1.0, None] + [0.0] * 8), (202, [float("nan")] * 10), (203, [1.0, 2.0]), (None, [0.0] * 10), (60, vectors[60])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
-    for r in topk.top_k(df, F.col("vec_id") % 20 == 0, topk.Settings(segments=(2, 5), block=3, rows=16)).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(df, F.col("vec_id") % 20 == 0, topk.Settings(segments=(0.2, 0.5, 0.9), block=3, tile=2, rows=16)).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     q = {k: [math.floor(256 * float(np.float32(x))) for x in v] + [0] * (10 - len(v)) for k, v in enumerate(vectors)} | {203: [256, 512] + [0] * 8}
     for k in range(0, 150, 20):
@@ -309,6 +309,32 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0 and topk.top_k(df.limit(3), F.lit(True)).count() == 6
 
 
+def test_top_k_bounds_hold_and_prune():
+    """No bound lies below the product; with clusters in few directions most pairs fall before the exact product."""
+    rng = np.random.default_rng(8)
+    x = np.floor(256 * (rng.normal(size=(20, 24))[rng.integers(0, 20, 3000)] + 0.2 * rng.normal(size=(3000, 24)))).astype(np.int64)
+    q, s = x[::50], topk.Settings(rows=500, tile=7)
+    turned = topk.compacting(q)
+    for share in (0.1, 0.25, 0.5, 0.75, 1.0):
+        bound = topk.statistics(q @ turned, share) @ topk.statistics(x @ turned, share).T
+        assert (bound >= q @ x.T - 1e-6).all() and (share < 1 or np.allclose(bound, q @ x.T))
+    best = topk.Best(np.arange(0, 3000, 50), q, s)
+    for k in range(0, 3000, 500):
+        best.add(np.arange(k, k + 500), x[k : k + 500])
+    assert best.left[0] == 60 * 3000 and (np.diff(best.left) <= 0).all() and best.left[-1] < 0.2 * best.left[0]
+    for i in range(60):
+        want = sorted((-int(v), j) for j, v in enumerate(x @ q[i]) if j != 50 * i)[:5]
+        mine = best.rows[0] == i
+        assert list(zip((-best.rows[2][mine]).tolist(), best.rows[1][mine].tolist())) == want
+
+
+def test_top_k_leaves_out_what_a_long_cannot_hold(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 0.5]), (3, [-1e30, 1.0]), (50, [3.0, 1.0]), (4, [8e6, 8e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"rank": F.lit(1), "score": F.lit("x")})
+    out = topk.top_k(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in out] == [(50, 4, 65536 * 32 * 10**6), (50, 2, 65536 * 13 // 2), (50, 1, 65536 * 4)]
+
+
 # --- 3, 5, 6
 
 
