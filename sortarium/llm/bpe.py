@@ -188,7 +188,7 @@ class Merges:
         key = a << self.bits | b
         found = self._fits.get(key)
         if found is None:
-            if len(self._fits) >= 100_000:
+            if len(self._fits) >= 200_000:
                 self._fits.clear()
             found = self._fits[key] = self._apart(a, b)
         return found
@@ -256,22 +256,26 @@ class Transducer:
 
     def close(self) -> list[int]:
         """The tokens of what is left of the word."""
-        if len(self.last) > 1 or self.base:
-            if self.m.end:
-                self._read(_END)
-        out, at = [], len(self.last) - 1
+        if self.m.end and (len(self.last) > 1 or self.base):
+            self._read(_END)
+        return self._rest()
+
+    def _rest(self) -> list[int]:
+        out, at, last, begin = [], len(self.last) - 1, self.last, self.begin
         while at:
-            begin = self._from(at)
-            out.append(self.last[at])
-            at = begin
+            if last[at] < 0:
+                raise ValueError("no encoding: a symbol isn't in the vocabulary")
+            out.append(last[at])
+            at = begin[at]
         self.reset()
-        return out[::-1]
+        out.reverse()
+        return out
 
     def whole(self, symbols: str, part: int = 1024) -> list[int]:
         if len(symbols) <= self.m.lookahead + self.EVERY:
             # Nothing would be emitted before the end.
-            self._read(symbols)
-            return self.close()
+            self._read(symbols + _END if self.m.end and symbols else symbols)
+            return self._rest()
         out = []
         for k in range(0, len(symbols), part):
             out += self.feed(symbols[k : k + part])
@@ -279,19 +283,22 @@ class Transducer:
 
 
 class _Words(dict):
-    """word -> tokens; words of up to KEPT characters stay until the table is full, which empties it."""
+    """word -> tokens, for words of up to KEPT characters met of late: a full table becomes the old one, which is asked once more."""
 
     KEPT = 40
 
-    def __init__(self, merges: Merges, most: int = 100_000):
+    def __init__(self, merges: Merges, most: int = 120_000):
         super().__init__()
-        self.transducer, self.most = Transducer(merges), most
+        self.transducer, self.most, self.old = Transducer(merges), most, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        symbols = word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_FROM_LATIN)
-        out = tuple(self.transducer.whole(symbols))
+        out = self.old.get(word)
+        if out is None:
+            symbols = word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(_FROM_LATIN)
+            out = tuple(self.transducer.whole(symbols))
         if len(word) <= self.KEPT:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[word] = out
         return out
@@ -312,6 +319,7 @@ class Codec:
         for t, v in chain(model["vocab"].items(), self.special.items()):
             self.token[v] = t
         self.end = model.get("end_of_word_suffix") or ""
+        self.digits = list(map(str, range(len(self.token))))
 
     def _piece(self, text: str) -> Iterator[int]:
         try:
@@ -434,7 +442,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 for text in texts:
                     d, n, ids_hash, text_hash = Decoder(c, joined=True), 0, hashlib.sha256(), hashlib.sha256()
                     for ids in c.pieces(iter([text or ""])):
-                        ids_hash.update(((" " if n and ids else "") + " ".join(map(str, ids))).encode())
+                        ids_hash.update(((" " if n and ids else "") + " ".join(map(c.digits.__getitem__, ids))).encode())
                         text_hash.update(d.feed(ids).encode("utf-8", "surrogatepass"))
                         n += len(ids)
                     text_hash.update(d.close().encode())
