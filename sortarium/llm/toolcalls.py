@@ -3,33 +3,44 @@
 An assistant's message may be {"tool_calls": [{"id", "name", "arguments"}, ...]}, a tool's message
 {"tool_call_id", "content"}. Calls and results meet in a hash join on (conversation, id). A call
 whose arguments hold "$id" uses the result of that call, so it comes after it: its level is one more
-than the highest level among those, found round by round; (level, turn, place) is a topological order.
-Arguments are held against the tool's schema, and the call is written as canonical JSON: keys sorted,
-no blanks.
+than the highest level among those; (level, turn, place) is a topological order. Arguments are held
+against the tool's schema, and the call is written as canonical JSON: keys sorted, no blanks.
+
+A schema is a table (tool, parameter, type, required[, enum]). Parameters are paths: "a.b" is the field b
+of the object a, "a[]" an item of the array a (dots, brackets and backslashes of a name are written after
+a backslash); a null parameter names a tool without any. Types are those of JSON schemas (string, integer,
+number, boolean, object, array, null; 3.0 is an integer) or names that schema_of_variant gives; a null type
+is any. enum has the JSON of the values allowed. Objects whose fields are not described may hold anything,
+as may undescribed items; other fields that the schema doesn't name are errors. What a required field's
+object doesn't hold is missing only where that object is there.
 
 Messages that aren't such JSON, null texts and null ids hold no calls. Of several results for one id
 the earliest counts; calls that share an id in a conversation are all reported as such. Calls that
 wait for each other, or for a call that doesn't exist, have no level. Repeated rows are repeated calls.
-Empty tables give no rows; extra columns are not read. No conversation is gathered in one place.
+Long texts, arguments and ids count whole. Empty tables give no rows; extra columns are not read. No
+conversation is gathered in one place.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortarium.llm.common import cut
+from sortarium.llm.common import cut, small_side
 
-#: The registered query's tools: tool, parameter, type as schema_of_variant names it, required.
+#: The registered query's tools: tool, parameter, type, required.
 TOOLS = (
-    ("search", "query", "STRING", True),
-    ("search", "limit", "BIGINT", False),
-    ("search", "after", "STRING", False),
-    ("translate", "text", "STRING", True),
-    ("translate", "target", "STRING", True),
-    ("count", "words", "ARRAY<STRING>", True),
-    ("count", "exact", "BOOLEAN", False),
-    ("count", "after", "STRING", False),
+    ("search", "query", "string", True),
+    ("search", "limit", "integer", False),
+    ("search", "after", "string", False),
+    ("translate", "text", "string", True),
+    ("translate", "target", "string", True),
+    ("count", "words", "array", True),
+    ("count", "words[]", "string", False),
+    ("count", "exact", "boolean", False),
+    ("count", "after", "string", False),
 )
 TOOLS_SCHEMA = "tool string, parameter string, type string, required boolean"
 
@@ -56,36 +67,95 @@ def references(arguments: str) -> Column:
 
 
 def levels(found: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of every id whose references can all be met, by rounds from the ids without any."""
-    ids = found.groupBy("conv_id", "call_id").agg(F.array_distinct(F.flatten(F.collect_set("uses"))).alias("uses"))
-    ids = cut(ids)
-    waits = cut(ids.select("conv_id", "call_id", F.explode("uses").alias("used"), F.size("uses").alias("needs")))
-    done = cut(ids.where(F.size("uses") == 0).select("conv_id", "call_id", F.lit(0).alias("level")))
+    """(conv_id, call_id, level) of every id whose references can all be met.
+
+    Chains of calls with one reference each are jumped over by doubling steps, up to the nearest call with none or
+    several (the anchor); rounds only go through those with several.
+    """
+    ids = cut(found.groupBy("conv_id", "call_id").agg(F.array_distinct(F.flatten(F.collect_set("uses"))).alias("uses")))
+    plain = cut(ids.where(F.size("uses") != 1).select("conv_id", "call_id", F.size("uses").alias("needs")))
+    jumps = cut(ids.where(F.size("uses") == 1).select("conv_id", "call_id", F.col("uses")[0].alias("anchor"), F.lit(1).alias("steps")))
+    left, reach = jumps.count(), 1
+    while reach <= left:
+        # A chain of single references is no longer than there are; what still points to one then is a circle.
+        over = jumps.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("further"), F.col("steps").alias("more"))
+        jumped = jumps.join(over, ["conv_id", "anchor"], "left").select("conv_id", "call_id", F.coalesce("further", "anchor").alias("anchor"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("further").isNotNull().alias("moved"))
+        jumped = cut(jumped)
+        jumps, reach = jumped.drop("moved"), 2 * reach
+        if jumped.where("moved").isEmpty():
+            break
+    jumps = jumps.join(plain.select("conv_id", F.col("call_id").alias("anchor")), ["conv_id", "anchor"], "left_semi")
+    known = plain.select("conv_id", "call_id", F.col("call_id").alias("anchor"), F.lit(0).alias("steps")).unionByName(jumps.select("conv_id", "call_id", "anchor", "steps"))
+    waits = ids.where(F.size("uses") > 1).select("conv_id", "call_id", F.explode("uses").alias("used"), F.size("uses").alias("needs"))
+    waits = cut(waits.join(known.withColumnRenamed("call_id", "used"), ["conv_id", "used"]))
+    done = cut(plain.where("needs = 0").select("conv_id", F.col("call_id").alias("anchor"), F.lit(0).alias("level")))
     while True:
-        met = waits.join(done.select("conv_id", F.col("call_id").alias("used"), "level"), ["conv_id", "used"])
-        ready = met.groupBy("conv_id", "call_id", "needs").agg(F.count("*").alias("have"), (F.max("level") + 1).alias("level")).where("have = needs")
-        new = cut(ready.select("conv_id", "call_id", "level").join(done, ["conv_id", "call_id"], "left_anti"))
+        met = waits.join(done, ["conv_id", "anchor"])
+        ready = met.groupBy("conv_id", "call_id", "needs").agg(F.count("*").alias("have"), (F.max(F.col("level") + F.col("steps")) + 1).alias("level")).where("have = needs")
+        new = cut(ready.select("conv_id", F.col("call_id").alias("anchor"), "level").join(done, ["conv_id", "anchor"], "left_anti"))
         if new.isEmpty():
-            return done
+            break
         done = cut(done.unionByName(new))
+    return known.join(done, ["conv_id", "anchor"]).select("conv_id", "call_id", (F.col("level") + F.col("steps")).alias("level"))
+
+
+def _fits(value: str, kind: str) -> str:
+    """Whether a variant is of a type, by the names of JSON schemas or of schema_of_variant."""
+    got = f"schema_of_variant({value})"
+    number = f"({got} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {got} LIKE 'DECIMAL%')"
+    return f"""CASE {kind} WHEN 'string' THEN {got} = 'STRING' WHEN 'boolean' THEN {got} = 'BOOLEAN' WHEN 'null' THEN {got} = 'VOID'
+      WHEN 'object' THEN {got} LIKE 'OBJECT%' WHEN 'array' THEN {got} LIKE 'ARRAY%' WHEN 'number' THEN {number}
+      WHEN 'integer' THEN {number} AND to_json({value}) RLIKE '^-?[0-9]+([.]0+)?$' ELSE {got} = {kind} END"""
 
 
 def validation(found: DataFrame, tools: DataFrame) -> DataFrame:
-    """found and errors: what is wrong with each call's arguments, sorted and joined by '; ' ('' if nothing is)."""
-    spec = tools.groupBy("tool").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("parameter", F.struct("type", "required"))))).alias("spec"))
-    df = found.join(F.broadcast(spec), "tool", "left").withColumn("v", F.try_parse_json("arguments"))
-    df = df.withColumn("given", F.coalesce(F.json_object_keys("arguments"), F.array().cast("array<string>")))
-    wrong = """
-      concat(
-        transform(filter(map_entries(spec), e -> e.value.required AND NOT array_contains(given, e.key)), e -> concat('missing ', e.key)),
-        transform(filter(given, k -> NOT map_contains_key(spec, k)), k -> concat('unknown ', k)))
-    """
-    types = """
-      transform(filter(map_entries(from_json(arguments, 'map<string, variant>')), e -> map_contains_key(spec, e.key) AND coalesce(schema_of_variant(e.value), 'VOID') <> spec[e.key].type),
-        e -> concat('type ', e.key))
+    """found and errors: what is wrong with each call's arguments, sorted and joined by '; ' ('' if nothing is); v, the arguments.
+
+    Calls are checked within their rows at the top; what lies deeper is exploded level by level and meets the schema in
+    a join on (tool, path). There are as many levels as the schema is deep.
     """
-    errors = F.when(F.col("spec").isNull(), F.array(F.lit("no such tool"))).when(F.col("v").isNull() | ~F.coalesce(F.expr("schema_of_variant(v)"), F.lit("")).startswith("OBJECT"), F.array(F.lit("no object"))).otherwise(F.concat(F.expr(wrong), F.expr(types)))
-    return df.withColumn("errors", F.array_join(F.array_sort(errors), "; ")).drop("spec", "given")
+    enum = F.col("enum") if "enum" in tools.columns else F.lit(None).cast("array<string>")
+    spec = tools.select("tool", F.col("parameter").alias("path"), "type", F.coalesce("required", F.lit(False)).alias("required"), enum.alias("enum"))
+    # The object or array that a path lies in: the path without its last step.
+    spec = cut(spec.withColumn("inside", F.regexp_replace("path", r"(^|\.)(\\.|[^.\[\]\\])*$|\[\]$", "")))
+    deepest = spec.agg(F.max(F.size(F.expr(r"regexp_extract_all(path, '(\\\\.|[^.\\[\\]\\\\])+|\\[\\]', 0)")))).first()[0] or 0
+    deepest = max(deepest, 1)
+    below = spec.where("path IS NOT NULL").groupBy("tool", F.col("inside").alias("path")).agg(F.array_sort(F.collect_set(F.when(F.col("required"), F.col("path")))).alias("needed"))
+    rules = spec.where("path IS NOT NULL").select("tool", "path", "type", "enum")
+    rules = rules.unionByName(spec.select("tool", F.lit("").alias("path"), F.lit("object").alias("type"), F.lit(None).cast("array<string>").alias("enum")).distinct())
+    rules = rules.join(below, ["tool", "path"], "left")
+    rules = small_side(cut(rules.withColumn("needed", F.when(F.col("path") == "", F.coalesce("needed", F.array().cast("array<string>"))).otherwise(F.col("needed")))), 100_000)
+    df = found.withColumn("v", F.try_parse_json("arguments")).withColumn("row", F.monotonically_increasing_id())
+    df = cut(df)
+    known = df.join(small_side(spec.select("tool").distinct(), 100_000).withColumn("known", F.lit(True)), "tool", "left")
+    is_object = F.coalesce(F.expr("schema_of_variant(v)"), F.lit("")).startswith("OBJECT")
+    state = F.when(F.col("known").isNull(), "no such tool").when(F.col("v").isNull() | ~is_object, "no object")
+    known = known.withColumn("state", state).drop("known")
+    nodes = known.where("state IS NULL").select("row", "tool", F.lit("").alias("path"), F.col("v").alias("value"))
+    wrong = []
+    for depth in range(deepest + 1):
+        # The fields of what has a schema, of those that the schema describes one by one.
+        held = nodes.join(rules, ["tool", "path"], "left").withColumn("fits", F.expr(f"type IS NULL OR coalesce({_fits('value', 'type')}, false)"))
+        inner = F.when(F.expr("schema_of_variant(value) LIKE 'OBJECT%'"), F.expr(r"transform(json_object_keys(to_json(value)), k -> concat(IF(path = '', '', concat(path, '.')), regexp_replace(k, '([.\\[\\]\\\\])', '\\\\$1')))"))
+        held = held.withColumn("inner", F.coalesce(inner, F.array().cast("array<string>")))
+        problems = F.concat(
+            F.when(~F.col("fits"), F.array(F.concat(F.lit("type "), "path"))).otherwise(F.array().cast("array<string>")),
+            F.when(F.expr("fits AND enum IS NOT NULL AND NOT array_contains(enum, to_json(value))"), F.array(F.concat(F.lit("enum "), "path"))).otherwise(F.array().cast("array<string>")),
+            F.when(F.expr("schema_of_variant(value) LIKE 'OBJECT%' AND needed IS NOT NULL"), F.expr("transform(array_except(needed, inner), p -> concat('missing ', p))")).otherwise(F.array().cast("array<string>")),
+        )
+        wrong.append(held.select("row", F.explode(problems).alias("error")))
+        if depth == deepest:
+            break
+        parts = held.where("needed IS NOT NULL AND (schema_of_variant(value) LIKE 'OBJECT%' OR schema_of_variant(value) LIKE 'ARRAY%')")
+        spread = parts.withColumnRenamed("value", "parent").lateralJoin(found.sparkSession.tvf.variant_explode(F.col("parent").outer()).toDF("pos", "key", "child"))
+        step = F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).otherwise(F.concat(F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("."))), F.regexp_replace("key", r"([.\[\]\\])", r"\\$1")))
+        spread = spread.select("row", "tool", step.alias("step"), F.col("child").alias("value"), F.col("key").isNotNull().alias("field"))
+        named = spread.join(rules.select("tool", F.col("path").alias("step"), F.lit(True).alias("described")), ["tool", "step"], "left")
+        wrong.append(named.where("described IS NULL AND field").select("row", F.concat(F.lit("unknown "), "step").alias("error")))
+        nodes = named.where("described").select("row", "tool", F.col("step").alias("path"), "value")
+    errors = reduce(DataFrame.unionByName, wrong).groupBy("row").agg(F.array_sort(F.collect_set("error")).alias("errors"))
+    out = known.join(errors, "row", "left")
+    return out.withColumn("errors", F.coalesce("state", F.array_join("errors", "; "), F.lit(""))).drop("row", "state")
 
 
 def linked(messages: DataFrame, tools: DataFrame) -> DataFrame:

@@ -371,6 +371,94 @@ def test_types_of_all_parameters_are_held(spark):
     assert [r.errors for r in toolcalls.validation(found, tools).orderBy("k").collect()] == ["type it's; type p00001; type p10001; type z", ""]
 
 
+def test_nested_schemas(spark):
+    import json
+
+    schema = [
+        ("t", "a", "object", True, None), ("t", "a.b", "integer", True, None), ("t", "a.c", "string", False, ['"x"', '"y"']), ("t", "a.d", "array", False, None), ("t", "a.d[]", "object", False, None), ("t", "a.d[].e", "number", True, None),
+        ("t", "free", "object", False, None), ("t", "x\\.y", "boolean", False, None), ("t", "m", "array", False, None), ("t", "m[]", "array", False, None), ("t", "m[][]", "null", False, None), ("u", None, None, None, None), (None, "q", "string", True, None),
+    ]
+    tools = spark.createDataFrame(schema, "tool string, parameter string, type string, required boolean, enum array<string>")
+    given = [
+        ("t", {"a": {"b": 3.0, "c": "x", "d": [{"e": 1.5}, {"e": 2}]}, "free": {"any": [1]}, "x.y": True, "m": [[None], []]}, ""),
+        ("t", {}, "missing a"), ("t", {"a": {}}, "missing a.b"), ("t", {"a": {"b": 1.5, "c": "z", "no": 1}}, "enum a.c; type a.b; unknown a.no"),
+        ("t", {"a": {"b": 1, "d": [{"e": "s"}, {}, 7]}}, "missing a.d[].e; type a.d[]; type a.d[].e"), ("t", {"a": 5}, "type a"), ("t", {"a": {"b": 1}, "free": [], "x.y": 1, "x": {"y": 1}}, "type free; type x\\.y; unknown x"),
+        ("t", {"a": {"b": 10**15}, "m": [[1], "s"]}, "type m[]; type m[][]"), ("u", {}, ""), ("u", {"a": 1}, "unknown a"), ("v", {}, "no such tool"), ("t", [1], "no object"), (None, {}, "no such tool"),
+    ]
+    rows = [(k, n, json.dumps(g)) for k, (n, g, _) in enumerate(given)] + [(90, "t", None), (91, "t", "{nonsense")]
+    found = spark.createDataFrame(rows, "k long, tool string, arguments string")
+    out = {r.k: r.errors for r in toolcalls.validation(found.unionByName(found.where("k = 3")), tools).collect()}
+    assert out == {k: e for k, (*_, e) in enumerate(given)} | {90: "no object", 91: "no object"}
+    assert toolcalls.validation(found.limit(0), tools).count() == 0 and {r.errors for r in toolcalls.validation(found, tools.limit(0)).collect()} == {"no such tool"}
+
+
+def plain_levels(uses):
+    out, changed = {}, True
+    while changed:
+        changed = False
+        for c, needs in uses.items():
+            if c not in out and all(n in out for n in needs):
+                out[c], changed = 1 + max((out[n] for n in needs), default=-1), True
+    return out
+
+
+def test_levels_equal_brute_force(spark):
+    rng = random.Random(13)
+    uses = {}
+    for conv in range(12):
+        n = rng.choice([1, 5, 40])
+        for k in range(n):
+            kind = rng.random()
+            uses[conv, k] = {(conv, rng.randrange(n) if kind < 0.05 else rng.randrange(k)) for _ in range(rng.choice([1, 1, 1, 2, 3]))} if k and kind < 0.85 else {(conv, 999)} if kind > 0.97 else set()
+    for k in range(300):
+        uses[50, k] = {(50, k - 1)} if k else set()
+    for k in range(4):
+        uses[51, k] = {(51, (k + 1) % 4)}
+    rows = [(c, str(k), [str(u) for _, u in us]) for (c, k), us in uses.items()]
+    found = spark.createDataFrame(rows, "conv_id long, call_id string, uses array<string>")
+    got = {(r.conv_id, int(r.call_id)): r.level for r in toolcalls.levels(found).collect()}
+    assert got == plain_levels(uses) and got[50, 299] == 299 and (51, 0) not in got
+
+
+def test_registered_tool_calls_equal_a_plain_version(spark):
+    """The query's own steps over a small table, against Python's json and a walk over each conversation."""
+    import json
+
+    rng, turns = random.Random(14), []
+    for c in range(9):
+        for t in range(rng.choice([1, 2, 9, 24])):
+            text = rng.choice([None, "", "a \"b\" é\n$c2 \\ x", "word " * rng.randint(1, 400), "tabs\tand   blanks"])
+            turns.append((c, t, "assistant" if t % 2 else "user", text))
+    turns += turns[:3] + [(None, 0, "user", "x"), (3, 2, "system", "y")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = toolcalls.linked(toolcalls.as_tool_messages(df.withColumn("tool", F.lit(1))), toolcalls.tools_table(spark)).collect()
+    calls, replies, repeated = [], {}, {}
+    for c, t, role, text in turns:
+        text, name, odd = text or "", ("search", "translate", "count")[t // 2 % 3], t % 7 == 6
+        if c is None:
+            continue
+        if role == "user":
+            after = {"after": f"$c{t - 2}"} if t >= 4 and t % 8 else {}
+            given = {"search": {**({} if odd else {"query": text}), "limit": len(text), **after}, "translate": {"target": "en", "text": text, **({"extra": 1} if odd else {})}, "count": {"words": text.split(" "), **({"exact": 1} if odd else {}), **after}}[name]
+            errors = {"search": "missing query", "translate": "unknown extra", "count": "type exact"}[name] if odd else ""
+            calls.append((c, t, name, given, errors))
+            repeated[c, t] = repeated.get((c, t), 0) + 1
+        elif role == "assistant":
+            replies[c, t - 1] = min(replies.get((c, t - 1), (t, "~")), (t, __import__("hashlib").md5(text.encode()).hexdigest()))
+    uses = {}
+    for c, t, _, given, _ in calls:
+        uses.setdefault((c, f"c{t}"), set()).update((c, x) for x in re.findall(r'"\$([^"]+)"', json.dumps(given, ensure_ascii=False)))
+    level = plain_levels(uses)
+    want = []
+    for c, t, name, given, errors in calls:
+        turn, content = replies.get((c, t), (None, None))
+        whole = {"arguments": given, "id": f"c{t}", "name": name, **({"result": content} if content else {})}
+        status = "repeated id" if repeated[c, t] > 1 else "no result" if turn is None else "linked"
+        want.append((c, t, name, turn, status, level.get((c, f"c{t}")), errors, json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False)))
+    got = [(r.conv_id, r.turn, r.tool, r.result_turn, r.status, r.level, r.errors, r.canonical) for r in out]
+    assert sorted(got, key=str) == sorted(want, key=str) and len({r[4] for r in want}) == 3
+
+
 def test_tool_messages_hold_the_whole_text(spark):
     import json
 
