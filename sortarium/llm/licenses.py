@@ -1,10 +1,11 @@
 """License scans by ordered signature rules, on built-in functions alone.
 
 A text is reduced to its words: A-Z lower-cased, words being runs of ASCII letters and digits and of
-characters beyond ASCII, one blank between them. Some hundred licenses' names meet a handful of ways
-to grant or name a license; every pair is one rule: a regular expression over the words, a label, a
-priority and a confidence. A rule is only tried on texts that hold keywords of its name and its
-way, and none on texts without any keyword. Detections are intervals of the reduced text; going through them in order of
+characters beyond ASCII, one blank between them. A rule is a regular expression over the words, a label, a priority and a
+confidence. Some are written out: the wording of licenses and notices. The others are ways to grant or
+name a license, each with the names of some fifty licenses; names that are common words elsewhere only
+count where the way makes them a license's. A rule is only tried on texts that hold its keywords, and
+none on texts without any keyword. Detections are intervals of the reduced text; going through them in order of
 start, longest first, one is dropped if it lies within an earlier one of the same or a better
 priority, which also settles equal intervals.
 
@@ -90,6 +91,69 @@ WAYS = (
     ("name", "(?:{}) (?:licensed|licence|license|notice|terms)", 3, 0.6, "name", "licen|notice|terms"),
 )
 
+#: Names that are words of other languages or of trade; ways marked `careful` take these forms only.
+CAREFUL = {"mit": "mit licen[cs]e", "x11": "x11 license", "isc": "isc license", "zlib": "zlib(?: libpng)? license"}
+CAREFUL_WAYS = ("field", "see", "name")
+
+#: Rule, label, keyword that every form holds, pattern, priority, confidence.
+WORDING = (
+    ("mit permission", "mit", "person obtaining", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 0, 0.99),
+    ("mit heading", "mit", "mit licen", "(?:the )?mit licen[cs]e", 3, 0.6),
+    ("mit field", "mit", " mit", "(?:license|licence|licencia|licenza)(?: is| type| name)? (?:the )?mit(?= |$)(?! (?:der|dem|den|die|ein|einer|einem|eine|einschr|freundlich|allen|nur|und)(?: |$))", 1, 0.85),
+    ("x11 heading", "x11", "x11 licen", "x11 licen[cs]e", 3, 0.6),
+    ("isc heading", "isc", "isc licen", "isc licen[cs]e", 3, 0.6),
+    ("zlib heading", "zlib", "zlib", "zlib(?: libpng)? licen[cs]e", 3, 0.6),
+    ("isc permission", "isc", "any purpose with or without fee", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", 0, 0.99),
+    ("x11 advertising", "x11", "x consortium", "except as contained in this notice the names? of the x consortium shall not be used in advertising", 0, 0.99),
+    ("bsd redistribution", "bsd", "source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted", 1, 0.9),
+    ("bsd-3 endorsement", "bsd-3", "endorse or promote", "neither the names? of (?:[^ ]+ ){1,12}nor the names of (?:its|any|other) (?:[^ ]+ ){0,4}may be used to endorse or promote products", 0, 0.97),
+    ("bsd-4 advertising", "bsd-4", "advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledgement", 0, 0.98),
+    ("hpnd permission", "hpnd", "and its documentation for any purpose", "permission to use copy modify and distribute this software and its documentation for any purpose(?: and)? without fee is hereby granted provided", 0, 0.95),
+    ("postgresql permission", "postgresql", "written agreement", "for any purpose without fee and without a written agreement is hereby granted", 0, 0.97),
+    ("zlib liability", "zlib", "be held liable", "in no event will the authors? be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose", 0, 0.98),
+    ("gpl-2 notice", "gpl-2", "general public", "under the terms of the gnu general public license as published by the free software foundation either version 2", 0, 0.99),
+    ("gpl-3 notice", "gpl-3", "general public", "under the terms of the gnu general public license as published by the free software foundation either version 3", 0, 0.99),
+    ("lgpl-2.1 notice", "lgpl-2.1", "lesser general", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1", 0, 0.99),
+    ("lgpl-3 notice", "lgpl-3", "lesser general", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3", 0, 0.99),
+    ("agpl-3 notice", "agpl-3", "affero general", "under the terms of the gnu affero general public license as published by the free software foundation either version 3", 0, 0.99),
+    ("gpl-2 heading", "gpl-2", "june 1991", "gnu general public license version 2 june 1991", 0, 0.99),
+    ("gpl-3 heading", "gpl-3", "june 2007", "gnu general public license version 3 29 june 2007", 0, 0.99),
+    ("lgpl-2.1 heading", "lgpl-2.1", "february 1999", "gnu lesser general public license version 2 1 february 1999", 0, 0.99),
+    ("lgpl-3 heading", "lgpl-3", "june 2007", "gnu lesser general public license version 3 29 june 2007", 0, 0.99),
+    ("agpl-3 heading", "agpl-3", "november 2007", "gnu affero general public license version 3 19 november 2007", 0, 0.99),
+    ("gpl network use", "agpl-3", "network server", "designed specifically to ensure cooperation with the community in the case of network server software", 1, 0.9),
+    ("gfdl permission", "gfdl", "documentation license", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 0, 0.99),
+    ("apache-2 address", "apache-2", "apache org", "apache org licenses license 2 0", 0, 0.98),
+    ("apache-2 heading", "apache-2", "january 2004", "apache license version 2 0 january 2004", 0, 0.99),
+    ("apache-2 notice", "apache-2", "except in compliance", "you may not use this file except in compliance with the license", 2, 0.8),
+    ("apache-1.1 acknowledgment", "apache-1.1", "apache software foundation", "this product includes software developed by the apache software foundation", 1, 0.85),
+    ("mpl-2 notice", "mpl-2", "source code form", "this source code form is subject to the terms of the mozilla public license v(?:ersion)? ?2 0", 0, 0.99),
+    ("mpl-1.1 notice", "mpl-1.1", "mozilla public", "the contents of this file are subject to the mozilla public license version 1 1", 0, 0.99),
+    ("epl notice", "epl-1", "accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0", 0, 0.99),
+    ("epl-2 notice", "epl-2", "accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", 0, 0.99),
+    ("cddl notice", "cddl", "development and distribution", "the contents of this file are subject to the terms of the common development and distribution license", 0, 0.99),
+    ("cc-by address", "cc-by", "creativecommons", "creativecommons org licenses by(?! (?:sa|nd|nc)(?: |$))", 0, 0.98),
+    ("cc-by-sa address", "cc-by-sa", "creativecommons", "creativecommons org licenses by sa", 0, 0.98),
+    ("cc-by-nd address", "cc-by-nd", "creativecommons", "creativecommons org licenses by nd", 0, 0.98),
+    ("cc-by-nc address", "cc-by-nc", "creativecommons", "creativecommons org licenses by nc(?! (?:sa|nd)(?: |$))", 0, 0.98),
+    ("cc-by-nc-sa address", "cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa", 0, 0.98),
+    ("cc-by-nc-nd address", "cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd", 0, 0.98),
+    ("cc0 address", "cc0", "creativecommons", "creativecommons org publicdomain zero", 0, 0.98),
+    ("cc0 waiver", "cc0", "affirmer", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives", 0, 0.99),
+    ("unlicense text", "unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 0, 0.99),
+    ("public domain", "public-domain", "public domain", "(?:placed|released|dedicated) (?:in|into|to) the public domain", 2, 0.8),
+    ("wtfpl terms", "wtfpl", "just do what", "you just do what the fuck you want to", 0, 0.99),
+    ("boost permission", "boost", "software and accompanying documentation", "obtaining a copy of the software and accompanying documentation covered by this license", 0, 0.98),
+    ("boost heading", "boost", "august 17th 2003", "boost software license version 1 0 august 17th 2003", 0, 0.99),
+    ("ofl notice", "ofl", "font software", "this font software is licensed under the sil open font license", 0, 0.99),
+    ("json clause", "json", "good not evil", "the software shall be used for good not evil", 0, 0.99),
+    ("beerware", "beerware", "beer", "(?:you can buy me a beer in return|the beer ?ware license)", 1, 0.9),
+    ("openssl acknowledgment", "openssl", "openssl project", "this product includes software developed by the openssl project", 1, 0.9),
+    ("php notice", "php", "php license", "this source file is subject to version 3 0?1? ?of the php license", 0, 0.97),
+    ("python agreement", "python-2", "psf license", "psf license agreement for python", 1, 0.9),
+    ("all rights reserved", "all-rights-reserved", "rights reserved", "all rights reserved", 3, 0.5),
+)
+
 #: Words without one of which no rule can match: the names' longer keywords, and what every way needs.
 GATE = ("licen", "lizenz", " spdx ", " under ", " subject ", " notice ", " terms ", " accept ", " see ", " read ", " dual ")
 NEEDS = "(?:^| )(?:licensed|licen[cs]e|licencia|licenza|lizenz|spdx|[al]?gpl(?:v?[23]|v|version)?|gnu|mit|bsd|apache|mozilla|mpl|cc|cc0|creative|gfdl|eclipse|epl|cddl|isc|x11|0bsd|asl|pddl|odbl|unlicense|zlib|bsl|busl|boost|business|artistic|psf|python|wtfpl|ofl|sil|eupl|ms|microsoft|sspl|upl|universal|european|open|ncsa|university|common|server|elastic|php|ruby|openssl|postgresql|do|zero|new|revised|modified|three|two|four|simplified|freebsd|original)(?: |$)"
@@ -97,10 +161,10 @@ NEEDS = "(?:^| )(?:licensed|licen[cs]e|licencia|licenza|lizenz|spdx|[al]?gpl(?:v
 
 def rules() -> list[tuple[str, str, str, str, str, int, float]]:
     """(rule, label, keywords of the name, keywords of the way, pattern, priority, confidence), in the order in which they are tried."""
-    out = []
+    out = [(rule, label, keyword, keyword, f"(?<![^ ])(?:{pattern})(?![^ ])", priority, confidence) for rule, label, keyword, pattern, priority, confidence in WORDING]
     for kind, around, priority, confidence, form, own in WAYS:
         for label, keyword, short, name in NAMES:
-            pattern = around.format(short if form == "id" else name)
+            pattern = around.format(short if form == "id" else CAREFUL.get(label, name) if kind in CAREFUL_WAYS else name)
             out.append((f"{kind}:{label}", label, keyword, own, f"(?<![^ ])(?:{pattern})(?![^ ])", priority, confidence))
     return out
 
@@ -144,7 +208,9 @@ def detections(docs: DataFrame, words: str) -> DataFrame:
     parts = lambda n, v: F.array(*map(F.lit, v.split("|"))) if n in ("keyword", "own") else F.lit(v)
     table = F.array(*[F.struct(*[parts(n, v).alias(n) for n, v in zip(("rule", "label", "keyword", "own", "pattern", "priority", "confidence"), r)]) for r in rules()])
     text = F.replace(F.trim(F.col(words)), F.lit("  "), F.lit(" "))
-    df = docs.withColumn("plain", F.when(reduce(Column.__or__, [F.contains(words, F.lit(g)) for g in GATE]) & F.col(words).rlike(NEEDS), text).otherwise(F.lit("")))
+    worded = sorted({r[2].replace(" ", "  ") for r in WORDING if not any(g.strip() in r[2] for g in ("licen",))})
+    named = reduce(Column.__or__, [F.contains(words, F.lit(g)) for g in GATE]) & F.col(words).rlike(NEEDS)
+    df = docs.withColumn("plain", F.when(reduce(Column.__or__, [F.contains(words, F.lit(g)) for g in worded]) | named, text).otherwise(F.lit("")))
     matched = """
       flatten(transform(filter(rules, r -> exists(r.own, k -> contains(plain, k)) AND exists(r.keyword, k -> contains(plain, k)) AND plain RLIKE r.pattern), r ->
         transform(

@@ -518,6 +518,8 @@ def strings_of(pattern):
                 more = [x for part in value[1] for x in each(part)]
             elif kind == c.SUBPATTERN:
                 more = each(value[3])
+            elif kind in (c.ASSERT, c.ASSERT_NOT):
+                more = [""]
             else:
                 assert kind == c.MAX_REPEAT and value[:2] == (0, 1)
                 more = ["", *each(value[2])]
@@ -542,6 +544,44 @@ def test_license_gates_let_every_rule_pass():
                 assert any(k in t for k in keyword.split("|")) and any(k in t for k in own.split("|")), (kind, label, t)
 
 
+def test_words_of_other_languages_are_no_licenses(spark):
+    texts = [
+        "Die Lizenz mit Einschränkungen gilt nicht.", "Eine License mit der Auflage, unter mit und see mit", "La licence est mise à jour; la licencia de conducir y la licenza di pesca", "see zlib and accept x11 terms, isc notice",
+        "licence to kill, license plates, boost and ruby and elastic terms", "Mit Lizenz, mit Notice, mit terms", "El mit de la licencia común del artículo", "the software is used for good", "rights are reserved for all",
+    ]
+    out = sorted(licenses.scan(frame(spark, texts)).collect(), key=lambda r: r.doc_id)
+    assert [r.labels for r in out] == [""] * len(texts) and all(r.score == 0 for r in out)
+    good = ["License: MIT", "Licencia: MIT 2020", "The MIT License", "license is the MIT", "SPDX-License-Identifier: MIT", "licensed under MIT", "see the zlib license", "X11 License terms"]
+    assert [r.labels for r in sorted(licenses.scan(frame(spark, good)).collect(), key=lambda r: r.doc_id)] == ["mit"] * 6 + ["zlib", "x11"]
+
+
+def test_wording_is_found_without_names(spark):
+    """Every written-out rule finds its own shortest form, through gates and keywords."""
+    plain = lambda p: min(strings_of(p.replace("(?:[^ ]+ ){1,12}", "acme ").replace("(?:[^ ]+ ){0,4}", "")), key=len)
+    texts = [plain(r[3]) for r in licenses.WORDING]
+    assert all(r[2] in f" {x} " for r, x in zip(licenses.WORDING, texts))
+    out = sorted(licenses.scan(frame(spark, [f"x {t.upper()}, y" for t in texts])).collect(), key=lambda r: r.doc_id)
+    for rule, t, r in zip(licenses.WORDING, texts, out):
+        assert rule[1] in r.labels.split(","), (rule[0], t, r.labels)
+
+
+def test_rules_equal_brute_force(spark):
+    """Labels and score by Python's re over every rule, with the suppression written as its definition."""
+    rng = random.Random(15)
+    parts = ["released under the mit license", "licensed under the apache license version 2 0", "gnu general public license version 3", "all rights reserved", "cc by nc sa 4 0 license", "see the bsd 3 clause license", "spdx license identifier mpl 2 0", "the quick brown fox", "und mit der", "creativecommons org licenses by nc sa 4 0", "subject to the", "gplv2", "dual licensed under the mit"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(60)] + ODD
+    out = sorted(licenses.scan(frame(spark, texts)).collect(), key=lambda r: r.doc_id)
+    for t, r in zip(texts, out):
+        w = " ".join(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")))
+        hits = [(m.start(), -m.end(), p, rule, label, c) for rule, label, _, _, pattern, p, c in licenses.rules() for m in re.finditer(pattern, w)] if len(w) < 10_000 else []
+        kept = []
+        for h in sorted(hits):
+            if not any(k[2] <= h[2] and k[0] <= h[0] and k[1] <= h[1] for k in kept):
+                kept.append(h)
+        assert {k[4] for k in kept} | set(filter(None, r.base_labels.split(","))) == set(filter(None, r.labels.split(","))), t
+        assert r.score == max([k[5] for k in kept] + [1.0 if r.n_base else 0.0])
+
+
 def test_licenses_with_glued_versions(spark):
     texts = ["Released under GPLv3.", "Distributed under the terms of the GPLv3", "This file is available under GPL3 terms", "Published under LGPLv3", "provided under the AGPL3", "see the gplv2"]
     out = sorted(licenses.scan(frame(spark, texts)).collect(), key=lambda r: r.doc_id)
