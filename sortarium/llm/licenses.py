@@ -154,6 +154,8 @@ WORDING = (
     ("all rights reserved", "all-rights-reserved", "rights reserved", "all rights reserved", 3, 0.5),
 )
 
+#: Parts of words of which every written-out rule holds one.
+WORDING_GATE = ("licen", "permi", "softwar", "public domain", "publicdomain", "rights reserved", "endorse", "beer", "x consortium", "written agreement", "just do what", "affirmer")
 #: Words without one of which no rule can match: the names' longer keywords, and what every way needs.
 GATE = ("licen", "lizenz", " spdx ", " under ", " subject ", " notice ", " terms ", " accept ", " see ", " read ", " dual ")
 NEEDS = "(?:^| )(?:licensed|licen[cs]e|licencia|licenza|lizenz|spdx|[al]?gpl(?:v?[23]|v|version)?|gnu|mit|bsd|apache|mozilla|mpl|cc|cc0|creative|gfdl|eclipse|epl|cddl|isc|x11|0bsd|asl|pddl|odbl|unlicense|zlib|bsl|busl|boost|business|artistic|psf|python|wtfpl|ofl|sil|eupl|ms|microsoft|sspl|upl|universal|european|open|ncsa|university|common|server|elastic|php|ruby|openssl|postgresql|do|zero|new|revised|modified|three|two|four|simplified|freebsd|original)(?: |$)"
@@ -208,11 +210,15 @@ def detections(docs: DataFrame, words: str) -> DataFrame:
     parts = lambda n, v: F.array(*map(F.lit, v.split("|"))) if n in ("keyword", "own") else F.lit(v)
     table = F.array(*[F.struct(*[parts(n, v).alias(n) for n, v in zip(("rule", "label", "keyword", "own", "pattern", "priority", "confidence"), r)]) for r in rules()])
     text = F.replace(F.trim(F.col(words)), F.lit("  "), F.lit(" "))
-    worded = sorted({r[2].replace(" ", "  ") for r in WORDING if not any(g.strip() in r[2] for g in ("licen",))})
-    named = reduce(Column.__or__, [F.contains(words, F.lit(g)) for g in GATE]) & F.col(words).rlike(NEEDS)
-    df = docs.withColumn("plain", F.when(reduce(Column.__or__, [F.contains(words, F.lit(g)) for g in worded]) | named, text).otherwise(F.lit("")))
+    any_of = lambda parts: reduce(Column.__or__, [F.contains(words, F.lit(x.replace(" ", "  ") if x.strip() == x else x)) for x in parts])
+    worded = any_of(WORDING_GATE) & any_of(sorted({r[2] for r in WORDING}))
+    df = docs.withColumn("plain", F.when(worded | (any_of(GATE) & F.col(words).rlike(NEEDS)), text).otherwise(F.lit("")))
+    keywords = sorted({k for r in rules() for part in r[2:4] for k in part.split("|")})
+    df = df.withColumn("keywords", F.array(*map(F.lit, keywords)))
+    # The keywords that a text holds are found once; transform() over an array of one is what binds them.
     matched = """
-      flatten(transform(filter(rules, r -> exists(r.own, k -> contains(plain, k)) AND exists(r.keyword, k -> contains(plain, k)) AND plain RLIKE r.pattern), r ->
+      element_at(transform(array(filter(keywords, k -> contains(plain, k))), present ->
+      flatten(transform(filter(rules, r -> arrays_overlap(r.own, present) AND arrays_overlap(r.keyword, present) AND plain RLIKE r.pattern), r ->
         transform(
           aggregate(
             zip_with(regexp_extract_all(plain, r.pattern, 0), slice(split(plain, r.pattern, -1), 1, size(regexp_extract_all(plain, r.pattern, 0))), (h, g) -> named_struct('hit', h, 'gap', g)),
@@ -220,10 +226,10 @@ def detections(docs: DataFrame, words: str) -> DataFrame:
             (acc, x) -> named_struct('at', acc.at + length(x.gap) + length(x.hit),
                                      'spans', array_append(acc.spans, named_struct('start', acc.at + length(x.gap), 'stop', acc.at + length(x.gap) + length(x.hit)))),
             acc -> acc.spans),
-          s -> named_struct('start', s.start, 'order', -s.stop, 'priority', r.priority, 'rule', r.rule, 'label', r.label, 'confidence', r.confidence, 'stop', s.stop))))
+          s -> named_struct('start', s.start, 'order', -s.stop, 'priority', r.priority, 'rule', r.rule, 'label', r.label, 'confidence', r.confidence, 'stop', s.stop))))), 1)
     """
     none = "CAST(array() AS array<struct<start: int, order: int, priority: int, rule: string, label: string, confidence: double, stop: int>>)"
-    return df.withColumn("rules", table).withColumn("found", F.expr(f"CASE WHEN plain = '' THEN {none} ELSE array_sort({matched}) END")).drop("rules", "plain")
+    return df.withColumn("rules", table).withColumn("found", F.expr(f"CASE WHEN plain = '' THEN {none} ELSE array_sort({matched}) END")).drop("rules", "plain", "keywords")
 
 
 def kept(found: str = "found") -> Column:
@@ -238,9 +244,11 @@ def kept(found: str = "found") -> Column:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs and n_words, n_base, first_word, last_word, base_labels, labels, licenses (the kept detections), score."""
-    df = base(docs.withColumn("_words", words(text)), "_words")
+    aside = {c: f"own {c}" for c in docs.columns if c.lower() in ("_words", "found", "base_found", "rules", "plain", "keywords")}
+    docs = docs.withColumnsRenamed(aside)
+    df = base(docs.withColumn("_words", words(aside.get(text, text))), "_words")
     df = detections(df, "_words").withColumn("licenses", kept())
     join = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     score = F.greatest(F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.lit(0.0)), F.coalesce(F.array_max(F.col("licenses.confidence")), F.lit(0.0)))
     df = df.withColumns({"base_labels": join(F.col("base_found")), "labels": join(F.concat(F.col("base_found"), F.col("licenses.label"))), "score": score})
-    return df.drop("_words", "found", "base_found")
+    return df.drop("_words", "found", "base_found").withColumnsRenamed({v: k for k, v in aside.items()})

@@ -555,11 +555,18 @@ def test_words_of_other_languages_are_no_licenses(spark):
     assert [r.labels for r in sorted(licenses.scan(frame(spark, good)).collect(), key=lambda r: r.doc_id)] == ["mit"] * 6 + ["zlib", "x11"]
 
 
+def test_license_columns_that_clash_or_repeat(spark):
+    docs = frame(spark, ["Released under the MIT License.", None, "Released under the MIT License."]).withColumns({c: F.lit(f"my {c}") for c in ("plain", "rules", "found", "keywords", "labels", "n_words")})
+    out = licenses.scan(docs).orderBy("doc_id").collect()
+    assert [(r.plain, r.rules, r.found, r.keywords, r.labels, r.n_words) for r in out] == [("my plain", "my rules", "my found", "my keywords", x, n) for x, n in (("mit", 5), ("", 0), ("mit", 5))]
+    assert licenses.scan(docs.limit(0)).count() == 0
+
+
 def test_wording_is_found_without_names(spark):
     """Every written-out rule finds its own shortest form, through gates and keywords."""
     plain = lambda p: min(strings_of(p.replace("(?:[^ ]+ ){1,12}", "acme ").replace("(?:[^ ]+ ){0,4}", "")), key=len)
     texts = [plain(r[3]) for r in licenses.WORDING]
-    assert all(r[2] in f" {x} " for r, x in zip(licenses.WORDING, texts))
+    assert all(r[2] in f" {x} " and any(g in x for g in licenses.WORDING_GATE) for r, x in zip(licenses.WORDING, texts))
     out = sorted(licenses.scan(frame(spark, [f"x {t.upper()}, y" for t in texts])).collect(), key=lambda r: r.doc_id)
     for rule, t, r in zip(licenses.WORDING, texts, out):
         assert rule[1] in r.labels.split(","), (rule[0], t, r.labels)
