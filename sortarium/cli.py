@@ -5,8 +5,10 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from functools import reduce
 from pathlib import Path
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sortarium import generate, reporting, review, session, taxonomy
@@ -44,7 +46,12 @@ def cmd_taxonomy(a, spark, tax):
 
 
 def cmd_generate(a, spark, tax):
-    docs = generate.templates(spark, tax, a.per_class, a.seed)
+    if a.mode == "curated":
+        docs = generate.curated(spark, tax, a.corpus, a.hard_only, a.noise_ratio, a.seed)
+    elif a.mode == "model":
+        docs = generate.by_model(spark, tax, gateway.HttpClient(a.gateway), a.model, a.per_class)
+    else:
+        docs = generate.templates(spark, tax, a.per_class, a.seed, a.hard_ratio, a.noise_ratio)
     (io.save_as_files if a.files else io.write_jsonl)(docs, a.out)
 
 
@@ -118,7 +125,27 @@ def cmd_threshold(a, spark, tax):
 
 
 def cmd_batch(a, spark, tax):
-    raise SystemExit("batches need a port of a hosted service: use sortarium.operators.gateway.Batches")
+    made, _ = _classifier(a, tax, spark)
+    batches = gateway.Batches(made, gateway.HttpBatches(gateway.HttpClient(a.gateway), a.model))
+    if a.what == "submit":
+        ids = batches.submit(_limited(io.read_documents(spark, a.path), a.limit))
+        Path(a.out).write_text(json.dumps(ids), encoding="utf-8")
+        return _say("\n".join(ids))
+    ids = json.loads(Path(a.path).read_text(encoding="utf-8"))
+    if waiting := [i for i in ids if batches.port.status(i) != "ended"]:
+        raise ValueError(f"not ended yet: {', '.join(waiting)}")
+    done = [batches.collect(i, spark) for i in ids]
+    io.write_jsonl(reduce(DataFrame.unionByName, (good for good, _ in done)), a.out)
+    if failed := [r for _, bad in done for r in bad.collect()]:
+        _warn("without a prediction: " + "; ".join(f"{r.doc_id} ({r.error})" for r in failed))
+
+
+def cmd_difficulty(a, spark, tax):
+    train = generate.templates(spark, tax, a.per_class, a.seed)
+    sets = {"templates": generate.templates(spark, tax, a.per_class, a.seed + 1)}
+    if a.corpus:
+        sets |= {"curated": generate.curated(spark, tax, a.corpus), "curated, hard": generate.curated(spark, tax, a.corpus, hard_only=True)}
+    _say(reporting.formatted(evaluate.difficulty(baseline.Baseline(), train, sets, tax.dimension(spark))))
 
 
 def cmd_label(a, spark, tax):
@@ -181,12 +208,13 @@ def parser() -> argparse.ArgumentParser:
     n = lambda default: {"type": int, "default": default}
     x = lambda default: {"type": float, "default": default}
     add("taxonomy", cmd_taxonomy)
-    add("generate", cmd_generate, ("out", {}), ("--per-class", n(20)), ("--seed", n(7)), ("--files", {"action": "store_true"}))
+    add("generate", cmd_generate, ("out", {}), ("--mode", {"choices": ("templates", "curated", "model"), "default": "templates"}), ("--per-class", n(20)), ("--seed", n(7)), ("--hard-ratio", x(generate.HARD_RATIO)), ("--noise-ratio", x(generate.NOISE_RATIO)), ("--corpus", {}), ("--hard-only", {"action": "store_true"}), ("--gateway", {"default": "http://127.0.0.1:8000/v1"}), ("--model", {"default": ""}), ("--files", {"action": "store_true"}))
+    add("difficulty", cmd_difficulty, ("--corpus", {}), ("--per-class", n(20)), ("--seed", n(7)))
     add("classify", cmd_classify, ("path", {}), ("out", {}), ("--limit", n(0)), model=True)
     add("train-baseline", cmd_train, ("path", {}), ("out", {}))
     add("evaluate", cmd_evaluate, ("docs", {}), ("predictions", {}), ("--out", {}))
     add("threshold", cmd_threshold, ("docs", {}), ("predictions", {}), ("--target", x(0.95)), ("--misroute", x(20.0)), ("--review", x(1.0)), ("--mode", {"choices": ("target", "cost"), "default": "target"}), ("--per-class", {"action": "store_true"}), ("--out", {}))
-    add("batch", cmd_batch, ("what", {"choices": ("submit", "collect")}))
+    add("batch", cmd_batch, ("what", {"choices": ("submit", "collect")}), ("path", {}), ("out", {}), ("--limit", n(0)), model=True)
     add("label", cmd_label, ("what", {"choices": ("prelabel", "review", "status", "export")}), ("log", {}), ("--path", {}), ("--out", {}), ("--size", n(50)), ("--random-ratio", x(0.2)), ("--cap", {"type": int}), ("--reviewer", {"default": "reviewer"}), ("--port", n(8765)), model=True)
     add("prompt", cmd_prompt, ("what", {"choices": ("build", "show")}), ("out", {}), ("--log", {}), ("--path", {}), ("--per-class", n(1)), ("--max-examples", n(20)))
     add("local", cmd_local, ("what", {"choices": ("check",)}), ("--gateway", {"default": "http://127.0.0.1:8000/v1"}), ("--model", {"default": ""}))

@@ -84,6 +84,11 @@ RULES = (
 )
 
 
+def bound(value: Column, then) -> Column:
+    """then(value) with value computed once, however often `then` names it."""
+    return F.element_at(F.transform(F.array(value), lambda x: then(x)), 1)
+
+
 def masked(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """Identifiers replaced by their placeholders, rule by rule; rules whose gate doesn't open are not tried.
 
@@ -92,13 +97,17 @@ def masked(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """
     out = text
     for gate in dict.fromkeys(r.gate for r in rules):
-        before = out
-        for rule in (r for r in rules if r.gate == gate):
-            out = F.regexp_replace(out, rule.pattern, rule.placeholder)
-        out = F.when(before.rlike(gate), out).otherwise(before)
+        group = [r for r in rules if r.gate == gate]
+        out = bound(out, lambda before, gate=gate, group=group: F.when(before.rlike(gate), _replaced(before, group)).otherwise(before))
     return out
 
 
+def _replaced(text: Column, rules: list[Rule]) -> Column:
+    for rule in rules:
+        text = F.regexp_replace(text, rule.pattern, rule.placeholder)
+    return text
+
+
 def mask_counts(text: Column, rules: tuple[Rule, ...] = RULES) -> dict[str, Column]:
     """How often each rule hits, counted on the text that the rules before it have masked."""
     out = {}
@@ -120,24 +129,25 @@ def summarize(counts: Column) -> Column:
     return F.when(F.size(counts) == 0, F.lit("no identifiers found")).otherwise(F.array_join(parts, ", "))
 
 
+#: Sizes and strings of a prepared text.
 MAX_CHARS, HEAD_CHARS, TAIL_CHARS = 24_000, 16_000, 4_000
-EMPTY = "[الوثيقة فارغة أو تعذ\u0651رت قراءتها]"
+EMPTY = "[الوثيقة فارغة أو تعذّرت قراءتها]"
 
 
-def head_and_tail(text: Column) -> Column:
+def head_and_tail(text: Column, most: int = MAX_CHARS) -> Column:
+    """Texts over `most` characters without their middle; the note says how much that was."""
     gone = (F.length(text) - HEAD_CHARS - TAIL_CHARS).cast("string")
-    cut = F.concat(F.substring(text, 1, HEAD_CHARS), F.lit("\n\n[... ح\u064fذف "), gone, F.lit(" حرفا\u064b من وسط الوثيقة ...]\n\n"), F.right(text, F.lit(TAIL_CHARS)))
-    return F.when(F.length(text) > MAX_CHARS, cut).otherwise(text)
+    cut = F.concat(F.substring(text, 1, HEAD_CHARS), F.lit("\n\n[... حُذف "), gone, F.lit(" حرفاً من وسط الوثيقة ...]\n\n"), F.right(text, F.lit(TAIL_CHARS)))
+    return F.when(F.length(text) > most, cut).otherwise(text)
 
 
 def prepared(text: Column, redact: bool = True) -> Column:
     """What a request may hold of a text: stripped, masked, and then cut, so that no identifier survives a cut."""
-    bare = strip(F.coalesce(text, F.lit("")))
-    return F.when(bare == "", F.lit(EMPTY)).otherwise(head_and_tail(masked(bare) if redact else bare))
+    return bound(strip(F.coalesce(text, F.lit(""))), lambda bare: F.when(bare == "", F.lit(EMPTY)).otherwise(bound(masked(bare) if redact else bare, head_and_tail)))
 
 
 def envelope(text: Column, source: Column, pages: Column, redact: bool = True) -> Column:
-    origin = F.when(source == "digital", F.lit("نص رقمي")).otherwise(F.lit("نص مستخرج ضوئيا\u064b (قد يحتوي أخطاء)"))
+    origin = F.when(source == "digital", F.lit("نص رقمي")).otherwise(F.lit("نص مستخرج ضوئياً (قد يحتوي أخطاء)"))
     return F.concat(
         F.lit("مصدر النص: "), origin, F.lit("\nعدد الصفحات: "), pages.cast("string"), F.lit("\n--- بداية الوثيقة ---\n"), prepared(text, redact), F.lit("\n--- نهاية الوثيقة ---")
     )

@@ -17,9 +17,9 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def truth_of(docs: DataFrame, label: str = "true_label", order: str | None = None) -> DataFrame:
-    """(doc_id, gold) of labelled documents; with an order column the last row of a document counts."""
+    """(doc_id, gold) of labelled documents; a document's last row counts, by an order column or as the rows are read."""
     rows = docs.where(F.col(label).isNotNull() & (F.col(label) != "")).select("doc_id", F.col(label).alias("gold"), *([order] if order else []))
-    return last_of_each(rows, "doc_id", order).select("doc_id", "gold") if order else rows.groupBy("doc_id").agg(F.last("gold").alias("gold"))
+    return last_of_each(rows, "doc_id", order).select("doc_id", "gold")
 
 
 def scored(truth: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -110,3 +110,13 @@ def compare_runs(runs: DataFrame) -> DataFrame:
     return runs.groupBy("tag").agg(
         F.count_if(ok).alias("n"), ratio(F.count_if(hit), F.count_if(ok)).alias("accuracy"), F.count_if(hard).alias("n_hard"), ratio(F.count_if(hard & hit), F.count_if(hard)).alias("hard_accuracy"), F.count_if(~ok).alias("errors")
     )
+
+
+def difficulty(model, train: DataFrame, sets: dict[str, DataFrame], dimension: DataFrame) -> DataFrame:
+    """(set, total, accuracy, macro_f1) of a model fitted to train (doc_id, text, true_label) on each labelled set, in their order."""
+    fitted, out = model.fit(train), None
+    for k, (name, docs) in enumerate(sets.items()):
+        rows = scored(truth_of(docs), fitted.predict(docs))
+        one = summary(rows).crossJoin(macro_f1(per_class(rows, dimension))).select(F.lit(k).alias("k"), F.lit(name).alias("set"), "total", "accuracy", "macro_f1")
+        out = one if out is None else out.unionByName(one)
+    return out.orderBy("k").drop("k")

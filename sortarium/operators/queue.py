@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,8 @@ from sortarium.operators import vectors
 
 @dataclass(frozen=True)
 class Weights:
+    """What the signs of doubt add to a score."""
+
     uncertainty: float = 1.0
     margin: float = 0.8
     confusion_pair: float = 0.6
@@ -22,6 +25,7 @@ class Weights:
     redundancy_penalty: float = 1.5
 
 
+#: The reasons that a queue shows, here and in priority().
 RANDOM_REASON, DIVERSITY_REASON, NO_PREDICTION = "عينة عشوائية", "مختار لتنويع الدفعة", "بلا تنبؤ"
 
 
@@ -64,23 +68,42 @@ def random_lane(rows: DataFrame, n: int, order: Column | None = None, seed: int
     return rows.orderBy(F.xxhash64(F.lit(seed), "doc_id") if order is None else order, "doc_id").limit(n)
 
 
-def greedy(candidates: pd.DataFrame, similar: np.ndarray | None, size: int, cap: int | None, penalty: float) -> list[int]:
-    """Places chosen one by one: highest score less the penalised similarity to what is chosen; ties to the earlier.
+def greedy(candidates: Iterator[tuple], size: int, cap: int | None, penalty: float, least: float) -> list:
+    """Ids chosen one by one: highest score less the penalised similarity to what is chosen; ties to the earlier.
 
-    A class (column label) that has had `cap` picks takes no more; its further picks are passed over.
+    candidates (id, score, label, vector) come by score, highest first, and are drawn only while one that hasn't
+    been drawn could still win. Similarities only grow, so a value is brought up to date when it comes out on top:
+    vectors meet one by one, and there is no matrix. A class that has had `cap` picks takes no more.
     """
-    score = candidates["score"].to_numpy(float)
-    open_, near, taken, used = np.ones(len(score), bool), np.zeros(len(score)), [], {}
-    labels = candidates["label"].tolist()
-    while open_.any() and len(taken) < size:
-        value = np.where(open_, score - (penalty * near if taken and similar is not None else 0), -np.inf)
-        i = int(value.argmax())
-        open_[i] = False
-        if cap is not None and used.get(labels[i], 0) >= cap:
+    taken, chosen, used, heap, drawn = [], [], {}, [], []
+    upcoming = next(candidates, None)
+    # Before its first comparison a candidate's value is bounded by the least similarity.
+    bound = lambda score: score - (penalty * least if chosen else 0.0)
+    while len(taken) < size:
+        while upcoming is not None and (not heap or bound(upcoming[1]) >= -heap[0][0]):
+            heapq.heappush(heap, (-bound(upcoming[1]), len(drawn), 0))
+            drawn.append([*upcoming, least])
+            upcoming = next(candidates, None)
+        if not heap:
+            break
+        _, place, met = heapq.heappop(heap)
+        name, score, label, vector, near = drawn[place]
+        if cap is not None and used.get(label, 0) >= cap:
+            drawn[place] = None
+            continue
+        if met < len(chosen):
+            near = max([near, *(vectors.cosine(vector, c) for c in chosen[met:])])
+            drawn[place][4] = near
+            heapq.heappush(heap, (-(score - penalty * near), place, len(chosen)))
             continue
-        used[labels[i]] = used.get(labels[i], 0) + 1
-        near = np.maximum(near, similar[i]) if taken and similar is not None else similar[i].astype(float) if similar is not None else near
-        taken.append(i)
+        if not chosen and heap:
+            # The first pick has no similarities yet; what is left is bounded anew.
+            heap = [(k - (-penalty * least), p, 0) for k, p, _ in heap]
+            heapq.heapify(heap)
+        used[label] = used.get(label, 0) + 1
+        taken.append(name)
+        chosen.append(vector)
+        drawn[place] = None
     return taken
 
 
@@ -103,8 +126,8 @@ def prefix(rows: DataFrame, size: int, cap: int | None, penalty: float, least: f
 def diverse(rows: DataFrame, size: int, cap: int | None = None, penalty: float = 1.5, text: str | None = "text", vector: str | None = None) -> DataFrame:
     """(doc_id, pick) of the greedy choice over rows (doc_id, score, label and a text or a vector column).
 
-    Inverse document frequencies of the grams come from all rows; only rows that can be chosen meet in
-    one task, which is where the choice is made.
+    Inverse document frequencies of the grams come from all rows; only rows that can be chosen go to one
+    task, which draws them by score and holds no more of them than could still win.
     """
     if vector is None:
         rows = vectors.gram_vectors(rows, text)
@@ -113,29 +136,38 @@ def diverse(rows: DataFrame, size: int, cap: int | None = None, penalty: float =
         rows = rows.withColumn("_vector", F.col(vector))
         reach = prefix(rows, size, cap, penalty, least=-1.0)
 
+    least = 0.0 if vector is None else -1.0
+
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = list(batches)
-        if frames:
-            pdf = pd.concat(frames, ignore_index=True).sort_values(["score", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-            similar = vectors.cosines(pdf["_vector"].tolist())
-            taken = greedy(pdf, similar, size, cap, penalty)
-            yield pd.DataFrame({"doc_id": pdf.doc_id.iloc[taken].to_numpy(), "pick": np.arange(1, len(taken) + 1, dtype=np.int32)})
+        rows = ((d, float(s), x, vectors.unit(v)) for batch in batches for d, s, x, v in zip(batch.doc_id, batch.score, batch.label, batch._vector))
+        taken = greedy(rows, size, cap, penalty, least)
+        if taken:
+            yield pd.DataFrame({"doc_id": taken, "pick": np.arange(1, len(taken) + 1, dtype=np.int32)})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return reach.select("doc_id", "score", "label", "_vector").repartition(1).mapInPandas(choose, f"doc_id {kind}, pick int")
+    lined = reach.select("doc_id", "score", "label", "_vector").repartition(1).sortWithinPartitions(F.desc("score"), "doc_id")
+    return lined.mapInPandas(choose, f"doc_id {kind}, pick int")
+
 
+def _picked(rest: DataFrame, size: int, cap: int | None, penalty: float) -> DataFrame:
+    """diverse(); without a penalty similarities don't matter, so no vectors are made."""
+    return diverse(rest, size, cap, penalty) if penalty else diverse(rest.withColumn("_none", F.array().cast("array<double>")), size, cap, 0.0, vector="_none")
 
-def build_queue(docs: DataFrame, predictions: DataFrame, baseline: DataFrame | None, decided: DataFrame, pairs: DataFrame, size: int = 50, random_ratio: float = 0.2, cap: int | None = None, w: Weights = Weights(), seed: int = 7) -> DataFrame:
-    """The batch in its shuffled order (column position): the random lane and the priority lane of documents not yet decided."""
+
+def build_queue(docs: DataFrame, predictions: DataFrame, baseline: DataFrame | None, decided: DataFrame, pairs: DataFrame, size: int = 50, random_ratio: float = 0.2, cap: int | None = None, w: Weights = Weights(), seed: int = 7, order: Column | None = None) -> DataFrame:
+    """The batch in its shuffled order (column position): the random lane and the priority lane of documents not yet decided.
+
+    order replaces the hashes of the ids that draw the random lane and shuffle the batch.
+    """
     base = (baseline if baseline is not None else predictions.limit(0)).select("doc_id", F.col("institution_id").alias("baseline_label"))
     free = pool(docs, decided)
     known = predictions.select("doc_id", "institution_id", "confidence", "rationale_ar", "alternatives", "backend")
     rows = free.join(known, "doc_id", "left").join(base, "doc_id", "left")
-    lucky = random_lane(free.select("doc_id"), lane_size(size, random_ratio, free.count()), seed=seed)
+    lucky = random_lane(free.select("doc_id"), lane_size(size, random_ratio, free.count()), order, seed)
     lucky = lucky.withColumn("lane", F.lit("random"))
     n = lucky.count()
     rest = priority(rows.join(lucky.select("doc_id"), "doc_id", "left_anti"), pairs, w).withColumn("label", F.coalesce("institution_id", F.lit("?")))
-    picks = diverse(rest, size - n, cap, w.redundancy_penalty) if size > n else rest.select("doc_id").limit(0).withColumn("pick", F.lit(0))
+    picks = _picked(rest, size - n, cap, w.redundancy_penalty) if size > n else rest.select("doc_id").limit(0).withColumn("pick", F.lit(0))
     first = rest.join(picks, "doc_id").withColumn("reasons", F.when((F.size("reasons") == 0) & (F.col("pick") > 1), F.array(F.lit(DIVERSITY_REASON))).otherwise(F.col("reasons"))).withColumn("lane", F.lit("priority"))
     drawn = rows.join(lucky, "doc_id").withColumns({"score": F.lit(0.0), "reasons": F.array(F.lit(RANDOM_REASON))})
     both = drawn.unionByName(first.drop("label", "pick"), allowMissingColumns=True)
@@ -143,7 +175,7 @@ def build_queue(docs: DataFrame, predictions: DataFrame, baseline: DataFrame | N
         "doc_id", "text", "lane", F.bround("score", 4).alias("score"), "reasons", F.col("institution_id").alias("model_label"), F.col("confidence").alias("model_confidence"), F.col("backend").alias("model_backend"),
         F.coalesce("rationale_ar", F.lit("")).alias("model_rationale_ar"), F.coalesce(F.transform("alternatives", lambda a: a["institution_id"]), F.array().cast("array<string>")).alias("alternatives"), "baseline_label", "path", "source",
     )
-    return items.withColumn("position", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")))
+    return items.withColumn("position", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id") if order is None else order, "doc_id")))
 
 
 #: What a reviewer of the random lane must not see, and what is shown instead.

@@ -72,18 +72,23 @@ def formatted(df: DataFrame, limit: int = 100) -> str:
 
 
 def corpus_viewer(docs: DataFrame, limit: int = 5000) -> str:
-    """A page that shows a corpus and filters it by label, difficulty and term; data is escaped, never markup."""
+    """A page that shows a corpus and filters it by label, difficulty, pair and term; data is escaped, never markup.
+
+    docs is (doc_id, text, label, difficulty[, pair]). A page holds `limit` rows, by id, and says how many there are.
+    """
     import html
     import json
 
-    rows = [r.asDict() for r in docs.select("doc_id", "text", "label", "difficulty").limit(limit).collect()]
+    pair = F.col("pair") if "pair" in docs.columns else F.lit(None).cast("string")
+    rows = [r.asDict() for r in docs.select("doc_id", "text", "label", "difficulty", pair.alias("pair")).orderBy("doc_id").limit(limit).collect()]
     data = json.dumps(rows, ensure_ascii=False).replace("<", "\\u003c")
-    stats = html.escape(json.dumps(corpus_stats(docs.select("text", "label", (F.col("difficulty") == "hard").alias("hard"))).first().asDict()))
+    stats = corpus_stats(docs.select("text", "label", (F.col("difficulty") == "hard").alias("hard"))).first().asDict()
+    shown = html.escape(json.dumps(stats | {"shown": len(rows)}))
+    filters = "".join(f"<input id={i} placeholder={name}>" for i, name in (("q", "term"), ("l", "label"), ("d", "difficulty"), ("p", "pair")))
     return (
-        "<!doctype html><meta charset=utf-8><title>corpus</title>"
-        f"<p>{stats}</p><input id=q placeholder=term><input id=l placeholder=label><input id=d placeholder=difficulty><div id=o></div>"
-        f"<script>const D={data},v=i=>document.getElementById(i).value,o=document.getElementById('o');"
-        "function show(){o.textContent='';for(const r of D)if(r.text.includes(v('q'))&&(!v('l')||r.label===v('l'))&&(!v('d')||r.difficulty===v('d')))"
+        f"<!doctype html><meta charset=utf-8><title>corpus</title><p>{shown}</p>{filters}<div id=o></div>"
+        f"<script>const D={data},v=i=>document.getElementById(i).value,o=document.getElementById('o'),same=(i,x)=>!v(i)||x===v(i);"
+        "function show(){o.textContent='';for(const r of D)if((r.text||'').includes(v('q'))&&same('l',r.label)&&same('d',r.difficulty)&&same('p',r.pair))"
         "{const p=document.createElement('pre');p.textContent=`${r.doc_id} [${r.label}]\\n${r.text}`;o.append(p)}}"
-        "for(const i of ['q','l','d'])document.getElementById(i).oninput=show;show()</script>"
+        "for(const i of ['q','l','d','p'])document.getElementById(i).oninput=show;show()</script>"
     )

@@ -41,7 +41,7 @@ def prediction_defaults(df: DataFrame) -> DataFrame:
 
 
 def last_of_each(df: DataFrame, key: str = "doc_id", order: str | None = None) -> DataFrame:
-    """The last row of each key, by an order column where there is one; a hash aggregation, not a sort."""
-    order_by = F.col(order) if order else F.monotonically_increasing_id()
+    """The last row of each key, by an order column or else as the rows are read; a hash aggregation, not a sort."""
     row = F.struct(*[c for c in df.columns if c != key])
-    return df.groupBy(key).agg(F.max_by(row, order_by).alias("_row")).select(key, "_row.*")
+    numbered = df.withColumn("_seq", F.col(order) if order else F.monotonically_increasing_id())
+    return numbered.groupBy(key).agg(F.max_by(row, "_seq").alias("_row")).select(key, "_row.*")

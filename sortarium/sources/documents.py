@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from sortarium import schemas
 from sortarium.functions import text as T
+from sortarium.operators.gateway import GatewayError
 
 
 class UnsupportedDocument(ValueError):
@@ -60,6 +61,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder, wherever Spark finds it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """The label log; empty where there is none yet."""
     return read_jsonl(spark, path, schemas.LABEL) if exists(spark, path) else spark.createDataFrame([], schemas.LABEL)
@@ -117,11 +124,38 @@ class GatewayOcr:
         parts = [{"type": "image_url", "image_url": {"url": "data:image/png;base64," + base64.b64encode(i).decode()}} for i in images]
         try:
             return self.client.chat(model=self.model, messages=[{"role": "user", "content": [{"type": "text", "text": self.INSTRUCTION}, *parts]}], max_tokens=self.max_tokens)
-        except OSError as e:
+        except (OSError, GatewayError) as e:
+            raise OCRUnavailable(str(e)) from e
+
+
+class HostedOcr:
+    """OCR by a hosted vision service. The client is made when the first image comes, so that no key is needed before.
+
+    The port has create(model=, max_tokens=, messages=) -> {"content": [{"type": "text", "text": ...}, ...]}. A refused
+    key is OCRUnavailable; that the network fails is not, and comes through as it is.
+    """
+
+    name = "hosted"
+
+    def __init__(self, make_client: Callable[[], object] | None = None, model: str = "", max_tokens: int = 4000):
+        self.make_client, self.model, self.max_tokens, self._client = make_client, model, max_tokens, None
+
+    def transcribe(self, images: list[bytes]) -> str:
+        import base64
+
+        if self._client is None:
+            if self.make_client is None:
+                raise OCRUnavailable("no client of a hosted service")
+            self._client = self.make_client()
+        parts = [{"type": "image", "source": {"type": "base64", "media_type": "image/png", "data": base64.b64encode(i).decode()}} for i in images]
+        try:
+            reply = self._client.create(model=self.model, max_tokens=self.max_tokens, messages=[{"role": "user", "content": [*parts, {"type": "text", "text": GatewayOcr.INSTRUCTION}]}])
+        except PermissionError as e:
             raise OCRUnavailable(str(e)) from e
+        return "\n".join(b["text"] for b in reply["content"] if b.get("type") == "text").strip()
 
 
-OCR: dict[str, Callable[..., OcrBackend]] = {"tesseract": Tesseract, "local": Tesseract, "gateway": GatewayOcr}
+OCR: dict[str, Callable[..., OcrBackend]] = {"tesseract": Tesseract, "local": Tesseract, "gateway": GatewayOcr, "hosted": HostedOcr}
 
 
 def ocr_backend(backend) -> OcrBackend | None:
@@ -222,8 +256,7 @@ def read_documents(spark: SparkSession, path: str, ocr=None) -> DataFrame:
     if path.endswith(".jsonl"):
         return read_documents_jsonl(spark, path)
     suffix = re.search(r"(\.[A-Za-z0-9]+)$", path.rsplit("/", 1)[-1])
-    folder = os.path.isdir(path) or not suffix
-    if not folder and suffix[1].lower() not in EXTRACTORS:
+    if not is_folder(spark, path) and suffix and suffix[1].lower() not in EXTRACTORS:
         raise UnsupportedDocument(f"no extractor for {suffix[1]}")
     return read_files(spark, path, ocr)
 
