@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sortarium import reporting, session
 from sortarium.functions import text as T
 from sortarium.operators import classify, evaluate, fewshot, labels, queue, threshold, tiebreak
 from sortarium.plans import inputs
 from sortarium.plans.inputs import SQL, TAXONOMY, table
+from sortarium.sources import documents as io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,7 +34,7 @@ def with_tables(sql: str) -> str:
 
 # --- text ---------------------------------------------------------------------------------------
 
-#: The masking patterns where words are ASCII, as in the driver's tables.
+#: The masking patterns of functions.text where words are ASCII, as in the driver's tables.
 PLAIN = (
     ("email", r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", "[بريد]"),
     ("iban", r"(?i)\bSA\d{22}\b", "[آيبان]"),
@@ -69,7 +71,11 @@ def redact_conversations(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(T.masked(F.col("text")).cast("binary")).alias("masked"))
 
 
-@query()
+_FOUND = ", ".join(f"CASE WHEN n_{n} > 0 THEN '{n}=' || n_{n} END" for n in sorted(n for n, *_ in PLAIN))
+_EACH = ", ".join(f"len(regexp_extract_all({plain_masked('text', PLAIN[:k])}, '{p}')) AS n_{n}" for k, (n, p, _) in enumerate(PLAIN))
+
+
+@query(f"SELECT * FROM (SELECT doc_id, concat_ws(', ', {_FOUND}) AS found FROM (SELECT doc_id, {_EACH} FROM documents)) WHERE found <> ''")
 def redact_summary(spark, sf_dir):
     """Documents with identifiers, and what was found in each, as one line."""
     docs = table(spark, sf_dir, "documents")
@@ -91,22 +97,93 @@ def truncate_envelope(spark, sf_dir):
     return docs.select("doc_id", F.md5(whole.cast("binary")).alias("envelope"), (F.length(T.masked(T.strip(F.col("text")))) > T.MAX_CHARS).alias("cut"))
 
 
-@query("SELECT doc_id, false AS arabic FROM documents")
+_ARABIC = ("abcdefgh", "ابتثجحخد")
+
+
+@query(
+    f"""SELECT doc_id, n > 0 AND len(regexp_extract_all(t, '[\u0621-\u064a]')) >= CAST(0.2 AS DOUBLE) * n AS arabic
+    FROM (SELECT *, len(regexp_extract_all(t, '\\p{{L}}')) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE translate(text, '{_ARABIC[0]}', '{_ARABIC[1]}') END AS t FROM documents))"""
+)
 def arabic_share(spark, sf_dir):
-    """None of the driver's texts is Arabic; the tests hold the rule against others."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.looks_arabic(F.col("text")).alias("arabic"))
+    """Two texts of three have some Latin letters replaced by Arabic ones, which puts their shares on both sides of the threshold."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.translate("text", *_ARABIC))
+    return table(spark, sf_dir, "documents").select("doc_id", T.looks_arabic(text).alias("arabic"))
 
 
-@query()
+def sql_light(column: str) -> str:
+    """light() in DuckDB, for texts that compatibility forms don't occur in."""
+    out = f"nfc_normalize(coalesce({column}, ''))"
+    for pattern, by in (("[\u200b-\u200f\u202a-\u202e\u2066-\u2069\ufeff]", "''"), ("[\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed]", "''"), ("\u0640+", "''"), ("[ \t\u00a0]+", "' '"), ("\n{3,}", "chr(10) || chr(10)")):
+        out = f"regexp_replace({out}, '{pattern}', {by}, 'g')"
+    return sql_strip(f"array_to_string(list_transform(string_split({out}, chr(10)), lambda line: {sql_strip('line')}), chr(10))")
+
+
+_BLANKS = "\\t\\n\\x0b\\x0c\\r\\x1c-\\x20\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def sql_strip(column: str) -> str:
+    return f"regexp_replace({column}, '^[{_BLANKS}]+|[{_BLANKS}]+$', '', 'g')"
+
+
+def sql_aggressive(column: str) -> str:
+    out = f"translate(translate({sql_light(column)}, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789'), 'أإآٱىئیؤةک', 'اااايييوهك')"
+    out = f"regexp_replace({out}, '[^ء-ي0-9a-zA-Z{_BLANKS}]', ' ', 'g')"
+    return sql_strip(f"regexp_replace({out}, '[ \t\u00a0]+', ' ', 'g')")
+
+
+@query(f"SELECT doc_id, md5({sql_light('text')}) AS light FROM documents")
 def nfkc_light(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.light(F.col("text")).cast("binary")).alias("light"))
 
 
-@query()
+@query(f"SELECT doc_id, md5({sql_aggressive('text')}) AS aggressive FROM documents")
 def aggressive_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.aggressive(F.col("text")).cast("binary")).alias("aggressive"))
 
 
+@query(
+    f"""SELECT doc_id, md5(CASE WHEN length(bare) > 700 THEN regexp_replace(substr(m, 1, 700), '[{_BLANKS}]+$', '') || ' …' ELSE m END) AS shown
+    FROM (SELECT doc_id, bare, {plain_masked('bare')} AS m FROM (SELECT doc_id, {sql_strip('text')} AS bare FROM documents))"""
+)
+def example_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.example_text(F.col("text")).cast("binary")).alias("shown"))
+
+
+@query("SELECT doc_id, CAST(quality AS VARCHAR) AS institution_id, CAST(toxic AS DOUBLE) / 4 AS confidence FROM labels")
+def reply_json(spark, sf_dir):
+    """The object in replies that are bare, fenced or wrapped in prose."""
+    body = F.to_json(F.struct(F.col("quality").cast("string").alias("institution_id"), (F.col("toxic") / 4).alias("confidence")))
+    reply = F.when(F.col("doc_id") % 3 == 0, body).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("The answer is "), body, F.lit(" as asked.")))
+    found = T.json_column(reply, "institution_id string, confidence double")
+    return table(spark, sf_dir, "labels").select("doc_id", found["institution_id"].alias("institution_id"), found["confidence"].alias("confidence"))
+
+
+_CLEAN = f"c AS (SELECT item_id, {sql_aggressive('text')} AS t FROM benchmark), w AS (SELECT item_id, unnest(regexp_split_to_array(lower(t), '\\s+')) AS word FROM c)"
+_GRAMS = """g AS (SELECT item_id, substr(' ' || word || ' ', CAST(i AS BIGINT), n) AS gram, count(*) AS tf FROM w, range(3, 6) s(n), LATERAL (SELECT unnest(range(1, length(word) + 4 - n)) AS i) WHERE word <> '' GROUP BY ALL),
+  d AS (SELECT gram, count(*) AS df, sum(tf) AS cf FROM g GROUP BY gram ORDER BY cf DESC, gram LIMIT 50000),
+  x AS (SELECT item_id, gram, tf * (ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + df)) + 1) AS weight FROM g JOIN d USING (gram))"""
+
+
+@query(f"WITH {_CLEAN}, {_GRAMS} SELECT item_id, gram, round(weight / sqrt(sum(weight * weight) OVER (PARTITION BY item_id)), 9) AS weight FROM x")
+def char_tfidf(spark, sf_dir):
+    """Every weight of the vectors that the queue's similarity uses, for the benchmark's texts."""
+    from sortarium.operators import vectors
+
+    rows = vectors.gram_vectors(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), "text")
+    return rows.select(F.col("doc_id").alias("item_id"), F.explode("_vector").alias("gram", "weight")).withColumn("weight", F.round("weight", 9))
+
+
+@query(
+    f"""WITH {_CLEAN}, l AS (SELECT item_id, regexp_extract_all(lower(t), '\\w\\w+') AS words FROM c)
+    SELECT item_id, gram, count(*) AS n FROM (SELECT item_id, unnest(words) AS gram FROM l UNION ALL SELECT item_id, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) FROM l) GROUP BY ALL"""
+)
+def word_grams(spark, sf_dir):
+    from sortarium.operators import vectors
+
+    docs = table(spark, sf_dir, "benchmark").select("item_id", T.aggressive(F.col("text")).alias("clean"))
+    return docs.select("item_id", F.explode(vectors.word_grams(F.col("clean"), 2)).alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n"))
+
+
 @query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.-]', '_', 'g') AS file_name FROM pages")
 def file_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.file_name(F.col("url")).alias("file_name"))
@@ -115,20 +192,22 @@ def file_names(spark, sf_dir):
 # --- evaluation -----------------------------------------------------------------------------------
 
 
+def joined(spark, sf_dir) -> DataFrame:
+    """Predictions beside the truth of labelled documents, by the operators' own join."""
+    truth = evaluate.truth_of(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang")
+    return evaluate.scored(truth, inputs.predictions(spark, sf_dir))
+
+
 @query(
     with_tables(
         """SELECT count(*) AS total, CAST(sum(hit) AS BIGINT) AS correct, sum(hit) / count(*) AS accuracy, count(*) FILTER (NOT needs_review) AS auto_routed,
         coalesce(sum(hit) FILTER (NOT needs_review) / count(*) FILTER (NOT needs_review), 0) AS auto_accuracy, count(*) FILTER (needs_review) AS held,
-        CAST(coalesce(sum(hit) FILTER (needs_review), 0) AS BIGINT) AS held_correct, coalesce(sum(pm) FILTER (hit = 1) / 1000 / count(*) FILTER (hit = 1), 0) AS mean_confidence_correct,
-        coalesce(sum(pm) FILTER (hit = 0) / 1000 / count(*) FILTER (hit = 0), 0) AS mean_confidence_wrong FROM scored"""
+        CAST(coalesce(sum(hit) FILTER (needs_review), 0) AS BIGINT) AS held_correct, round(coalesce(sum(pm) FILTER (hit = 1) / 1000 / count(*) FILTER (hit = 1), 0), 9) AS mean_confidence_correct,
+        round(coalesce(sum(pm) FILTER (hit = 0) / 1000 / count(*) FILTER (hit = 0), 0), 9) AS mean_confidence_wrong FROM scored"""
     )
 )
 def eval_summary(spark, sf_dir):
-    rows = inputs.scored(spark, sf_dir)
-    hit = F.col("hit") == 1
-    out = evaluate.summary(rows)
-    exact = rows.agg(*[(F.coalesce(F.sum(F.when(c, F.col("pm"))) / 1000 / F.count_if(c), F.lit(0.0))).alias(n) for n, c in (("mean_confidence_correct", hit), ("mean_confidence_wrong", ~hit))])
-    return out.drop("mean_confidence_correct", "mean_confidence_wrong").crossJoin(exact)
+    return evaluate.summary(joined(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("mean_confidence_correct", "mean_confidence_wrong")})
 
 
 _CLASS = """x AS (SELECT institution_id, ord, (SELECT count(*) FROM scored WHERE gold = institution_id AND hit = 1) AS tp, (SELECT count(*) FROM scored WHERE pred = institution_id AND hit = 0) AS fp,
@@ -138,12 +217,12 @@ y AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CAS
 
 @query(with_tables(_CLASS + " SELECT institution_id, ord, tp, fp, fn, support, p AS precision, r AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM y"))
 def eval_per_class(spark, sf_dir):
-    return evaluate.per_class(inputs.scored(spark, sf_dir), TAXONOMY.dimension(spark))
+    return evaluate.per_class(joined(spark, sf_dir), TAXONOMY.dimension(spark))
 
 
 @query(with_tables(_CLASS + " SELECT round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END), 9) AS macro_f1 FROM y WHERE support > 0"))
 def eval_macro_f1(spark, sf_dir):
-    return evaluate.macro_f1(evaluate.per_class(inputs.scored(spark, sf_dir), TAXONOMY.dimension(spark))).select(F.round("macro_f1", 9).alias("macro_f1"))
+    return evaluate.macro_f1(evaluate.per_class(joined(spark, sf_dir), TAXONOMY.dimension(spark))).select(F.round("macro_f1", 9).alias("macro_f1"))
 
 
 _CELLS = "x AS (SELECT gold, predicted, CAST(sum(n) AS BIGINT) AS n FROM (SELECT gold, pred AS predicted, count(*) AS n FROM scored GROUP BY ALL UNION ALL SELECT a, b, 0 FROM pairs UNION ALL SELECT b, a, 0 FROM pairs) GROUP BY ALL)"
@@ -151,18 +230,18 @@ _CELLS = "x AS (SELECT gold, predicted, CAST(sum(n) AS BIGINT) AS n FROM (SELECT
 
 @query(with_tables(_CELLS + " SELECT * FROM x"))
 def eval_confusion(spark, sf_dir):
-    return evaluate.confusion(inputs.scored(spark, sf_dir), TAXONOMY.pairs(spark))
+    return evaluate.confusion(joined(spark, sf_dir), TAXONOMY.pairs(spark))
 
 
 @query(with_tables(_CELLS + " SELECT a || ' <-> ' || b AS pair, CAST(sum(n) AS BIGINT) AS errors FROM pairs JOIN x ON (gold = a AND predicted = b) OR (gold = b AND predicted = a) GROUP BY ALL"))
 def eval_pair_errors(spark, sf_dir):
     pairs = TAXONOMY.pairs(spark)
-    return evaluate.pair_errors(evaluate.confusion(inputs.scored(spark, sf_dir), pairs), pairs)
+    return evaluate.pair_errors(evaluate.confusion(joined(spark, sf_dir), pairs), pairs)
 
 
 @query(with_tables("SELECT gold, pred AS predicted, count(*) AS n FROM scored WHERE hit = 0 GROUP BY ALL"))
 def eval_misroutes(spark, sf_dir):
-    return evaluate.misroutes(inputs.scored(spark, sf_dir))
+    return evaluate.misroutes(joined(spark, sf_dir))
 
 
 @query(with_tables("SELECT (SELECT count(*) FROM labels) AS labelled, (SELECT count(*) FROM scored) AS predicted, (SELECT count(*) FROM scored JOIN labels USING (doc_id)) AS scored"))
@@ -173,10 +252,15 @@ def eval_mismatch(spark, sf_dir):
 
 @query(with_tables("SELECT gold, count(*) AS n, count(*) FILTER (pm % 2 = 0) AS n_hard, sum(hit) / count(*) AS accuracy, sum(hit) FILTER (pm % 2 = 0) / count(*) FILTER (pm % 2 = 0) AS hard_accuracy, CAST(0 AS BIGINT) AS errors FROM scored GROUP BY gold").replace("SELECT gold, count", "SELECT gold AS tag, count"))
 def compare_runs(spark, sf_dir):
-    rows = inputs.scored(spark, sf_dir).select(F.col("gold").alias("tag"), "gold", F.col("institution_id").alias("pred"), (F.col("pm") % 2 == 0).alias("hard"), F.lit(None).cast("string").alias("error"))
+    rows = joined(spark, sf_dir).select(F.col("gold").alias("tag"), "gold", F.col("institution_id").alias("pred"), (F.col("pm") % 2 == 0).alias("hard"), F.lit(None).cast("string").alias("error"))
     return evaluate.compare_runs(rows)
 
 
+@query(with_tables("SELECT 'synthetic' AS backend FROM scored LIMIT 1"))
+def eval_backend(spark, sf_dir):
+    return evaluate.first_backend(joined(spark, sf_dir), "doc_id")
+
+
 # --- thresholds -----------------------------------------------------------------------------------
 
 _SWEEP = """x AS (SELECT threshold, count(*) FILTER (confidence >= threshold) AS auto_routed, CAST(coalesce(sum(hit) FILTER (confidence >= threshold), 0) AS BIGINT) AS auto_correct, count(*) AS total, CAST(sum(hit) AS BIGINT) AS right_total FROM grid CROSS JOIN {rows} GROUP BY threshold),
@@ -335,13 +419,48 @@ def queue_anti(spark, sf_dir):
     return queue.pool(table(spark, sf_dir, "documents").select("doc_id"), labels.decided(labels.current(inputs.label_log(spark, sf_dir))))
 
 
-@query()
+@query(
+    """WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, label, (vec_id * 7919 + 17) % 1001 / 1000.0::DOUBLE * 3 AS score FROM embeddings),
+    r AS (SELECT 0 AS step, vec_id, e, label, score, NULL::DOUBLE AS near, 0 AS pick FROM v
+      UNION ALL SELECT step + 1, vec_id, e, label, score, greatest(coalesce(near, -1), list_cosine_similarity(e, first_e)), CASE WHEN vec_id = first_id THEN step + 1 ELSE pick END
+      FROM (SELECT *, first_value(vec_id) OVER best AS first_id, first_value(e) OVER best AS first_e
+        FROM (SELECT *, pick = 0 AND count(*) FILTER (pick > 0) OVER (PARTITION BY label) < 6 AS free FROM r WHERE step < 20)
+        WINDOW best AS (ORDER BY free DESC, score - CASE WHEN step = 0 THEN 0 ELSE 1.5::DOUBLE * near END DESC, score DESC, vec_id)))
+    SELECT vec_id AS doc_id, CAST(pick AS INTEGER) AS pick FROM r WHERE step = 20 AND pick > 0"""
+)
 def mmr_queue(spark, sf_dir):
     """The 20 vectors of a batch by score less similarity to those chosen; the score follows from the id."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", F.col("label").cast("string").alias("label"), ((F.col("vec_id") * 7919 + 17) % 1001 / 1000.0 * 3).alias("score"))
     return queue.diverse(rows, 20, cap=6, vector="embedding", text=None)
 
 
+_QUEUE = """free AS (SELECT s.* FROM scored s WHERE doc_id NOT IN (SELECT doc_id FROM now)),
+  p AS (SELECT *, 1 - confidence + CAST(0.8 AS DOUBLE) * greatest(0, 1 - (confidence - alt_confidence)) + CASE WHEN EXISTS (SELECT 1 FROM pairs WHERE (a = pred AND b = alt) OR (a = alt AND b = pred)) THEN CAST(0.6 AS DOUBLE) ELSE 0 END AS score FROM free),
+  lucky AS (SELECT *, 'random' AS lane FROM p ORDER BY doc_id * 7919 % 1000003, doc_id LIMIT 10),
+  picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pred ORDER BY score DESC, doc_id) AS k FROM p WHERE doc_id NOT IN (SELECT doc_id FROM lucky)) WHERE k <= 15 ORDER BY score DESC, doc_id LIMIT 40),
+  both_lanes AS (SELECT doc_id, lane, 0.0::DOUBLE AS score, pred, alt, confidence FROM lucky UNION ALL SELECT doc_id, 'priority', score, pred, alt, confidence FROM picked),
+  items AS (SELECT *, CAST(row_number() OVER (ORDER BY doc_id * 7919 % 1000003, doc_id) AS INTEGER) AS position FROM both_lanes)"""
+
+
+def _plain_queue(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast("string").alias("path"), F.lit("plain").alias("source"))
+    done = labels.decided(labels.current(inputs.label_log(spark, sf_dir)))
+    return queue.build_queue(docs, inputs.predictions(spark, sf_dir), None, done, TAXONOMY.pairs(spark), cap=15, w=queue.Weights(redundancy_penalty=0.0), order=F.expr("doc_id * 7919 % 1000003"))
+
+
+@query(with_tables(_QUEUE + " SELECT doc_id, lane, round(score, 3) AS score, pred AS model_label, confidence AS model_confidence, alt AS alternative, position FROM items"))
+def queue_lanes(spark, sf_dir):
+    """Both lanes in their order, with a given order in place of hashes and no penalty for similarity."""
+    return _plain_queue(spark, sf_dir).select("doc_id", "lane", F.round("score", 3).alias("score"), "model_label", "model_confidence", F.col("alternatives")[0].alias("alternative"), "position")
+
+
+@query(with_tables(_QUEUE + " SELECT doc_id, lane, CASE WHEN lane <> 'random' THEN round(score, 3) ELSE 0 END AS score, CASE WHEN lane <> 'random' THEN pred END AS model_label, CASE WHEN lane <> 'random' THEN confidence END AS model_confidence, CASE WHEN lane <> 'random' THEN alt END AS alternative FROM items"))
+def queue_blind(spark, sf_dir):
+    """What a reviewer may see of the same queue."""
+    shown = queue.blind(_plain_queue(spark, sf_dir))
+    return shown.select("doc_id", "lane", F.round("score", 3).alias("score"), "model_label", "model_confidence", F.get("alternatives", F.lit(0)).alias("alternative"))
+
+
 @query()
 def build_queue(spark, sf_dir):
     """The batch of 50 documents to review, both lanes, in its order."""
@@ -363,6 +482,13 @@ def fewshot_selection(spark, sf_dir):
     return out.select("doc_id", "label", "corrected_from")
 
 
+@query(ORACLE_SQL["fewshot_selection"].replace("SELECT doc_id, label, CASE WHEN model_label <> label THEN model_label END AS corrected_from FROM", "SELECT label, count(*) AS n, count(CASE WHEN model_label <> label THEN 1 END) AS corrections FROM") + " GROUP BY label")
+def fewshot_counts(spark, sf_dir):
+    now = labels.current(inputs.label_log(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fewshot.counts(fewshot.select_examples(docs, labels.gold(now), now.select("doc_id", "model_label"), TAXONOMY.dimension(spark), per_class=2, max_examples=12))
+
+
 @query("SELECT DISTINCT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def leakage(spark, sf_dir):
     return fewshot.leakage(table(spark, sf_dir, "labels").where("toxic = 1"), table(spark, sf_dir, "documents"))
@@ -381,6 +507,23 @@ def pair_partner(spark, sf_dir):
     return tiebreak.gated(inputs.predictions(spark, sf_dir), TAXONOMY).select("doc_id", F.when(F.col("adjudicate"), F.col("partner")).alias("partner"))
 
 
+@query(
+    with_tables(
+        """x AS (SELECT pred, alt FROM scored WHERE confidence <= CAST(0.9 AS DOUBLE) AND EXISTS (SELECT 1 FROM pairs WHERE (a = pred AND b = alt) OR (a = alt AND b = pred)))
+        SELECT count(*) AS adjudicated, count(*) FILTER (alt < pred) AS changed FROM x"""
+    )
+)
+def tiebreak_counts(spark, sf_dir):
+    """How many close calls a resolver that takes the first name is asked, and changes."""
+
+    class Given:
+        name = "given"
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decided = tiebreak.TiebreakClassifier(Given, lambda text, a, b: (min(a, b), 1.0, ""), TAXONOMY).resolve(inputs.predictions(spark, sf_dir), docs)
+    return tiebreak.counters(decided)
+
+
 _HITS = ", ".join(f"len(list_filter(regexp_extract_all(lower(text), '{classify.WORD}'), lambda w: w IN {words})) AS {lang}" for lang, words in classify.STOP_WORDS.items())
 _TOTAL = " + ".join(classify.STOP_WORDS)
 
@@ -410,7 +553,115 @@ def tfidf_baseline(spark, sf_dir):
 
 @query("SELECT count(*) AS documents, count(DISTINCT source) AS sources, count(*) FILTER (lang <> 'en') AS hard, CAST(floor(sum(length(text)) / count(*)) AS BIGINT) AS mean_length FROM documents")
 def corpus_stats(spark, sf_dir):
-    from sortarium import reporting
-
     docs = table(spark, sf_dir, "documents")
     return reporting.corpus_stats(docs.select("text", F.col("source").alias("label"), (F.col("lang") != "en").alias("hard"))).select("documents", F.col("labels").alias("sources"), "hard", "mean_length")
+
+
+# --- sources and sinks ----------------------------------------------------------------------------
+
+
+def _written(spark, write) -> str:
+    """The path of what write(path) leaves in a new folder that all executors share."""
+    path = f"{session.scratch_folder(spark)}/rows.jsonl"
+    write(path)
+    return path
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text, 'plain' AS source, 1 AS page_count, lang AS true_label FROM documents")
+def documents_round_trip(spark, sf_dir):
+    """Documents as JSON lines and back, with the defaults that reading fills in."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), "text", F.col("lang").alias("true_label"))
+    back = io.read_documents(spark, _written(spark, lambda path: io.write_jsonl(docs, path)))
+    return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"), "source", "page_count", "true_label")
+
+
+@query(with_tables("SELECT CAST(doc_id AS VARCHAR) AS doc_id, pred AS institution_id, confidence, alt AS alternative, needs_review FROM scored"))
+def predictions_round_trip(spark, sf_dir):
+    rows = inputs.predictions(spark, sf_dir).drop("pm").withColumn("doc_id", F.col("doc_id").cast("string"))
+    back = io.read_predictions(spark, _written(spark, lambda path: io.write_jsonl(rows, path)))
+    return back.select("doc_id", "institution_id", "confidence", F.col("alternatives")[0]["institution_id"].alias("alternative"), "needs_review")
+
+
+@query(with_tables("SELECT CAST(doc_id AS VARCHAR) AS doc_id, label, status, lane, model_label, seconds_spent, reviewer, count(*) AS n FROM log GROUP BY ALL"))
+def label_log_round_trip(spark, sf_dir):
+    """The log appended in two parts and read back; nothing in it is ever changed."""
+    rows = inputs.label_log(spark, sf_dir).drop("seq").withColumn("doc_id", F.col("doc_id").cast("string"))
+
+    def append(path):
+        for part in (rows.where("reviewer = 'r0'"), rows.where("reviewer <> 'r0'")):
+            io.append_labels(part, path)
+
+    back = io.read_labels(spark, _written(spark, append))
+    return back.groupBy("doc_id", "label", "status", "lane", "model_label", "seconds_spent", "reviewer").agg(F.count("*").alias("n"))
+
+
+@query(with_tables(_QUEUE + " SELECT CAST(doc_id AS VARCHAR) AS doc_id, lane, pred AS model_label, [alt] AS alternatives, position FROM items"))
+def queue_round_trip(spark, sf_dir):
+    rows = _plain_queue(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string"))
+    back = io.read_queue(spark, _written(spark, lambda path: io.write_jsonl(rows, path)))
+    return back.select("doc_id", "lane", "model_label", "alternatives", "position")
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5({sql_light('text')}) AS text, 'digital' AS source, lang AS label FROM documents")
+def text_files_round_trip(spark, sf_dir):
+    """One text file a document in a folder for each label, read back through the extractor of its suffix."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), "text", F.col("lang").alias("true_label"))
+    path = _written(spark, lambda path: io.write_text_files(docs, path))
+    back = io.read_files(spark, path)
+    part = lambda name: F.regexp_extract("path", f"{name}=([^/]*)", 1)
+    return back.select(part("name").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text"), "source", part("label").alias("label"))
+
+
+@query("SELECT count(*) FILTER (toxic = 1) AS scanned FROM labels")
+def scanned_count(spark, sf_dir):
+    return io.scanned(table(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 1, "ocr").otherwise("digital").alias("source")))
+
+
+# --- views ----------------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES ('de', 'de', 'de'), ('en', 'en', 'en'), ('es', 'es', 'es'), ('fr', 'fr', 'fr')) t(institution_id, name_ar, name_en)")
+def view_institutions(spark, sf_dir):
+    return reporting.institutions(TAXONOMY, spark)
+
+
+@query(with_tables("SELECT doc_id, pred AS institution, round(confidence, 2) AS confidence, CASE WHEN needs_review THEN 'review' ELSE 'auto' END AS route FROM scored ORDER BY doc_id LIMIT 40"))
+def view_routing(spark, sf_dir):
+    return reporting.routing(inputs.predictions(spark, sf_dir), TAXONOMY)
+
+
+@query(ORACLE_SQL["eval_per_class"].replace("SELECT institution_id, ord, tp, fp, fn, support, p AS precision", "SELECT institution_id, support, p AS precision") + " WHERE support > 0")
+def view_per_class(spark, sf_dir):
+    return reporting.per_class(evaluate.per_class(joined(spark, sf_dir), TAXONOMY.dimension(spark)))
+
+
+@query(f"SELECT *, CASE WHEN abs(gap) < 0.1 THEN 'ok' ELSE 'off' END AS flag FROM ({ORACLE_SQL['calibration_bins']})")
+def view_reliability(spark, sf_dir):
+    out = reporting.reliability(threshold.calibration_bins(joined(spark, sf_dir)))
+    return out.withColumns({"mean_confidence": F.round("mean_confidence", 9), "gap": F.round("gap", 9)})
+
+
+@query(
+    f"""SELECT threshold, coverage, CASE WHEN auto_routed > 0 THEN printf('%.3f', auto_accuracy) ELSE '—' END AS auto_accuracy, misrouted, held, expected_cost,
+    concat_ws(', ', CASE WHEN threshold = (SELECT threshold FROM ({ORACLE_SQL['recommend_cost']})) THEN 'cheapest' END, CASE WHEN threshold = (SELECT threshold FROM ({ORACLE_SQL['recommend_target']})) THEN 'target' END) AS mark
+    FROM ({ORACLE_SQL['threshold_sweep']})"""
+)
+def view_sweep(spark, sf_dir):
+    return reporting.sweep(threshold.sweep(joined(spark, sf_dir)), 0.95)
+
+
+@query(f"SELECT institution_id, coalesce(printf('%.2f', threshold), '—') AS threshold, coverage, auto_accuracy, support, CASE WHEN thin THEN 'thin' ELSE '' END AS note FROM ({ORACLE_SQL['per_class_thresholds']})")
+def view_class_thresholds(spark, sf_dir):
+    return reporting.class_thresholds(threshold.per_class_thresholds(joined(spark, sf_dir), TAXONOMY.dimension(spark)))
+
+
+@query(f"SELECT institution_id, have, need FROM ({ORACLE_SQL['label_coverage']})")
+def view_coverage(spark, sf_dir):
+    return reporting.coverage(labels.coverage(labels.current(inputs.label_log(spark, sf_dir)), TAXONOMY.dimension(spark)))
+
+
+@query(f"SELECT doc_id, label, coalesce(corrected_from, '') AS corrected_from FROM ({ORACLE_SQL['fewshot_selection']})")
+def view_examples(spark, sf_dir):
+    now = labels.current(inputs.label_log(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return reporting.examples(fewshot.select_examples(docs, labels.gold(now), now.select("doc_id", "model_label"), TAXONOMY.dimension(spark), per_class=2, max_examples=12)).drop("chars")

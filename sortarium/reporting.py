@@ -37,7 +37,7 @@ def sweep(points: DataFrame, target: float | None = None) -> DataFrame:
 
 
 def class_thresholds(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("ord").select("institution_id", F.coalesce(F.format_string("%.2f", "threshold"), F.lit("—")).alias("threshold"), "coverage", "auto_accuracy", "support", F.when(F.col("thin"), "thin").otherwise("").alias("note"))
+    return rows.orderBy("ord").select("institution_id", F.when(F.col("threshold").isNotNull(), F.format_string("%.2f", "threshold")).otherwise("—").alias("threshold"), "coverage", "auto_accuracy", "support", F.when(F.col("thin"), "thin").otherwise("").alias("note"))
 
 
 def coverage(rows: DataFrame) -> DataFrame:
