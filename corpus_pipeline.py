@@ -29,7 +29,8 @@ TOKENIZER = "word_bpe_49k.json"
 def _beside(docs: DataFrame, added: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What stage leaves of docs, with the columns of docs; those that are named like one that stage adds go by another name there."""
     other = {c: f"own {c}" for c in docs.columns if c.lower() in added}
-    return stage(docs.withColumnsRenamed(other)).withColumnsRenamed({v: k for k, v in other.items()}).select(*docs.columns)
+    left = stage(docs.withColumnsRenamed(other)).select(*[other.get(c, c) for c in docs.columns])
+    return left.withColumnsRenamed({v: k for k, v in other.items()})
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
