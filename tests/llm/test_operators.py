@@ -119,6 +119,81 @@ def test_toxicity_is_learnt_held_out(spark):
     assert held and all((out[k] >= 0.5) == bool(rows[k][3]) for k in held) and all(0 <= v <= 1 for v in out.values())
 
 
+def test_ftrl_equals_a_plain_version():
+    """The update rule coordinate by coordinate, in dictionaries."""
+    rng = random.Random(22)
+    rows = [np.array(sorted(rng.sample(range(40), rng.randint(0, 9))), np.int64) for _ in range(120)]
+    labels = np.array([float(7 in r or rng.random() < 0.1) for r in rows])
+    s = toxicity.Settings(bits=6, l1=0.3, l2=0.5, alpha=0.7, beta=0.9, epochs=2)
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z.get(i, 0)) <= s.l1 else -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+    draw = np.random.default_rng(s.seed)
+    for _ in range(s.epochs):
+        for k in draw.permutation(len(rows)):
+            w, b = {int(i): weight(int(i)) for i in rows[k]}, -bz / ((s.beta + math.sqrt(bn)) / s.alpha)
+            g = 1 / (1 + math.exp(-(sum(w.values()) + b))) - labels[k]
+            for i in w:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / s.alpha * w[i]
+                n[i] = old + g * g
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / s.alpha * b
+            bn += g * g
+    got, bias = toxicity.ftrl(rows, labels, s)
+    assert np.allclose(got, [weight(i) for i in range(64)]) and bias == pytest.approx(-bz / ((s.beta + math.sqrt(bn)) / s.alpha)) and 0 < (got != 0).sum() < 40
+
+
+def test_toxicity_features_are_the_grams_of_the_definition():
+    rng = random.Random(23)
+    texts = [" ".join(rng.choice(["awful", "nit", "nitwit", "you", "extraordinary", "é"]) for _ in range(rng.randint(0, 12))) for _ in range(50)] + [None, "", "...", "One,TWO"]
+    every = {}
+    for text, found in zip(texts, toxicity.features(texts, toxicity.Settings(bits=40))):
+        w = re.findall("[a-z0-9\x80-\uffff]+", (text or "").lower())
+        raw = [x.encode() for x in w]
+        grams = {("u", x) for x in w} | {("s", n, x[:n]) for x in raw for n in (4, 5) if len(x) > n} | {(g, a, b) for g in (1, 2) for a, b in zip(w, w[g:])}
+        assert len(found) == len(grams)
+        for b in found.tolist():
+            every.setdefault(b, set(grams)).intersection_update(grams)
+    assert all(every.values())
+
+
+def test_learnt_models_bound_their_sample_and_take_odd_ids(spark):
+    rows = corpus()
+    docs = frame(spark, [t for _, t, *_ in rows]).unionByName(frame(spark, ["you awful nitwit"]).withColumn("doc_id", F.lit(None).cast("long")))
+    docs = docs.unionByName(docs.limit(30))
+    labels = spark.createDataFrame([(k, t, q) for k, _, q, t in rows] + [(None, 1, 1), (3, None, None)] + [(k, t, q) for k, _, q, t in rows[:9]], "doc_id long, toxic int, quality int")
+    s = toxicity.Settings(bits=16, l1=0.5)
+    out = toxicity.score(docs, toxicity.fit(docs, labels, s), s).withColumn("held_out", toxicity.held_out()).collect()
+    assert len(out) == docs.count() and all(r.held_out in (True, False) for r in out) and all(r.score > 0.5 for r in out if r.doc_id is None)
+    few = toxicity.fit(docs, labels, toxicity.Settings(bits=16, l1=0.5, max_features=1))
+    assert len(few[0]) == 0 and few[2] == 0
+    kept = quality.resample(docs.withColumn("selected", F.lit("theirs")), labels, quality.Settings(keep=0.5))
+    assert kept.columns.count("selected") == 1
+    by_id = kept.groupBy("doc_id").agg(F.count_distinct("selected").alias("n")).where("n > 1").count()
+    assert by_id == 0 and abs(kept.where("selected").count() - docs.count() / 2) <= 2
+
+
+def test_log_weights_equal_plain_counts(spark):
+    """Sums of log ratios over n-grams counted by Python, with buckets enough for each to have its own."""
+    from collections import Counter
+
+    rng = random.Random(24)
+    word = lambda: rng.choice(["river", "Stone", "x1", "!!", "#", "lamp", "lamp"])
+    texts = [" ".join(word() for _ in range(rng.randint(0, 9))) for _ in range(40)] + [None]
+    good = {k for k in range(41) if k % 3 == 0}
+
+    def grams(t):
+        w = re.findall(r"[A-Za-z0-9]+|[!#]+", t or "")
+        return w + [("again",) if a == b else (a, b) for a, b in zip(w, w[1:])]
+
+    raw, target = Counter(g for t in texts for g in grams(t)), Counter(g for k in good for g in grams(texts[k]))
+    total, n, mass = sum(raw.values()), sum(target.values()), 0.15 * sum(target.values())
+    want = [sum(math.log((target[g] + mass * raw[g] / total) / ((n + mass) * raw[g] / total)) for g in grams(t)) for t in texts]
+    labels = spark.createDataFrame([(k, int(k in good)) for k in range(41)], "doc_id long, quality int")
+    docs, s = frame(spark, texts), quality.Settings(bits=22)
+    got = [r.log_weight for r in quality.weigh(docs, quality.fit(docs, labels, s), s).orderBy("doc_id").collect()]
+    assert np.allclose(got, want)
+
+
 def test_learnt_scores_on_odd_rows(spark):
     docs, none = frame(spark, ODD), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     q = quality.resample(docs, none).collect()
@@ -759,6 +834,71 @@ def test_tiff_pages_of_odd_files(spark):
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(padded), zlib.crc32(padded[-16:]))
 
 
+def test_tiff_digests_are_those_of_the_payload_and_the_file(spark):
+    import hashlib
+
+    texts = [*ODD, "plain text " * 900, "é漢" * 5000]
+    docs = frame(spark, texts)
+    out = tiff.digests(docs.unionByName(docs.limit(4))).collect()
+    assert len(out) == len(texts) + 4 and tiff.digests(docs.limit(0)).count() == 0
+    for r in out:
+        raw = (texts[r.doc_id] or "").encode()
+        padded = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        n, media = tiff.text_to_tiff(texts[r.doc_id])
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        rows = [padded[k : k + 192] for k in range(0, len(padded), 192)]
+        steps = sum(abs(a - b) for row in rows for a, b in zip(row, row[1:]))
+        shades = ",".join(str(sum(b >> 5 == k for b in padded)) for k in range(8))
+        assert r.feature == f"pages={-(-len(rows) // 128)};rows={len(rows)};sum={sum(padded)};steps={steps};shades={shades}"
+
+
+def by_hand(order, entries, strips):
+    """A TIFF file written entry by entry, after the format's description: strips first, directory last."""
+    import struct
+
+    body, places = b"", []
+    for s in strips:
+        places.append(8 + len(body))
+        body += s + b"\0" * (len(s) % 2)
+    values = [*entries, (273, 4, places), (279, 4, [len(s) for s in strips])]
+    at = 8 + len(body)
+    extra, lines = b"", b""
+    beyond = at + 2 + 12 * len(values) + 4
+    for tag, kind, v in sorted(values):
+        data = struct.pack(order + {3: "H", 4: "I"}[kind] * len(v), *v)
+        if len(data) <= 4:
+            lines += struct.pack(order + "HHI", tag, kind, len(v)) + data.ljust(4, b"\0")
+        else:
+            lines += struct.pack(order + "HHII", tag, kind, len(v), beyond + len(extra))
+            extra += data
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, at)
+    return head + body + struct.pack(order + "H", len(values)) + lines + struct.pack(order + "I", 0) + extra
+
+
+def test_foreign_tiff_files():
+    """Files made here by hand: strips of unequal height, either byte order, known streams of each packing, 16 bits, three channels."""
+    base = lambda w, h, c, rows, bits=(8,), n=1: [(256, 3, [w]), (257, 3, [h]), (258, 3, list(bits)), (259, 3, [c]), (262, 3, [1]), (277, 3, [n]), (278, 3, [rows])]
+    want = np.arange(20, dtype=np.uint8).reshape(5, 4)
+    for order in "<>":
+        (p,) = tiff.read_pages(by_hand(order, base(4, 5, 1, 2), [want[:2].tobytes(), want[2:4].tobytes(), want[4:].tobytes()]))
+        assert (p.samples.reshape(5, 4) == want).all()
+        # The worked example of the PackBits description: 24 bytes from 15.
+        packed = bytes([0xFE, 0xAA, 0x02, 0x80, 0x00, 0x2A, 0xFD, 0xAA, 0x03, 0x80, 0x00, 0x2A, 0x22, 0xF7, 0xAA])
+        (p,) = tiff.read_pages(by_hand(order, base(24, 1, 32773, 1), [packed]))
+        assert p.samples.tobytes() == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+        # LZW: clear, 1, 2, the entry 258 (1 2), 258 again, end; differences undone by the predictor.
+        bits = "".join(f"{c:09b}" for c in (256, 1, 2, 258, 258, 257))
+        stream = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+        (p,) = tiff.read_pages(by_hand(order, [*base(6, 1, 5, 1), (317, 3, [2])], [stream]))
+        assert p.samples.ravel().tolist() == [1, 3, 4, 6, 7, 9]
+        (p,) = tiff.read_pages(by_hand(order, base(2, 1, 8, 1, (8, 8, 8), 3), [zlib.compress(bytes([9, 8, 7, 1, 2, 3]))]))
+        assert p.samples.ravel().tolist() == [9, 8, 7, 1, 2, 3]
+        deep = np.array([[258, 3], [65535, 0]], np.uint16)
+        (p,) = tiff.read_pages(by_hand(order, base(2, 2, 1, 2, (16,)), [deep.astype(order + "u2").tobytes()]))
+        assert p.samples.reshape(2, 2).tolist() == deep.tolist()
+
+
 # --- 8
 
 
@@ -801,6 +941,62 @@ def test_mixing_equals_its_sql(spark):
 # --- the pipeline
 
 
+def pipeline_rows():
+    rows = [(k, t, "en", f"src{k % 4}", len(t)) for k, t, *_ in corpus()] + [(900 + k, near_texts()[k], "fr", "src9", 9) for k in range(20)]
+    return rows + [(950, None, None, None, None), (951, "", "de", "src1", 0), (952, "same " * 9, "de", None, 1), (952, "same " * 9, "de", None, 1), (None, "no id at all here", "en", "src0", 1), (953, "long " * 20_000, "en", "src2", 1)]
+
+
+def test_every_stage_of_the_pipeline_equals_a_plain_version(spark, tmp_path, word_bpe):
+    import corpus_pipeline
+    import duckdb
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(k, q, t) for k, _, q, t in corpus()], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(pipeline_rows(), schema).withColumns({c: F.lit(f"my {c}") for c in ("score", "selected", "mix_epoch", "rep")})
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    for name, stage in corpus_pipeline.STAGES:
+        before = sorted(docs.collect(), key=key)
+        out = stage(spark, docs, str(tmp_path))
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name == "toxicity":
+            at, weight, bias = toxicity.fit(docs, labels)
+            w = dict(zip(at.tolist(), weight.tolist()))
+            score = [bias + sum(w.get(int(b), 0.0) for b in x) for x in toxicity.features([r.text for r in before], toxicity.Settings())]
+            want = [r for r, x in zip(before, score) if x < 0]
+        elif name == "quality":
+            s = quality.Settings()
+            ratio = quality.fit(docs, labels, s)
+            weights = [sum(ratio[b] for b in quality.ngrams([r.text], s.bits)[1]) for r in before]
+            keyed = {(r.doc_id, r.text): r.gumbel_key for r in quality.gumbel_keys(quality.weigh(docs, ratio, s), s.seed).collect()}
+            k = sum(x >= -math.log(s.odds) for x in weights)
+            least = sorted((keyed[r.doc_id, r.text] for r in before), reverse=True)[k - 1]
+            want = [r for r in before if keyed[r.doc_id, r.text] >= least]
+        elif name == "near duplicates":
+            named = [r for r in before if r.doc_id is not None]
+            root, seen = plain_classes([r.text for r in named]), set()
+            want = [r for r in before if r.doc_id is None]
+            for k, r in enumerate(named):
+                if root[k] == k and r.doc_id not in seen:
+                    want.append(r)
+                    seen.add(r.doc_id)
+        elif name == "mixing":
+            documents = docs.toPandas()  # noqa: F841
+            taken = duckdb.connect().sql(f"SELECT DISTINCT doc_id FROM ({mixing.oracle_sql(corpus_pipeline.MIX)})").fetchall()
+            want = [r for r in before if (r.doc_id,) in taken]
+        else:
+            got = sorted((-1 if r.doc_id is None else r.doc_id, r.lang, r.source, r.n_tokens, list(r.ids)) for r in out.collect())
+            ids = [word_bpe[2].encode(r.text or "", add_special_tokens=False).ids for r in before]
+            assert got == sorted((-1 if r.doc_id is None else r.doc_id, r.lang, r.source, len(i), i) for r, i in zip(before, ids))
+            break
+        got = sorted(out.collect(), key=key)
+        assert out.columns == docs.columns and got == sorted(want, key=key) and 0 < len(got) < len(before), name
+        assert all(r.score == "my score" and r.selected == "my selected" and r.mix_epoch == "my mix_epoch" for r in got)
+        path = str(tmp_path / name)
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+
+
 def test_pipeline_on_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 
