@@ -41,6 +41,8 @@ LOG = (
 )
 LOG_SCHEMA = "list string, kind string, value string, action string, day string, seq long"
 ALLOW = ("allow",)
+#: List entries up to which they are broadcast; each is a few strings and two times.
+BROADCAST_ENTRIES = 100_000
 
 
 def intervals(log: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def filtered(captures: DataFrame, log: DataFrame, url: str = "url", fetched: str
     active = cut(intervals(log))
     cases = captures.select(F.col(url).alias("u"), F.col(fetched).cast("timestamp").alias("t")).distinct().withColumns(dict(zip(("h", "p"), host_and_path("u"))))
     asked = cases.where("h IS NOT NULL AND t IS NOT NULL").select("u", "t", F.explode(keys("h", "p")).alias("key")).select("u", "t", "key.*")
-    hits = asked.join(small_side(active), ["kind", "value"]).where("t >= since AND (until IS NULL OR t < until)")
+    hits = asked.join(small_side(active, BROADCAST_ENTRIES), ["kind", "value"]).where("t >= since AND (until IS NULL OR t < until)")
     judged = hits.groupBy("u", "t").agg(F.collect_set("list").alias("found"))
     out = captures.withColumn("host", host)
     out = out.join(judged, (F.col(url) == F.col("u")) & (F.col(fetched).cast("timestamp") == F.col("t")), "left")
