@@ -72,4 +72,4 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_toolcalls": op3_toolcalls, "op4_topk": op4_topk, "op5_urlfilter": op5_urlfilter, "op6_licenses": op6_licenses, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_tiff": op9_tiff, "op10_neardup": op10_neardup}
-ORACLE_SQL: dict[str, str] = {"op4_topk": topk.ORACLE_SQL, "op5_urlfilter": urlfilter.ORACLE_SQL, "op8_mixing": mixing.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_toolcalls": toolcalls.ORACLE_SQL, "op4_topk": topk.ORACLE_SQL, "op5_urlfilter": urlfilter.ORACLE_SQL, "op8_mixing": mixing.oracle_sql()}

@@ -200,3 +200,29 @@ def as_tool_messages(turns: DataFrame) -> DataFrame:
     reply = F.to_json(F.struct(F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("tool_call_id"), F.md5(text.cast("binary")).alias("content")))
     user = turns.where("role = 'user'").select("conv_id", "turn", F.lit("assistant").alias("role"), call.alias("text"))
     return user.unionByName(turns.where("role = 'assistant'").select("conv_id", "turn", F.lit("tool").alias("role"), reply.alias("text")))
+
+
+#: The registered query in DuckDB SQL: the messages' rule, and what the schema above has to say about such arguments.
+#: A call's level is the round in which all calls that it uses have one.
+ORACLE_SQL = """
+WITH RECURSIVE u AS (
+  SELECT conv_id, turn, 'c' || turn AS call_id, ['search', 'translate', 'count'][CAST(turn // 2 % 3 + 1 AS BIGINT)] AS tool, turn % 7 = 6 AS odd, coalesce(text, '') AS text,
+    CASE WHEN turn >= 4 AND turn % 8 <> 0 THEN '"after":"$c' || (turn - 2) || '"' END AS after
+  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+c AS (SELECT *, '{' || CASE tool
+    WHEN 'search' THEN concat_ws(',', after, '"limit":' || length(text), CASE WHEN NOT odd THEN '"query":' || to_json(text) END)
+    WHEN 'translate' THEN concat_ws(',', CASE WHEN odd THEN '"extra":1' END, '"target":"en"', '"text":' || to_json(text))
+    ELSE concat_ws(',', after, CASE WHEN odd THEN '"exact":1' END, '"words":' || to_json(string_split(text, ' '))) END || '}' AS arguments,
+    CASE WHEN NOT odd THEN '' ELSE CASE tool WHEN 'search' THEN 'missing query' WHEN 'translate' THEN 'unknown extra' ELSE 'type exact' END END AS errors,
+    count(*) OVER (PARTITION BY conv_id, turn) AS times FROM u),
+results AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, min(turn) AS result_turn, arg_min(md5(coalesce(text, '')), (turn, md5(coalesce(text, '')))) AS content
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+ids AS (SELECT conv_id, call_id, list_distinct(flatten(list(regexp_extract_all(arguments, '"[$]([^"]+)"', 1)))) AS uses FROM c GROUP BY ALL),
+rounds AS (SELECT 0 AS k, *, CASE WHEN len(uses) = 0 THEN 0 END AS level FROM ids
+  UNION ALL SELECT k + 1, conv_id, call_id, uses, CASE WHEN level IS NOT NULL THEN level WHEN list_has_all(ready, uses) THEN k + 1 END
+  FROM (SELECT *, coalesce(list(call_id) FILTER (level IS NOT NULL) OVER (PARTITION BY conv_id), []) AS ready, max(level) OVER () AS latest FROM rounds) WHERE latest = k),
+levels AS (SELECT conv_id, call_id, max(level) AS level FROM rounds GROUP BY ALL)
+SELECT conv_id, turn, 0 AS place, call_id, tool, result_turn, CASE WHEN times > 1 THEN 'repeated id' WHEN result_turn IS NULL THEN 'no result' WHEN result_turn <= turn THEN 'result before call' ELSE 'linked' END AS status,
+  level, errors = '' AS valid, errors, sha256('{"arguments":' || arguments || ',"id":' || to_json(call_id) || ',"name":' || to_json(tool) || CASE WHEN content IS NULL THEN '' ELSE ',"result":' || to_json(content) END || '}') AS canonical_sha256
+FROM c LEFT JOIN results USING (conv_id, call_id) LEFT JOIN levels USING (conv_id, call_id)
+"""
