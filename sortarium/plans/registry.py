@@ -461,11 +461,41 @@ def queue_blind(spark, sf_dir):
     return shown.select("doc_id", "lane", F.round("score", 3).alias("score"), "model_label", "model_confidence", F.get("alternatives", F.lit(0)).alias("alternative"))
 
 
-@query()
+def sql_two_places(x: str) -> str:
+    """%.2f of a double, half up by its shortest digits."""
+    return f"CAST(CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30, 20)), 2) AS DECIMAL(10, 2)) AS VARCHAR)"
+
+
+_MARGIN = "(confidence - alt_confidence)"
+_IS_PAIR = "EXISTS (SELECT 1 FROM pairs WHERE (a = pred AND b = alt) OR (a = alt AND b = pred))"
+_GRAMS_OF_REST = _GRAMS.replace("item_id", "doc_id").replace("FROM benchmark", "FROM rest").replace("range(3, 6) s(n)", "range(3, 6) sizes(n)")
+
+
+@query(
+    "WITH RECURSIVE "
+    + SQL
+    + f""", free AS (SELECT s.*, 1 - confidence + CAST(0.8 AS DOUBLE) * greatest(0, 1 - {_MARGIN}) + CASE WHEN {_IS_PAIR} THEN CAST(0.6 AS DOUBLE) ELSE 0 END AS score,
+    list_filter([CASE WHEN confidence < CAST(0.6 AS DOUBLE) THEN 'ثقة منخفضة (' || {sql_two_places("confidence")} || ')' END, CASE WHEN {_MARGIN} < CAST(0.15 AS DOUBLE) THEN 'فارق ضئيل عن البديل (' || {sql_two_places(_MARGIN)} || ')' END,
+      CASE WHEN {_IS_PAIR} THEN 'زوج خلط معروف' END], lambda r: r IS NOT NULL) AS reasons FROM scored s WHERE doc_id NOT IN (SELECT doc_id FROM now)),
+  lucky AS (SELECT * FROM free ORDER BY doc_id * 7919 % 1000003, doc_id LIMIT 10),
+  rest AS MATERIALIZED (SELECT free.*, text FROM free JOIN documents USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM lucky)),
+  c AS (SELECT doc_id, {sql_aggressive('text')} AS t FROM rest), w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(t), '\\s+')) AS word FROM c), {_GRAMS_OF_REST},
+  vec AS MATERIALIZED (SELECT doc_id, gram, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS weight FROM x),
+  r AS (SELECT 0 AS step, doc_id, pred AS label, score, 0.0::DOUBLE AS near, 0 AS pick FROM rest
+    UNION ALL (WITH f AS (SELECT *, first_value(doc_id) OVER (ORDER BY open DESC, score - 1.5::DOUBLE * near DESC, score DESC, doc_id) AS first
+        FROM (SELECT *, pick = 0 AND count(*) FILTER (pick > 0) OVER (PARTITION BY label) < 15 AS open FROM r WHERE step < 40)),
+      n AS (SELECT b.doc_id, sum(a.weight * b.weight) AS sim FROM (SELECT any_value(first) AS first FROM f) JOIN vec a ON a.doc_id = first JOIN vec b USING (gram) GROUP BY ALL)
+      SELECT step + 1, doc_id, label, score, greatest(near, coalesce(sim, 0)), CASE WHEN doc_id = first THEN step + 1 ELSE pick END FROM f LEFT JOIN n USING (doc_id))),
+  items AS (SELECT doc_id, 'random' AS lane, 0.0::DOUBLE AS score, ['{queue.RANDOM_REASON}'] AS reasons, pred, alt, confidence FROM lucky
+    UNION ALL SELECT doc_id, 'priority', round(rest.score, 4), CASE WHEN len(reasons) = 0 AND pick > 1 THEN ['{queue.DIVERSITY_REASON}'] ELSE reasons END, pred, alt, confidence FROM rest JOIN r USING (doc_id) WHERE step = 40 AND pick > 0)
+  SELECT doc_id, lane, score, reasons, pred AS model_label, confidence AS model_confidence, 'synthetic' AS model_backend, '' AS model_rationale_ar, [alt] AS alternatives, NULL AS baseline_label, NULL AS path, 'plain' AS source,
+    CAST(row_number() OVER (ORDER BY doc_id * 7919 % 1000003, doc_id) AS INTEGER) AS position FROM items"""
+)
 def build_queue(spark, sf_dir):
-    """The batch of 50 documents to review, both lanes, in its order."""
+    """The batch of 50 documents to review, both lanes, diverse by their grams, in a given order in place of hashes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(None).cast("string").alias("path"), F.lit("plain").alias("source"))
-    return queue.build_queue(docs, inputs.predictions(spark, sf_dir), None, labels.decided(labels.current(inputs.label_log(spark, sf_dir))), TAXONOMY.pairs(spark), cap=15).drop("text")
+    done = labels.decided(labels.current(inputs.label_log(spark, sf_dir)))
+    return queue.build_queue(docs, inputs.predictions(spark, sf_dir), None, done, TAXONOMY.pairs(spark), cap=15, order=F.expr("doc_id * 7919 % 1000003")).drop("text")
 
 
 @query(
