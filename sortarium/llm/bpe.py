@@ -28,7 +28,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import chain
 
 import ahocorasick
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sortarium.llm.common import slices, tidied
+from sortarium.llm.common import HELD, slices, tidied
 
 #: White space as the tokenizer's file means it.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -390,9 +390,13 @@ class Decoder:
         return "" if self.joined else self.utf8.decode(b"", True)
 
 
+owned = partial(tidied, owner="bpe")
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    """The codec of a file, kept by each Python worker."""
+    """The codec of a file, kept by each Python worker until another operator's stage runs there."""
+    HELD["bpe"] = codec.cache_clear
     return Codec(path)
 
 
@@ -401,7 +405,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = T.StructType([f for f in docs.schema.fields if f.name != "ids"]).add("ids", T.ArrayType(T.IntegerType(), False))
     docs = docs.select(*[f.name for f in schema.fields[:-1]])
 
-    @tidied
+    @owned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
@@ -433,7 +437,7 @@ def decoded(rows: DataFrame, path: str, joined: bool = False) -> DataFrame:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, text by text through encoder and decoder."""
 
-    @tidied
+    @owned
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,13 +101,25 @@ def slices(texts: pa.Array, rows: int, chars: int = 400_000) -> Iterator[tuple[s
         yield part, texts.slice(part.start, part.stop - part.start).to_pylist()
 
 
-def tidied(run):
+#: What a worker keeps from task to task, by owner: functions that let go of it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def let_go(owner: str) -> None:
+    for name, free in HELD.items():
+        if name != owner:
+            free()
+
+
+def tidied(run, owner: str = ""):
     """run, a function from batches to batches, that gives freed memory back to the system once its batches end.
 
-    Python workers live on for later stages; without this, each would hold the peak of every stage before.
+    Python workers live on for later stages; without this, each would hold the peak of every stage before. What
+    owners other than run's own keep in HELD goes before run begins, for their stage is over by then.
     """
 
     def tidy(batches):
+        let_go(owner)
         try:
             yield from run(batches)
         finally:

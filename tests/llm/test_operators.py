@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sortarium.llm import bpe, licenses, mixing, neardup, quality, tiff, toolcalls, topk, toxicity, urlfilter
+from sortarium.llm import bpe, common, licenses, mixing, neardup, quality, tiff, toolcalls, topk, toxicity, urlfilter
 from sortarium.llm.common import Scratch, kth_largest, portions, shared_dir, word_hashes
 from sortarium.llm.graph import components
 
@@ -785,6 +786,21 @@ def test_bpe_on_empty_tables_and_clashing_names(spark, word_bpe):
     assert all((r.n, r.m) == (1, 2) for r in twice)
 
 
+def test_workers_let_go_of_the_codec_when_another_stage_begins(spark, word_bpe):
+    path, _, _ = word_bpe
+    rows = spark.createDataFrame([(1, "some words")], "doc_id long, text string").coalesce(1)
+
+    def kept(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([bpe.codec.cache_info().currsize] * len(batch), pa.int32())], ["n"])
+
+    bpe.encoded(rows, path).collect()
+    assert rows.mapInArrow(kept, "n int").first().n == 1
+    bpe.encoded(rows, path).collect()
+    assert rows.mapInArrow(common.tidied(kept, "bpe"), "n int").first().n == 1
+    assert rows.mapInArrow(common.tidied(kept), "n int").first().n == 0
+
+
 def test_bytes_decode_across_tokens(word_bpe):
     _, codec, _ = word_bpe
     ids, d = codec.encode("漢字 é"), bpe.Decoder(codec)
