@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortarium.llm import bpe, licenses, mixing, neardup, quality, tiff, toolcalls, topk, toxicity, urlfilter
+from sortarium.llm import bpe, fim, licenses, mixing, neardup, periodic, quality, tiff, toolcalls, topk, toxicity, urlfilter
 from sortarium.llm.common import table
 
 
@@ -71,5 +71,15 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_toolcalls": op3_toolcalls, "op4_topk": op4_topk, "op5_urlfilter": op5_urlfilter, "op6_licenses": op6_licenses, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_tiff": op9_tiff, "op10_neardup": op10_neardup}
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in every document, some of which have a repeated tail planted, and digests of what stays."""
+    return periodic.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and put together for filling in the middle, and restored again."""
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_toolcalls": op3_toolcalls, "op4_topk": op4_topk, "op5_urlfilter": op5_urlfilter, "op6_licenses": op6_licenses, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_tiff": op9_tiff, "op10_neardup": op10_neardup, "op11_periodic": op11_periodic, "op12_fim": op12_fim}
 ORACLE_SQL: dict[str, str] = {"op3_toolcalls": toolcalls.ORACLE_SQL, "op4_topk": topk.ORACLE_SQL, "op5_urlfilter": urlfilter.ORACLE_SQL, "op8_mixing": mixing.oracle_sql()}
