@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortarium.llm import bpe, fim, licenses, mixing, neardup, periodic, quality, tiff, toolcalls, topk, toxicity, urlfilter
+from sortarium.llm import bpe, fim, licenses, mixing, neardup, periodic, quality, suffixes, tiff, toolcalls, topk, toxicity, urlfilter
 from sortarium.llm.common import table
 
 
@@ -81,5 +81,10 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_toolcalls": op3_toolcalls, "op4_topk": op4_topk, "op5_urlfilter": op5_urlfilter, "op6_licenses": op6_licenses, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_tiff": op9_tiff, "op10_neardup": op10_neardup, "op11_periodic": op11_periodic, "op12_fim": op12_fim}
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that strings of 100 bytes with an earlier start cover, and the digest of the rest."""
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_toolcalls": op3_toolcalls, "op4_topk": op4_topk, "op5_urlfilter": op5_urlfilter, "op6_licenses": op6_licenses, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_tiff": op9_tiff, "op10_neardup": op10_neardup, "op11_periodic": op11_periodic, "op12_fim": op12_fim, "op13_suffixes": op13_suffixes}
 ORACLE_SQL: dict[str, str] = {"op3_toolcalls": toolcalls.ORACLE_SQL, "op4_topk": topk.ORACLE_SQL, "op5_urlfilter": urlfilter.ORACLE_SQL, "op8_mixing": mixing.oracle_sql()}
