@@ -8,7 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -25,34 +25,51 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, rf"\A[{SPACES}]+", ""), rf"[{SPACES}]+\z", "")
 
 
-@F.pandas_udf(StringType())
-def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unicode normalisation has no built-in function; plain ASCII passes untouched."""
-    for batch in batches:
-        yield batch.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+#: Marks that carry no meaning (directions and joiners, vowel signs, stretching), and letters and digits folded together.
+_UNSEEN = re.compile("[\u200b-\u200f\u202a-\u202e\u2066-\u2069\ufeff\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed\u0640]+")
+_FOLDED = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹" + "أإآٱىئیؤةک", "01234567890123456789" + "اااايييوهك")
+_BLANKS, _GAPS, _OTHER = re.compile("[ \t\u00a0]+"), re.compile("\n{3,}"), re.compile(rf"[^ء-ي0-9a-zA-Z{SPACES}]")
 
 
-def light(text: Column, normalised: bool = False) -> Column:
+def light_text(text: str | None) -> str:
+    """light() of one text."""
+    if not text:
+        return ""
+    if not text.isascii():
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text))
+    text = _GAPS.sub("\n\n", _BLANKS.sub(" ", text))
+    return "\n".join([line.strip() for line in text.split("\n")]).strip()
+
+
+def aggressive_text(text: str | None) -> str:
+    """aggressive() of one text."""
+    text = light_text(text)
+    if not text.isascii():
+        text = text.translate(_FOLDED)
+    return _BLANKS.sub(" ", _OTHER.sub(" ", text)).strip()
+
+
+def _by_text(run, text: Column) -> Column:
+    """run, a function of one text, on batches of texts; a null text counts as none."""
+
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([run(t) for t in batch.to_pylist()], pa.string())
+
+    return F.arrow_udf(texts, StringType())(text)
+
+
+def light(text: Column) -> Column:
     """Noise removed that carries no meaning: presentation forms, marks, stretching, repeated blanks.
 
-    normalised says that the text is NFKC already, which keeps the expression free of Python.
+    Unicode's normal forms have no built-in function; as the texts are in Python for them, the rest is done there too.
     """
-    out = F.coalesce(text if normalised else nfkc(text), F.lit(""))
-    out = F.regexp_replace(out, r"[\u200b-\u200f\u202a-\u202e\u2066-\u2069\ufeff]", "")
-    out = F.regexp_replace(out, r"[\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed]", "")
-    out = F.regexp_replace(out, r"ـ+", "")
-    out = F.regexp_replace(out, r"[ \t\u00a0]+", " ")
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    out = F.array_join(F.transform(F.split(out, "\n"), strip), "\n")
-    return strip(out)
+    return _by_text(light_text, text)
 
 
-def aggressive(text: Column, normalised: bool = False) -> Column:
+def aggressive(text: Column) -> Column:
     """light() folded for bags of words: digits to ASCII, letter variants together, the rest to blanks."""
-    out = F.translate(light(text, normalised), "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
-    out = F.translate(out, "أإآٱىئیؤةک", "اااايييوهك")
-    out = F.regexp_replace(out, rf"[^ء-ي0-9a-zA-Z{SPACES}]", " ")
-    return strip(F.regexp_replace(out, r"[ \t\u00a0]+", " "))
+    return _by_text(aggressive_text, text)
 
 
 def looks_arabic(text: Column, threshold: float = 0.2) -> Column:

@@ -169,8 +169,12 @@ def char_tfidf(spark, sf_dir):
     """Every weight of the vectors that the queue's similarity uses, for the benchmark's texts."""
     from sortarium.operators import vectors
 
-    rows = vectors.gram_vectors(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), "text")
-    return rows.select(F.col("doc_id").alias("item_id"), F.explode("_vector").alias("gram", "weight")).withColumn("weight", F.round("weight", 9))
+    rows = table(spark, sf_dir, "benchmark")
+    known = vectors.char_vocabulary(rows, "text")
+    made = rows.select("item_id", vectors.sparse_column(spark, F.col("text"), known, vectors.char_grams).alias("v"))
+    parts = made.select("item_id", F.explode(F.arrays_zip("v.at", "v.w")).alias("p")).select("item_id", F.col("p.at").alias("at"), F.round("p.w", 9).alias("weight"))
+    names = spark.createDataFrame(list(enumerate(known.blocks[0])), "at int, gram string")
+    return parts.join(F.broadcast(names), "at").select("item_id", "gram", "weight")
 
 
 @query(
@@ -180,8 +184,8 @@ def char_tfidf(spark, sf_dir):
 def word_grams(spark, sf_dir):
     from sortarium.operators import vectors
 
-    docs = table(spark, sf_dir, "benchmark").select("item_id", T.aggressive(F.col("text")).alias("clean"))
-    return docs.select("item_id", F.explode(vectors.word_grams(F.col("clean"), 2)).alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n"))
+    grams = vectors.gram_column(F.col("text"), vectors.baseline_grams, 1)
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(grams).alias("gram")).groupBy("item_id", "gram").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.-]', '_', 'g') AS file_name FROM pages")

@@ -366,3 +366,34 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r.doc_id, r.institution_id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted((r.doc_id, r.institution_id) for r in words.predict(docs(spark, 8)).collect()) and len(got) == 8
+
+
+def test_greedy_choice_by_rounds_equals_the_whole_over_texts(spark, monkeypatch):
+    """Rows that come in many rounds, ties in the scores, null and empty texts, and a class that fills up."""
+    from sortarium.operators import vectors
+
+    rng = np.random.default_rng(5)
+    words = ["river", "stone", "walk", "green", "house", "light", "أرض", "water"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 8))) for _ in range(150)] + ["", None, "river"]
+    rows = [(f"d{k:03}", float(rng.integers(0, 4)), str(rng.choice(list("ab"))), t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id string, score double, label string, text string").repartition(5)
+    monkeypatch.setattr(queue, "_per_round", lambda size: 3)
+    weights = vectors.char_vocabulary(df, "text").weigher(vectors.char_grams)
+    dense = {}
+    for name, _, _, t in rows:
+        at, w = weights(t)
+        dense[name] = dict(zip(at.tolist(), w.tolist()))
+    near = lambda a, b: sum(w * dense[b].get(k, 0.0) for k, w in dense[a].items())
+    for cap in (None, 5):
+        got = {r.pick: r.doc_id for r in queue.diverse(df, 12, cap).collect()}
+        chosen, used, left = [], {}, sorted(rows, key=lambda r: (-r[1], r[0]))
+        while left and len(chosen) < 12:
+            values = [r[1] - 1.5 * max((near(r[0], c) for c in chosen), default=0.0) for r in left]
+            best = max(range(len(left)), key=lambda k: (round(values[k], 9), left[k][1], -k))
+            row = left.pop(best)
+            if cap and used.get(row[2], 0) >= cap:
+                continue
+            used[row[2]] = used.get(row[2], 0) + 1
+            chosen.append(row[0])
+        assert [got[k] for k in sorted(got)] == chosen
+    assert queue.diverse(df.limit(0), 5).count() == 0
