@@ -2,9 +2,11 @@
 
 An assistant's message may be {"tool_calls": [{"id", "name", "arguments"}, ...]}, a tool's message
 {"tool_call_id", "content"}. Calls and results meet in a hash join on (conversation, id). A call
-whose arguments hold "$id" uses the result of that call, so it comes after it: its level is one more
-than the highest level among those; (level, turn, place) is a topological order. Arguments are held
-against the tool's schema, and the call is written as canonical JSON: keys sorted, no blanks.
+whose arguments hold the string "$id" as a value, at any depth, uses the result of the conversation's call
+of that id, so it comes after it: its level is one more than the highest level among those; (level,
+turn, place) is a topological order. Strings that name no call of their conversation, parts of strings and keys are no references. Arguments
+are held against the tool's schema, and the call is written as canonical JSON: keys sorted, no blanks, integers as they
+are, other numbers as the nearest double.
 
 A schema is a table (tool, parameter, type, required[, enum]). Parameters are paths: "a.b" is the field b
 of the object a, "a[]" an item of the array a (dots, brackets and backslashes of a name are written after
@@ -16,7 +18,8 @@ object doesn't hold is missing only where that object is there.
 
 Messages that aren't such JSON, null texts and null ids hold no calls. Of several results for one id
 the earliest counts; calls that share an id in a conversation are all reported as such. Calls that
-wait for each other, or for a call that doesn't exist, have no level. Repeated rows are repeated calls.
+wait for each other have no level. Arguments that repeat a key count as no object; with an integer of more than 38 digits,
+which could not be kept exactly, they are refused ("number too long"); neither has a canonical form. Repeated rows are repeated calls.
 Long texts, arguments and ids count whole. Empty tables give no rows; extra columns are not read. No
 conversation is gathered in one place.
 """
@@ -61,18 +64,39 @@ def results(messages: DataFrame) -> DataFrame:
     return said.groupBy("conv_id", F.col("m.tool_call_id").alias("call_id")).agg(F.min(F.struct("turn", "m.content")).alias("r")).select("conv_id", "call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"))
 
 
+#: Control characters, which JSON can't hold as they are, for an escaped backslash and an escaped quote.
+_BACKSLASH, _QUOTE = "\x01", "\x02"
+
+
+def _bare(arguments: Column) -> Column:
+    """JSON in which no string holds a quote."""
+    return F.replace(F.replace(arguments, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+
+
 def references(arguments: str) -> Column:
-    """Ids of the calls that arguments name as "$id", distinct."""
-    return F.array_distinct(F.expr(f"regexp_extract_all({arguments}, '\"[$]([^\"]+)\"', 1)"))
+    """The strings "$id" among the values of arguments, without the dollar, distinct."""
+    strings = F.regexp_extract_all(_bare(F.col(arguments)), F.lit(r'"[^"]*"\s*:?'), F.lit(0))
+    values = F.filter(strings, lambda x: x.startswith('"$') & ~x.endswith(":"))
+    whole = lambda x: F.replace(F.replace(F.rtrim(x), F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+    read = F.transform(values, lambda x: F.get(F.from_json(F.concat(F.lit("["), whole(x), F.lit("]")), "array<string>"), F.lit(0)))
+    return F.array_distinct(F.filter(F.transform(read, lambda x: F.substring(x, F.lit(2), F.length(x))), lambda x: x != ""))
+
+
+def too_long(arguments: str) -> Column:
+    """Whether arguments hold a number of more than 38 digits."""
+    return F.coalesce(F.regexp_replace(_bare(F.col(arguments)), r'"[^"]*"', "").rlike(r"[0-9]([.]?[0-9]){38}"), F.lit(False))
 
 
 def levels(found: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of every id whose references can all be met.
+    """(conv_id, call_id, level) of every id whose references can all be met; those to no call of the conversation are none.
 
     Chains of calls with one reference each are jumped over by doubling steps, up to the nearest call with none or
     several (the anchor); rounds only go through those with several.
     """
-    ids = cut(found.groupBy("conv_id", "call_id").agg(F.array_distinct(F.flatten(F.collect_set("uses"))).alias("uses")))
+    named = found.groupBy("conv_id", "call_id").agg(F.array_distinct(F.flatten(F.collect_set("uses"))).alias("uses"))
+    wanted = named.select("conv_id", "call_id", F.explode("uses").alias("used")).join(named.select("conv_id", F.col("call_id").alias("used")), ["conv_id", "used"], "left_semi")
+    uses = wanted.groupBy("conv_id", "call_id").agg(F.collect_list("used").alias("uses"))
+    ids = cut(named.select("conv_id", "call_id").join(uses, ["conv_id", "call_id"], "left").withColumn("uses", F.coalesce("uses", F.array().cast("array<string>"))))
     plain = cut(ids.where(F.size("uses") != 1).select("conv_id", "call_id", F.size("uses").alias("needs")))
     jumps = cut(ids.where(F.size("uses") == 1).select("conv_id", "call_id", F.col("uses")[0].alias("anchor"), F.lit(1).alias("steps")))
     left, reach = jumps.count(), 1
@@ -129,7 +153,7 @@ def validation(found: DataFrame, tools: DataFrame) -> DataFrame:
     df = cut(df)
     known = df.join(small_side(spec.select("tool").distinct(), 100_000).withColumn("known", F.lit(True)), "tool", "left")
     is_object = F.coalesce(F.expr("schema_of_variant(v)"), F.lit("")).startswith("OBJECT")
-    state = F.when(F.col("known").isNull(), "no such tool").when(F.col("v").isNull() | ~is_object, "no object")
+    state = F.when(F.col("known").isNull(), "no such tool").when(F.col("v").isNull() | ~is_object, "no object").when(too_long("arguments"), "number too long")
     known = known.withColumn("state", state).drop("known")
     nodes = known.where("state IS NULL").select("row", "tool", F.lit("").alias("path"), F.col("v").alias("value"))
     wrong = []
@@ -172,7 +196,7 @@ def linked(messages: DataFrame, tools: DataFrame) -> DataFrame:
     text = F.to_json(F.struct(F.col("call_id").alias("id"), F.coalesce("tool", F.lit("")).alias("name")))
     content = F.coalesce(F.to_json(F.struct(F.col("content").alias("result"))), F.lit("{}"))
     canonical = F.concat(F.lit('{"arguments":'), F.to_json("v"), F.lit(","), F.substring(text, F.lit(2), F.length(text) - 2), F.when(F.length(content) > 2, F.concat(F.lit(","), F.substring(content, F.lit(2), F.length(content) - 2))).otherwise(F.lit("")), F.lit("}"))
-    return df.select("conv_id", "turn", "place", "call_id", "tool", "result_turn", status.alias("status"), "level", (F.col("errors") == "").alias("valid"), "errors", F.when(F.col("v").isNotNull(), canonical).alias("canonical"))
+    return df.select("conv_id", "turn", "place", "call_id", "tool", "result_turn", status.alias("status"), "level", (F.col("errors") == "").alias("valid"), "errors", F.when(F.col("v").isNotNull() & ~too_long("arguments"), canonical).alias("canonical"))
 
 
 def tools_table(spark: SparkSession) -> DataFrame:
@@ -217,7 +241,9 @@ c AS (SELECT *, '{' || CASE tool
     count(*) OVER (PARTITION BY conv_id, turn) AS times FROM u),
 results AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, min(turn) AS result_turn, arg_min(md5(coalesce(text, '')), (turn, md5(coalesce(text, '')))) AS content
   FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
-ids AS (SELECT conv_id, call_id, list_distinct(flatten(list(regexp_extract_all(arguments, '"[$]([^"]+)"', 1)))) AS uses FROM c GROUP BY ALL),
+values_ AS (SELECT DISTINCT conv_id, call_id, substr(value ->> '$', 2) AS used FROM c, json_tree(arguments) AS t(key, value, type, atom, id, parent, fullkey, path) WHERE type = 'VARCHAR' AND starts_with(value ->> '$', '$')),
+ids AS (SELECT conv_id, call_id, coalesce(list(DISTINCT used) FILTER (used IS NOT NULL), []) AS uses FROM (SELECT DISTINCT conv_id, call_id FROM c)
+  LEFT JOIN (SELECT v.* FROM values_ v SEMI JOIN c ON v.conv_id = c.conv_id AND v.used = c.call_id) USING (conv_id, call_id) GROUP BY ALL),
 rounds AS (SELECT 0 AS k, *, CASE WHEN len(uses) = 0 THEN 0 END AS level FROM ids
   UNION ALL SELECT k + 1, conv_id, call_id, uses, CASE WHEN level IS NOT NULL THEN level WHEN list_has_all(ready, uses) THEN k + 1 END
   FROM (SELECT *, coalesce(list(call_id) FILTER (level IS NOT NULL) OVER (PARTITION BY conv_id), []) AS ready, max(level) OVER () AS latest FROM rounds) WHERE latest = k),

@@ -9,8 +9,8 @@ blocking entry holds for it and no entry of an allow list does.
 Of log rows for the same entry and day the highest seq stands. Log rows with nulls are ignored. Null or
 malformed URLs have no host and null times meet no entry: such captures aren't blocked. Repeated
 captures give equal rows, none is lost; extra columns pass through, added columns replace those of the
-same name. Empty lists block nothing. Logs are broadcast only after a count; a larger log is joined
-by a shuffle on the keys of distinct captures, whose skew is split at run time.
+same name, and no name of the caller's can clash with the operator's own. Empty lists block nothing. Logs are broadcast only after a
+count; a larger log is joined by a shuffle on the keys of distinct captures, salted.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sortarium.llm.common import cut, small_side
+from sortarium.llm.common import cut
 
 #: The registered query's log: list, kind, value, action, day, seq.
 LOG = (
@@ -43,6 +43,8 @@ LOG_SCHEMA = "list string, kind string, value string, action string, day string,
 ALLOW = ("allow",)
 #: List entries up to which they are broadcast; each is a few strings and two times.
 BROADCAST_ENTRIES = 100_000
+#: Tasks that captures with one key are dealt out to, where the log is too large for a broadcast.
+SALTS = 16
 
 
 def intervals(log: DataFrame) -> DataFrame:
@@ -73,16 +75,32 @@ def filtered(captures: DataFrame, log: DataFrame, url: str = "url", fetched: str
     """captures and the columns host, lists (of the entries that hold, sorted, comma-joined) and blocked."""
     host, path = host_and_path(url)
     active = cut(intervals(log))
-    cases = captures.select(F.col(url).alias("u"), F.col(fetched).cast("timestamp").alias("t")).distinct().withColumns(dict(zip(("h", "p"), host_and_path("u"))))
+    own = F.struct(F.col(url).cast("string").alias("u"), F.col(fetched).cast("timestamp").alias("t"))
+    cases = captures.select(own.alias("c")).select("c.*").distinct().withColumns(dict(zip(("h", "p"), host_and_path("u"))))
     asked = cases.where("h IS NOT NULL AND t IS NOT NULL").select("u", "t", F.explode(keys("h", "p")).alias("key")).select("u", "t", "key.*")
-    hits = asked.join(small_side(active, BROADCAST_ENTRIES), ["kind", "value"]).where("t >= since AND (until IS NULL OR t < until)")
+    hits = _met(asked, active).where("t >= since AND (until IS NULL OR t < until)")
     judged = hits.groupBy("u", "t").agg(F.collect_set("list").alias("found"))
-    out = captures.withColumn("host", host)
-    out = out.join(judged, (F.col(url) == F.col("u")) & (F.col(fetched).cast("timestamp") == F.col("t")), "left")
+    # the captures' own columns, whatever their names, stay in one struct until the verdicts have joined them
+    rows = captures.select(F.struct(*(captures[f"`{c}`"] for c in captures.columns)).alias("row"), own.alias("c"), host.alias("host"))
+    out = rows.join(judged.select(F.struct("u", "t").alias("of"), "found"), (F.col("c.u") == F.col("of.u")) & (F.col("c.t") == F.col("of.t")), "left")
     found = F.coalesce(F.col("found"), F.array().cast("array<string>"))
     named = F.array(*map(F.lit, allow)) if allow else F.array().cast("array<string>")
     blocked = (F.size(F.array_except(found, named)) > 0) & ~F.arrays_overlap(found, named)
-    return out.withColumns({"lists": F.array_join(F.array_sort(found), ","), "blocked": blocked}).drop("u", "t", "found")
+    added = {"host": F.col("host"), "lists": F.array_join(F.array_sort(found), ","), "blocked": blocked}
+    kept = [F.col("row").getField(c).alias(c) for c in captures.columns if c.lower() not in added]
+    return out.select(*kept, *(v.alias(k) for k, v in added.items()))
+
+
+def _met(asked: DataFrame, active: DataFrame) -> DataFrame:
+    """asked (u, t, kind, value) beside the intervals of its entries.
+
+    A log of proven size is broadcast. A larger one is shuffled, each entry SALTS times: captures that share a key, as all
+    of a site or of a top-level domain do, are dealt out by their hashes to as many tasks, and run-time splitting does the rest.
+    """
+    if active.count() <= BROADCAST_ENTRIES:
+        return asked.join(F.broadcast(active), ["kind", "value"])
+    dealt = active.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return asked.withColumn("salt", F.pmod(F.xxhash64("u", "t"), F.lit(SALTS)).cast("int")).join(dealt, ["kind", "value", "salt"]).drop("salt")
 
 
 def log_table(spark: SparkSession) -> DataFrame:

@@ -473,6 +473,7 @@ def plain_levels(uses):
     while changed:
         changed = False
         for c, needs in uses.items():
+            needs = [n for n in needs if n in uses]
             if c not in out and all(n in out for n in needs):
                 out[c], changed = 1 + max((out[n] for n in needs), default=-1), True
     return out
@@ -503,7 +504,7 @@ def test_registered_tool_calls_equal_a_plain_version(spark):
     rng, turns = random.Random(14), []
     for c in range(9):
         for t in range(rng.choice([1, 2, 9, 24])):
-            text = rng.choice([None, "", "a \"b\" é\n$c2 \\ x", "word " * rng.randint(1, 400), "tabs\tand   blanks"])
+            text = rng.choice([None, "", "a \"b\" é\n$c2 \\ x", 'He paid "$5" for it', "$100 off today", "$c0 $c2 \\$c4 $c900 $", "word " * rng.randint(1, 400), "tabs\tand   blanks"])
             turns.append((c, t, "assistant" if t % 2 else "user", text))
     turns += turns[:3] + [(None, 0, "user", "x"), (3, 2, "system", "y")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
@@ -523,7 +524,8 @@ def test_registered_tool_calls_equal_a_plain_version(spark):
             replies[c, t - 1] = min(replies.get((c, t - 1), (t, "~")), (t, __import__("hashlib").md5(text.encode()).hexdigest()))
     uses = {}
     for c, t, _, given, _ in calls:
-        uses.setdefault((c, f"c{t}"), set()).update((c, x) for x in re.findall(r'"\$([^"]+)"', json.dumps(given, ensure_ascii=False)))
+        strings = [x for v in given.values() for x in (v if isinstance(v, list) else [v]) if isinstance(x, str)]
+        uses.setdefault((c, f"c{t}"), set()).update((c, x[1:]) for x in strings if x.startswith("$"))
     level = plain_levels(uses)
     want = []
     for c, t, name, given, errors in calls:
@@ -535,6 +537,24 @@ def test_registered_tool_calls_equal_a_plain_version(spark):
     assert sorted(got, key=str) == sorted(want, key=str) and len({r[4] for r in want}) == 3
 
 
+def test_references_are_whole_values_and_numbers_are_exact(spark):
+    import json
+
+    given = [
+        ('{"query":"He paid \\"$a\\" for it"}', []), ('{"query":"$100 off today"}', ["100 off today"]), ('{"$a" : "x", "q": {"$b":["$a", {"y":"$q \\\\ \\"z\\""}]}}', ["a", 'q \\ "z"']),
+        ('{"x":"\\\\","y":"$a"}', ["a"]), ('{"x":"\\\\\\"","y":"$b\\u0041"}', ["bA"]), ('{"x":"$"}', []), (None, None), ("nonsense", []), ('{"x": "$a" , "y" : 1}', ["a"]),
+    ]
+    df = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(given)], "k int, arguments string")
+    got = {r.k: r.uses for r in df.select("k", toolcalls.references("arguments").alias("uses")).collect()}
+    assert got == {k: u for k, (_, u) in enumerate(given)}
+    whole = lambda a: '{"tool_calls":[{"id":"a","name":"search","arguments":' + a + "}]}"
+    rows = [(1, 0, "assistant", whole('{"query":"$100 off today"}')), (2, 0, "assistant", whole('{"query":"$a"}')), (3, 0, "assistant", whole('{"limit":' + "1" * 50 + "}")), (4, 0, "assistant", whole('{"limit":' + "1" * 38 + ',"query":"' + "2" * 60 + '"}')), (5, 0, "assistant", whole('{"query":"x","limit":-' + "1" * 39 + "}")), (6, 0, "assistant", whole('{"query":"x","query":"y"}'))]
+    out = {r.conv_id: r for r in toolcalls.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), toolcalls.tools_table(spark)).collect()}
+    assert [out[k].level for k in (1, 2)] == [0, None]
+    assert [(out[k].errors, out[k].canonical) for k in (3, 5, 6)] == [("number too long", None)] * 2 + [("no object", None)]
+    assert out[4].valid and json.loads(out[4].canonical)["arguments"]["limit"] == int("1" * 38)
+
+
 def test_tool_messages_hold_the_whole_text(spark):
     import json
 
@@ -560,6 +580,20 @@ def test_url_lists_in_time(spark):
     assert urlfilter.filtered(df, log.limit(0)).where("blocked").count() == 0 and urlfilter.filtered(df.limit(0), log).count() == 0
 
 
+def test_url_lists_beside_columns_of_any_name_and_large_logs(spark, monkeypatch):
+    log = spark.createDataFrame([("s", "domain", "bad.org", "add", "2024-02-01", 1), ("t", "domain", "org", "add", "2024-02-01", 2), ("allow", "host", "ok.org", "add", "2024-01-01", 3)], urlfilter.LOG_SCHEMA)
+    rows = [(k, f"http://{h}/x{k % 3}", "2024-03-01") for k, h in enumerate(["bad.org", "a.bad.org", "ok.org", "other.com", "fine.org"] * 8)]
+    theirs = ["u", "t", "found", "key", "h", "p", "c", "of", "row", "salt", "kind", "Lists", "a.b"]
+    df = spark.createDataFrame(rows, "page_id long, url string, fetched string").withColumns({c: F.lit(f"their {c}") for c in theirs})
+    want = {"bad.org": ("s,t", True), "a.bad.org": ("s,t", True), "ok.org": ("allow,t", False), "other.com": ("", False), "fine.org": ("t", True)}
+    for entries in (100, 0):
+        monkeypatch.setattr(urlfilter, "BROADCAST_ENTRIES", entries)
+        out = urlfilter.filtered(df, log)
+        assert out.columns == ["page_id", "url", "fetched", *(c for c in theirs if c != "Lists"), "host", "lists", "blocked"]
+        got = out.collect()
+        assert len(got) == len(rows) and all((r.lists, r.blocked) == want[r.host] and r.found == "their found" and r["a.b"] == "their a.b" for r in got)
+
+
 def test_licenses(spark):
     texts = [
         "Released under the MIT License.", "SPDX-License-Identifier: GPL-3.0-or-later", "cc by nc cc by nc", "Licensed under the Apache License, Version 2.0 and under the MIT license", "a mit-igated license agreement", *ODD,
