@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -109,41 +110,44 @@ def bound(value: Column, then) -> Column:
 def masked(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """Identifiers replaced by their placeholders, rule by rule; rules whose gate doesn't open are not tried.
 
-    Rules of one gate stand together in their order. Patterns repeat classes, not groups, for Java
+    Neighbouring rules of one gate are skipped together. Patterns repeat classes, not groups, for Java
     matches a repeated group by recursion, and a long run would overflow the stack.
     """
     out = text
-    for gate in dict.fromkeys(r.gate for r in rules):
-        group = [r for r in rules if r.gate == gate]
-        out = bound(out, lambda before, gate=gate, group=group: F.when(before.rlike(gate), _replaced(before, group)).otherwise(before))
+    for gate, group in groupby(rules, lambda r: r.gate):
+        out = bound(out, lambda before, gate=gate, group=tuple(group): F.when(before.rlike(gate), _replaced(before, group)).otherwise(before))
     return out
 
 
-def _replaced(text: Column, rules: list[Rule]) -> Column:
+def _replaced(text: Column, rules: tuple[Rule, ...]) -> Column:
     for rule in rules:
         text = F.regexp_replace(text, rule.pattern, rule.placeholder)
     return text
 
 
-def mask_counts(text: Column, rules: tuple[Rule, ...] = RULES) -> dict[str, Column]:
-    """How often each rule hits, counted on the text that the rules before it have masked."""
-    out = {}
+def redaction(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """struct<text, hits>: the masked text, and how often each rule hit what the rules before it left.
+
+    Texts are masked once. Only where that changed something, which is rare, are the rules followed one by one to see which
+    did; so no placeholder may be the very text that it stands for.
+    """
+    hits = []
     for k, rule in enumerate(rules):
         before = masked(text, rules[:k])
-        out[rule.name] = F.coalesce(F.when(before.rlike(rule.gate), F.regexp_count(before, F.lit(rule.pattern))).otherwise(F.lit(0)), F.lit(0))
-    return out
+        hits.append(F.when(before.rlike(rule.gate), F.regexp_count(before, F.lit(rule.pattern))).otherwise(F.lit(0)))
+    none = F.array(*[F.lit(0)] * len(rules))
+    return bound(masked(text, rules), lambda after: F.struct(after.alias("text"), F.when(after == text, none).when(text.isNull(), none).otherwise(F.array(*hits)).alias("hits")))
 
 
 def scan(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """map<rule, hits> of the rules that hit."""
-    pairs = [x for name, n in mask_counts(text, rules).items() for x in (F.lit(name), n)]
-    return F.map_filter(F.create_map(*pairs), lambda _, n: n > 0)
+    return F.map_filter(F.map_from_arrays(F.array(*[F.lit(r.name) for r in rules]), redaction(text, rules)["hits"]), lambda _, n: n > 0)
 
 
 def summarize(counts: Column) -> Column:
     """'a=1, b=2' of a map, by name; a sentence if it is empty."""
     parts = F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
-    return F.when(F.size(counts) == 0, F.lit("no identifiers found")).otherwise(F.array_join(parts, ", "))
+    return bound(F.array_join(parts, ", "), lambda line: F.when(line == "", F.lit("no identifiers found")).otherwise(line))
 
 
 #: Sizes and strings of a prepared text.

@@ -57,8 +57,8 @@ _COUNTS = ", ".join(f"CAST(sum(len(regexp_extract_all({plain_masked('text', PLAI
 @query(f"SELECT lang, count(*) AS documents, {_COUNTS} FROM documents GROUP BY lang")
 def redact_counts_by_lang(spark, sf_dir):
     """Identifiers of each kind that masking would replace, per language."""
-    docs = table(spark, sf_dir, "documents").select("lang", "text")
-    return docs.select("lang", *[n.alias(name) for name, n in T.mask_counts(F.col("text")).items()]).groupBy("lang").agg(F.count("*").alias("documents"), *[F.sum(name).alias(name) for name, *_ in PLAIN])
+    found = table(spark, sf_dir, "documents").select("lang", T.redaction(F.col("text"))["hits"].alias("hits"))
+    return found.groupBy("lang").agg(F.count("*").alias("documents"), *[F.sum(F.col("hits")[k]).alias(rule.name) for k, rule in enumerate(T.RULES)])
 
 
 @query(f"SELECT doc_id, md5({plain_masked('text')}) AS masked FROM documents")
@@ -78,8 +78,8 @@ _EACH = ", ".join(f"len(regexp_extract_all({plain_masked('text', PLAIN[:k])}, '{
 @query(f"SELECT * FROM (SELECT doc_id, concat_ws(', ', {_FOUND}) AS found FROM (SELECT doc_id, {_EACH} FROM documents)) WHERE found <> ''")
 def redact_summary(spark, sf_dir):
     """Documents with identifiers, and what was found in each, as one line."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.summarize(T.scan(F.col("text"))).alias("found")).where("found <> 'no identifiers found'")
+    found = table(spark, sf_dir, "documents").select("doc_id", T.scan(F.col("text")).alias("found")).where(F.size("found") > 0)
+    return found.select("doc_id", T.summarize(F.col("found")).alias("found"))
 
 
 _STRIPPED = r"regexp_replace(text, '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')"
