@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from sortarium import schemas
 from sortarium.functions import text as T
 from sortarium.operators.gateway import GatewayError
+from sortarium.sources import pdf as pdf_file
 
 
 class UnsupportedDocument(ValueError):
@@ -104,7 +105,10 @@ class Tesseract:
     def transcribe(self, images: list[bytes]) -> str:
         program = self.program()
         run = lambda i: subprocess.run([program, "stdin", "stdout", "-l", self.lang], input=i, capture_output=True, check=True).stdout.decode().strip()
-        return "\n\n".join(run(i) for i in images)
+        try:
+            return "\n\n".join(run(i) for i in images)
+        except (subprocess.CalledProcessError, OSError) as e:
+            raise OCRUnavailable(f"tesseract failed: {e}") from e
 
 
 class GatewayOcr:
@@ -199,27 +203,61 @@ def usable(text: str, least: int = 40, threshold: float = 0.2) -> bool:
     return len(text.strip()) >= least and bool(letters) and sum("؀" <= c <= "ۿ" for c in letters) >= threshold * len(letters)
 
 
-def paged(pages: list[str], raster: Callable[[int], bytes], ocr: OcrBackend | None, is_usable: Callable[[str], bool] = usable) -> Extraction:
-    """Text of a document from its pages' own text: the pages without a usable one go to OCR in one call.
+def pdf(content: bytes, ocr: OcrBackend | None = None, dpi: int = 200, is_usable: Callable[[str], bool] = usable) -> Extraction:
+    """Text of a document from its pages' own text: the pages without a usable one go to OCR in one call, as their scans.
 
     Their text takes the place of the first of them; empty pages are left out.
     """
-    scanned = [k for k, t in enumerate(pages) if not is_usable(t)]
-    kept = ["" if k in set(scanned) else t for k, t in enumerate(pages)]
+    try:
+        pages = pdf_file.read_pages(content)
+    except pdf_file.BadPdf as e:
+        raise UnsupportedDocument(f"PDF: {e}") from e
+    texts = [p.text if is_usable(p.text) else "" for p in pages]
+    scanned = [k for k, p in enumerate(pages) if not is_usable(p.text)]
     if scanned:
         if ocr is None:
-            raise OCRUnavailable("scanned pages need an OCR backend")
-        kept[scanned[0]] = ocr.transcribe([raster(k) for k in scanned])
-    return "\n\n".join(t.strip() for t in kept if t.strip()), "ocr" if scanned else "digital", len(pages)
+            raise OCRUnavailable(f"{len(scanned)} page(s) without a usable text layer need an OCR backend")
+        texts[scanned[0]] = ocr.transcribe([pages[k].scan or pdf_file.blank(pages[k].size, dpi) for k in scanned])
+    return "\n\n".join(t.strip() for t in texts if t.strip()), "ocr" if scanned else "digital", len(pages)
 
 
-def pdf(content: bytes, ocr: OcrBackend | None = None, dpi: int = 200) -> Extraction:
-    try:
-        import pymupdf
-    except ImportError as e:
-        raise UnsupportedDocument("PDF needs the pymupdf library") from e
-    with pymupdf.open(stream=content, filetype="pdf") as f:
-        return paged([p.get_text() for p in f], lambda k: f[k].get_pixmap(matrix=pymupdf.Matrix(dpi / 72, dpi / 72)).tobytes("png"), ocr)
+def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(path, page, text, usable, scan) of every page of the PDF files at path, from 0; a file that can't be read is one row with an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pdf,PDF}").load(path)
+
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for where, content in zip(batch.path, batch.content):
+                try:
+                    rows = [(where, k, p.text, usable(p.text), p.scan, None) for k, p in enumerate(pdf_file.read_pages(content))]
+                except pdf_file.BadPdf as e:
+                    rows = [(where, None, None, None, None, str(e))]
+                yield pd.DataFrame(rows, columns=["path", "page", "text", "usable", "scan", "error"]).astype({"page": "Int32"})
+
+    return files.select("path", "content").mapInPandas(pages, "path string, page int, text string, usable boolean, scan binary, error string")
+
+
+def transcribed(pages: DataFrame, ocr, dpi: int = 200) -> DataFrame:
+    """(path, text, source, page_count) of documents from their pages: OCR runs in tasks of its own, a call for each document.
+
+    Only pages without a usable text travel with their scans; what OCR reads takes the place of the first of them.
+    """
+    backend = ocr_backend(ocr)
+
+    def read(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("page")
+        images = [scan if scan is not None else pdf_file.blank((595.0, 842.0), dpi) for scan in group.scan]
+        if backend is None:
+            raise OCRUnavailable(f"{len(images)} page(s) without a usable text layer need an OCR backend")
+        return pd.DataFrame([(group.path.iloc[0], int(group.page.iloc[0]), backend.transcribe(images))], columns=["path", "page", "text"])
+
+    good = pages.where("error IS NULL")
+    seen = good.where("NOT usable").select("path", "page", "scan").groupBy("path").applyInPandas(read, "path string, page int, text string")
+    parts = good.select("path", "page", F.when(F.col("usable"), F.trim("text")).alias("text"), (~F.col("usable")).alias("scanned"))
+    parts = parts.unionByName(seen.select("path", "page", F.trim("text").alias("text"), F.lit(None).cast("boolean").alias("scanned")))
+    said = F.filter(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"].isNotNull() & (p["text"] != ""))
+    out = parts.groupBy("path").agg(F.array_join(F.transform(said, lambda p: p["text"]), "\n\n").alias("text"), F.bool_or("scanned").alias("ocr"), F.count("scanned").cast("int").alias("page_count"))
+    return out.select("path", "text", F.when(F.col("ocr"), "ocr").otherwise("digital").alias("source"), "page_count")
 
 
 EXTRACTORS: dict[str, Callable[..., Extraction]] = {".txt": plain_text, ".md": plain_text, ".docx": docx, ".pdf": pdf} | dict.fromkeys((".png", ".jpg", ".jpeg", ".tif", ".tiff"), image)

@@ -294,20 +294,7 @@ def test_folder_scan(spark, tmp_path):
         io.read_documents(spark, str(tmp_path / "ignore.zip"))
 
 
-def test_scanned_pages_go_to_ocr_in_one_call():
-    class Ocr:
-        name, calls = "stub", []
-
-        def transcribe(self, images):
-            self.calls.append(images)
-            return "read"
-
-    ocr, good = Ocr(), "نص عربي واضح وطويل بما يكفي ليكون صفحة كاملة مقروءة"
-    assert io.paged([good, "", ""], lambda k: bytes([k]), ocr) == (f"{good}\n\nread", "ocr", 3)
-    assert ocr.calls == [[b"\1", b"\2"]]
-    assert io.paged([good, good], lambda k: b"", None) == (f"{good}\n\n{good}", "digital", 2)
-    with pytest.raises(io.OCRUnavailable):
-        io.paged([""], lambda k: b"", None)
+def test_unknown_ocr_backends_are_refused():
     with pytest.raises(io.OCRUnavailable):
         io.ocr_backend("nobody")
 
