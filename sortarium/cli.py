@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sortarium import generate, reporting, review, session, taxonomy
-from sortarium.operators import baseline, classify, evaluate, fewshot, gateway, labels, queue, threshold, tiebreak
+from sortarium.operators import baseline, classify, distinctions, evaluate, fewshot, gateway, labels, queue, threshold, tiebreak
 from sortarium.sources import documents as io
 
 THIN, SMALL_RANDOM, BAD_ECE, BAD_OPTIMISM = 15, 30, 0.15, 0.05
@@ -42,6 +42,14 @@ def _limited(docs, n: int):
 
 
 def cmd_taxonomy(a, spark, tax):
+    if a.gold:
+        gold = io.read_documents(spark, a.gold).select(F.col("true_label").alias("label"), "text")
+        tax = distinctions.ruled(tax, distinctions.distinctions(gold, tax.pairs(spark)))
+        for i in tax.institutions:
+            if i.disambiguation_ar:
+                _say(f"{i.id}: {i.disambiguation_ar}")
+    if a.out:
+        taxonomy.save(tax, a.out)
     _say(reporting.formatted(reporting.institutions(tax, spark)))
 
 
@@ -207,7 +215,7 @@ def parser() -> argparse.ArgumentParser:
 
     n = lambda default: {"type": int, "default": default}
     x = lambda default: {"type": float, "default": default}
-    add("taxonomy", cmd_taxonomy)
+    add("taxonomy", cmd_taxonomy, ("--gold", {}), ("--out", {}))
     add("generate", cmd_generate, ("out", {}), ("--mode", {"choices": ("templates", "curated", "model"), "default": "templates"}), ("--per-class", n(20)), ("--seed", n(7)), ("--hard-ratio", x(generate.HARD_RATIO)), ("--noise-ratio", x(generate.NOISE_RATIO)), ("--corpus", {}), ("--hard-only", {"action": "store_true"}), ("--gateway", {"default": "http://127.0.0.1:8000/v1"}), ("--model", {"default": ""}), ("--files", {"action": "store_true"}))
     add("difficulty", cmd_difficulty, ("--corpus", {}), ("--per-class", n(20)), ("--seed", n(7)))
     add("classify", cmd_classify, ("path", {}), ("out", {}), ("--limit", n(0)), model=True)

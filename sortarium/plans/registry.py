@@ -193,6 +193,26 @@ def file_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.file_name(F.col("url")).alias("file_name"))
 
 
+@query(
+    with_tables(
+        f"""c AS (SELECT doc_id, lang AS label, lower({sql_aggressive('text')}) AS t FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL),
+        w AS (SELECT label, doc_id, unnest(regexp_extract_all(t, '\\w\\w+')) AS gram FROM c), k AS (SELECT label, gram, count(*) AS n, count(DISTINCT doc_id) AS texts FROM w GROUP BY ALL),
+        s AS (SELECT label, CAST(sum(n) AS DOUBLE) AS size FROM k GROUP BY label), e AS (SELECT gram, CAST(sum(n) AS DOUBLE) * 500 / (SELECT sum(n) FROM k) AS alpha FROM k GROUP BY gram),
+        m AS (SELECT p.a, p.b, e.gram, alpha, sa.size AS size_a, sb.size AS size_b, coalesce(ka.n, 0) AS n_a, coalesce(kb.n, 0) AS n_b, coalesce(ka.texts, 0) AS texts_a, coalesce(kb.texts, 0) AS texts_b
+          FROM pairs p JOIN s sa ON sa.label = p.a JOIN s sb ON sb.label = p.b CROSS JOIN e LEFT JOIN k ka ON ka.label = p.a AND ka.gram = e.gram LEFT JOIN k kb ON kb.label = p.b AND kb.gram = e.gram WHERE ka.n IS NOT NULL OR kb.n IS NOT NULL),
+        z AS (SELECT *, (ln((n_a + alpha) / (size_a + 500 - n_a - alpha)) - ln((n_b + alpha) / (size_b + 500 - n_b - alpha))) / sqrt(1 / (n_a + alpha) + 1 / (n_b + alpha)) AS z FROM m),
+        t AS (SELECT a, b, CASE WHEN z > 0 THEN a ELSE b END AS label, gram, abs(z) AS z FROM z WHERE (z > 0 AND texts_a >= 2) OR (z < 0 AND texts_b >= 2))
+        SELECT a, b, label, CAST(row_number() OVER (PARTITION BY a, b, label ORDER BY round(z, 9) DESC, gram) AS INTEGER) AS place, gram, round(z, 6) AS z FROM t QUALIFY place <= 6"""
+    )
+)
+def pair_distinctions(spark, sf_dir):
+    """The words that tell two confused languages apart, over all documents."""
+    from sortarium.operators import distinctions
+
+    gold = table(spark, sf_dir, "documents").select(F.col("lang").alias("label"), "text")
+    return distinctions.distinctions(gold, TAXONOMY.pairs(spark)).withColumn("z", F.round("z", 6))
+
+
 # --- evaluation -----------------------------------------------------------------------------------
 
 
