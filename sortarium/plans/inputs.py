@@ -44,9 +44,9 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({"needs_review": F.col("confidence") < 0.55, "hit": (F.col("gold") == F.col("institution_id")).cast("int"), "backend": F.lit("synthetic")})
 
 
-def label_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a label log: a user's id stands for the document, the type of event for the decision."""
-    e = table(spark, sf_dir, "events")
+def label_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """The events, of the table or a stream, as a label log: a user's id stands for the document, the type of event for the decision."""
+    e = table(spark, sf_dir, "events") if events is None else events
     kind = F.col("event_type")
     langs = F.array(*map(F.lit, TAXONOMY.ids))
     pick = lambda c: F.element_at(langs, (F.pmod(c, F.lit(4)) + 1).cast("int"))

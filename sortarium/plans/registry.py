@@ -390,6 +390,23 @@ def wilson_by_lane(spark, sf_dir):
     return labels.lanes(labels.current(inputs.label_log(spark, sf_dir))).withColumns({"low": F.round("low", 9), "high": F.round("high", 9)})
 
 
+@query(ORACLE_SQL["wilson_by_lane"])
+def label_stream(spark, sf_dir):
+    """Agreement by lane from the events read as a stream: changes of keyed state, summed."""
+    from sortarium.streaming import labels as stream
+
+    raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern may name a file, a stream's folder may not
+    # the order of the log as one number: microseconds, and within one of them the id
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2020-01-01 00:00:00', seq.ts)")
+    records = inputs.label_log(spark, sf_dir, raw).withColumn("seq", at * F.lit(1 << 14) + F.pmod(F.col("seq.event_id"), F.lit(1 << 14)))
+    root = session.scratch_folder(spark)
+    stream.run(records, f"{root}/changes", f"{root}/checkpoint").awaitTermination()
+    lanes = stream.lanes(spark.read.schema(stream.CHANGE).parquet(f"{root}/changes")).collect()
+    session.removed(spark, root)
+    rows = [(r.lane, r.n, r.agreed, r.agreement, round(r.low, 9), round(r.high, 9)) for r in lanes]
+    return spark.createDataFrame(rows, "lane string, n long, agreed long, agreement double, low double, high double")
+
+
 @query(with_tables("SELECT list_sort(list(seconds_spent))[count(*) // 2 + 1] AS upper_median FROM now WHERE seconds_spent IS NOT NULL AND seconds_spent <> 0"))
 def upper_median(spark, sf_dir):
     return labels.upper_median(labels.current(inputs.label_log(spark, sf_dir)), "seconds_spent")
