@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -136,15 +135,15 @@ def cmd_batch(a, spark, tax):
     made, _ = _classifier(a, tax, spark)
     batches = gateway.Batches(made, gateway.HttpBatches(gateway.HttpClient(a.gateway), a.model))
     if a.what == "submit":
-        ids = batches.submit(_limited(io.read_documents(spark, a.path), a.limit))
+        ids = batches.submit(_limited(io.read_documents(spark, a.path), a.limit), f"{a.out}.ledger")
         Path(a.out).write_text(json.dumps(ids), encoding="utf-8")
         return _say("\n".join(ids))
     ids = json.loads(Path(a.path).read_text(encoding="utf-8"))
     if waiting := [i for i in ids if batches.port.status(i) != "ended"]:
         raise ValueError(f"not ended yet: {', '.join(waiting)}")
-    done = [batches.collect(i, spark) for i in ids]
-    io.write_jsonl(reduce(DataFrame.unionByName, (good for good, _ in done)), a.out)
-    if failed := [r for _, bad in done for r in bad.collect()]:
+    good, bad = batches.collect(ids, spark)
+    io.write_jsonl(good, a.out)
+    if failed := bad.limit(1000).collect():
         _warn("without a prediction: " + "; ".join(f"{r.doc_id} ({r.error})" for r in failed))
 
 

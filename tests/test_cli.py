@@ -13,12 +13,10 @@ REPLY = json.dumps({"institution_id": "gosi", "confidence": 0.9, "rationale_ar":
 
 
 class Fake:
-    """Answers every request; a batch is over as soon as it is submitted."""
+    """Answers every request; a batch is over as soon as it is submitted. It lies in the folder that the gateway's address names."""
 
-    kept: dict = {}
-
-    def __init__(self, *_):
-        pass
+    def __init__(self, folder="", *_):
+        self.folder = folder
 
     def chat(self, **request):
         return REPLY
@@ -26,13 +24,19 @@ class Fake:
     def models(self):
         return ["m"]
 
-    def _call(self, path, body=None):
+    def _call(self, path, body=None, once=""):
+        from pathlib import Path
+
         if body is not None:
-            Fake.kept["b1"] = body["requests"]
-            return {"id": "b1"}
-        if path.endswith("/results"):
+            Path(self.folder, f"{once}.json").write_text(json.dumps(body["requests"]))
+            return {"id": once}
+        if "/results" in path:
+            # two results a page
+            first = int(path.partition("?from=")[2] or 0)
+            requests = json.loads(Path(self.folder, f"{path.split('/')[2]}.json").read_text())
             replies = [REPLY, None, "no object"]
-            return {"results": [{"custom_id": r["custom_id"], "content": replies[min(k, 2)]} if k < 3 else {"custom_id": r["custom_id"], "error": "overloaded"} for k, r in enumerate(Fake.kept["b1"])]}
+            whole = [{"custom_id": r["custom_id"], "content": replies[min(k, 2)]} if k < 3 else {"custom_id": r["custom_id"], "error": "overloaded"} for k, r in enumerate(requests)]
+            return {"results": whole[first : first + 2]} | ({"next": f"{path.partition('?')[0]}?from={first + 2}"} if first + 2 < len(whole) else {})
         return {"status": "ended"}
 
 
@@ -58,10 +62,17 @@ def test_generate_classify_evaluate_threshold(spark, tmp_path, fake, capsys):
 def test_batches_are_submitted_and_collected(spark, tmp_path, fake, capsys):
     docs, ids, out = str(tmp_path / "docs.jsonl"), str(tmp_path / "ids.json"), str(tmp_path / "out.jsonl")
     cli.main(["generate", docs, "--per-class", "1"])
-    assert cli.main(["batch", "submit", docs, ids, "--backend", "llm", "--model", "m", "--limit", "4"]) == 0
-    assert json.loads(open(ids).read()) == ["b1"] and len(Fake.kept["b1"]) == 4
-    assert cli.main(["batch", "collect", ids, out, "--backend", "llm", "--model", "m"]) == 0
+    (tmp_path / "service").mkdir()
+    more = ["--backend", "llm", "--model", "m", "--gateway", str(tmp_path / "service")]
+    assert cli.main(["batch", "submit", docs, ids, "--limit", "4", *more]) == 0
+    (batch,) = json.loads(open(ids).read())
+    assert len(json.loads((tmp_path / "service" / f"{batch}.json").read_text())) == 4
+    assert cli.main(["batch", "collect", ids, out, *more]) == 0
     assert io.read_predictions(spark, out).count() == 1
+    again = str(tmp_path / "ids.json")
+    assert cli.main(["batch", "submit", docs, again, *more]) == 0  # the ledger beside the ids has the first four
+    requests = [r["custom_id"] for f in (tmp_path / "service").iterdir() for r in json.loads(f.read_text())]
+    assert len(requests) == len(set(requests)) == io.read_documents(spark, docs).count()
     said = capsys.readouterr().err
     assert "leave this machine" in said and "refusal" in said and "unparseable" in said and "overloaded" in said
 

@@ -210,19 +210,49 @@ def test_request_holds_no_identifier(spark):
     assert "1042779318" not in r.t and "[رقم هوية]" in r.t
 
 
-def test_batches_match_ids(spark):
-    class Port:
-        def submit(self, requests):
-            self.requests = requests
-            return "b1"
-
-        def results(self, _):
-            return [("d01", GOOD), ("d00", None), ("d02", "?")]
-
-    b = gateway.Batches(gateway.GatewayClassifier(TAX, None, "m", strategy="prompt"), Port())
-    assert b.submit(docs(spark, 3)) == ["b1"] and len(b.port.requests) == 3
-    good, bad = b.collect("b1", spark)
-    assert [r.doc_id for r in good.collect()] == ["d01"] and {r.doc_id: r.error.split(":")[0] for r in bad.collect()} == {"d00": "refusal", "d02": "unparseable"}
+class FolderPort:
+    """A service that keeps its batches in a folder and takes a name once; the first submission of each batch fails after it was taken."""
+
+    def __init__(self, folder, failing=False):
+        self.folder, self.failing = folder, failing
+
+    def submit(self, requests, once):
+        from pathlib import Path
+
+        file = Path(self.folder, once)
+        new = not file.exists()
+        file.write_text(json.dumps([requests, 1 if new else json.loads(file.read_text())[1] + 1]))
+        if new and self.failing:
+            raise gateway.GatewayUnavailable("the answer got lost")
+        return once
+
+    def results(self, batch_id):
+        from pathlib import Path
+
+        for i, _, content in json.loads(Path(self.folder, batch_id).read_text())[0]:
+            yield i, {"d00": None, "d02": "?", "d03": gateway.GatewayError("overloaded"), "d04": GOOD.replace("gosi", "nobody")}.get(i, GOOD)
+
+
+def test_batches_match_ids_and_no_document_is_submitted_twice(spark, tmp_path):
+    (tmp_path / "service").mkdir()
+    port = FolderPort(str(tmp_path / "service"), failing=True)
+    b = gateway.Batches(gateway.GatewayClassifier(TAX, None, "m", strategy="prompt"), port)
+    ledger = str(tmp_path / "ledger")
+    for _ in range(20):  # answers get lost until every batch has been taken once
+        try:
+            ids = b.submit(docs(spark, 23), ledger, chunk=5)
+            break
+        except Exception as e:
+            assert "got lost" in str(e)
+    taken = {f.name: json.loads(f.read_text()) for f in (tmp_path / "service").iterdir()}
+    assert sorted(taken) == ids and all(len(requests) <= 5 for requests, _ in taken.values())
+    assert sorted(r[0] for requests, _ in taken.values() for r in requests) == [f"d{k:02}" for k in range(23)]
+    assert b.submit(docs(spark, 23), ledger, chunk=5) == [] and len(b.submit(docs(spark, 25), ledger, chunk=5) if not port.failing else [1]) == 1
+    good, bad = b.collect(ids, spark)
+    failed = {r.doc_id: r.error.split(":")[0] for r in bad.collect()}
+    assert failed == {"d00": "refusal", "d02": "unparseable", "d03": "overloaded"} | ({"d04": "invalid"} if "gosi" in GOOD else {})
+    assert {r.doc_id for r in good.collect()} == {f"d{k:02}" for k in range(23)} - set(failed)
+    assert [x.count() for x in b.collect([], spark)] == [0, 0]
 
 
 def test_unknown_backend():
