@@ -18,6 +18,7 @@ replace those of the same name. The time for a text grows with its length and it
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -152,10 +153,38 @@ WORDING = (
     ("php notice", "php", "php license", "this source file is subject to version 3 0?1? ?of the php license", 0, 0.97),
     ("python agreement", "python-2", "psf license", "psf license agreement for python", 1, 0.9),
     ("all rights reserved", "all-rights-reserved", "rights reserved", "all rights reserved", 3, 0.5),
+    # identifiers and names that stand alone
+    ("bsd-2 identifier", "bsd-2", "bsd 2", "bsd 2 clause", 2, 0.8),
+    ("bsd-3 identifier", "bsd-3", "bsd 3", "bsd 3 clause", 2, 0.8),
+    ("bsd-4 identifier", "bsd-4", "bsd 4", "bsd 4 clause", 2, 0.8),
+    ("apache-2 identifier", "apache-2", "apache 2 0", "apache 2 0", 2, 0.8),
+    ("gpl-2 identifier", "gpl-2", "gpl", "(?:gplv2|gpl v2|gpl 2 0(?: only| or later)?)", 2, 0.8),
+    ("gpl-3 identifier", "gpl-3", "gpl", "(?:gplv3|gpl v3|gpl 3 0(?: only| or later)?)", 2, 0.8),
+    ("lgpl-2.1 identifier", "lgpl-2.1", "lgpl", "lgpl ?v?2 1(?: only| or later)?", 2, 0.8),
+    ("lgpl-3 identifier", "lgpl-3", "lgpl", "(?:lgplv3|lgpl v3|lgpl 3 0(?: only| or later)?)", 2, 0.8),
+    ("agpl-3 identifier", "agpl-3", "agpl", "(?:agplv3|agpl v3|agpl 3 0(?: only| or later)?)", 2, 0.8),
+    ("mpl-2 identifier", "mpl-2", "mpl 2 0", "mpl 2 0", 2, 0.8),
+    ("epl-2 identifier", "epl-2", "epl 2 0", "epl 2 0", 2, 0.8),
+    ("cc-by identifier", "cc-by", "cc by", "cc by [1234] [05]", 2, 0.8),
+    ("cc-by-sa identifier", "cc-by-sa", "cc by sa", "cc by sa", 2, 0.8),
+    ("cc-by-nd identifier", "cc-by-nd", "cc by nd", "cc by nd", 2, 0.8),
+    ("cc-by-nc-sa identifier", "cc-by-nc-sa", "cc by nc sa", "cc by nc sa", 2, 0.8),
+    ("cc-by-nc-nd identifier", "cc-by-nc-nd", "cc by nc nd", "cc by nc nd", 2, 0.8),
+    ("cc0 identifier", "cc0", "cc0 1 0", "cc0 1 0", 2, 0.8),
+    ("gpl-2 name", "gpl-2", "gnu g", "gnu (?:general public license|gpl) ?v(?:ersion )?2", 2, 0.85),
+    ("gpl-3 name", "gpl-3", "gnu g", "gnu (?:general public license|gpl) ?v(?:ersion )?3", 2, 0.85),
+    ("lgpl-2.1 name", "lgpl-2.1", "gnu l", "gnu (?:lesser general public license|lgpl) ?v(?:ersion )?2 1", 2, 0.85),
+    ("lgpl-3 name", "lgpl-3", "gnu l", "gnu (?:lesser general public license|lgpl) ?v(?:ersion )?3", 2, 0.85),
+    ("agpl-3 name", "agpl-3", "gnu a", "gnu (?:affero general public license|agpl) ?v(?:ersion )?3", 2, 0.85),
+    # lists of licenses, where each is named by its shortest form; those that span another's name don't suppress it
+    ("mit in a choice", "mit", "either ", "either (?:of )?(?:the )?mit(?: licen[cs]e)? or", 1, 0.9),
+    ("mit in a list", "mit", " mit ", "(?:the )?mit(?: licen[cs]e)? (?:and|or)(?: the)? (?:apache|gnu|gpl|[al]gpl|bsd|mozilla|mpl)", 2, 0.85),
+    ("mit ends a list", "mit", " mit", "(?:apache(?: licen[cs]e)?(?: version)? 2(?: 0)?|bsd(?: [234] clause)?|gpl ?v?[23](?: 0)?|mpl 2 0) (?:and|or)(?: the)? mit", 3, 0.85),
+    ("apache-2 in a list", "apache-2", " apache", "(?:mit|bsd(?: [234] clause)?|gpl ?v?[23](?: 0)?)(?: licen[cs]e)? (?:and|or)(?: the)? apache(?: licen[cs]e)?(?: version)? 2(?: 0)?", 3, 0.85),
 )
 
 #: Parts of words of which every written-out rule holds one.
-WORDING_GATE = ("licen", "permi", "softwar", "public domain", "publicdomain", "rights reserved", "endorse", "beer", "x consortium", "written agreement", "just do what", "affirmer")
+WORDING_GATE = ("licen", "permi", "softwar", "public domain", "publicdomain", "rights reserved", "endorse", "beer", "x consortium", "written agreement", "just do what", "affirmer", "clause", "apache 2", "gpl", "mpl 2", "epl 2", "cc by", "cc0", "gnu ", "either", "mit and", "mit or", "or mit", "and mit", "apache")
 #: Words without one of which no rule can match: the names' longer keywords, and what every way needs.
 GATE = ("licen", "lizenz", " spdx ", " under ", " subject ", " notice ", " terms ", " accept ", " see ", " read ", " dual ")
 NEEDS = "(?:^| )(?:licensed|licen[cs]e|licencia|licenza|lizenz|spdx|[al]?gpl(?:v?[23]|v|version)?|gnu|mit|bsd|apache|mozilla|mpl|cc|cc0|creative|gfdl|eclipse|epl|cddl|isc|x11|0bsd|asl|pddl|odbl|unlicense|zlib|bsl|busl|boost|business|artistic|psf|python|wtfpl|ofl|sil|eupl|ms|microsoft|sspl|upl|universal|european|open|ncsa|university|common|server|elastic|php|ruby|openssl|postgresql|do|zero|new|revised|modified|three|two|four|simplified|freebsd|original)(?: |$)"
@@ -207,8 +236,9 @@ def detections(docs: DataFrame, words: str) -> DataFrame:
 
     start and stop are places in the words with one blank between them.
     """
-    parts = lambda n, v: F.array(*map(F.lit, v.split("|"))) if n in ("keyword", "own") else F.lit(v)
-    table = F.array(*[F.struct(*[parts(n, v).alias(n) for n, v in zip(("rule", "label", "keyword", "own", "pattern", "priority", "confidence"), r)]) for r in rules()])
+    # The rules are one constant, made when the query is planned.
+    named = [dict(zip(("rule", "label", "keyword", "own", "pattern", "priority", "confidence"), r)) for r in rules()]
+    table = F.from_json(F.lit(json.dumps([r | {k: r[k].split("|") for k in ("keyword", "own")} for r in named])), "array<struct<rule: string, label: string, keyword: array<string>, own: array<string>, pattern: string, priority: int, confidence: double>>")
     text = F.replace(F.trim(F.col(words)), F.lit("  "), F.lit(" "))
     any_of = lambda parts: reduce(Column.__or__, [F.contains(words, F.lit(x.replace(" ", "  ") if x.strip() == x else x)) for x in parts])
     worded = any_of(WORDING_GATE) & any_of(sorted({r[2] for r in WORDING}))

@@ -699,6 +699,16 @@ def test_rules_equal_brute_force(spark):
         assert r.score == max([k[5] for k in kept] + [1.0 if r.n_base else 0.0])
 
 
+def test_ordinary_forms_of_licenses(spark):
+    cases = {
+        "code: BSD-3-Clause": "bsd-3", "Apache-2.0": "apache-2", "GPLv3+": "gpl-3", "This is under the GNU Lesser General Public License v2.1 or later": "lgpl-2.1", "open source under the terms of gnu gpl v2 or later": "gpl-2",
+        "dual licensed under MIT and Apache 2.0": "apache-2,mit", "licensed under either MIT or Apache License, Version 2.0": "apache-2,mit", "cc by nc nd 4.0": "cc-by-nc,cc-by-nc-nd", "data: CC BY-SA": "cc-by-sa", "AGPL-3.0-only": "agpl-3", "Apache 2.0 or MIT": "apache-2,mit",
+        "mit and then some": "", "the apache helicopter": "", "either way or that": "", "a gnu at the zoo": "",
+    }
+    out = sorted(licenses.scan(frame(spark, list(cases))).collect(), key=lambda r: r.doc_id)
+    assert {t: r.labels for t, r in zip(cases, out)} == cases
+
+
 def test_licenses_with_glued_versions(spark):
     texts = ["Released under GPLv3.", "Distributed under the terms of the GPLv3", "This file is available under GPL3 terms", "Published under LGPLv3", "provided under the AGPL3", "see the gplv2"]
     out = sorted(licenses.scan(frame(spark, texts)).collect(), key=lambda r: r.doc_id)
