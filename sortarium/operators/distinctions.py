@@ -8,30 +8,67 @@ side, in at least `support` texts of it, are the pair's rule. What both sides us
 from __future__ import annotations
 
 import dataclasses
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sortarium import session
+from sortarium.functions import text as T
 from sortarium.operators import vectors
 from sortarium.taxonomy import Taxonomy
 
 #: Counts that the prior is worth, spread over the words as all texts use them.
 PRIOR = 500.0
+#: Distinct words of a task's counts, beyond which it hands them on.
+HELD = 300_000
 
 
 def word_counts(gold: DataFrame, words: int = 1) -> DataFrame:
-    """(label, gram, n, texts) over gold (label, text): occurrences of each word, or run of up to `words` of them, and texts that have it."""
-    one = gold.select("label", F.monotonically_increasing_id().alias("row"), vectors.gram_column(F.col("text"), lambda t: (vectors.word_gram_list(t, words),)).alias("grams"))
-    by_text = one.select("label", "row", F.explode("grams").alias("gram")).groupBy("label", "row", "gram").agg(F.count("*").alias("n"))
-    return by_text.groupBy("label", "gram").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    """(label, gram, n, texts) over gold (label, text): occurrences of each word, or run of up to `words` of them, and texts that have it.
+
+    Tasks send sums by label, not occurrences.
+    """
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times: dict[str, Counter] = defaultdict(Counter)
+        held: dict[str, Counter] = defaultdict(Counter)
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for label, found in times.items():
+                names = list(found)
+                columns = [[label] * len(names), names, [found[g] for g in names], [held[label][g] for g in names]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["label", "gram", "n", "texts"])
+            times.clear()
+            held.clear()
+
+        for batch in batches:
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text")):
+                found = vectors.word_gram_list(T.aggressive_text(text.as_py()), words)
+                times[label].update(found)
+                held[label].update(set(found))
+                if sum(map(len, times.values())) > HELD:
+                    yield from handed_on()
+        yield from handed_on()
+
+    some = gold.select(F.col("label").cast("string").alias("label"), "text").mapInArrow(counts, "label string, gram string, n long, texts long")
+    return some.groupBy("label", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
 def distinctions(gold: DataFrame, pairs: DataFrame, top: int = 6, support: int = 2, words: int = 1, prior: float = PRIOR) -> DataFrame:
     """(a, b, label, place, gram, z): for both sides of each pair its `top` words, the strongest first.
 
-    Rows without a label or text teach nothing. The result has at most 2 * top rows a pair.
+    Rows without a label or text teach nothing. The result has at most 2 * top rows a pair, and is worked out at once: the counts
+    are read several times, so they are stored meanwhile.
     """
-    counts = word_counts(gold.where("label IS NOT NULL AND text IS NOT NULL"), words)
+    with session.stored(word_counts(gold.where("label IS NOT NULL AND text IS NOT NULL"), words)) as counts:
+        rows = _told(counts, pairs, top, support, prior).collect()
+    return gold.sparkSession.createDataFrame(rows, "a string, b string, label string, place int, gram string, z double")
+
+
+def _told(counts: DataFrame, pairs: DataFrame, top: int, support: int, prior: float) -> DataFrame:
     sizes = counts.groupBy("label").agg(F.sum("n").alias("size"))
     everywhere = counts.groupBy("gram").agg(F.sum("n").alias("all"))
     whole = F.broadcast(counts.agg(F.sum("n").alias("total")))
