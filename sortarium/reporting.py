@@ -65,22 +65,25 @@ def summary(report: dict, pair_errors: list[tuple[str, int]] = ()) -> str:
 
 
 def formatted(df: DataFrame, limit: int = 100) -> str:
-    """The first rows as aligned text."""
-    rows = [df.columns] + [["" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r] for r in df.limit(limit).collect()]
+    """The first rows as aligned text, and a last line if there are more."""
+    found = df.limit(limit + 1).collect()
+    rows = [df.columns] + [["" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r] for r in found[:limit]]
     wide = [max(len(r[k]) for r in rows) for k in range(len(df.columns))]
-    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, wide)).rstrip() for r in rows)
+    more = [f"(only the first {limit} rows are shown)"] if len(found) > limit else []
+    return "\n".join(["  ".join(v.ljust(w) for v, w in zip(r, wide)).rstrip() for r in rows] + more)
 
 
-def corpus_viewer(docs: DataFrame, limit: int = 5000) -> str:
+def corpus_viewer(docs: DataFrame, limit: int = 5000, after: str | None = None) -> str:
     """A page that shows a corpus and filters it by label, difficulty, pair and term; data is escaped, never markup.
 
-    docs is (doc_id, text, label, difficulty[, pair]). A page holds `limit` rows, by id, and says how many there are.
+    docs is (doc_id, text, label, difficulty[, pair]). A page holds `limit` rows, by id, and says how many there are; the
+    next page begins after the last id of this one.
     """
     import html
     import json
 
     pair = F.col("pair") if "pair" in docs.columns else F.lit(None).cast("string")
-    rows = [r.asDict() for r in docs.select("doc_id", "text", "label", "difficulty", pair.alias("pair")).orderBy("doc_id").limit(limit).collect()]
+    rows = [r.asDict() for r in docs.select("doc_id", "text", "label", "difficulty", pair.alias("pair")).where(F.lit(True) if after is None else F.col("doc_id") > after).orderBy("doc_id").limit(limit).collect()]
     data = json.dumps(rows, ensure_ascii=False).replace("<", "\\u003c")
     stats = corpus_stats(docs.select("text", "label", (F.col("difficulty") == "hard").alias("hard"))).first().asDict()
     shown = html.escape(json.dumps(stats | {"shown": len(rows)}))

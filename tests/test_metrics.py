@@ -187,3 +187,10 @@ def test_reports_are_ordered(spark):
     assert [r.threshold for r in reporting.sweep(threshold.sweep(rows), 0.9).collect()] == sorted(threshold.GRID)
     assert "target" in reporting.formatted(reporting.sweep(threshold.sweep(rows), 0.9))
     assert [r.institution_id for r in reporting.class_thresholds(threshold.per_class_thresholds(rows, TAX.dimension(spark))).collect()] == TAX.ids
+
+
+def test_tables_and_viewer_say_what_they_leave_out(spark):
+    rows = spark.range(7).select(F.col("id").cast("string").alias("doc_id"), F.lit("text").alias("text"), F.lit("a").alias("label"), F.lit("hard").alias("difficulty"))
+    assert reporting.formatted(rows, 5).splitlines()[-1] == "(only the first 5 rows are shown)" and len(reporting.formatted(rows, 7).splitlines()) == 8
+    first, second = reporting.corpus_viewer(rows, 5), reporting.corpus_viewer(rows, 5, after="4")
+    assert "&quot;shown&quot;: 5" in first and "&quot;shown&quot;: 2" in second and '"doc_id": "6"' in second and '"doc_id": "6"' not in first
