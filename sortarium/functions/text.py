@@ -29,7 +29,7 @@ def strip(text: Column) -> Column:
 #: Marks that carry no meaning (directions and joiners, vowel signs, stretching), and letters and digits folded together.
 _UNSEEN = re.compile("[\u200b-\u200f\u202a-\u202e\u2066-\u2069\ufeff\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed\u0640]+")
 _FOLDED = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹" + "أإآٱىئیؤةک", "01234567890123456789" + "اااايييوهك")
-_BLANKS, _GAPS, _OTHER = re.compile("[ \t\u00a0]+"), re.compile("\n{3,}"), re.compile(rf"[^ء-ي0-9a-zA-Z{SPACES}]")
+_BLANKS, _GAPS, _OTHER = re.compile("[ \t\u00a0]{2,}|[\t\u00a0]"), re.compile("\n{3,}"), re.compile(rf"[^ء-ي0-9a-zA-Z{SPACES}]+")
 
 
 def light_text(text: str | None) -> str:

@@ -679,8 +679,7 @@ def text_files_round_trip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string"), "text", F.col("lang").alias("true_label"))
     path = _written(spark, lambda path: io.write_text_files(docs, path))
     back = io.read_files(spark, path)
-    part = lambda name: F.regexp_extract("path", f"{name}=([^/]*)", 1)
-    return back.select(part("name").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text"), "source", part("label").alias("label"))
+    return back.select(F.regexp_replace("doc_id", "~[0-9]+$", "").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text"), "source", F.regexp_extract("path", "label=([^/]*)", 1).alias("label"))
 
 
 @query("SELECT count(*) FILTER (toxic = 1) AS scanned FROM labels")

@@ -1,6 +1,6 @@
 """Reading documents and predictions, extracting text from files, and writing results.
 
-Files are read as binaryFile rows; extractors and OCR backends are ports that executors call in
+Files are listed and read by tasks; extractors and OCR backends are ports that executors call in
 batches. JSON lines have explicit schemas; a bad line fails the read. Duplicate and blank lines: each
 row stands, blank lines are none.
 """
@@ -15,15 +15,20 @@ import shutil
 import subprocess
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import islice, repeat
 from pathlib import Path
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sortarium import schemas
+from sortarium import schemas, session
 from sortarium.functions import text as T
 from sortarium.operators.gateway import GatewayError
 from sortarium.sources import pdf as pdf_file
@@ -268,23 +273,99 @@ def register_extractor(suffix: str, extractor: Callable[..., Extraction]) -> Non
     EXTRACTORS[suffix.lower()] = extractor
 
 
+#: Texts that a task hands on together, by number and by bytes of their files, and places that the driver deals out for listing.
+_TOGETHER, _BYTES, _PLACES = 500, 8 << 20, 4000
+
+
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The path as the machines' own one if it lies on a file system that they mount, else None."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p)
+    return where.toUri().getPath() if where.toUri().getScheme() == "file" else None
+
+
+def _entries(folder: str) -> Iterator[tuple[str, bool]]:
+    """(path, is it a folder) of what is in a folder; folders that Spark's readers pass over, such as those of unfinished jobs, are left out."""
+    with os.scandir(folder) as found:
+        for e in found:
+            is_folder = e.is_dir()
+            if not is_folder or not (e.name.startswith(".") or e.name.startswith("_") and "=" not in e.name):
+                yield e.path, is_folder
+
+
+def _places(root: str) -> list[tuple[str, bool]]:
+    """Files and folders that hold all that is below root. Folders are opened while that gives few; the others are left to tasks."""
+    open_, out = deque([root]), []
+    while open_ and len(out) + len(open_) < _PLACES:
+        folder = open_.popleft()
+        below = list(islice(_entries(folder), _PLACES))
+        if len(below) == _PLACES:
+            out.append((folder, True))
+            continue
+        open_ += [p for p, is_folder in below if is_folder]
+        out += [(p, False) for p, is_folder in below if not is_folder]
+    return out + [(p, True) for p in open_]
+
+
+def _listed(spark: SparkSession, root: str, wanted: tuple[str, ...]) -> DataFrame:
+    """(path) of the files at or below root with a wanted suffix; tasks list the folders."""
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stack, found = list(zip(batch.column("path").to_pylist(), batch.column("folder").to_pylist())), []
+            while stack:
+                where, folder = stack.pop()
+                for p, deeper in _entries(where) if folder else [(where, False)]:
+                    if deeper:
+                        stack.append((p, True))
+                    elif p.endswith(wanted):
+                        found.append(f"file:{p}")
+                    if len(found) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["path"])
+                        found = []
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["path"])
+
+    places = spark.createDataFrame(_places(root) if os.path.isdir(root) else [(root, False)], "path string, folder boolean")
+    return places.repartition(spark.sparkContext.defaultParallelism).mapInArrow(files, "path string")
+
+
 def read_files(spark: SparkSession, path: str, ocr=None, extractors: dict[str, Callable[..., Extraction]] | None = None) -> DataFrame:
-    """Documents of a file, or of all supported files below a folder, ordered by path; doc_id is the file's name without suffix."""
+    """Documents of a file, or of all supported files below a folder, ordered by path; doc_id is the file's name without suffix.
+
+    Below a mounted folder tasks list and open the files, so that their names, which may be millions, don't pass through the
+    driver; only the names are sorted. Elsewhere, and for patterns, they are Spark's binaryFile rows.
+    """
     known = dict(extractors or EXTRACTORS)
-    suffixes = [f"*{s}" for s in known] + [f"*{s.upper()}" for s in known]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(suffixes) + "}").load(path)
+    suffixes = [f for s in known for f in (s, s.upper())]
     backend = ocr_backend(ocr)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def handed_on() -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["doc_id", "text", "source", "path", "page_count"])
+
         for batch in batches:
-            for where, content in zip(batch.path, batch.content):
-                name = where.rsplit("/", 1)[-1]
-                stem, _, suffix = name.rpartition(".")
+            rows, size = [], 0
+            for where, content in zip(batch.path, batch.content if "content" in batch else repeat(None)):
+                content = Path(where.removeprefix("file:")).read_bytes() if content is None else content
+                stem, _, suffix = where.rsplit("/", 1)[-1].rpartition(".")
                 text, source, pages = known[f".{suffix.lower()}"](content, backend)
-                yield pd.DataFrame([(stem, text, source, where, pages)], columns=["doc_id", "text", "source", "path", "page_count"])
-
-    docs = files.select("path", "content").mapInPandas(extract, "doc_id string, text string, source string, path string, page_count int")
-    return docs.withColumns({"text": T.light(F.col("text")), "true_label": F.lit(None).cast("string")}).orderBy("path")
+                rows.append((stem, T.light_text(text), source, where, pages))
+                size += len(content)
+                if len(rows) == _TOGETHER or size > _BYTES:
+                    yield handed_on()
+                    rows, size = [], 0
+            if rows:
+                yield handed_on()
+
+    columns = "doc_id string, text string, source string, path string, page_count int"
+    root = mounted(spark, path)
+    if root and os.path.exists(root):
+        at_once = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        docs = _listed(spark, root, tuple(suffixes)).repartitionByRange(at_once, "path").sortWithinPartitions("path").mapInPandas(extract, columns)
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join(f"*{s}" for s in suffixes) + "}").load(path)
+        docs = files.select("path", "content").mapInPandas(extract, columns).orderBy("path")
+    return docs.withColumn("true_label", F.lit(None).cast("string"))
 
 
 def read_documents(spark: SparkSession, path: str, ocr=None) -> DataFrame:
@@ -315,13 +396,47 @@ def append_labels(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+#: Characters that the name of a folder can't have, as in the folders of Spark's partitions.
+_ESCAPED = re.compile(r"""[\x00-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+
+
 def write_text_files(docs: DataFrame, path: str) -> None:
-    """One text a document, in a folder for each label; each task writes its own rows.
+    """One text file a document, <doc_id>.txt, in a folder for each label; each task writes its own rows.
 
-    Goes through the file system of the path, so it works wherever Spark writes.
+    A label's folder has up to 256 folders, by the hash of the name, so that each can be listed by itself. Documents whose names
+    are the same keep a file each: <doc_id>~<number>.txt. Where the path is not on a mounted file system, Spark's own writer
+    makes a folder a document.
     """
-    rows = docs.select(F.coalesce(F.when(F.col("true_label") != "", F.col("true_label")), F.lit("unlabeled")).alias("label"), T.file_name(F.col("doc_id")).alias("name"), F.col("text").alias("value"))
-    rows.write.mode("overwrite").partitionBy("label", "name").text(path)
+    spark = docs.sparkSession
+    rows = docs.select(F.coalesce(F.when(F.col("true_label") != "", F.col("true_label")), F.lit("unlabeled")).alias("label"), T.file_name(F.coalesce("doc_id", F.lit(""))).alias("name"), F.col("text").alias("value"))
+    root = mounted(spark, path)
+    if root is None:
+        rows.write.mode("overwrite").partitionBy("label", "name").text(path)
+        return
+    session.removed(spark, path)
+    same = rows.groupBy("label", "name").count().where("count > 1").select("label", "name", F.lit(True).alias("same"))
+    n = same.count()
+    rows = rows.join(F.broadcast(same) if n < 100_000 else same, ["label", "name"], "left") if n else rows.withColumn("same", F.lit(None).cast("boolean"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, written = TaskContext.get(), set(), 0
+        for batch in batches:
+            for label, name, text, same in zip(*(batch.column(c).to_pylist() for c in ("label", "name", "value", "same"))):
+                folder = f"{root}/label={_ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', label)}/{zlib.crc32(name.encode()) & 255:02x}"
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
+                file = f"{folder}/{name}~{task.partitionId()}{written:09}.txt" if same else f"{folder}/{name}.txt"
+                # attempts of one task may run side by side; each leaves whole files only, and the same ones
+                part = f"{folder}/.{name}.{task.taskAttemptId()}"
+                with open(part, "wb") as out:
+                    out.write((text or "").encode())
+                os.replace(part, file)
+                written += 1
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["n"])
+
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    os.makedirs(root, exist_ok=True)
 
 
 def save_as_files(docs: DataFrame, folder: str) -> int:

@@ -324,6 +324,23 @@ def test_folder_scan(spark, tmp_path):
         io.read_documents(spark, str(tmp_path / "ignore.zip"))
 
 
+def test_text_files_are_one_plain_file_a_document_and_none_is_lost(spark, tmp_path, monkeypatch):
+    rows = [("a/1", " one ", "en"), ("a_1", "two", "en"), ("a_1", "three", "en"), ("_b", "four", None), (".", None, "x/y"), ("c", "five", "en")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, true_label string").coalesce(1)
+    for _ in range(2):
+        io.write_text_files(df, str(tmp_path / "out"))
+    files = [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
+    assert len(files) == 6 and all(p.name.endswith(".txt") for p in files)
+    assert (tmp_path / "out" / "label=en").is_dir() and [p.read_text() for p in files if p.name == "c.txt"] == ["five"]
+    got = {}
+    for places in (4000, 2):  # folders dealt out by the driver, and left to tasks
+        monkeypatch.setattr(io, "_PLACES", places)
+        back = io.read_files(spark, str(tmp_path / "out")).collect()
+        assert [r.path for r in back] == sorted(r.path for r in back)
+        got[places] = sorted((r.doc_id.split("~")[0], r.text, r.path.split("label=")[1].split("/")[0]) for r in back)
+    assert got[4000] == got[2] == sorted([("a_1", "one", "en"), ("a_1", "two", "en"), ("a_1", "three", "en"), ("_b", "four", "unlabeled"), (".", "", "x%2Fy"), ("c", "five", "en")])
+
+
 def test_unknown_ocr_backends_are_refused():
     with pytest.raises(io.OCRUnavailable):
         io.ocr_backend("nobody")
