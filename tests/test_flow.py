@@ -431,3 +431,35 @@ def test_greedy_choice_by_rounds_equals_the_whole_over_texts(spark, monkeypatch)
             chosen.append(row[0])
         assert [got[k] for k in sorted(got)] == chosen
     assert queue.diverse(df.limit(0), 5).count() == 0
+
+
+def test_vectors_are_made_for_the_scores_that_can_win_only(spark, monkeypatch):
+    """Texts that share nothing: the best scores win, and the other texts need no vectors; texts that are all alike need them all."""
+    monkeypatch.setattr(queue, "_first_band", lambda size: 20, raising=False)
+    made, stored = [], queue.session.stored
+
+    def counted(df):
+        if "vector" in df.columns:
+            made.append(df.count())
+        return stored(df)
+
+    monkeypatch.setattr(queue.session, "stored", counted)
+    for text, most in (("concat(char(97 + id % 26), char(97 + id div 26 % 26), char(97 + id % 7))", 60), ("'river stone'", 400)):
+        df = spark.range(400).selectExpr("id AS doc_id", "1 + id / 1000 AS score", "'a' AS label", f"{text} AS text")
+        made.clear()
+        got = [r.doc_id for r in queue.diverse(df, 5).orderBy("pick").collect()]
+        assert got[0] == 399 and (most == 400 or got == [399, 398, 397, 396, 395]) and sum(made) <= most
+
+
+def test_grams_by_number_are_those_of_the_lists():
+    from collections import Counter
+
+    from sortarium.operators import vectors
+
+    rng = np.random.default_rng(3)
+    texts = ["", "a", "a b", "x\x1cy\x85z   q", "A\n\nbc  de\tfghijkl"] + ["".join(rng.choice(list("abأ1 .\n\té\x1c"), 12)) for _ in range(300)]
+    for text in map(vectors.T.aggressive_text, texts):
+        for low, high in ((2, 5), (3, 5)):
+            number, times = vectors.char_numbers(text, low, high)
+            assert dict(zip(map(vectors.char_gram, number.tolist()), times.tolist())) == Counter(vectors.char_gram_list(text, low, high))
+            assert [vectors.char_number(vectors.char_gram(n)) for n in number.tolist()] == number.tolist()
